@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from learntrace.llm.common import without_ids
 from learntrace.llm.components import components
@@ -54,13 +55,12 @@ def fingerprint_of(text: str | None) -> int:
     return int(bits.view(np.int64)[0])
 
 
-@F.pandas_udf("long")
-def _fingerprint(texts: pd.Series) -> pd.Series:
+def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint_of(t) for t in texts], dtype="int64")
 
 
 def fingerprint(text: Column | str) -> Column:
-    return _fingerprint(text)
+    return F.pandas_udf(_fingerprints, T.LongType())(text)
 
 
 def _signed(x: int) -> int:
