@@ -145,12 +145,13 @@ def fit_counts(found: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.n
     goal = counts.astype(float).copy()
     goal[0] = 0.0
     uses = np.bincount(at, minlength=n).astype(float)
-    scale = 1.0 / np.sqrt(np.maximum(uses, 1.0))  # rows scaled alike, or common lengths rule the step
+    # A pattern's own step: its row of |A'A| summed, which bounds A'A from above by a diagonal.
+    weight = (np.arange(n) / (n - 1)) ** 2  # an error counts by its tokens: short pieces fill gaps later
+    step = 1.0 / np.bincount(of, weights=weight[at] * uses[at], minlength=len(found))
     x = np.zeros(len(found))
     y, t = x, 1.0
-    step = 1.0 / max(1e-9, float((np.bincount(of, weights=(scale[at] ** 2) * uses[at], minlength=len(found))).max()))
     for _ in range(rounds):
-        error = (np.bincount(at, weights=y[of], minlength=n) - goal) * scale**2
+        error = weight * (np.bincount(at, weights=y[of], minlength=n) - goal)
         new = np.maximum(0.0, y - step * np.bincount(of, weights=error[at], minlength=len(found)))
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y, x, t = new + (t - 1) / t2 * (new - x), new, t2
