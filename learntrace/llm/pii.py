@@ -84,7 +84,11 @@ def _starts(pieces: Column, found: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step)["starts"]
 
 
-def _spans(text: Column, found: Column, kind: Kind, order: int) -> Column:
+def _spans(text: Column, matches: Column, kind: Kind, order: int) -> Column:
+    return let(matches, lambda found: _spans_of(text, found, kind, order))
+
+
+def _spans_of(text: Column, found: Column, kind: Kind, order: int) -> Column:
     def of(starts: Column) -> Column:
         def span(start: Column, i: Column) -> Column:
             value = F.get(found, i)
