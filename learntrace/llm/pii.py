@@ -160,3 +160,8 @@ def pii_digest(docs: DataFrame) -> DataFrame:
         F.sha2(span_digest(F.filter("pii", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), span_digest(F.col("pii")).alias("spans"),
         F.array_join(F.transform("pii", lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"),
     )
+
+
+def text_length(text: str = "text") -> Column:
+    """Code points of a text, 0 for null."""
+    return F.length(F.coalesce(F.col(text), F.lit(""))).cast("long")
