@@ -1,0 +1 @@
+"""Column functions on logit, probability and feature arrays."""

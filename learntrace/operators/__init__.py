@@ -1,0 +1 @@
+"""Operators on whole tables: each takes DataFrames with named keys and returns a DataFrame."""

@@ -1,6 +1,416 @@
-"""Registered queries and their SQL."""
+"""Registered queries: each takes (spark, sf_dir) and returns a DataFrame over the given tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from learntrace.functions import pointwise as fn
+from learntrace.functions.vectors import argmax, doubles, one_hot, p_norm, steady, total
+from learntrace.operators import aggregates, analysis, combine, ensemble, forgetting, gradient, layers, ranking, representation
+from learntrace.operators.pointwise import METRICS, evaluate, pointwise_metrics
+from learntrace.plans import fixtures as fx
+from learntrace.plans.oracles import ORACLES
+from learntrace.streaming import online
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+DOUBLES = METRICS[1:]
+RUN = ["model", "replicate", "metric"]
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: steady(F.col(c), digits) for c in columns})
+
+
+def _of_probabilities(name: str, score: Callable[[Column, Column], Column]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fx.logits(spark, sf_dir).select("example_id", "step", steady(score(fn.softmax(F.col("z")), F.col("label"))).alias(name))
+
+    QUERIES[name] = run
+
+
+_of_probabilities("entropy", lambda p, y: fn.entropy(p))
+_of_probabilities("class_confidence", fn.class_confidence)
+_of_probabilities("max_confidence", lambda p, y: fn.max_confidence(p))
+_of_probabilities("margin", lambda p, y: fn.once(p, lambda q: fn.margin(q, y)))
+_of_probabilities("el2n", fn.error_l2_norm)
+QUERIES |= {n: (lambda s, d, f=QUERIES[n], n=n, m=m: f(s, d).withColumnRenamed(n, m)) for n, m in (("entropy", "ent"), ("class_confidence", "conf"), ("max_confidence", "maxconf"))}
+
+
+@query
+def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fx.logits(spark, sf_dir).select("example_id", "step", F.posexplode(fn.softmax(F.col("z"))).alias("class_idx", "p"))
+    return rounded(df, "p")
+
+
+@query
+def zero_one_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.trajectory(spark, sf_dir)
+
+
+@query
+def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.logits(spark, sf_dir).select("example_id", "step", steady(fn.cross_entropy(F.col("z"), F.col("label"))).alias("cross_entropy"))
+
+
+@query
+def pointwise_metrics_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fx.pointwise(spark, sf_dir, loss=True), *DOUBLES, "loss")
+
+
+QUERIES["pointwise_metrics"] = QUERIES.pop("pointwise_metrics_")
+
+
+@query
+def evaluate_linear_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, w = fx.images(spark, sf_dir), fx.weights(spark)
+    df = evaluate(rows, lambda e: gradient.linear_logits(e, w).join(e.select("example_id", "label"), "example_id"), loss=fn.cross_entropy)
+    return df.select("example_id", "step", "acc", steady(F.col("loss")).alias("loss"))
+
+
+@query
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = doubles(F.col("x"))
+    return fx.images(spark, sf_dir).select("example_id", *[steady(p_norm(x, o)).alias(n) for n, o in (("l2", None), ("linf", float("inf")), ("l3", 3))])
+
+
+@query
+def one_hot_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.images(spark, sf_dir).select("example_id", F.posexplode(one_hot(F.col("label"), F.lit(fx.CLASSES))).alias("class_idx", "hot"))
+
+
+@query
+def mean_color_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, size = doubles(F.col("x")), fx.DIM // fx.CHANNELS
+    mean = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: sum((F.get(F.col("x"), i + c * size) for c in range(1, fx.CHANNELS)), F.get(F.col("x"), i)) / fx.CHANNELS)
+    return rounded(fx.images(spark, sf_dir).withColumn("x", x).select("example_id", F.posexplode(mean).alias("pixel", "mean")), "mean")
+
+
+@query
+def mean_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.images(spark, sf_dir).select("example_id", steady(total(doubles(F.col("x"))) / F.size("x")).alias("mean"))
+
+
+@query
+def forgetting_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forgetting.edges(fx.ragged(spark, sf_dir), ["example_id"], False).select("example_id", "step", "acc", "forgot")
+
+
+@query
+def learning_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forgetting.edges(fx.ragged(spark, sf_dir), ["example_id"], False).select("example_id", "step", "acc", "learned")
+
+
+def _event_time(name: str, score: Callable[[], Column]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: fx.ragged(spark, sf_dir).groupBy("example_id").agg(score().cast("long").alias(name.replace("_", "")))
+
+
+_event_time("first_learn", forgetting.first_learn)
+_event_time("first_forget", forgetting.first_forget)
+_event_time("first_unforgettable", forgetting.first_unforgettable)
+_event_time("first_unlearnable", forgetting.first_unlearnable)
+
+
+@query
+def last_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = forgetting.edges(fx.ragged(spark, sf_dir), ["example_id"], False)
+    return marked.groupBy("example_id").agg(forgetting.last_event(F.col("forgot")).cast("long").alias("last_forget"))
+
+
+def _forget(source: str, start_at_zero: bool, *columns: str) -> Query:
+    return lambda spark, sf_dir: forgetting.forget_metrics(getattr(fx, source)(spark, sf_dir), ["example_id"], start_at_zero).select("example_id", *(columns or ["*"]))
+
+
+QUERIES |= {
+    "count_forgetting_from0": _forget("ragged", True, "countforget"), "count_forgetting_from1": _forget("ragged", False, "countforget"),
+    "is_unforgettable_from0": _forget("ragged", True, "unforgettable"), "is_unforgettable_from1": _forget("ragged", False, "unforgettable"),
+}
+
+
+@query
+def forget_metrics_from0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forgetting.forget_metrics(fx.trajectory(spark, sf_dir), ["example_id"], True)
+
+
+@query
+def forget_metrics_from1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forgetting.forget_metrics(fx.trajectory(spark, sf_dir), ["example_id"], False)
+
+
+@query
+def forget_metrics_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forgetting.forget_metrics(fx.ragged(spark, sf_dir), ["example_id"], True)
+
+
+@query
+def mean_over_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregates.average_metrics(_numbers(fx.pointwise(spark, sf_dir)), ["example_id"], list(METRICS)), *[f"avg_{m}" for m in METRICS])
+
+
+@query
+def variance_over_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregates.variance_metrics(_numbers(fx.pointwise(spark, sf_dir)), ["example_id"], list(METRICS)), *[f"var_{m}" for m in METRICS])
+
+
+@query
+def online_pointwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = aggregates.online_pointwise(_numbers(fx.pointwise(spark, sf_dir)), ["label"], list(METRICS))
+    return rounded(found, *[f"{p}_{m}" for p in ("avg", "var") for m in METRICS])
+
+
+@query
+def resume_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of two halves of the steps, merged: as an accumulator that was saved and resumed."""
+    rows = fx.pointwise(spark, sf_dir)
+    halves = [aggregates.moment_state(rows.where(c), ["example_id"], "margin") for c in (F.col("step") < 3, F.col("step") >= 3)]
+    merged = aggregates.finish_moments(aggregates.merge_moments(halves[0].unionByName(halves[1]), ["example_id"]))
+    return rounded(merged.drop("m2"), "mean", "variance")
+
+
+@query
+def last_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregates.last_metrics(fx.pointwise(spark, sf_dir), ["example_id"], list(DOUBLES)), *[f"last_{m}" for m in DOUBLES])
+
+
+def _numbers(df: DataFrame) -> DataFrame:
+    return df.withColumn("acc", F.col("acc").cast("int"))
+
+
+@query
+def ensemble_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fx.votes(spark, sf_dir).groupBy("example_id").agg(ensemble.ensemble_accuracy().alias("allacc")), "allacc")
+
+
+@query
+def always_never_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.votes(spark, sf_dir).groupBy("example_id").agg(ensemble.always_learned().alias("always"), ensemble.never_learned().alias("never"))
+
+
+@query
+def dichotomous_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.votes(spark, sf_dir).groupBy("example_id").agg(ensemble.dichotomous_difficulty().alias("ddd"))
+
+
+@query
+def consensus_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ensemble.consensus_labels(fx.votes(spark, sf_dir), ["example_id"])
+
+
+@query
+def ensemble_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ensemble.ensemble_metrics(fx.votes(spark, sf_dir), ["example_id"]), "allacc")
+
+
+def _steady_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values rounded to 9 digits, so that ties do not depend on the last bits of a sum."""
+    return fx.metrics(spark, sf_dir).withColumn("value", F.round("value", 9))
+
+
+@query
+def rank_avg_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ranking.rank_average(_steady_metrics(spark, sf_dir), RUN, "value").drop("value", "is_train"), "rank")
+
+
+@query
+def rank_event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks with many ties."""
+    rows = fx.table(spark, sf_dir, "events").select("event_id", "event_type", F.floor("value").alias("v"))
+    return ranking.rank_average(rows, ["event_type"], "v").drop("event_type", "v")
+
+
+@query
+def order_to_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of one run's examples, one a metric, and their inverse."""
+    run = _steady_metrics(spark, sf_dir).where((F.col("model") == "m0") & (F.col("replicate") == 0))
+    return ranking.argsort(run, ["metric"], "value", "example_id")
+
+
+def _bins(metrics: DataFrame) -> DataFrame:
+    means = metrics.groupBy("model", "metric", "example_id").agg(F.round(F.avg("value"), 9).alias("value"))
+    return ranking.rank_bins(means, ["model", "metric"], "value", "example_id")
+
+
+@query
+def rank_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bins(fx.metrics(spark, sf_dir)).drop("value")
+
+
+@query
+def binned_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.metrics(spark, sf_dir)
+    return rounded(ranking.binned_quantiles(rows, _bins(rows), ["model", "metric"], "example_id", "value"), "mean", "median", "low", "high")
+
+
+@query
+def layer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = layers.select_layers(fx.activations(spark, sf_dir), include=["out", "block2"], exclude=["block3"])
+    return kept.groupBy("layer_idx").agg(F.count("*").alias("n"))
+
+
+@query
+def distinct_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.distinct_layers(fx.activations(spark, sf_dir, copy=True))
+
+
+@query
+def knn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representation.knn_predict(fx.activations(spark, sf_dir))
+
+
+@query
+def knn_train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.activations(spark, sf_dir)
+    return representation.knn_predict(rows.where("example_id % 5 <> 0"), rows.where("example_id % 5 = 0"))
+
+
+@query
+def prediction_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representation.prediction_depth(fx.activations(spark, sf_dir))
+
+
+@query
+def prediction_depth_softmax_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.transform(fn.softmax(F.col("z")), lambda x: F.round(x, 9))
+    outputs = fx.logits(spark, sf_dir).where(F.col("step") == fx.STEPS - 1).select("example_id", "label", p.alias("act"))
+    rows = fx.activations(spark, sf_dir).withColumn("act", doubles(F.col("act")))
+    return representation.prediction_depth(layers.append_layer(rows, outputs, "softmax"))
+
+
+@query
+def supervised_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = fx.activations(spark, sf_dir).where(F.col("layer_idx") == fx.LAYERS - 1)
+    return rounded(representation.supervised_prototypes(last), "proto")
+
+
+@query
+def self_supervised_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = fx.activations(spark, sf_dir).where(F.col("layer_idx") == fx.LAYERS - 1)
+    return representation.self_supervised_prototypes(last, k=10)
+
+
+@query
+def representation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(representation.representation_metrics(fx.activations(spark, sf_dir)), "proto")
+
+
+def _gradients(spark: SparkSession, sf_dir: str, predicted: bool) -> DataFrame:
+    df = gradient.input_gradient(fx.images(spark, sf_dir), fx.weights(spark), gradient.class_gradient, predicted)
+    return rounded(df.select("example_id", F.posexplode("grad").alias("pos", "grad")), "grad")
+
+
+@query
+def input_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gradients(spark, sf_dir, False)
+
+
+@query
+def input_gradient_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gradients(spark, sf_dir, True)
+
+
+@query
+def variance_of_gradients_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(gradient.variance_of_gradients(fx.images(spark, sf_dir), fx.weights(spark), fx.CHANNELS, gradient.class_gradient), "vog", digits=9)
+
+
+@query
+def variance_of_gradients_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(gradient.variance_of_gradients(fx.images(spark, sf_dir), fx.weights(spark), fx.CHANNELS, gradient.loss_gradient), "vog", digits=9)
+
+
+@query
+def online_variance_of_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixel states of two groups of checkpoints, merged."""
+    rows, w = fx.images(spark, sf_dir), fx.weights(spark)
+    parts = [gradient.pixel_states(rows, w.where(c), fx.CHANNELS) for c in (F.col("step") < 2, F.col("step") >= 2)]
+    merged = aggregates.finish_moments(aggregates.merge_moments(parts[0].unionByName(parts[1]), ["example_id", "pixel"]))
+    return rounded(merged.groupBy("example_id").agg(F.avg("variance").alias("vog")), "vog", digits=9)
+
+
+@query
+def grand_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(gradient.grand_score(fx.images(spark, sf_dir), fx.weights(spark)), "grand")
+
+
+@query
+def combine_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = combine.combine_metrics(fx.metrics(spark, sf_dir))
+    return rounded(df, *df.columns[3:])
+
+
+@query
+def is_train_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.metrics(spark, sf_dir)
+    bad = combine.train_violations(rows).groupBy("model", "metric").agg(F.count("*").alias("violations"))
+    return rounded(combine.train_counts(rows).join(bad, ["model", "metric"], "left").fillna(0, ["violations"]), "mean")
+
+
+@query
+def average_over_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(combine.average_over_replicates(fx.metrics(spark, sf_dir), "m1", list(METRICS)), *METRICS)
+
+
+@query
+def outer_union_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.metrics(spark, sf_dir)
+    part = lambda c: rows.where(c).select("metric", "example_id", "value")
+    a, b = part("model = 'm0' and replicate = 0 and is_train"), part("model = 'm1' and replicate = 1")
+    return rounded(combine.outer_union(a, b, ["metric", "example_id"], ["value"]), "value")
+
+
+@query
+def metric_correlation_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analysis.replicate_correlations(fx.metrics(spark, sf_dir), list(METRICS)), "corr")
+
+
+@query
+def metric_correlation_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analysis.replicate_correlations(_steady_metrics(spark, sf_dir), list(METRICS), by_rank=True), "corr")
+
+
+@query
+def correlation_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analysis.correlation_shrink(fx.metrics(spark, sf_dir), list(METRICS)), "corr_of_avg", "corr", "shrink")
+
+
+@query
+def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analysis.permutation_test(fx.metrics(spark, sf_dir)), "stat", "p")
+
+
+@query
+def permutation_test_per_example(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analysis.permutation_test_per_example(fx.metrics(spark, sf_dir)), "stat", "p", "nlogp")
+
+
+@query
+def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregates.standardize(fx.metrics(spark, sf_dir), RUN, "value").select(*RUN, "example_id", "scaled"), "scaled")
+
+
+@query
+def pca_explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.pca_explained_variance(fx.metrics(spark, sf_dir), "m0", list(DOUBLES))
+
+
+def _event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of (example_id, step, acc): steps are numbered before they arrive."""
+    return fx.stream_of(spark, fx.ragged(spark, sf_dir))
+
+
+@query
+def stream_event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online.drain(online.event_times(_event_steps(spark, sf_dir)), "complete")
+
+
+@query
+def stream_forget_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online.drain(online.forget_scores(_event_steps(spark, sf_dir)))

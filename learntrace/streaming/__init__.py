@@ -1,0 +1 @@
+"""Incremental versions of the trajectory scores on Structured Streaming."""
