@@ -21,6 +21,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def columns(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of ``df`` but the named ones, whatever characters their names have."""
+    return [F.col(f"`{c}`") for c in df.columns if c not in without]
+
+
 def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -35,5 +40,5 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose key is not in ``ids``; a null key matches a null key."""
-    gone = small_side(cut(ids.select(F.col(key).alias("_gone")).distinct()))
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = small_side(cut(ids.select(F.col(key).alias("_lt_gone")).distinct()))
+    return docs.join(gone, F.col(key).eqNullSafe(F.col("_lt_gone")), "left_anti")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from learntrace.llm.common import let
+from learntrace.llm.common import columns, let
 
 NEAR = 40  # code points before a span in which context words count
 
@@ -111,11 +111,11 @@ def _spans_of(text: Column, found: Column, kind: Kind, order: int) -> Column:
 def find_pii(docs: DataFrame, text: str = "text", out: str = "pii", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` and an array ``out`` of struct(kind, start, end, value, score), by start and then kind.
 
-    start and end count code points, end exclusive. Kinds are searched apart, so spans of two kinds
+    start and end count code points, end exclusive; a column ``out`` of the input is replaced. Kinds are searched apart, so spans of two kinds
     may overlap."""
-    names = [f"_{out}_{k.name}" for k in kinds]
-    whole, digit = f"_{out}_text", f"_{out}_digit"
-    had = docs.columns
+    names = [f"_lt_pii_{k.name}" for k in kinds]
+    whole, digit = "_lt_pii_text", "_lt_pii_digit"
+    had = columns(docs, out)
     df = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
     df = df.withColumn(digit, F.col(whole).rlike("[0-9]"))
     needs = {"email": F.contains(F.col(whole), F.lit("@")), "phone": F.col(digit) & F.contains(F.col(whole), F.lit("+"))}
@@ -125,7 +125,7 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii", kinds: tuple
     some = sum((F.size(n) for n in names[1:]), F.size(names[0])) > 0
     shown = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["score"].alias("score"))
     found = F.when(some, F.transform(F.array_sort(every), shown)).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string,score:double>>"))
-    return df.withColumn(out, found).select(*[F.col(f"`{c}`") for c in had], out)
+    return df.withColumn(out, found).select(*had, out)
 
 
 def span_digest(spans: Column) -> Column:
@@ -138,7 +138,7 @@ def redact(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS)
 
     Spans that overlap are replaced as one, named by the first. A null text stays null; texts
     without spans are left as they are."""
-    df = find_pii(docs, text, "_pii", kinds)
+    df = find_pii(docs, text, "_lt_pii", kinds)
     whole = F.col(text)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -146,8 +146,8 @@ def redact(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS)
         hidden = F.concat(acc["out"], F.array(F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], hidden).otherwise(acc["out"]).alias("out"))
 
-    clean = let(F.aggregate("_pii", zero, step), lambda a: F.concat(F.array_join(a["out"], ""), F.substr(whole, a["at"] + 1)))
-    return df.withColumn(text, F.when(F.size("_pii") > 0, clean).otherwise(whole)).drop("_pii")
+    clean = let(F.aggregate("_lt_pii", zero, step), lambda a: F.concat(F.array_join(a["out"], ""), F.substr(whole, a["at"] + 1)))
+    return df.withColumn(text, F.when(F.size("_lt_pii") > 0, clean).otherwise(whole)).select(*columns(docs))
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from learntrace.llm.common import WS, let
+from learntrace.llm.common import WS, columns, let
 
 WINDOW = 8  # words in a window that counts as repeated
 
@@ -81,9 +81,10 @@ def mask_of(bits: tuple[int, ...]) -> int:
 
 
 def ledger(docs: DataFrame, text: str = "text", out: str = "quality", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` and a struct ``out`` of the measurements and the ``failures`` mask."""
-    had = [F.col(f"`{c}`") for c in docs.columns]
-    t, w, x = f"_{out}_text", f"_{out}_words", f"_{out}_lines"
+    """``docs`` and a struct ``out`` of the measurements and the ``failures`` mask; a column ``out`` of the
+    input is replaced."""
+    had = columns(docs, out)
+    t, w, x = "_lt_text", "_lt_words", "_lt_lines"
     df = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     df = df.withColumns({w: F.filter(F.split(t, f"[{WS}]+"), lambda v: v != ""), x: F.filter(F.split(t, "\n"), lambda v: v.rlike(f"[^{WS}]"))})
     length = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
@@ -93,8 +94,8 @@ def ledger(docs: DataFrame, text: str = "text", out: str = "quality", rules: tup
         "n_letters": length(r"\P{L}+"), "n_capitals": length(r"\P{Lu}+"), "n_exclamations": F.length(t) - F.length(F.translate(t, "!", "")),
     }
     df = df.withColumn(out, F.struct(*[values[k].cast("long").alias(k) for k in MEASURES]))
-    inner = df.select(*had, out, F.struct(*[F.col(f"{out}.{k}").alias(k) for k in MEASURES]).alias("_m"))
-    bit = lambda r: F.when(_condition(r.fails, "_m"), F.lit(1 << r.bit)).otherwise(0)
+    inner = df.select(*had, out, F.struct(*[F.col(f"{out}.{k}").alias(k) for k in MEASURES]).alias("_lt_m"))
+    bit = lambda r: F.when(_condition(r.fails, "_lt_m"), F.lit(1 << r.bit)).otherwise(0)
     failures = sum((bit(r) for r in rules[1:]), bit(rules[0])).cast("long").alias("failures")
     return inner.select(*had, F.struct(*[F.col(f"{out}.{k}").alias(k) for k in MEASURES], failures).alias(out))
 

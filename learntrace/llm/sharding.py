@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from learntrace.llm.common import columns
 from learntrace.session import cut
 
 SHARDS = 40
@@ -80,16 +81,16 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
 def assign(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``: a uniform random order cut into shards of equal size.
 
-    The rows are written to the checkpoint folder once; keep only the columns that are needed, and
+    Columns shard and slot of the input are replaced. The rows are written to the checkpoint folder once; keep only the columns that are needed, and
     join the payload by key where it is large."""
-    held = cut(rows)
+    held = cut(rows.select(*columns(rows, "shard", "slot")))
     if held.rdd.getNumPartitions() > MAX_PARTITIONS:
         held = cut(held.coalesce(MAX_PARTITIONS))
     counts = {r["p"]: r["n"] for r in held.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
     matrix = held.sparkSession.sparkContext.broadcast(communication_matrix(counts, shards, seed))
     total = sum(counts.values())
     blocks = min(MAX_BLOCKS, max(1, -(-total // (shards * BLOCK_ROWS))))
-    schema = T.StructType([*held.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("_u", T.LongType())])
+    schema = T.StructType([*held.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("_lt_u", T.LongType())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
@@ -105,14 +106,14 @@ def assign(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
             keys = rng.integers(0, 2**62, b.num_rows, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32()), pa.array(keys, pa.int64())], names=schema.names)
 
-    dealt = held.mapInArrow(label, schema).withColumn("_block", F.floor(F.col("_u") / F.lit(2.0**62) * blocks).cast("int"))
-    sizes = dealt.groupBy("shard", "_block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select("shard", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    order = Window.partitionBy("shard", "_block").orderBy("_u", *[F.col(f"`{c}`") for c in held.columns])
-    ranked = dealt.withColumn("_rank", F.row_number().over(order))
-    slot = (F.col("_first") + F.col("_rank") - 1).cast("long").alias("slot")
-    return ranked.join(F.broadcast(firsts), ["shard", "_block"]).select(*[F.col(f"`{c}`") for c in held.columns], "shard", slot)
+    dealt = held.mapInArrow(label, schema).withColumn("_lt_block", F.floor(F.col("_lt_u") / F.lit(2.0**62) * blocks).cast("int"))
+    sizes = dealt.groupBy("shard", "_lt_block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("_lt_block").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("shard", "_lt_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_lt_first"))
+    order = Window.partitionBy("shard", "_lt_block").orderBy("_lt_u", *columns(held))
+    ranked = dealt.withColumn("_lt_rank", F.row_number().over(order))
+    slot = (F.col("_lt_first") + F.col("_lt_rank") - 1).cast("long").alias("slot")
+    return ranked.join(F.broadcast(firsts), ["shard", "_lt_block"]).select(*columns(held), "shard", slot)
 
 
 def shard_digest(docs: DataFrame) -> DataFrame:
