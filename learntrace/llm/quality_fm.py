@@ -92,7 +92,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     rng = np.random.default_rng(seed)
     share = float(labels.mean()) if len(labels) else 0.5
     machine = FactorisationMachine(math.log(max(share, 1e-3) / max(1 - share, 1e-3)), np.zeros(N_FEATURES), rng.normal(0, 0.02, (N_FEATURES, RANK)))
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         machine.factors[:] = 0
         return machine
     gw, gv = np.full(N_FEATURES, 1e-3), np.full((N_FEATURES, RANK), 1e-3)

@@ -83,7 +83,8 @@ def assign(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
 
     Columns shard and slot of the input are replaced. The rows are written to the checkpoint folder once; keep only the columns that are needed, and
     join the payload by key where it is large."""
-    held = cut(rows.select(*columns(rows, "shard", "slot")))
+    names = [c for c in rows.columns if c not in ("shard", "slot")]
+    held = cut(rows.select(*[c.alias(f"_lt_{i}") for i, c in enumerate(columns(rows, "shard", "slot"))]))
     if held.rdd.getNumPartitions() > MAX_PARTITIONS:
         held = cut(held.coalesce(MAX_PARTITIONS))
     counts = {r["p"]: r["n"] for r in held.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
@@ -113,7 +114,8 @@ def assign(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
     order = Window.partitionBy("shard", "_lt_block").orderBy("_lt_u", *columns(held))
     ranked = dealt.withColumn("_lt_rank", F.row_number().over(order))
     slot = (F.col("_lt_first") + F.col("_lt_rank") - 1).cast("long").alias("slot")
-    return ranked.join(F.broadcast(firsts), ["shard", "_lt_block"]).select(*columns(held), "shard", slot)
+    own = [F.col(f"_lt_{i}").alias(n) for i, n in enumerate(names)]
+    return ranked.join(F.broadcast(firsts), ["shard", "_lt_block"]).select(*own, "shard", slot)
 
 
 def shard_digest(docs: DataFrame) -> DataFrame:
