@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from learntrace.functions import pointwise as fn
 from learntrace.functions.vectors import argmax, doubles, one_hot, p_norm, steady, total
-from learntrace.operators import aggregates, analysis, combine, ensemble, forgetting, gradient, layers, ranking, representation
+from learntrace.operators import aggregates, analysis, combine, ensemble, forgetting, frames, gradient, layers, ranking, representation
 from learntrace.operators.pointwise import METRICS, evaluate, pointwise_metrics
 from learntrace.plans import fixtures as fx
 from learntrace.plans.oracles import ORACLES
@@ -401,6 +401,43 @@ def pca_explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.pca_explained_variance(fx.metrics(spark, sf_dir), "m0", list(DOUBLES))
 
 
+@query
+def split_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "embeddings").select(F.col("label"), F.col("vec_id").alias("example_id"))
+    return frames.split_batches(rows, ["label"], "example_id", 15)
+
+
+@query
+def batch_accumulator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as items, seven interleaved minibatches of events."""
+    rows = fx.table(spark, sf_dir, "events").select((F.col("event_id") % 7).alias("batch"), "user_id", "event_id", "value")
+    return rounded(frames.accumulate_batches(rows, "batch", "user_id", "event_id", "value"), "mean")
+
+
+@query
+def correlation_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix behind the heat map: correlations of averages, the diagonal masked."""
+    return rounded(frames.zero_diagonal(analysis.correlation_of_averages(fx.metrics(spark, sf_dir), list(METRICS)), "metric_a", "metric_b", "corr_of_avg"), "corr_of_avg")
+
+
+@query
+def apply_to_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.apply_all(fx.pointwise(spark, sf_dir).select("example_id", "step", *DOUBLES), list(DOUBLES), lambda c: steady(c * 100, 3), "pct")
+
+
+@query
+def known_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = fx.metrics(spark, sf_dir).groupBy("model", "metric").agg(F.count("*").alias("n"))
+    return frames.order_known(counts, [("m1", "second"), ("m9", "absent")], "model")
+
+
+@query
+def one_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One checkpoint of one model, selected by its keys."""
+    rows = frames.select_checkpoint(fx.metrics(spark, sf_dir), model="m1", replicate=2, metric="ent")
+    return rounded(rows.select("example_id", "value"), "value")
+
+
 def _event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of (example_id, step, acc): steps are numbered before they arrive."""
     return fx.stream_of(spark, fx.ragged(spark, sf_dir))

@@ -142,6 +142,12 @@ ORACLES: dict[str, str] = {
     "permutation_test": sql("metrics", f"SELECT a.metric, {r('any_value(a.norm)')} AS stat, {r('avg((b.norm >= a.norm)::INT)')} AS p FROM norms a JOIN norms b ON a.metric = b.metric WHERE a.perm = -1 AND b.perm <> -1 GROUP BY a.metric", perms=PERMS, diffs=DIFFS, norms="SELECT perm, metric, round(sqrt(sum(diff * diff)), 9) AS norm FROM diffs GROUP BY ALL"),
     "permutation_test_per_example": sql("metrics", f"SELECT metric, example_id, {r('stat')} AS stat, {r('p')} AS p, {r('-ln(p + 1e-8)')} AS nlogp FROM (SELECT a.metric, a.example_id, any_value(round(abs(a.diff), 9)) AS stat, avg((round(abs(b.diff), 9) >= round(abs(a.diff), 9))::INT) AS p FROM diffs a JOIN diffs b ON a.metric = b.metric AND a.example_id = b.example_id WHERE a.perm = -1 AND b.perm <> -1 GROUP BY ALL)", perms=PERMS, diffs=DIFFS),
     "standardize": sql("metrics", f"SELECT model, replicate, metric, example_id, {r('CASE WHEN sd > 0 THEN (value - mean) / sd ELSE value - mean END')} AS scaled FROM (SELECT *, avg(value) OVER w AS mean, stddev_pop(value) OVER w AS sd FROM metrics WINDOW w AS (PARTITION BY model, replicate, metric))"),
+    "split_batches": "SELECT label, vec_id AS example_id, ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 15)::BIGINT AS batch FROM embeddings",
+    "batch_accumulator": f"SELECT user_id, count(*) AS n, {r('avg(value)')} AS mean FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 7 ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 GROUP BY user_id",
+    "correlation_heatmap": sql("metrics", f"SELECT a.model, a.metric AS metric_a, b.metric AS metric_b, CASE WHEN any_value(a.metric = b.metric) THEN 0 ELSE {r(CORR.format(a='a.value', b='b.value'))} END AS corr_of_avg FROM means a JOIN means b ON a.model = b.model AND a.example_id = b.example_id GROUP BY a.model, a.metric, b.metric", means="SELECT model, metric, example_id, avg(value) AS value FROM metrics GROUP BY ALL"),
+    "apply_to_metrics": sql("point", f"SELECT example_id, step, {', '.join(f'{r(f'{m} * 100', 3)} AS pct_{m}' for m in METRIC_NAMES[1:])} FROM point"),
+    "known_models": sql("metrics", "SELECT model, metric, count(*) AS n, 'second' AS name, 0 AS place FROM metrics WHERE model = 'm1' GROUP BY ALL"),
+    "one_checkpoint": sql("metrics", f"SELECT example_id, {r('value')} AS value FROM metrics WHERE model = 'm1' AND replicate = 2 AND metric = 'ent'"),
     "stream_event_times": sql("ragged", f"SELECT example_id, count(*) AS n, {FIRSTLEARN} AS firstlearn, {FIRSTUNFORGETTABLE} AS firstunforgettable, {FIRSTFORGET} AS firstforget, {FIRSTUNLEARNABLE} AS firstunlearnable FROM ragged GROUP BY example_id"),
     "stream_forget_metrics": edges("ragged", False, n="count(*)", countforget=COUNT, unforgettable=UNFORGETTABLE, firstlearn=FIRSTLEARN, firstunforgettable=FIRSTUNFORGETTABLE),
 }

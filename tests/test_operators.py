@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from learntrace.functions import pointwise as fn
 from learntrace.functions.vectors import argmax
-from learntrace.operators import aggregates, analysis, combine, ensemble, gradient, layers, ranking, representation
+from learntrace.operators import aggregates, analysis, combine, ensemble, frames, gradient, layers, ranking, representation
 from learntrace.operators.pointwise import pointwise_metrics
 from learntrace.plans import fixtures as fx
 from tests.conftest import SF
@@ -158,3 +158,22 @@ def test_empty_tables(spark):
     assert ranking.rank_average(rows, ["metric"], "value").count() == 0
     assert combine.combine_metrics(rows).count() == 0
     assert representation.knn_predict(fx.activations(spark, SF).limit(0)).count() == 0
+
+
+def test_frames(spark):
+    a, b = spark.range(5).withColumnRenamed("id", "k"), spark.range(3, 7).withColumnRenamed("id", "k")
+    assert frames.same_keys(a, a, ["k"]) and not frames.same_keys(a, b, ["k"])
+    assert not frames.disjoint_keys(a, b, ["k"]) and frames.disjoint_keys(a, b.where("k > 4"), ["k"])
+    assert frames.append_rows([a, b], 6, "k").count() == 6
+    with pytest.warns(UserWarning):
+        assert frames.append_rows([a], 9, "k").count() == 5
+    assert [r["metric"] for r in frames.order_metrics(fx.metrics(spark, SF)).collect()][:2] == ["maxconf", "margin"]
+
+
+def test_layers_of_a_scorer(spark):
+    def scorer(rows):
+        parts = [rows.select(F.lit(i).alias("layer_idx"), F.lit(n).alias("layer"), "example_id", F.transform("x", f).alias("act")) for i, (n, f) in enumerate((("a.in", lambda x: x), ("a.out", lambda x: x * 2), ("b.in", lambda x: x * 2)))]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    assert frames.find_layers(scorer, spark, 3) == ["a.in", "a.out"]
+    assert frames.find_layers(scorer, spark, 3, exclude=["a.out"]) == ["a.in", "b.in"]
