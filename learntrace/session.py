@@ -23,10 +23,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lea
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a fresh local one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``, else the context's; a fresh one only in local mode.
+
+    On a cluster a machine's own folder would not do, so a missing setting is a ValueError there."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        if named is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
     return named or spark.sparkContext.getCheckpointDir()
 
