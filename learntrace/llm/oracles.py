@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from learntrace.llm.license_scan import BASE_PHRASES, BASE_WEIGHTS, CLASSES, PHRASES, license_class
+
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
 
@@ -59,4 +61,20 @@ told AS (SELECT rid, {", ".join(f"(count(*) FILTER (WHERE kind = '{k}'))::BIGINT
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email", "ip", "card", "phone"))}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN told USING (rid)
 """
 
-ORACLES: dict[str, str] = {"op1_pii": PII, "op2_quality_rules": QUALITY, "op6_decontamination": LEAKS}
+_PHRASE_ROWS = ", ".join(f"('{p}', '{label}', {w}::DOUBLE, {len(CLASSES) if label in ('reserved', 'copyright') else license_class(label)})" for p, label, w in [*((p, x, BASE_WEIGHTS[x]) for p, x in BASE_PHRASES.items()), *((p, x, w) for p, (x, w) in PHRASES.items())])
+_PLACES = " UNION ALL ".join(f"SELECT rid, '{label}' AS label, unnest(list_filter(range(len(ws)), lambda i: {' AND '.join(f'ws[i + {k + 1}] = {chr(39)}{w}{chr(39)}' for k, w in enumerate(p.split()))})) AS at_word FROM w" for p, label in BASE_PHRASES.items())
+#: Phrases and their labels. Expressions after identifier tags have no SQL; texts with such a tag are left to
+#: the tests, and the given tables hold none.
+LICENSES = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT rid, doc_id, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM d),
+places AS ({_PLACES}),
+base AS (SELECT rid, count(*)::BIGINT AS n_base, min(at_word)::BIGINT AS first_word, max(at_word)::BIGINT AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM places GROUP BY rid),
+phrases(phrase, label, weight, k) AS (VALUES {_PHRASE_ROWS}),
+named AS (SELECT rid, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(weight) AS score, max(k) FILTER (WHERE k < {len(CLASSES)}) AS k
+    FROM w JOIN phrases ON contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || phrase || ' ') GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score,
+    CASE WHEN labels IS NULL THEN NULL ELSE [{', '.join(f"'{c}'" for c in CLASSES)}][coalesce(k, 3) + 1] END AS license_class FROM w LEFT JOIN base USING (rid) LEFT JOIN named USING (rid)
+"""
+
+ORACLES: dict[str, str] = {"op8_licenses": LICENSES, "op1_pii": PII, "op2_quality_rules": QUALITY, "op6_decontamination": LEAKS}
