@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 
 def connect(folder):
@@ -15,7 +16,7 @@ def connect(folder):
 
 
 def plain(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return "null"
     if hasattr(v, "item"):
         v = v.item()
