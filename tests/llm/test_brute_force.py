@@ -171,23 +171,24 @@ def auc(scores, labels):
     return (ranks[labels == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(labels) - ones))
 
 
-def held(spark, name, label):
-    got = queries.QUERIES[name](spark, BIG).toPandas()
+def held(spark, name, label, folder):
+    got = queries.QUERIES[name](spark, folder).toPandas()
     folds = {"quality": (4, 2), "toxic": (5, 0)}[label]
     assert (got["held_out"] == [zlib.crc32(str(i).encode()) % folds[0] == folds[1] for i in got["doc_id"]]).all()
-    rows = got.merge(pd.read_parquet(f"{BIG}/labels.parquet"))
+    rows = got.merge(pd.read_parquet(f"{folder}/labels.parquet"))
     return rows[rows["held_out"]]
 
 
 def test_quality_on_held_out_rows(spark):
-    rows = held(spark, "op5_quality_classifier", "quality")
+    rows = held(spark, "op5_quality_classifier", "quality", BIG)
     assert auc(rows["score"].to_numpy(), rows["quality"].to_numpy()) > 0.97 and (rows["predicted"] == rows["quality"]).mean() > 0.95
 
 
 def test_toxicity_on_held_out_rows(spark):
-    rows = held(spark, "op7_toxicity", "toxic")
+    rows = held(spark, "op7_toxicity", "toxic", "/root/testdata/sf0.1")  # smaller tables hold six toxic held-out rows
     clean = rows[rows["toxic"] == 0]
-    assert auc(rows["score"].to_numpy(), rows["toxic"].to_numpy()) > 0.8 and (clean["predicted"] == 0).mean() > 0.97
+    assert auc(rows["score"].to_numpy(), rows["toxic"].to_numpy()) > 0.95 and (clean["predicted"] == 0).mean() > 0.97
+    assert rows.loc[rows["toxic"] == 1, "predicted"].mean() > 0.85
 
 
 def test_factorisation_identity():
