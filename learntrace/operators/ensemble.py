@@ -18,7 +18,7 @@ def never_learned(acc: str = "acc") -> Column:
     return ~F.bool_or(acc)
 
 
-def dichotomous_difficulty(acc: str = "acc") -> Column:
+def dichotomy(acc: str = "acc") -> Column:
     """1 if every run is right, -1 if none is, else 0."""
     return F.when(F.bool_and(acc), 1).when(~F.bool_or(acc), -1).otherwise(0)
 

@@ -195,8 +195,8 @@ def always_never_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def dichotomous_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.votes(spark, sf_dir).groupBy("example_id").agg(ensemble.dichotomous_difficulty().alias("ddd"))
+def ddd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.votes(spark, sf_dir).groupBy("example_id").agg(ensemble.dichotomy().alias("ddd"))
 
 
 @query

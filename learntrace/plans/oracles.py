@@ -111,7 +111,7 @@ ORACLES: dict[str, str] = {
     "last_metrics": sql("point", f"SELECT example_id, {', '.join(f'{r(m)} AS last_{m}' for m in METRIC_NAMES[1:])} FROM point WHERE step = 5"),
     "ensemble_accuracy": sql("point", f"SELECT example_id, {r('avg(acc::INT)')} AS allacc FROM point GROUP BY example_id"),
     "always_never_learned": sql("point", "SELECT example_id, bool_and(acc) AS always, NOT bool_or(acc) AS never FROM point GROUP BY example_id"),
-    "dichotomous_difficulty": sql("point", "SELECT example_id, CASE WHEN bool_and(acc) THEN 1 WHEN NOT bool_or(acc) THEN -1 ELSE 0 END AS ddd FROM point GROUP BY example_id"),
+    "ddd": sql("point", "SELECT example_id, CASE WHEN bool_and(acc) THEN 1 WHEN NOT bool_or(acc) THEN -1 ELSE 0 END AS ddd FROM point GROUP BY example_id"),
     "consensus_label": sql("point", "SELECT example_id, pred AS consensuslabel, n AS n_votes FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY n DESC, pred) AS rn FROM (SELECT example_id, pred, count(*) AS n FROM point GROUP BY ALL)) WHERE rn = 1"),
     "ensemble_metrics": sql("point", f"SELECT p.example_id, CASE WHEN bool_and(acc) THEN 1 WHEN NOT bool_or(acc) THEN -1 ELSE 0 END AS ddd, {r('avg(acc::INT)')} AS allacc, any_value(c.pred) AS consensuslabel FROM point p JOIN (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY n DESC, pred) AS rn FROM (SELECT example_id, pred, count(*) AS n FROM point GROUP BY ALL)) c ON p.example_id = c.example_id AND rn = 1 GROUP BY p.example_id"),
     "rank_avg_ties": sql("metrics", f"SELECT model, replicate, metric, example_id, {r('rnk')} AS rank FROM ranked", ranked=RANKED.replace("ORDER BY value", "ORDER BY round(value, 9)").replace("metric, value)", "metric, round(value, 9))")),
