@@ -15,6 +15,9 @@ WS = r"\x20\x09-\x0D"
 #: Rows up to which a side may be broadcast (a row is an id or a hash, under 100 bytes).
 BROADCAST_ROWS = 200_000
 
+#: The number of a row, where keys may be null or repeated.
+ROW = "_lt_row"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
@@ -38,6 +41,11 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed with a number of its own for each row."""
+    return cut(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose key is not in ``ids``; a null key matches a null key."""
     gone = small_side(cut(ids.select(F.col(key).alias("_lt_gone")).distinct()))

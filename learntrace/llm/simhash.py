@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from learntrace.llm.common import without_ids
+from learntrace.llm import minhash
+from learntrace.llm.common import ROW, numbered, without_ids
 from learntrace.llm.components import components
 from learntrace.session import cut
 
@@ -36,7 +37,7 @@ CODE_BITS = 63
 FLUSH = 500_000  # linked fingerprints that a task holds before it writes its forest
 
 
-def fingerprint_of(text: str | None) -> int:
+def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
     """The signed 64-bit fingerprint: majority of the XXH64 bits of the text's word shingles."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
@@ -45,7 +46,7 @@ def fingerprint_of(text: str | None) -> int:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *(ends[:-1].tolist())]
     stops = (ends - 1).tolist()
-    k = min(SHINGLE, len(words))
+    k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(whole[i:j], SEED) for i, j in zip(starts, stops[k - 1 :], strict=False)], dtype=np.uint64)
     ones = np.zeros(64, dtype=np.int64)
@@ -55,12 +56,12 @@ def fingerprint_of(text: str | None) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint_of(t) for t in texts], dtype="int64")
+def fingerprint(text: Column | str, shingle: int = SHINGLE) -> Column:
+    def told(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint_of(t, shingle) for t in texts], dtype="int64")
 
-
-def fingerprint(text: Column | str) -> Column:
-    return F.pandas_udf(_fingerprints, T.LongType())(text)
+    told.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(told, T.LongType())(text)
 
 
 def _signed(x: int) -> int:
@@ -111,7 +112,7 @@ class _Forest:
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], threshold: int = THRESHOLD) -> Iterator[pa.RecordBatch]:
     """From rows (anchor, fp) sorted by anchor: a spanning forest of the pairs within the threshold."""
     forest = _Forest()
     rest = np.empty((0, 2), dtype=np.int64)
@@ -120,13 +121,13 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         size = np.diff(np.r_[first, len(anchor)])
         two = first[size == 2]
-        near = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= THRESHOLD
+        near = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= threshold
         for i in two[near].tolist():
             forest.link(int(fp[i]), int(fp[i + 1]))
         for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             own = np.unique(fp[at : at + n])
             for i in range(len(own) - 1):
-                for j in np.flatnonzero(np.bitwise_count((own[i + 1 :] ^ own[i]).view(np.uint64)) <= THRESHOLD).tolist():
+                for j in np.flatnonzero(np.bitwise_count((own[i + 1 :] ^ own[i]).view(np.uint64)) <= threshold).tolist():
                     forest.link(int(own[i]), int(own[i + 1 + j]))
 
     for batch in batches:
@@ -146,34 +147,50 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield forest.flush()
 
 
-def links(fps: DataFrame, fp: str = "fp") -> DataFrame:
+def links(fps: DataFrame, fp: str = "fp", threshold: int = THRESHOLD) -> DataFrame:
     """Links ``a``, ``b`` between the distinct fingerprints of ``fps``: not every pair within the
-    threshold, but enough that linked fingerprints stay connected."""
+    threshold, but enough that linked fingerprints stay connected. The anchors reach no threshold above 2."""
+    if not 0 <= threshold <= THRESHOLD:
+        raise ValueError(f"the anchors reach thresholds from 0 to {THRESHOLD}, not {threshold}")
     placed = fps.select(F.explode(anchors(F.col(fp))).alias("anchor"), F.col(fp).alias("fp"))
     dealt = placed.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(_linked, "a long, b long")
+    return dealt.mapInArrow(lambda batches: _linked(batches, threshold), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """``key``, ``fp`` (long) and ``component_id``, the smallest key reachable over links."""
-    marked = cut(docs.select(F.col(key).alias(key), fingerprint(F.col(text)).alias("fp")))
+    marked = cut(docs.select(F.col(key).alias(key), fingerprint(F.col(text), shingle).alias("fp")))
     distinct = cut(marked.groupBy("fp").agg(F.min(key).alias("least")))
-    roots = components(links(distinct))
+    roots = components(links(distinct, threshold=threshold))
     named = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.select("fp", "root").join(best, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp", "left").select(key, "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component: the one whose key names it.
-
-    Rows that repeat a key are made one first, if there are any."""
-    found = near_duplicates(docs, text, key)
-    kept = without_ids(docs, found.where(~F.col(key).eqNullSafe(F.col("component_id"))), key)
-    if not docs.groupBy(key).count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([key])
-    return kept
+def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD, similarity: float | None = None) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest key.
+
+    With ``similarity``, rows are linked if the Jaccard similarity of their shingle sets reaches it, over
+    MinHash bands, for the anchors reach 2 bits only; else if their fingerprints lie within ``threshold``."""
+    if similarity is None:
+        found = near_duplicates(docs, text, key, shingle, threshold)
+        kept = without_ids(docs, found.where(~F.col(key).eqNullSafe(F.col("component_id"))), key)
+        if not docs.groupBy(key).count().where("count > 1").isEmpty():
+            kept = kept.dropDuplicates([key])
+        return kept
+    rows = numbered(docs)
+    return _one_of_each(rows, minhash.groups(rows, ROW, text, shingle, similarity), key)
+
+
+def _one_of_each(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Numbered rows without those that share a ``root`` with one of a smaller key (null is the greatest)
+    or, of the same key, of a smaller number."""
+    placed = cut(groups.select(ROW, "root"))
+    many = placed.join(placed.groupBy("root").count().where("count > 1").select("root"), "root")
+    told = cut(many.join(rows.select(ROW, F.col(key).alias("_lt_key")), ROW))
+    best = told.groupBy("root").agg(F.min(F.struct(F.col("_lt_key").isNull(), F.col("_lt_key"), F.col(ROW).alias("first"))).alias("b")).select("root", "b.first")
+    return without_ids(rows, told.join(best, "root").where(F.col(ROW) != F.col("first")), ROW).drop(ROW)
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
