@@ -12,8 +12,8 @@ Everything is a DataFrame expression. The item windows are broadcast up to a cou
 joined by shuffle.
 
 Defined results: a null text has no windows and leaks nothing; a null item text, or one of fewer than
-five tokens or without a window of three literal tokens, cannot be leaked; rows that repeat a doc_id
-are judged as one document; an empty table on either side gives an empty table.
+five tokens or without a window of three literal tokens, cannot be leaked; in `leaks`, rows that
+repeat a doc_id are judged as one document, in `decontaminated` each row alone; an empty table on either side gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from learntrace.llm.common import let, small_side, without_ids
+from learntrace.llm.common import ROW, let, numbered, small_side, without_ids
 from learntrace.session import cut
 
 WINDOW = 5
@@ -98,5 +98,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that leak an item."""
-    return without_ids(docs, leaks(docs, benchmark, key, text), key)
+    """``docs`` without the rows that leak an item; each row is judged alone, whatever its key."""
+    rows = numbered(docs)
+    return without_ids(rows, leaks(rows, benchmark, ROW, text), ROW).drop(ROW)

@@ -169,28 +169,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD, similarity: float | None = None) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest key.
+    """``docs`` with one row of each component, that of the smallest key. Rows are linked and dropped one
+    by one: those with a null or repeated key go only if their own text is linked.
 
     With ``similarity``, rows are linked if the Jaccard similarity of their shingle sets reaches it, over
     MinHash bands, for the anchors reach 2 bits only; else if their fingerprints lie within ``threshold``."""
-    if similarity is None:
-        found = near_duplicates(docs, text, key, shingle, threshold)
-        kept = without_ids(docs, found.where(~F.col(key).eqNullSafe(F.col("component_id"))), key)
-        if not docs.groupBy(key).count().where("count > 1").isEmpty():
-            kept = kept.dropDuplicates([key])
-        return kept
     rows = numbered(docs)
-    return _one_of_each(rows, minhash.groups(rows, ROW, text, shingle, similarity), key)
+    if similarity is None:
+        groups = near_duplicates(rows, text, ROW, shingle, threshold).withColumnRenamed("component_id", "root")
+    else:
+        groups = minhash.groups(rows, ROW, text, shingle, similarity)
+    return _one_of_each(rows, groups, key)
 
 
 def _one_of_each(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """Numbered rows without those that share a ``root`` with one of a smaller key (null is the greatest)
     or, of the same key, of a smaller number."""
     placed = cut(groups.select(ROW, "root"))
-    many = placed.join(placed.groupBy("root").count().where("count > 1").select("root"), "root")
-    told = cut(many.join(rows.select(ROW, F.col(key).alias("_lt_key")), ROW))
+    many = placed.join(placed.groupBy("root").count().where("count > 1").select("root").hint("merge"), "root")
+    told = cut(many.join(rows.select(ROW, F.col(key).alias("_lt_key")).hint("merge"), ROW))
     best = told.groupBy("root").agg(F.min(F.struct(F.col("_lt_key").isNull(), F.col("_lt_key"), F.col(ROW).alias("first"))).alias("b")).select("root", "b.first")
-    return without_ids(rows, told.join(best, "root").where(F.col(ROW) != F.col("first")), ROW).drop(ROW)
+    return without_ids(rows, told.join(best.hint("merge"), "root").where(F.col(ROW) != F.col("first")), ROW).drop(ROW)
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 import itertools
 
-import corpus_pipeline
 import pandas as pd
 
+import corpus_pipeline
+from learntrace.llm import decontam, simhash
+from tests.llm.data import CLEAN
+
 BIG = "/root/testdata/sf0.01"
 
 
@@ -30,3 +33,16 @@ def test_stage_links_what_all_pairs_link(spark):
             up[max(find(a), find(b))] = min(find(a), find(b))
     left = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(f"{BIG}/documents.parquet"), BIG)
     assert sorted(r["doc_id"] for r in left.collect()) == sorted({find(d) for d in sets})
+
+
+def test_rows_with_null_or_repeated_ids_are_judged_alone(spark):
+    other = " ".join(CLEAN.split()[::-1])
+    texts = [(1, CLEAN), (None, CLEAN), (None, "a text of its own that nothing else holds at all"), (None, other), (2, CLEAN), (2, "another text of its own under a repeated id"), (3, "words one two three four five"), (3, "quite different words stand in here")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    unique = {t for _, t in texts}
+    for kept in (simhash.drop_near_duplicates(docs), simhash.drop_near_duplicates(docs, shingle=5, similarity=0.8)):
+        left = [tuple(r) for r in kept.collect()]
+        assert len(left) == len(unique) and {t for _, t in left} == unique and (1, CLEAN) in left
+    bench = spark.createDataFrame([(1, CLEAN)], "item_id long, text string")
+    left = sorted((str(d), t) for d, t in decontam.decontaminated(docs, bench).collect())
+    assert left == sorted((str(d), t) for d, t in texts if t != CLEAN)
