@@ -5,7 +5,8 @@ placeholders ``0d``, ``0u`` and ``0n``. Marking works on whole texts, so that no
 word but a window's hash. Windows of five canonical tokens are hash-joined between documents
 and benchmark items. A document leaks an item if at least 0.8 of the item's windows are found in it,
 counting only windows whose slots are consistent: along one alignment of the item with the document
-(a diagonal), the same value of the item must always stand for the same value of the document. So a
+(a diagonal), each value of the item is bound to the value that stands for it most often, and windows
+that hold another are not counted, unless they equal the item's. So a
 question asked again with other numbers or names is caught, and texts that only share a shape are not.
 
 Everything is a DataFrame expression. The item windows are broadcast up to a counted bound and else
@@ -73,26 +74,53 @@ def windows(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """Windows of the items. The first word's window stands in two forms, as a literal and as a name,
-    for a document may go on with it in mid-sentence."""
+    for a document may go on with it in mid-sentence; windows with names also stand in lower case, as
+    a copy without capitals or all in capitals holds them."""
     plain = windows(benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("text")), "item_id")
     inside = benchmark.select(F.col(item).alias("item_id"), F.concat(F.lit("x "), F.col(text)).alias("text"))
     named = windows(inside, "item_id").where("pos = 1").withColumn("pos", F.lit(0))
     literals = F.when(F.col("values").isNull(), WINDOW).otherwise(F.size(F.filter("values", lambda t: ~_slot(t))))
     kept = plain.unionByName(named).where(F.col("h").isNotNull() & (literals >= LITERALS))
+    lower = windows(benchmark.select(F.col(item).alias("item_id"), F.lower(F.col(text)).alias("text")), "item_id")
+    kept = kept.unionByName(lower.join(kept.select("item_id", "pos").distinct(), ["item_id", "pos"], "left_semi"))
     return kept.groupBy("item_id", "pos", "h").agg(F.first("values").alias("values"))
 
 
+def _consistent(found: Column) -> Column:
+    """Places ``at`` of the windows of a diagonal that agree with its binding, or equal the item's.
+
+    The binding of an item's value is the value of most of its places; of equally many the item's own,
+    then that of the first place."""
+    def slots_of(w: Column) -> Column:
+        pairs = F.transform(w["asked"], lambda a, k: F.struct((w["at"] + k).alias("place"), a.alias("asked"), F.get(w["values"], k).alias("value")))
+        return F.filter(pairs, lambda p: _slot(p["asked"]))
+
+    def binding(slots: Column, asked: Column) -> Column:
+        own = F.filter(slots, lambda p: p["asked"] == asked)
+        ranked = lambda v: let(F.transform(F.filter(own, lambda p: p["value"] == v), lambda p: p["place"]), lambda at: F.struct(F.size(at), v == asked, -F.array_min(at), v.alias("value")))
+        return F.array_max(F.transform(F.array_distinct(F.transform(own, lambda p: p["value"])), ranked))["value"]
+
+    def kept(slots: Column) -> Column:
+        asked = F.array_distinct(F.transform(slots, lambda p: p["asked"]))
+        bound = F.transform(asked, lambda a: F.struct(a.alias("asked"), binding(slots, a).alias("value")))
+        agrees = lambda bs, w: F.forall(slots_of(w), lambda p: F.exists(bs, lambda b: (b["asked"] == p["asked"]) & (b["value"] == p["value"])))
+        return let(bound, lambda bs: F.filter(found, lambda w: w["asked"].isNull() | (w["asked"] == w["values"]) | agrees(bs, w)))
+
+    with_slots = F.filter(found, lambda w: w["asked"].isNotNull())
+    slots = F.array_distinct(F.flatten(F.transform(with_slots, slots_of)))
+    told = F.when(F.size(with_slots) == 0, found).otherwise(let(slots, kept))
+    return F.transform(told, lambda w: w["at"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """A row for each document and item that it leaks: key, item_id, n_windows, n_found, coverage."""
     items = cut(item_windows(benchmark))
     sizes = items.groupBy("item_id").agg(F.count_distinct("pos").alias("n_windows"))
     theirs = small_side(items.select("item_id", F.col("pos").alias("at"), "h", F.col("values").alias("asked")))
     met = windows(docs, key, text).join(theirs, "h").select(F.col(key).alias("_key"), "item_id", "at", (F.col("pos") - F.col("at")).alias("diagonal"), "asked", "values")
-    pair = F.when(F.col("asked").isNotNull(), F.arrays_zip("asked", "values"))
-    by_diagonal = met.groupBy("_key", "item_id", "diagonal").agg(F.collect_set("at").alias("found"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
-    slots = F.filter("pairs", lambda p: _slot(p["asked"]))
-    consistent = let(slots, lambda ps: F.size(F.array_distinct(F.transform(ps, lambda p: p["asked"]))) == F.size(ps))
-    total = by_diagonal.where(consistent).groupBy("_key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("found")))).cast("long").alias("n_found"))
+    window = F.struct("at", "asked", "values")
+    by_diagonal = met.groupBy("_key", "item_id", "diagonal").agg(F.collect_set(window).alias("found"))
+    total = by_diagonal.groupBy("_key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set(_consistent(F.col("found")))))).cast("long").alias("n_found"))
     told = total.join(small_side(cut(sizes)), "item_id").withColumn("coverage", F.round(F.col("n_found") / F.col("n_windows"), 6))
     return told.where(F.col("coverage") >= coverage).select(F.col("_key").alias(key), "item_id", "n_windows", "n_found", "coverage")
 
