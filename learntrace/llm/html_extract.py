@@ -4,9 +4,10 @@ The standard-library parser is fed in pieces and its events become lines: one fo
 page, with its text length, its tags and where it stands. Lines in menus, headers, footers, sidebars,
 notices, adverts, forms and comments are furniture. Each line's text-to-tag ratio is smoothed with a
 Gaussian over its neighbours; two-means clustering of the smoothed ratios gives the threshold above
-which a line counts as content. A region (an outermost article or main element, else a run of the body
-that furniture does not interrupt) is selected by the content it holds; every line of a selected
-region that is not furniture is kept, however short.
+which a line counts as content. Every outermost article or main element that is not furniture is kept.
+Without one, regions are the runs of the body that furniture does not interrupt: the runs with content
+are selected, and with them those that continue them, for they stand in the same element, one around or
+inside it, or a neighbour of it. Every line of a selected region that is not furniture is kept, however short.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as the parser
 gets, and what it cannot read counts as text; each row is judged alone; an empty table gives an
@@ -27,9 +28,6 @@ from pyspark.sql import types as T
 
 CHUNK = 1 << 16
 SIGMA = 1.0
-#: A region is selected if it holds this share of the best region's content.
-SHARE = 0.25
-
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title iframe object svg math canvas audio video map select textarea button datalist".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog".split())
@@ -41,6 +39,8 @@ NAMED = re.compile(
     r"nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|sidebar|side-bar|aside|widget|footer|header|masthead|topbar|toolbar|comment|comments|respond|replies|reply|disqus|"
     r"share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|pagination|pager|skip|tags|copyright|disclaimer|legal)(?:$|[\s_-])"
 )
+#: Furniture that holds articles of its own, such as comments and teasers.
+APART = re.compile(r"(?i)(?:^|[\s_-])(?:comment|comments|respond|replies|reply|disqus|related|recommended|sidebar|side-bar|widget)(?:$|[\s_-])")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
@@ -48,6 +48,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 class Line:
     region: int
     furniture: bool
+    path: tuple[int, ...] = ()  # the elements around its block
     parts: list[str] = field(default_factory=list)
     tags: int = 0
     text: str = ""
@@ -59,6 +60,9 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, bool]] = []  # tag, furniture, silent
+        self.opened = 0
+        self.apart: list[int] = []  # depths at which such furniture opened
+        self.blocks: list[tuple[int, int]] = []  # depth in the stack and number of the open blocks
         self.furniture = self.silent = 0
         self.region = self.regions = self.run = 0
         self.inside: list[int] = []  # depths at which article or main elements opened
@@ -76,11 +80,15 @@ class Lines(HTMLParser):
     def _at(self) -> Line:
         if self.line is None:
             where = self.region if self.inside else -1 - self.run
-            self.line = Line(where, self.furniture > 0)
+            self.line = Line(where, self.furniture > 0, tuple(n for _, n in self.blocks[:-1]))
         return self.line
 
     def _pop(self) -> None:
         tag, furniture, silent = self.stack.pop()
+        if self.apart and self.apart[-1] > len(self.stack):
+            self.apart.pop()
+        if self.blocks and self.blocks[-1][0] > len(self.stack):
+            self.blocks.pop()
         self.furniture -= furniture
         self.silent -= silent
         if self.inside and len(self.stack) < self.inside[-1]:
@@ -90,7 +98,7 @@ class Lines(HTMLParser):
 
     def _lift(self) -> None:
         """An article in an open menu, header or form: they were left unclosed or wrap the page."""
-        if any(f and t == "aside" for t, f, _ in self.stack):
+        if any(f and t == "aside" for t, f, _ in self.stack) or self.apart and self.regions:
             return
         self.stack = [(t, False, s) for t, f, s in self.stack]
         self.furniture = 0
@@ -119,6 +127,11 @@ class Lines(HTMLParser):
         if furniture and tag == "header" and self.inside:
             furniture = False  # an article's own heading
         self.stack.append((tag, bool(furniture), tag in SILENT))
+        if tag in BLOCKS or tag == "body":
+            self.opened += 1
+            self.blocks.append((len(self.stack), self.opened))
+        if furniture and any(APART.search(named.get(k, "")) for k in ("class", "id")):
+            self.apart.append(len(self.stack))
         self.furniture += bool(furniture)
         self.silent += tag in SILENT
         if tag in REGIONS and not self.furniture and not self.inside:
@@ -194,6 +207,23 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def _runs(lines: list[Line], content: list[bool]) -> set[int]:
+    """The runs of the body with content, and those that continue one of them."""
+    around: dict[int, tuple[int, ...]] = {}
+    rich: set[int] = set()
+    for x, c in zip(lines, content, strict=True):
+        if x.furniture or not x.text or x.region > 0:
+            continue
+        path = around.get(x.region, x.path)
+        same = next((i for i, (p, q) in enumerate(zip(path, x.path, strict=False)) if p != q), min(len(path), len(x.path)))
+        around[x.region] = path[:same]
+        if c:
+            rich.add(x.region)
+    paths = {around[r] for r in rich or around}
+    near = {p[:i] for p in paths for i in range(len(p) + 1)} | {p[:-1] for p in paths}
+    return {r for r, p in around.items() if r in rich or p in near or p[:-1] in {q[:-1] for q in paths} or any(p[: len(q)] == q for q in paths)}
+
+
 def main_text(html: str | None) -> str:
     lines = [x for x in lines_of(html or "")]
     if not any(x.text for x in lines):
@@ -202,12 +232,10 @@ def main_text(html: str | None) -> str:
     smooth = smoothed(ratio)
     limit = threshold(smooth)
     named = any(x.region > 0 and x.text and not x.furniture for x in lines)
-    mass: dict[int, int] = {}
-    for x, s in zip(lines, smooth, strict=True):
-        if not x.furniture and (x.region > 0) == named:
-            mass[x.region] = mass.get(x.region, 0) + (len(x.text) if s >= limit else 0) + (1 if x.text else 0)
-    best = max(mass.values(), default=0)
-    chosen = {r for r, m in mass.items() if m >= SHARE * best}
+    if named:
+        chosen = {x.region for x in lines if x.region > 0}
+    else:
+        chosen = _runs(lines, [s >= limit for s in smooth])
     return "\n".join(x.text for x in lines if x.region in chosen and x.text and not x.furniture)
 
 
