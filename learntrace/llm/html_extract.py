@@ -1,23 +1,28 @@
 """Main text of web pages from streaming parser events and smoothed text-to-tag ratios.
 
-The standard-library parser is fed in pieces and its events become lines: one for each block of the
-page, with its text length, its tags and where it stands. Lines in menus, headers, footers, sidebars,
-notices, adverts, forms and comments are furniture. Each line's text-to-tag ratio is smoothed with a
-Gaussian over its neighbours; two-means clustering of the smoothed ratios gives the threshold above
-which a line counts as content. Every outermost article or main element that is not furniture is kept.
-Without one, regions are the runs of the body that furniture does not interrupt: the runs with content
-are selected, and with them those that continue them, for they stand in the same element, one around or
-inside it, or a neighbour of it. Every line of a selected region that is not furniture is kept, however short.
+The standard-library parser is fed in pieces and its events become lines, one for each block of the page.
+A line's ratio is the logarithm of its characters of text for each tag; outside articles text in links does
+not count. What the page says about a line is part of its ratio: lines of an article or main element gain
+``ARTICLE``, lines in a block of a doubtful name (search, legal, banner) lose ``DOUBT``, and menus, headers,
+footers, sidebars, notices, adverts, forms and reader comments have ratio 0 and are never content. The ratios
+are smoothed with a Gaussian over the page; two-means clustering of the smoothed ratios gives the threshold from
+which on a line is a seed of content.
+
+A region is what stands in the block around a seed's block. A line that is no seed stays if it stands in such a
+region: in an article always, and outside of one if no article has a seed and it is neither a list of links nor
+of a doubtful name. So short lines of a chosen region stay, and a long text beside a short article does, too.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as the parser
-gets, and what it cannot read counts as text; each row is judged alone; an empty table gives an
-empty table.
+gets, and what it cannot read counts as text; regions that tie are all chosen; each row is judged alone; an
+empty table gives an empty table; other columns stay as they are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -28,91 +33,124 @@ from pyspark.sql import types as T
 
 CHUNK = 1 << 16
 SIGMA = 1.0
+ARTICLE, DOUBT = 2.0, 1.5
+LINKS = 0.5  # share of a line's text in links from which on it is a list of links
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title iframe object svg math canvas audio video map select textarea button datalist".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset(("article", "main"))
-NAMED = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|sidebar|side-bar|aside|widget|footer|header|masthead|topbar|toolbar|comment|comments|respond|replies|reply|disqus|"
-    r"share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|pagination|pager|skip|tags|copyright|disclaimer|legal)(?:$|[\s_-])"
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+
+
+def _named(words: str) -> re.Pattern[str]:
+    return re.compile(rf"(?i)(?:^|[\s_-])(?:{'|'.join(words.split())})(?:$|[\s_-])")
+
+
+#: Names of furniture in class and id.
+NAMED = _named(
+    "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr notice notices popup modal overlay nav navbar navigation menu menubar breadcrumb breadcrumbs "
+    "sidebar side-bar aside widget footer masthead topbar comment comments respond replies disqus share sharing social related recommended newsletter subscribe subscription signup login pagination pager"
 )
+#: Names that furniture and content both bear: they weigh, and do not decide.
+DOUBTFUL = _named("legal disclaimer copyright search alert banner header toolbar tags reply promo promotion skip")
 #: Furniture that holds articles of its own, such as comments and teasers.
-APART = re.compile(r"(?i)(?:^|[\s_-])(?:comment|comments|respond|replies|reply|disqus|related|recommended|sidebar|side-bar|widget)(?:$|[\s_-])")
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+APART = _named("comment comments respond reply replies disqus related recommended sidebar side-bar widget")
+#: Names of a layout around the content, such as with-sidebar.
+LAYOUT = re.compile(r"(?i)(?:^|\s)(?:with|has|no|without)-\S+")
 
 
 @dataclass
 class Line:
-    region: int
+    block: int  # number of the block that holds its text
     furniture: bool
-    path: tuple[int, ...] = ()  # the elements around its block
+    doubtful: bool
+    article: int  # number of the article or main element around it, 0 if none
     parts: list[str] = field(default_factory=list)
     tags: int = 0
+    linked: int = 0  # characters in links
     text: str = ""
 
+    def ratio(self) -> float:
+        if self.furniture or not self.text:
+            return 0.0
+        text = len(self.text) if self.article else max(0, len(self.text) - self.linked)
+        return max(0.0, math.log1p(text / max(1, self.tags)) + (ARTICLE if self.article else 0.0) - (DOUBT if self.doubtful else 0.0))
+
+    def links(self) -> bool:
+        return self.linked > LINKS * len(self.text)
+
+
+@dataclass
+class _Open:
+    """An open element; every event costs the same however many are open."""
+
+    tag: str
+    furniture: bool
+    doubtful: bool
+    apart: bool
+    region: bool = False
+
 
 class Lines(HTMLParser):
-    """Turns parser events into lines."""
+    """Turns parser events into lines, and keeps the tree of blocks."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, furniture, silent
-        self.opened = 0
-        self.apart: list[int] = []  # depths at which such furniture opened
-        self.blocks: list[tuple[int, int]] = []  # depth in the stack and number of the open blocks
-        self.furniture = self.silent = 0
-        self.region = self.regions = self.run = 0
-        self.inside: list[int] = []  # depths at which article or main elements opened
+        self.stack: list[_Open] = []
+        self.open: Counter[str] = Counter()  # open elements of each tag
+        self.furnished: list[int] = []  # places in the stack of open furniture
+        self.doubts = self.aparts = self.asides = self.silent = self.links = 0
+        self.blocks: list[tuple[int, int]] = []  # place in the stack and number of the open blocks
+        self.parent, self.last = [0], [0]  # of each block: the block around it, the last block inside it
+        self.inside: list[int] = []  # numbers of the open article or main elements
+        self.articles = 0
         self.lines: list[Line] = []
         self.line: Line | None = None
 
     def _end(self) -> None:
-        if self.line is not None:
-            self.line.text = " ".join("".join(self.line.parts).split())
-            self.line.parts = []
-            if self.line.text or self.line.tags:
-                self.lines.append(self.line)
-        self.line = None
+        line, self.line = self.line, None
+        if line is not None:
+            line.text = " ".join("".join(line.parts).split())
+            line.parts = []
+            if line.text or line.tags:
+                self.lines.append(line)
 
     def _at(self) -> Line:
         if self.line is None:
-            where = self.region if self.inside else -1 - self.run
-            self.line = Line(where, self.furniture > 0, tuple(n for _, n in self.blocks[:-1]))
+            block = self.blocks[-1][1] if self.blocks else 0
+            self.line = Line(block, bool(self.furnished), self.doubts > 0, self.inside[-1] if self.inside else 0)
         return self.line
 
     def _pop(self) -> None:
-        tag, furniture, silent = self.stack.pop()
-        if self.apart and self.apart[-1] > len(self.stack):
-            self.apart.pop()
-        if self.blocks and self.blocks[-1][0] > len(self.stack):
-            self.blocks.pop()
-        self.furniture -= furniture
-        self.silent -= silent
-        if self.inside and len(self.stack) < self.inside[-1]:
+        old = self.stack.pop()
+        self.open[old.tag] -= 1
+        if self.furnished and self.furnished[-1] == len(self.stack):
+            self.furnished.pop()
+            self.asides -= old.tag == "aside"
+        if self.blocks and self.blocks[-1][0] == len(self.stack):
+            self.last[self.blocks.pop()[1]] = len(self.parent) - 1
+        self.doubts -= old.doubtful
+        self.aparts -= old.apart
+        self.silent -= old.tag in SILENT
+        self.links -= old.tag == "a"
+        if old.region:
             self.inside.pop()
-        if furniture and not self.furniture:
-            self.run += 1
 
     def _lift(self) -> None:
         """An article in an open menu, header or form: they were left unclosed or wrap the page."""
-        if any(f and t == "aside" for t, f, _ in self.stack) or self.apart and self.regions:
-            return
-        self.stack = [(t, False, s) for t, f, s in self.stack]
-        self.furniture = 0
+        if not self.asides and not (self.aparts and self.articles):
+            for i in self.furnished:
+                self.stack[i].furniture = False
+            self.furnished = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._end()
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] in CLOSED_BY_BLOCK:
-                    while len(self.stack) > i:
-                        self._pop()
-                    break
-                if self.stack[i][0] in BLOCKS:
-                    break
+            if self.blocks and self.stack[self.blocks[-1][0]].tag in CLOSED_BY_BLOCK:
+                for _ in range(len(self.stack) - self.blocks[-1][0]):
+                    self._pop()
         if not self.silent:
             self._at().tags += 1
         if tag == "br":
@@ -120,24 +158,30 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         named = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
-        furniture = tag in FURNITURE or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
-        furniture = furniture or tag not in ("html", "body") and any(NAMED.search(named.get(k, "")) for k in ("class", "id"))
-        if tag in REGIONS and not furniture and self.furniture and not self.silent:
+        names = [LAYOUT.sub("", named.get(k, "")) for k in ("class", "id")] if tag not in ("html", "body") else []
+        furniture = tag in FURNITURE and not (tag == "header" and self.inside)  # an article's own heading
+        furniture = furniture or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
+        furniture = furniture or any(NAMED.search(n) for n in names)
+        if tag in REGIONS and not furniture and self.furnished and not self.silent:
             self._lift()
-        if furniture and tag == "header" and self.inside:
-            furniture = False  # an article's own heading
-        self.stack.append((tag, bool(furniture), tag in SILENT))
-        if tag in BLOCKS or tag == "body":
-            self.opened += 1
-            self.blocks.append((len(self.stack), self.opened))
-        if furniture and any(APART.search(named.get(k, "")) for k in ("class", "id")):
-            self.apart.append(len(self.stack))
-        self.furniture += bool(furniture)
+        new = _Open(tag, furniture, any(DOUBTFUL.search(n) for n in names), furniture and any(APART.search(n) for n in names))
+        self.stack.append(new)
+        self.open[tag] += 1
+        if tag in BLOCKS:
+            self.parent.append(self.blocks[-1][1] if self.blocks else 0)
+            self.last.append(0)
+            self.blocks.append((len(self.stack) - 1, len(self.parent) - 1))
+        if furniture:
+            self.furnished.append(len(self.stack) - 1)
+            self.asides += tag == "aside"
+        self.doubts += new.doubtful
+        self.aparts += new.apart
         self.silent += tag in SILENT
-        if tag in REGIONS and not self.furniture and not self.inside:
-            self.regions += 1
-            self.region = self.regions
-            self.inside.append(len(self.stack))
+        self.links += tag == "a"
+        if tag in REGIONS and not self.furnished and not self.inside:
+            self.articles += 1
+            new.region = True
+            self.inside.append(self.articles)
         if tag in BLOCKS and self.line is not None and not self.line.parts:
             tags, self.line = self.line.tags, None  # the line stands where the new block stands
             self._at().tags = tags
@@ -150,33 +194,38 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._end()
-        if tag not in {t for t, _, _ in self.stack}:
-            return
-        while self.stack:
-            last = self.stack[-1][0]
+        if self.open[tag]:
+            while self.stack[-1].tag != tag:
+                self._pop()
             self._pop()
-            if last == tag:
-                break
 
     def handle_data(self, data: str) -> None:
         if not self.silent and data:
-            self._at().parts.append(data)
+            line = self._at()
+            line.parts.append(data)
+            if self.links:
+                line.linked += len(data.strip())
+
+    def finish(self) -> Lines:
+        self._end()
+        while self.stack:
+            self._pop()
+        self.last[0] = len(self.parent) - 1
+        return self
 
 
-def lines_of(html: str) -> list[Line]:
+def lines_of(html: str) -> Lines:
     while True:
         parser = Lines()
         try:
             for at in range(0, len(html), CHUNK):
                 parser.feed(html[at : at + CHUNK])
             parser.close()
-            parser._end()
-            return parser.lines
+            return parser.finish()
         except AssertionError:  # a marked section that the parser does not know: read it as text
             plain = html.replace("<![", "&lt;![")
             if plain == html:
-                parser._end()
-                return parser.lines
+                return parser.finish()
             html = plain
 
 
@@ -207,36 +256,30 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def _runs(lines: list[Line], content: list[bool]) -> set[int]:
-    """The runs of the body with content, and those that continue one of them."""
-    around: dict[int, tuple[int, ...]] = {}
-    rich: set[int] = set()
-    for x, c in zip(lines, content, strict=True):
-        if x.furniture or not x.text or x.region > 0:
-            continue
-        path = around.get(x.region, x.path)
-        same = next((i for i, (p, q) in enumerate(zip(path, x.path, strict=False)) if p != q), min(len(path), len(x.path)))
-        around[x.region] = path[:same]
-        if c:
-            rich.add(x.region)
-    paths = {around[r] for r in rich or around}
-    near = {p[:i] for p in paths for i in range(len(p) + 1)} | {p[:-1] for p in paths}
-    return {r for r, p in around.items() if r in rich or p in near or p[:-1] in {q[:-1] for q in paths} or any(p[: len(q)] == q for q in paths)}
+def chosen(page: Lines, limit: float | None = None, sigma: float = SIGMA) -> list[Line]:
+    """The lines of content, in page order; ``limit`` replaces the threshold that clustering gives."""
+    lines = page.lines
+    if not any(x.text for x in lines):
+        return []
+    smooth = smoothed([x.ratio() for x in lines], sigma)
+    limit = threshold(smooth) if limit is None else limit
+    seed = [bool(x.text) and not x.furniture and s >= limit for x, s in zip(lines, smooth, strict=True)]
+    blocks = sorted({x.block for x, s in zip(lines, seed, strict=True) if s})
+    named = any(s and x.article for x, s in zip(lines, seed, strict=True))
+
+    def continues(x: Line) -> bool:
+        region = page.parent[page.parent[x.block]] if x.block else 0
+        at = bisect_left(blocks, region)  # blocks are numbered as they open, so what a block holds is a range
+        return at < len(blocks) and blocks[at] <= page.last[region]
+
+    def stays(x: Line) -> bool:
+        return continues(x) and (x.article > 0 or not (named or x.links() or x.doubtful))
+
+    return [x for x, s in zip(lines, seed, strict=True) if x.text and not x.furniture and (s or stays(x))]
 
 
 def main_text(html: str | None) -> str:
-    lines = [x for x in lines_of(html or "")]
-    if not any(x.text for x in lines):
-        return ""
-    ratio = [0.0 if x.furniture else len(x.text) / max(1, x.tags) for x in lines]
-    smooth = smoothed(ratio)
-    limit = threshold(smooth)
-    named = any(x.region > 0 and x.text and not x.furniture for x in lines)
-    if named:
-        chosen = {x.region for x in lines if x.region > 0}
-    else:
-        chosen = _runs(lines, [s >= limit for s in smooth])
-    return "\n".join(x.text for x in lines if x.region in chosen and x.text and not x.furniture)
+    return "\n".join(x.text for x in chosen(lines_of(html or "")))
 
 
 def _main_texts(pages: pd.Series) -> pd.Series:

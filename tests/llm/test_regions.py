@@ -1,4 +1,4 @@
-"""Short regions of pages without and with articles."""
+"""Regions of pages without and with articles, and what the threshold does."""
 
 import pytest
 
@@ -18,3 +18,37 @@ LONG = "A long paragraph of the page goes on and on. " * 25
 )
 def test_short_regions_stay(page, want):
     assert html_extract.main_text(page).split("\n") == want
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p>First paragraph of some length here, really.</p><p>Second paragraph of some length here too.</p><div><a>link</a> <a>link2</a> <a>l3</a></div>", ["First paragraph of some length here, really.", "Second paragraph of some length here too."]),
+        ("<article><p>Short teaser.</p></article><div>" + "".join(f"<p>Sentence {i} of the long text goes on.</p>" for i in range(30)) + "</div>", ["Short teaser.", *(f"Sentence {i} of the long text goes on." for i in range(30))]),
+        ('<div class="legal"><p>A law text that goes on.</p></div>', ["A law text that goes on."]),
+        (f"<main><p>{LONG}</p></main><main><p>Short.</p></main>", [LONG.strip(), "Short."]),
+        (f'<article><p>{LONG}</p><div class="search">How to search a list.</div><p>End.</p></article><div class=ad>{LONG}</div><div id="comments"><p>{LONG}</p></div>', [LONG.strip(), "How to search a list.", "End."]),
+        (f'<div class="content with-sidebar"><p>{LONG}</p></div><div class="sidebar">s</div>', [LONG.strip()]),
+        (f"<article><p>{LONG}</p></article><div><ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li><li><a>Four</a></li></ul></div>", [LONG.strip()]),
+    ],
+)
+def test_regions(page, want):
+    assert html_extract.main_text(page).split("\n") == want
+
+
+def test_ratio_and_threshold_choose():
+    page = html_extract.lines_of(f"<article><p>{LONG}</p></article><div><p>{LONG}</p></div><div><ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li><li><a>Four</a></li></ul></div>")
+    texts = lambda *a: [x.text for x in html_extract.chosen(page, *a)]
+    assert texts() == [LONG.strip()] * 2
+    assert texts(1e18) == [] and texts(-1.0) == [LONG.strip()] * 2 + ["One", "Two", "Three", "Four"]
+    beside = html_extract.lines_of(f"<article><p>{LONG}</p></article><p>By us</p><nav><a>m</a></nav><nav><a>m</a></nav><nav><a>m</a></nav>")
+    assert len(html_extract.chosen(beside, 2.5)) == 2 and len(html_extract.chosen(beside, 2.5, 1e-6)) == 1  # the smoothing lifts a short line beside a long one
+
+
+def test_ties_of_regions_are_all_chosen():
+    assert html_extract.main_text("<div><div><p>Same words.</p></div></div><nav>menu</nav><div><div><p>Same words.</p></div></div>") == "Same words.\nSame words."
+
+
+def test_unclosed_tags_cost_the_same_each():
+    assert html_extract.main_text("<div><b>" * 20_000 + "x" + "</i></div>" * 20_000) == "x"
+    assert html_extract.main_text("<nav><article>" * 20_000 + "x") == "x"
