@@ -4,8 +4,9 @@ Words are runs of digits, a to z (A to Z lower-cased) and characters outside ASC
 matched on whole words.
 
 Defined results: a null text counts as empty: no words, no places, empty labels, score 0; texts are
-scanned whole; each row is judged alone; an empty table gives an empty table. An expression that
-does not parse counts as its identifiers joined by AND, and is marked ``malformed``.
+scanned whole; each row is judged alone; an empty table gives an empty table; other columns stay. An
+expression ends where its grammar does; one that is not whole counts as its identifiers joined by AND, and is
+marked ``malformed``; a tag without any identifier says nothing.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ PHRASES = {
     "public domain": ("public-domain", 0.5), "the unlicense": ("unlicense", 0.7), "copyright": ("copyright", 0.3),
 }
 BASE_WEIGHTS = {"cc-by": 0.7, "gpl": 0.8, "reserved": 0.5}
-TAG = "spdx license identifier"
+#: Tags before an expression, as they stand in a text.
+TAGS = ("spdx-license-identifier:", "license-expression:")
 #: From the most to the least open; OR takes the most open side, AND the least open.
 CLASSES = ("permissive", "weak copyleft", "strong copyleft", "restricted", "unknown")
 _CLASS_OF = (
@@ -38,42 +40,64 @@ _CLASS_OF = (
     (re.compile(r"(?i)^(agpl|gpl|cc-by-sa)"), 2), (re.compile(r"(?i)^(cc-by-n[cd]|licenseref-proprietary|busl)"), 3),
 )
 _PRECEDENCE = {"OR": 1, "AND": 2, "WITH": 3}
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+#: A parenthesis, or an identifier: letters, digits, dots and hyphens between letters or digits, with an
+#: optional plus; a reference may name a document before a colon.
+_TOKEN = re.compile(r"[ \t]*([()]|(?:DocumentRef-[A-Za-z0-9.-]*[A-Za-z0-9]:)?[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\+?)")
+
+
+def read_expression(text: str, at: int = 0) -> tuple[list[str], bool]:
+    """The tokens of the longest expression that starts at a place of a text, and whether there is one.
+
+    Reading ends where the grammar does, at the latest at the end of the line. Operators are read in any
+    case, but in lower case only before a parenthesis or an identifier of a known family, for a sentence
+    may go on there. If no expression is whole, the tokens are the ones that could be read."""
+    tokens: list[str] = []
+    whole = depth = 0
+    state = "start"  # start: an operand must follow; simple: after an identifier; whole: after ) or an exception; with: an exception must follow
+    while m := _TOKEN.match(text, at):
+        t = m[1]
+        if state in ("start", "with"):
+            if t == "(" and state == "start":
+                depth += 1
+            elif t in "()" or t.upper() in _PRECEDENCE:
+                break
+            else:
+                state = "simple" if state == "start" else "whole"
+        elif t == ")" and depth:
+            depth -= 1
+            state = "whole"
+        elif t.upper() in _PRECEDENCE and (state == "simple" or t.upper() != "WITH"):
+            following = _TOKEN.match(text, m.end())
+            if not following or t.islower() and t != "with" and following[1] != "(" and not known(following[1]):
+                break
+            state = "with" if t.upper() == "WITH" else "start"
+        else:
+            break
+        tokens.append(t)
+        at = m.end()
+        if not depth and state in ("simple", "whole"):
+            whole = len(tokens)
+    return (tokens[:whole], True) if whole else (tokens, False)
 
 
-def postfix(tokens: list[str]) -> list[str] | None:
-    """Shunting-yard: the tokens in postfix order, or None if they are no expression."""
+def postfix(tokens: list[str]) -> list[str]:
+    """Shunting-yard: the tokens of an expression in postfix order."""
     out: list[str] = []
     stack: list[str] = []
-    operand = False  # whether the last token ended an operand
     for t in tokens:
         up = t.upper()
         if up in _PRECEDENCE:
-            if not operand:
-                return None
             while stack and stack[-1] != "(" and _PRECEDENCE[stack[-1]] >= _PRECEDENCE[up]:
                 out.append(stack.pop())
             stack.append(up)
-            operand = False
         elif t == "(":
-            if operand:
-                return None
             stack.append(t)
         elif t == ")":
-            if not operand:
-                return None
-            while stack and stack[-1] != "(":
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                return None
             stack.pop()
         else:
-            if operand:
-                return None
             out.append(t)
-            operand = True
-    if not operand or "(" in stack:
-        return None
     return out + stack[::-1]
 
 
@@ -81,39 +105,57 @@ def license_class(identifier: str) -> int:
     return next((k for pattern, k in _CLASS_OF if pattern.search(identifier)), len(CLASSES) - 1)
 
 
-def evaluate(expression: str) -> tuple[list[str], int, bool]:
-    """Identifiers, class and whether the expression parses."""
-    tokens = _TOKEN.findall(expression)
+def known(identifier: str) -> bool:
+    return license_class(identifier) < len(CLASSES) - 1 or identifier.startswith(("LicenseRef-", "DocumentRef-"))
+
+
+def evaluate(text: str, at: int = 0) -> tuple[str, list[str], int, bool]:
+    """The expression at a place of a text, its identifiers, its class and whether it is whole."""
+    tokens, ok = read_expression(text, at)
     ids = [t for t in tokens if t not in "()" and t.upper() not in _PRECEDENCE]
-    order = postfix(tokens)
-    if order is None:
-        return sorted({x.lower() for x in ids}), max((license_class(x) for x in ids), default=len(CLASSES) - 1), False
-    stack: list[tuple[int, bool]] = []
-    exceptions = set()
-    for t in order:
+    shown = " ".join(tokens).replace("( ", "(").replace(" )", ")")
+    if not ok:
+        return shown, sorted({x.lower() for x in ids}), max((license_class(x) for x in ids), default=len(CLASSES) - 1), False
+    stack: list[int | str] = []
+    kept: set[str] = set()
+    for t in postfix(tokens):
         if t not in _PRECEDENCE:
-            stack.append((license_class(t), t))
+            stack.append(t)
             continue
-        (b, right), (a, left) = stack.pop(), stack.pop()
+        right, left = stack.pop(), stack.pop()
         if t == "WITH":  # an exception only adds permissions
-            exceptions.add(right)
-            stack.append((max(0, a - 1) if a in (1, 2) else a, left))
+            kept.add(str(left).lower())
+            a = license_class(str(left))
+            stack.append(max(0, a - 1) if a in (1, 2) else a)
         else:
-            stack.append((min(a, b) if t == "OR" else max(a, b), left))
-    return sorted({x.lower() for x in ids if x not in exceptions}), stack[0][0], True
+            kept |= {x.lower() for x in (left, right) if isinstance(x, str)}
+            a, b = (license_class(x) if isinstance(x, str) else x for x in (left, right))
+            stack.append(min(a, b) if t == "OR" else max(a, b))
+    last = stack[0]
+    return (shown, [last.lower()], license_class(last), True) if isinstance(last, str) else (shown, sorted(kept), last, True)
 
 
 @cache
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for phrase in {*BASE_PHRASES, *PHRASES, TAG}:
+    for phrase in {*BASE_PHRASES, *PHRASES}:
         found.add_word(f" {phrase} ", phrase)
     found.make_automaton()
     return found
 
 
+@cache
+def _tags() -> ahocorasick.Automaton:
+    """Tags are found in the text itself, A to Z lower-cased, for words leave out what follows them."""
+    found = ahocorasick.Automaton()
+    for tag in TAGS:
+        found.add_word(tag, tag)
+    found.make_automaton()
+    return found
+
+
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_TAG_RAW = re.compile(r"(?i)spdx-license-identifier:[ \t]*([^\r\n]*)")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def scan(text: str | None) -> dict:
@@ -135,21 +177,18 @@ def scan(text: str | None) -> dict:
             places.append((word, label))
             base.add(label)
             score = max(score, BASE_WEIGHTS[label])
-        elif phrase == TAG:
-            continue
         if phrase in PHRASES:
             label, weight = PHRASES[phrase]
             labels.add(label)
             score = max(score, weight)
-    if " " + TAG + " " in joined:
-        for m in _TAG_RAW.finditer(raw):
-            ids, k, ok = evaluate(m[1])
-            if ids:
-                labels.update(ids)
-                expressions.append(m[1].strip())
-                malformed += not ok
-                score = max(score, 1.0 if ok else 0.9)
-                kind = k if kind is None else max(kind, k)
+    for end, _ in _tags().iter(raw.translate(_LOWER)):
+        expression, ids, k, ok = evaluate(raw, end + 1)
+        if ids:
+            labels.update(ids)
+            expressions.append(expression)
+            malformed += not ok
+            score = max(score, 1.0 if ok else 0.9)
+            kind = k if kind is None else max(kind, k)
     if kind is None and (labels | base):
         kind = max((license_class(x) for x in (labels | base) - {"reserved", "copyright"}), default=3)
     starts = [p[0] for p in places]

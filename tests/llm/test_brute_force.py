@@ -248,16 +248,76 @@ def test_licenses(spark, texts):
 
 @pytest.mark.parametrize(
     "text,order",
-    [("MIT", ["MIT"]), ("a OR b AND c", ["a", "b", "c", "AND", "OR"]), ("(a OR b) AND c WITH e", ["a", "b", "OR", "c", "e", "WITH", "AND"]), ("a OR", None), ("(a", None), ("a b", None), (")", None), ("", None)],
+    [("MIT", ["MIT"]), ("a OR b AND c", ["a", "b", "c", "AND", "OR"]), ("(a OR b) AND c WITH e", ["a", "b", "OR", "c", "e", "WITH", "AND"]), ("a OR", ["a"]), ("(a", None), ("a b", ["a"]), (")", None), ("", None), ("a WITH (b OR c)", ["a"]), ("(a OR b) WITH c", ["a", "b", "OR"])],
 )
 def test_shunting_yard(text, order):
-    assert license_scan.postfix(license_scan._TOKEN.findall(text)) == order
+    tokens, ok = license_scan.read_expression(text)
+    assert (license_scan.postfix(tokens) if ok else None) == order
 
 
 def test_expressions():
-    assert license_scan.evaluate("MIT OR GPL-3.0-only")[1] == 0 and license_scan.evaluate("MIT AND GPL-3.0-only")[1] == 2
-    assert license_scan.evaluate("GPL-2.0-only WITH Classpath-exception-2.0") == (["gpl-2.0-only"], 1, True)
-    assert license_scan.scan("SPDX-License-Identifier: (MIT OR Apache-2.0)\n")["labels"] == "apache-2.0,mit"
+    assert license_scan.evaluate("MIT OR GPL-3.0-only")[2] == 0 and license_scan.evaluate("MIT AND GPL-3.0-only")[2] == 2
+    assert license_scan.evaluate("GPL-2.0-only WITH Classpath-exception-2.0")[1:] == (["gpl-2.0-only"], 1, True)
+
+
+@pytest.mark.parametrize(
+    "text,labels,kind,malformed",
+    [
+        ("SPDX-License-Identifier: (MIT OR Apache-2.0)\n", "apache-2.0,mit", "permissive", 0), ("<!-- SPDX-License-Identifier: MIT -->", "mit", "permissive", 0), ("SPDX-License-Identifier: MIT and nothing more.", "mit", "permissive", 0),
+        ("spdx-license-identifier: MIT.", "mit", "permissive", 0), ("SPDX-License-Identifier: GPL-2.0-only WITH (MIT OR X)", "gpl-2.0-only", "strong copyleft", 0), ("x /* SPDX-License-Identifier:MIT and (isc or LGPL-2.1+) */", "isc,lgpl-2.1+,mit", "permissive", 0),
+        ("SPDX-License-Identifier: (MIT OR", "mit", "permissive", 1), ("SPDX-License-Identifier:\nMIT", "", None, 0), ("SPDX-License-Identifier: DocumentRef-a:LicenseRef-b AND MIT\nLicense-Expression: EPL-2.0", "documentref-a:licenseref-b,epl-2.0,mit", "unknown", 0),
+    ],
+)
+def test_tags(text, labels, kind, malformed):
+    got = license_scan.scan(text)
+    assert (got["labels"], got["class"], got["malformed"]) == (labels, kind, malformed)
+
+
+def descend(words, floor=0):
+    """Precedence climbing over the words of a whole expression: its class and identifiers."""
+    if words[0] == "(":
+        words.pop(0)
+        kind, ids = descend(words)
+        words.pop(0)
+    else:
+        ids = {words.pop(0)}
+        kind = license_scan.license_class(*ids)
+        if words and words[0] == "WITH":
+            del words[:2]
+            kind = max(0, kind - 1) if kind in (1, 2) else kind
+    for level, name, of in ((2, "AND", max), (1, "OR", min)):
+        while level > floor and words and words[0] == name:
+            words.pop(0)
+            k, more = descend(words, level)
+            kind, ids = of(kind, k), ids | more
+    return kind, ids
+
+
+def test_tagged_documents(spark, texts):
+    """Texts of the table with expressions drawn from a grammar."""
+    rng = np.random.default_rng(8)
+    names = ["MIT", "Apache-2.0", "GPL-2.0-only", "LGPL-2.1+", "MPL-2.0", "CC-BY-NC-4.0", "Odd-1.0"]
+
+    def drawn(depth):
+        pick = rng.integers(0, 5) if depth else 0
+        if pick < 2:
+            return [str(rng.choice(names)), *(["WITH", "An-exception-1.0"] if rng.random() < 0.2 else [])]
+        if pick == 2:
+            return ["(", *drawn(depth - 1), ")"]
+        return [*drawn(depth - 1), str(rng.choice(["AND", "OR"])), *drawn(depth - 1)]
+
+    rows, want = [], {}
+    for i, t in enumerate(t for t in texts.values() if "icense" not in (t or "") and "opyright" not in (t or "")):
+        words = drawn(3)
+        cut = int(rng.integers(0, len(t) + 1))
+        rows.append((i, f"{t[:cut]}\n# SPDX-License-Identifier: {' '.join(words)}\n{t[cut:]}"))
+        kind, ids = descend(list(words))
+        want[i] = (license_scan.CLASSES[kind], {x.lower() for x in ids})
+    got = license_scan.license_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(want) > 100
+    for r in got:
+        kind, ids = want[r["doc_id"]]
+        assert r["license_class"] == kind and ids <= set(r["labels"].split(",")) and r["score"] == 1.0
 
 
 def test_shards(spark):
