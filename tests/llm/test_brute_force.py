@@ -64,6 +64,23 @@ def test_pii_checks_and_context(spark):
     assert clean[1] == "iban [IBAN] ok" and clean[4] == "part 123-45-6789" and clean[5] == "mail me [EMAIL]"
 
 
+def test_pii_of_many_matches(spark):
+    """Positions across blocks of the text and over many matches, and redaction by them."""
+    spans = ["card 4539 5787 6362 1486-", "é😀 a{}@b.co,", "+49 151 {};", "1.2.3.4 é", "7 8 9,", "x" * 1500, "12 34 56 78 90 12 34 56 78 90 12 34,"]
+    text = " ".join(spans[i % 7 if i % 70 else 5].format(1_000_000 + i) for i in range(3000))
+    df = spark.createDataFrame([(1, text), (2, "a@b.co" * 500), (3, "x" * 1024 + "a@b.co"), (4, "a@b.co")], "doc_id long, text string")
+    rows = {r["doc_id"]: r["text"] for r in df.collect()}
+    for r in pii.pii_digest(df).collect():
+        assert r["spans"] == ",".join(private(rows[r["doc_id"]]))
+    for r in pii.redact(df).collect():
+        out, at = [], 0
+        for kind, a, b in (s.split(":") for s in private(rows[r["doc_id"]])):
+            if int(a) >= at:
+                out += [rows[r["doc_id"]][at : int(a)], f"[{kind.upper()}]"]
+            at = max(at, int(b))
+        assert r["text"] == "".join([*out, rows[r["doc_id"]][at:]])
+
+
 def measured(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
