@@ -34,11 +34,11 @@ def whole_text(col: str = "text") -> Column:
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size is within the bound, else as it is (joined by shuffle).
+    """``df`` with a broadcast hint if its counted size is within the bound, else joined by shuffle.
 
     ``df`` must be cheap to count: a checkpoint or a small table."""
     few = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if few else df
+    return F.broadcast(df) if few else df.hint("merge")
 
 
 def numbered(df: DataFrame) -> DataFrame:

@@ -162,9 +162,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     marked = cut(docs.select(F.col(key).alias(key), fingerprint(F.col(text), shingle).alias("fp")))
     distinct = cut(marked.groupBy("fp").agg(F.min(key).alias("least")))
     roots = components(links(distinct, threshold=threshold))
-    named = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = cut(distinct.join(roots.hint("merge"), distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.select("fp", "root").join(best, "root").select("fp", "component_id")
+    by_fp = named.select("fp", "root").join(best.hint("merge"), "root").select("fp", "component_id")
     return marked.join(by_fp, "fp", "left").select(key, "fp", "component_id")
 
 
@@ -185,10 +185,9 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id
 def _one_of_each(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """Numbered rows without those that share a ``root`` with one of a smaller key (null is the greatest)
     or, of the same key, of a smaller number."""
-    placed = cut(groups.select(ROW, "root"))
-    many = placed.join(placed.groupBy("root").count().where("count > 1").select("root").hint("merge"), "root")
-    told = cut(many.join(rows.select(ROW, F.col(key).alias("_lt_key")).hint("merge"), ROW))
-    best = told.groupBy("root").agg(F.min(F.struct(F.col("_lt_key").isNull(), F.col("_lt_key"), F.col(ROW).alias("first"))).alias("b")).select("root", "b.first")
+    order = F.struct(F.col("_lt_key").isNull(), F.col("_lt_key"), F.col(ROW).alias("first"))
+    told = cut(groups.select(ROW, "root").join(rows.select(ROW, F.col(key).alias("_lt_key")).hint("merge"), ROW))
+    best = told.groupBy("root").agg(F.min(order).alias("b"), F.count("*").alias("n")).where("n > 1").select("root", "b.first")
     return without_ids(rows, told.join(best.hint("merge"), "root").where(F.col(ROW) != F.col("first")), ROW).drop(ROW)
 
 
