@@ -217,13 +217,32 @@ def test_factorisation_identity():
     assert np.allclose(m.raw(at, x, np.array([0, 3]))[0], want)
 
 
-def test_pooling_against_plain_convolution():
+def test_pooling_against_plain_convolution(monkeypatch):
     rng = np.random.default_rng(5)
-    net = toxicity_cnn.Cnn(np.arange(50, dtype=np.int32), rng.normal(size=(50, 8)).astype(np.float32), [rng.normal(size=(w, 8, 8)).astype(np.float32) for w in (1, 2, 3)], [np.zeros(8, dtype=np.float32)] * 3, np.ones(24), 0.0).prepare()
-    ids = rng.integers(0, 50, 30)
-    want = [max(0, max(sum(net.embedding[ids[i + k]] @ f[k, :, c] for k in range(w)) for i in range(30 - w + 1))) for w, f in zip((1, 2, 3), net.filters, strict=True) for c in range(8)]
-    assert np.allclose(net.pooled(ids)[0], want, atol=1e-5)
-    assert (net.pooled(ids[:0])[0] == 0).all()
+    net = toxicity_cnn.Cnn(np.arange(10, 60, dtype=np.int32), rng.normal(size=(51, 8)).astype(np.float32), [rng.normal(size=(w, 8, 8)).astype(np.float32) for w in (1, 2, 3)], rng.normal(size=24).astype(np.float32), rng.normal(size=24).astype(np.float32), 0.5)
+    parts = np.array([[10 + i, 11 + i, -1, 10_000, -1] for i in range(40)], dtype=np.int32)
+    vectors = np.vstack([[net.embedding[i + 1] + net.embedding[i + 2] + 3 * net.embedding[0] for i in range(40)], np.zeros((2, 8))])
+    texts = [rng.integers(0, 40, n) for n in (30, 1, 2, 17)]
+    long = [np.r_[t, 40, 40] for t in texts]  # zeros stand beyond the end
+    want = [[max(sum(vectors[t[i + k]] @ f[k, :, c] for k in range(w)) for i in range(len(t) - 2)) for w, f in zip((1, 2, 3), net.filters, strict=True) for c in range(8)] for t in long] + net.shifts
+    got, places = net.pooled(net.products(parts), np.concatenate(texts), np.array([len(t) for t in texts]))
+    assert np.allclose(got, want, atol=1e-4) and (places >= 0).all() and (places < 50).all()
+    monkeypatch.setattr(toxicity_cnn, "PIECE", 4)
+    for t, w in zip(texts, want, strict=True):
+        assert np.isclose(net.logit(net.products(parts), t), np.maximum(w, 0) @ net.out + 0.5, atol=1e-3)
+    assert net.logit(net.products(parts), texts[0][:0]) == 0.5
+
+
+def test_training_follows_the_gradient():
+    """A step lowers the loss of its batch, and words decide that no class shares."""
+    rng = np.random.default_rng(6)
+    rows = [toxicity_cnn.encode(" ".join(rng.choice(["river", "stone", "winter", "bridge", "garden"], 30)) + (" scoundrels" if i % 3 == 0 else " gardeners"))[0] for i in range(240)]
+    labels = np.array([float(i % 3 == 0) for i in range(240)])
+    net = toxicity_cnn._fit(rows, labels, 12, 1)
+    z = np.array([net.logit(net.products(t.parts), t.ids) for t in rows])
+    assert z[labels == 1].min() > z[labels == 0].max()
+    unseen = toxicity_cnn.encode("river stone scoundrelly")[0]  # known by its prefixes
+    assert net.logit(net.products(unseen.parts), unseen.ids) > z[labels == 0].max()
 
 
 def test_planted_leaks_are_found_and_no_other(spark):
