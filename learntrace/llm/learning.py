@@ -21,6 +21,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     expectation whatever the table; the labels that are drawn are then joined to the documents."""
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label")).where(F.col(key).isNotNull() & F.col("label").isNotNull() & (fold(F.col(key), folds) != held_out))
     known = known.groupBy("_key").agg(F.max("label").alias("label"))
-    share = min(1.0, rows / max(1, known.count()))
-    drawn = cut(known.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < int(share * (1 << 20))))
+    bound = min(2**64, rows * 2**64 // max(1, known.count())) - 2**63  # of the whole range of the hash
+    drawn = cut(known.where(F.xxhash64("_key") <= F.lit(bound - 1)))
     return docs.join(small_side(drawn), F.col(key) == F.col("_key")).drop("_key")

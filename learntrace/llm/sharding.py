@@ -6,14 +6,16 @@
    merged above ``MAX_PARTITIONS``, and not the rows.
 2. Each partition permutes its shard labels locally and hands them to its rows as they stream by.
 3. Rows are exchanged by shard and block and permuted again: ordered by random keys. A block is a
-   range of the keys with a bounded expected number of rows; its first slot is the number of rows
+   range of the keys with ``BLOCK_ROWS`` expected rows at any size; its first slot is the number of rows
    in the shard's blocks before it.
 
-Every random number is drawn from the seed and the partition's number over checkpointed rows, so a
-task that runs again repeats its choices.
+Draws are exact at any size: numpy's sampler below its bound of 10^9 rows, and beyond it inversion over the
+exact ratios of neighbouring probabilities. Every random number is drawn from the seed and the partition's
+number over checkpointed rows, so a task that runs again repeats its choices.
 
 Defined results: a null text has size 16 and checksum 0; repeated rows and null keys are rows like
-any other; an empty table gives an empty table; shards left without rows have no slots.
+any other; rows of equal random keys stand in the order of their partition; columns of any type are carried
+along; an empty table gives an empty table; shards left without rows have no slots.
 """
 
 from __future__ import annotations
@@ -27,15 +29,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from learntrace.llm.common import columns
+from learntrace.llm.common import BROADCAST_ROWS, columns
 from learntrace.session import cut
 
 SHARDS = 40
 SEED = 42
 MAX_PARTITIONS = 20_000
 BLOCK_ROWS = 1_000  # expected rows of a block
-MAX_BLOCKS = 500  # in a shard, which bounds the table of first slots; blocks grow beyond
 OVERHEAD = 16
+NUMPY_BOUND = 10**9  # numpy draws from smaller urns only
+TAIL = 1e-22  # share of the mode's probability below which counts are not drawn
 
 
 def row_size(text: Column) -> Column:
@@ -69,20 +72,42 @@ def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, n)) if n else 0
-    # Beyond numpy's bound: a normal draw with the exact mean and variance, kept in range (sums stay exact).
-    total = good + bad
-    mean = n * good / total
-    var = mean * (bad / total) * ((total - n) / (total - 1))
-    return int(min(max(round(rng.normal(mean, var**0.5)), max(0, n - bad)), min(n, good)))
+    if not n or not good or not bad:
+        return n if not bad else 0
+    if good + bad < NUMPY_BOUND:
+        return int(rng.hypergeometric(good, bad, n))
+    first, weights = _probabilities(good, bad, n)
+    return first + int(np.searchsorted(np.cumsum(weights), rng.random(), side="right"))
+
+
+def _probabilities(good: int, bad: int, n: int) -> tuple[int, np.ndarray]:
+    """The hypergeometric probabilities of ``n`` draws, from a first count on. They follow from the mode by
+    the ratios p(k + 1) / p(k) = (good - k)(n - k) / ((k + 1)(bad - n + k + 1)), as far as they exceed ``TAIL``
+    of the mode's: some 20 standard deviations, however large the urn."""
+    low, high = max(0, n - bad), min(n, good)
+    mode = min(max((n + 1) * (good + 1) // (good + bad + 2), low), high)
+    step = 1024 + int(4 * (n * good / (good + bad)) ** 0.5)
+
+    def side(towards: int) -> np.ndarray:
+        """Logarithms of p / p(mode) beyond the mode, outwards."""
+        found, at, last = [], mode, 0.0
+        while at != (high if towards > 0 else low) and last > np.log(TAIL):
+            k = np.arange(at, min(high, at + step), dtype=float) if towards > 0 else np.arange(at - 1, max(low, at - step) - 1, -1, dtype=float)
+            ratio = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+            found.append(last + np.cumsum(towards * ratio))
+            at, last = at + towards * len(k), found[-1][-1]
+        return np.concatenate(found) if found else np.zeros(0)
+
+    below, above = side(-1)[::-1], side(1)
+    weights = np.exp(np.concatenate([below, [0.0], above]))
+    return mode - len(below), weights / weights.sum()
 
 
 def assign(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``: a uniform random order cut into shards of equal size.
 
-    Columns shard and slot of the input are replaced. The rows are written to the checkpoint folder once; keep only the columns that are needed, and
-    join the payload by key where it is large."""
+    Columns shard and slot of the input are replaced. The rows are written to the checkpoint folder once; keep only
+    the columns that are needed, and join the payload by key where it is large."""
     names = [c for c in rows.columns if c not in ("shard", "slot")]
     held = cut(rows.select(*[c.alias(f"_lt_{i}") for i, c in enumerate(columns(rows, "shard", "slot"))]))
     if held.rdd.getNumPartitions() > MAX_PARTITIONS:
@@ -90,8 +115,8 @@ def assign(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
     counts = {r["p"]: r["n"] for r in held.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
     matrix = held.sparkSession.sparkContext.broadcast(communication_matrix(counts, shards, seed))
     total = sum(counts.values())
-    blocks = min(MAX_BLOCKS, max(1, -(-total // (shards * BLOCK_ROWS))))
-    schema = T.StructType([*held.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("_lt_u", T.LongType())])
+    blocks = max(1, -(-total // (shards * BLOCK_ROWS)))
+    schema = T.StructType([*held.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("_lt_u", T.LongType()), T.StructField("_lt_i", T.LongType())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
@@ -103,19 +128,20 @@ def assign(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
         at = 0
         for b in batches:
             own = labels[at : at + b.num_rows]
+            keys, places = rng.integers(0, 2**62, b.num_rows, dtype=np.int64), (p << 40) + np.arange(at, at + b.num_rows, dtype=np.int64)
             at += b.num_rows
-            keys = rng.integers(0, 2**62, b.num_rows, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32()), pa.array(keys, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32()), pa.array(keys, pa.int64()), pa.array(places, pa.int64())], names=schema.names)
 
     dealt = held.mapInArrow(label, schema).withColumn("_lt_block", F.floor(F.col("_lt_u") / F.lit(2.0**62) * blocks).cast("int"))
     sizes = dealt.groupBy("shard", "_lt_block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("_lt_block").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("shard", "_lt_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_lt_first"))
-    order = Window.partitionBy("shard", "_lt_block").orderBy("_lt_u", *columns(held))
+    order = Window.partitionBy("shard", "_lt_block").orderBy("_lt_u", "_lt_i")
     ranked = dealt.withColumn("_lt_rank", F.row_number().over(order))
     slot = (F.col("_lt_first") + F.col("_lt_rank") - 1).cast("long").alias("slot")
     own = [F.col(f"_lt_{i}").alias(n) for i, n in enumerate(names)]
-    return ranked.join(F.broadcast(firsts), ["shard", "_lt_block"]).select(*own, "shard", slot)
+    firsts = F.broadcast(firsts) if shards * blocks <= BROADCAST_ROWS else firsts  # else both sides lie by shard and block
+    return ranked.join(firsts, ["shard", "_lt_block"]).select(*own, "shard", slot)
 
 
 def shard_digest(docs: DataFrame) -> DataFrame:

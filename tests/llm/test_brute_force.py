@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import math
 import re
 import zlib
 
@@ -10,10 +11,11 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from learntrace.llm import decontam, html_extract, license_scan, packing, pii, quality_fm, quality_rules, queries, sharding, simhash, toxicity_cnn
+from learntrace.llm import decontam, html_extract, learning, license_scan, packing, pii, quality_fm, quality_rules, queries, sharding, simhash, toxicity_cnn
 from learntrace.llm.components import components
 from tests.conftest import SF
 from tests.llm.data import CLEAN, awkward
@@ -168,8 +170,6 @@ def test_anchors_meet_at_distance_two_and_a_dense_group_is_whole(spark):
     flips = [(a, b) for a in range(0, 64, 7) for b in range(63, 0, -9) if a != b]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     pairs = [(signed(x), signed(x ^ 1 << a ^ 1 << b)) for x in base for a, b in flips]
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(pairs, "a long, b long")
     assert df.where(~F.arrays_overlap(simhash.anchors(F.col("a")), simhash.anchors(F.col("b")))).isEmpty()
     ball = sorted({signed(77 ^ 1 << a ^ 1 << b) for a in range(64) for b in range(64)} | {signed(77 ^ 1 << a) for a in range(64)})
@@ -374,6 +374,49 @@ def test_matrix_margins_and_law():
     assert np.allclose(mean, 33 / 4, atol=0.3)
 
 
+@pytest.mark.parametrize("good,bad,n", [(5, 7, 4), (40, 3, 41), (300, 500, 200), (1, 9, 3), (6, 6, 12)])
+def test_draws_beyond_the_bound_are_exact(good, bad, n, monkeypatch):
+    first, p = sharding._probabilities(good, bad, n)
+    want = [math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(first, first + len(p))]
+    assert np.allclose(p, want, rtol=1e-9, atol=1e-18) and abs(sum(want) - 1) < 1e-9
+    monkeypatch.setattr(sharding, "NUMPY_BOUND", 0)
+    rng = np.random.default_rng(9)
+    drawn = collections.Counter(sharding._hypergeometric(rng, good, bad, n) for _ in range(3000))
+    assert set(drawn) <= set(range(first, first + len(p)))
+    assert all(abs(drawn[first + i] / 3000 - x) < 5 * (x * (1 - x) / 3000) ** 0.5 + 1e-3 for i, x in enumerate(want))
+
+
+def test_draws_from_huge_urns():
+    """Mean and variance of the probabilities of an urn of 10^12 rows, against the closed forms."""
+    good, bad, n = 25 * 10**9, 975 * 10**9, 5_000_000
+    first, p = sharding._probabilities(good, bad, n)
+    k = first + np.arange(len(p))
+    mean = (k * p).sum()
+    assert abs(mean / (n * good / (good + bad)) - 1) < 1e-9
+    var = n * (good / (good + bad)) * (bad / (good + bad)) * ((good + bad - n) / (good + bad - 1))
+    assert abs(((k - mean) ** 2 * p).sum() / var - 1) < 1e-6
+
+
+def test_orders_are_uniform(spark):
+    """Every input partition has its share of each slot range, and input order says nothing of the output's."""
+    rows = spark.range(0, 40_000, 1, 8).withColumn("m", F.create_map(F.lit("a"), "id"))  # a map has no order of its own
+    got = sharding.assign(rows, 4).select("id", "shard", "slot").toPandas()
+    assert sorted(got["id"]) == list(range(40_000)) and got.groupby("shard")["slot"].apply(lambda s: sorted(s) == list(range(10_000))).all()
+    place = (got["shard"] * 10_000 + got["slot"]).to_numpy()
+    assert abs(np.corrcoef(got["id"], place)[0, 1]) < 5 / 200
+    order = got["id"].to_numpy()[np.argsort(place)]
+    assert abs(np.corrcoef(order[:-1], order[1:])[0, 1]) < 5 / 200 and abs((np.diff(order) > 0).mean() - 0.5) < 0.015
+    cells = np.histogram2d(got["id"], place, bins=20)[0]
+    assert ((cells - 100) ** 2 / 100).sum() < 361 + 6 * (2 * 361) ** 0.5
+
+
+def test_samples_of_labels_follow_their_bound(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("id as doc_id", "'t' as text")
+    labels = docs.selectExpr("doc_id", "1 as toxic")
+    few = learning.labelled_sample(docs, labels, "toxic", 5, 0, 300).count()
+    assert 200 < few < 400 and learning.labelled_sample(docs, labels, "toxic", 5, 0, 10_000).count() == docs.where(learning.fold(F.col("doc_id"), 5) != 0).count()
+
+
 def test_packing(spark):
     docs = awkward(spark).select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 100 as doc_id", "text"))
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
