@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the shared checkpoint folder (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read again.
+
+    For tables of the library's own columns that go through joins again and again: a checkpoint keeps the size that
+    its plan was estimated at, joins multiply the estimates of their sides, and after some rounds the planner
+    computes with numbers of millions of digits. A written table has the size of its files."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
