@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from learntrace.session import cut
+from learntrace.session import cut, stored
 
 #: ASCII white space, as a character class body for Java regular expressions.
 WS = r"\x20\x09-\x0D"
@@ -48,5 +48,5 @@ def numbered(df: DataFrame) -> DataFrame:
 
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose key is not in ``ids``; a null key matches a null key."""
-    gone = small_side(cut(ids.select(F.col(key).alias("_lt_gone")).distinct()))
+    gone = small_side(stored(ids.select(F.col(key).alias("_lt_gone")).distinct()))
     return docs.join(gone, F.col(key).eqNullSafe(F.col("_lt_gone")), "left_anti")

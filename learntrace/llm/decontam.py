@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from learntrace.llm.common import ROW, let, numbered, small_side, without_ids
-from learntrace.session import cut
+from learntrace.session import stored
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -114,14 +114,14 @@ def _consistent(found: Column) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """A row for each document and item that it leaks: key, item_id, n_windows, n_found, coverage."""
-    items = cut(item_windows(benchmark))
+    items = stored(item_windows(benchmark))
     sizes = items.groupBy("item_id").agg(F.count_distinct("pos").alias("n_windows"))
     theirs = small_side(items.select("item_id", F.col("pos").alias("at"), "h", F.col("values").alias("asked")))
     met = windows(docs, key, text).join(theirs, "h").select(F.col(key).alias("_key"), "item_id", "at", (F.col("pos") - F.col("at")).alias("diagonal"), "asked", "values")
     window = F.struct("at", "asked", "values")
     by_diagonal = met.groupBy("_key", "item_id", "diagonal").agg(F.collect_set(window).alias("found"))
     total = by_diagonal.groupBy("_key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set(_consistent(F.col("found")))))).cast("long").alias("n_found"))
-    told = total.join(small_side(cut(sizes)), "item_id").withColumn("coverage", F.round(F.col("n_found") / F.col("n_windows"), 6))
+    told = total.join(small_side(stored(sizes)), "item_id").withColumn("coverage", F.round(F.col("n_found") / F.col("n_windows"), 6))
     return told.where(F.col("coverage") >= coverage).select(F.col("_key").alias(key), "item_id", "n_windows", "n_found", "coverage")
 
 

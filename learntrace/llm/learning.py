@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from learntrace.llm.common import small_side
-from learntrace.session import cut
+from learntrace.session import stored
 
 
 def fold(key: Column, folds: int) -> Column:
@@ -22,5 +22,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label")).where(F.col(key).isNotNull() & F.col("label").isNotNull() & (fold(F.col(key), folds) != held_out))
     known = known.groupBy("_key").agg(F.max("label").alias("label"))
     bound = min(2**64, rows * 2**64 // max(1, known.count())) - 2**63  # of the whole range of the hash
-    drawn = cut(known.where(F.xxhash64("_key") <= F.lit(bound - 1)))
+    drawn = stored(known.where(F.xxhash64("_key") <= F.lit(bound - 1)))
     return docs.join(small_side(drawn), F.col(key) == F.col("_key")).drop("_key")

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from learntrace.llm import minhash
 from learntrace.llm.common import ROW, numbered, without_ids
 from learntrace.llm.components import components
-from learntrace.session import cut
+from learntrace.session import stored
 
 SEED = 42
 SHINGLE = 3
@@ -159,13 +159,13 @@ def links(fps: DataFrame, fp: str = "fp", threshold: int = THRESHOLD) -> DataFra
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """``key``, ``fp`` (long) and ``component_id``, the smallest key reachable over links."""
-    marked = cut(docs.select(F.col(key).alias(key), fingerprint(F.col(text), shingle).alias("fp")))
-    distinct = cut(marked.groupBy("fp").agg(F.min(key).alias("least")))
+    marked = stored(docs.select(F.col(key).alias(key), fingerprint(F.col(text), shingle).alias("fp")))
+    distinct = stored(marked.groupBy("fp").agg(F.min(key).alias("least")))
     roots = components(links(distinct, threshold=threshold))
-    named = cut(distinct.join(roots.hint("merge"), distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = stored(distinct.join(roots.hint("merge"), distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.select("fp", "root").join(best.hint("merge"), "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp", "left").select(key, "fp", "component_id")
+    return marked.join(by_fp.hint("merge"), "fp", "left").select(key, "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD, similarity: float | None = None) -> DataFrame:
@@ -186,7 +186,7 @@ def _one_of_each(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """Numbered rows without those that share a ``root`` with one of a smaller key (null is the greatest)
     or, of the same key, of a smaller number."""
     order = F.struct(F.col("_lt_key").isNull(), F.col("_lt_key"), F.col(ROW).alias("first"))
-    told = cut(groups.select(ROW, "root").join(rows.select(ROW, F.col(key).alias("_lt_key")).hint("merge"), ROW))
+    told = stored(groups.select(ROW, "root").join(rows.select(ROW, F.col(key).alias("_lt_key")).hint("merge"), ROW))
     best = told.groupBy("root").agg(F.min(order).alias("b"), F.count("*").alias("n")).where("n > 1").select("root", "b.first")
     return without_ids(rows, told.join(best.hint("merge"), "root").where(F.col(ROW) != F.col("first")), ROW).drop(ROW)
 
