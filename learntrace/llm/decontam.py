@@ -10,7 +10,7 @@ that hold another are not counted, unless they equal the item's. So a
 question asked again with other numbers or names is caught, and texts that only share a shape are not.
 
 Everything is a DataFrame expression. The item windows are broadcast up to a counted bound and else
-joined by shuffle.
+joined by shuffle, where windows without slots, which are nearly all, carry a hash and a place but no tokens.
 
 Defined results: a null text has no windows and leaks nothing; a null item text, or one of fewer than
 five tokens or without a window of three literal tokens, cannot be leaked; in `leaks`, rows that
@@ -30,6 +30,7 @@ from learntrace.session import stored
 WINDOW = 5
 COVERAGE = 0.8
 LITERALS = 3  # literal tokens that a window of an item needs
+ITEM_ROWS = 50_000  # item windows up to which they are broadcast; with their tokens they take some 250 bytes each
 UNITS = (
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g gram grams kg kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons ml l litre litres liter liters gallon gallons "
     "ms s sec second seconds min minute minutes h hour hours day days week weeks month months year years k hz khz mhz ghz w kw watt watts v volt volts j joule joules n pa bar percent "
@@ -39,12 +40,13 @@ UNITS = (
 
 def marked_tokens(text: Column) -> Column:
     """Lower-case tokens of letters and digits; a number, name or unit keeps its value after its
-    placeholder: 0d42, 0nmary, 0ukm. A name is a capitalised word that follows another word within
-    its sentence."""
+    placeholder: 0d42, 0nmary, 0ukm. A name is a run of capitalised words that follows another word within
+    its sentence; a run is one placeholder, 0nmaryann, for another name may have more words or fewer."""
     whole = F.coalesce(text, F.lit(""))
     joined = F.regexp_replace(whole, r"(?<=[0-9])[.,](?=[0-9])", "")
     numbered = F.regexp_replace(joined, "[0-9]+", " 0d$0 ")
-    named = lambda t: F.lower(F.regexp_replace(t, r"\p{Lu}(?<=[\p{L}0-9][^\p{L}0-9.!?:]{1,6}\p{Lu})\p{Ll}\p{L}*", "0n$0"))
+    one = lambda t: F.regexp_replace(t, r" +0n(?<=0n\p{L}{1,80} {1,3}0n)", "")
+    named = lambda t: one(F.lower(F.regexp_replace(t, r"\p{Lu}(?<=[\p{L}0-9][^\p{L}0-9.!?:]{1,6}\p{Lu})\p{Ll}\p{L}*", "0n$0")))
     units = F.regexp_replace(named(numbered), rf"(0d[0-9]+ +)({'|'.join(UNITS)})(?!\p{{L}})", "$1 0u$2")
     signs = F.regexp_replace(F.regexp_replace(units, r"(0d[0-9]+ *)[%€°]", "$1 0usign "), r"[$€£](?= *0d)", " 0usign ")
     return F.array_remove(F.split(F.when(whole.rlike("[0-9]"), signs).otherwise(named(whole)), r"[^\p{L}0-9]+"), "")
@@ -116,7 +118,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """A row for each document and item that it leaks: key, item_id, n_windows, n_found, coverage."""
     items = stored(item_windows(benchmark))
     sizes = items.groupBy("item_id").agg(F.count_distinct("pos").alias("n_windows"))
-    theirs = small_side(items.select("item_id", F.col("pos").alias("at"), "h", F.col("values").alias("asked")))
+    theirs = small_side(items.select("item_id", F.col("pos").alias("at"), "h", F.col("values").alias("asked")), ITEM_ROWS)
     met = windows(docs, key, text).join(theirs, "h").select(F.col(key).alias("_key"), "item_id", "at", (F.col("pos") - F.col("at")).alias("diagonal"), "asked", "values")
     window = F.struct("at", "asked", "values")
     by_diagonal = met.groupBy("_key", "item_id", "diagonal").agg(F.collect_set(window).alias("found"))
