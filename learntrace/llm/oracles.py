@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from learntrace.llm.license_scan import BASE_PHRASES, BASE_WEIGHTS, CLASSES, PHRASES, license_class
+from learntrace.llm.quality_rules import RULES
 
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
 
-QUALITY = rf"""
+_LEDGER = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '{WS}+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{NOT_WS}')) AS ls FROM d),
 grams AS (SELECT rid, i, array_to_string(ws[i:(i + 7)], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
@@ -21,7 +22,12 @@ f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
     + CASE WHEN n_lines >= 6 AND 100 * n_dup_lines > 60 * n_lines THEN 8 ELSE 0 END + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 14 * n_words) THEN 16 ELSE 0 END
     + CASE WHEN 2 * n_letters < word_chars OR word_chars = 0 THEN 32 ELSE 0 END + CASE WHEN n_letters > 0 AND 2 * n_capitals > n_letters THEN 64 ELSE 0 END
     + CASE WHEN n_words > 0 AND 10 * n_exclamations > n_words THEN 128 ELSE 0 END)::BIGINT AS failures FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+"""
+QUALITY = f"{_LEDGER} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures FROM f"
+_RULE_ROWS = ", ".join(f"({r.bit}, '{r.name}')" for r in RULES)
+ABLATION = rf"""{_LEDGER}, rules(bit, rule) AS (VALUES {_RULE_ROWS})
+SELECT bit, rule, (count(*) FILTER (WHERE (failures >> bit) & 1 = 1))::BIGINT AS failed, (count(*) FILTER (WHERE failures = 1 << bit))::BIGINT AS failed_alone,
+    (count(*) FILTER (WHERE failures = 0 OR failures = 1 << bit))::BIGINT AS kept_without FROM f, rules GROUP BY bit, rule
 """
 
 #: Leaks as whole items: canonical tokens without slots, which the given items have none of.
@@ -77,4 +83,4 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_
     CASE WHEN labels IS NULL THEN NULL ELSE [{', '.join(f"'{c}'" for c in CLASSES)}][coalesce(k, 3) + 1] END AS license_class FROM w LEFT JOIN base USING (rid) LEFT JOIN named USING (rid)
 """
 
-ORACLES: dict[str, str] = {"op8_licenses": LICENSES, "op1_pii": PII, "op2_quality_rules": QUALITY, "op6_decontamination": LEAKS}
+ORACLES: dict[str, str] = {"op8_licenses": LICENSES, "op1_pii": PII, "op2_quality_rules": QUALITY, "op6_decontamination": LEAKS, "quality_rule_ablation": ABLATION}

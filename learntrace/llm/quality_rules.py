@@ -1,12 +1,12 @@
 """Quality rules as a bitmask ledger: every rule is judged once, policies and ablations read the bits.
 
 ``ledger`` stores each document's measurements and a ``failures`` mask with one bit a rule;
-``apply_policy`` keeps or rejects by a versioned set of rules; ``ablation`` counts, from masks that
-are summed before any shuffle of documents, what each rule rejects, alone and together.
+``apply_policy`` keeps or rejects by a versioned set of rules; ``ablation`` counts, by aggregates of the
+masks' bits, what each rule rejects, alone and together.
 
 Defined results: a null text has no words (all measurements 0, ``n_words`` 0, so it fails
 ``too_few_words`` and ``no_letters``); texts are measured whole; each row is judged alone, so
-repeated rows give repeated results; an empty table gives an empty table; other columns stay.
+repeated rows give repeated results; an empty table gives an empty table (an ablation: zeros); other columns stay.
 """
 
 from __future__ import annotations
@@ -112,15 +112,21 @@ def apply_policy(entries: DataFrame, version: str = CURRENT, ledger_col: str = "
 def ablation(entries: DataFrame, version: str = CURRENT, ledger_col: str = "quality", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """A row for each rule of the version: documents it fails, fails alone, and kept without it.
 
-    Masks are counted first (at most 2^rules groups, merged before the shuffle), so the rest does
-    not depend on the number of documents."""
+    All rules are counted in one pass by operations on the mask's bits; a partition sends three numbers a rule."""
     bits = POLICIES[version]
-    masks = entries.groupBy(F.col(f"{ledger_col}.failures").bitwiseAND(F.lit(mask_of(bits))).alias("m")).agg(F.count("*").alias("n"))
-    each = F.array(*[F.struct(F.lit(r.bit).alias("bit"), F.lit(r.name).alias("rule"), F.lit(1 << r.bit).cast("long").alias("one")) for r in rules if r.bit in bits])
-    per = masks.select("m", "n", F.explode(each).alias("r")).select("m", "n", "r.*")
-    has = F.col("m").bitwiseAND(F.col("one")) != 0
-    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias
-    return per.groupBy("bit", "rule").agg(total(has)("failed"), total(F.col("m") == F.col("one"))("failed_alone"), total(F.col("m").bitwiseAND(F.bitwise_not("one")) == 0)("kept_without"))
+    failed = F.col(f"{ledger_col}.failures").bitwiseAND(F.lit(mask_of(bits)))
+    own = [r for r in rules if r.bit in bits]
+    sums = {
+        f"{r.bit}": F.struct(
+            F.coalesce(F.sum(F.getbit(failed, F.lit(r.bit)).cast("long")), F.lit(0)).alias("failed"),
+            F.count_if(failed == 1 << r.bit).alias("failed_alone"),
+            F.count_if(failed.bitwiseAND(F.lit(mask_of(bits) & ~(1 << r.bit))) == 0).alias("kept_without"),
+        )
+        for r in own
+    }
+    counted = entries.agg(*[s.alias(n) for n, s in sums.items()])
+    rows = F.array(*[F.struct(F.lit(r.bit).alias("bit"), F.lit(r.name).alias("rule"), *[F.col(f"`{r.bit}`.{c}").alias(c) for c in ("failed", "failed_alone", "kept_without")]) for r in own])
+    return counted.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
