@@ -79,9 +79,10 @@ class WordTokens:
 
 
 @cache
-def _tokens(path: str) -> WordTokens:
+def _tokens(tokenizer: str) -> WordTokens:
+    """A worker's tokenizer: a path, or the name of a public file that is looked up on the worker's machine."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    return WordTokens(path)
+    return WordTokens(tokenizer if os.path.sep in tokenizer else public_tokenizers.path(tokenizer))
 
 
 PIECE = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
@@ -91,10 +92,9 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", token
     """A row for each piece: key, piece, start, length and checksum of its ids."""
     rows = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     schema = T.StructType([rows.schema.fields[0], *PIECE.fields])
-    path = public_tokenizers.path(tokenizer)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(path)
+        tokens = _tokens(tokenizer)
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         for b in batches:
             of, rows = [], []
