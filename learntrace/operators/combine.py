@@ -50,9 +50,11 @@ def train_counts(metrics: DataFrame) -> DataFrame:
     return per.groupBy("model", "metric").agg(F.min("n").alias("least"), F.avg("n").alias("mean"), F.max("n").alias("most"))
 
 
-def average_over_replicates(metrics: DataFrame, model: str, names: list[str], median: bool = False) -> DataFrame:
+def average_over_replicates(metrics: DataFrame, names: list[str], model: str | None = None, median: bool = False) -> DataFrame:
+    """A row a model (or of the named one) and example, a column a metric."""
     f = F.median if median else F.avg
-    return metrics.where(F.col("model") == model).groupBy("example_id").pivot("metric", names).agg(f("value"))
+    rows = metrics if model is None else metrics.where(F.col("model") == model)
+    return rows.groupBy("model", "example_id").pivot("metric", names).agg(f("value"))
 
 
 def outer_union(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -89,6 +89,18 @@ def input_gradient(examples: DataFrame, weights: DataFrame, gradient: Scorer = c
     return score_batches(examples, weights, lambda w, b, x, y: {"grad": gradient(w, b, x, y, predicted).mean(axis=0)}, "grad array<double>")
 
 
+def input_gradients(examples: DataFrame, weights: DataFrame, gradient: Scorer = class_gradient, predicted: bool = False) -> DataFrame:
+    """example_id, step and ``grad``, each checkpoint's input gradient."""
+    steps = [r[0] for r in weights.select("step").distinct().orderBy("step").collect()]
+
+    def each(w: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        return {f"g{t}": g for t, g in enumerate(gradient(w, b, x, y, predicted))}
+
+    wide = score_batches(examples, weights, each, ", ".join(f"g{t} array<double>" for t in range(len(steps))))
+    rows = F.array(*[F.struct(F.lit(s).alias("step"), F.col(f"g{t}").alias("grad")) for t, s in enumerate(steps)])
+    return wide.select("example_id", F.explode(rows).alias("s")).select("example_id", "s.step", "s.grad")
+
+
 def variance_of_gradients(examples: DataFrame, weights: DataFrame, channels: int, gradient: Scorer = class_gradient, predicted: bool = False) -> DataFrame:
     """Mean over pixels of the unbiased variance over checkpoints of the channel-mean input gradient."""
     def vog(w: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:

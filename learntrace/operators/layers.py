@@ -17,8 +17,9 @@ def module_name(layer: Column) -> Column:
     return F.regexp_replace(layer, r"\.(in|out)$", "")
 
 
-def select_layers(activations: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    return activations.where(match_key(F.col("layer"), include, exclude))
+def select_layers(activations: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, layers: list[str] | None = None) -> DataFrame:
+    """Rows of the layers that the patterns choose, or, whatever the patterns, of the named ones."""
+    return activations.where(F.col("layer").isin(layers) if layers is not None else match_key(F.col("layer"), include, exclude))
 
 
 def layer_digests(activations: DataFrame, act: str = "act") -> DataFrame:
@@ -28,9 +29,15 @@ def layer_digests(activations: DataFrame, act: str = "act") -> DataFrame:
 
 
 def distinct_layers(activations: DataFrame, act: str = "act") -> DataFrame:
-    """Layers whose values equal no earlier layer's: the first of each digest."""
-    first = Window.partitionBy("n", "d1", "d2").orderBy("layer_idx")
-    return layer_digests(activations, act).withColumn("_r", F.row_number().over(first)).where("_r = 1").select("layer_idx", "layer", "n")
+    """Layers whose values equal no earlier layer's. Digests propose the earlier layer; values are compared after."""
+    first = Window.partitionBy("n", "d1", "d2").orderBy("layer_idx")  # over layers: tens
+    told = layer_digests(activations, act).withColumn("_first", F.first("layer_idx").over(first))
+    twins = told.where("layer_idx <> _first").select("layer_idx", "_first")
+    one = activations.join(F.broadcast(twins), "layer_idx").select("layer_idx", F.col("_first").alias("_f"), "example_id", F.col(act).alias("_a"))
+    two = activations.select(F.col("layer_idx").alias("_f"), "example_id", F.col(act).alias("_b"))
+    differ = one.join(two, ["_f", "example_id"]).where(~F.col("_a").eqNullSafe(F.col("_b"))).select("layer_idx").distinct()
+    same = twins.select("layer_idx").join(differ, "layer_idx", "left_anti")
+    return told.join(same, "layer_idx", "left_anti").select("layer_idx", "layer", "n")
 
 
 def append_layer(activations: DataFrame, values: DataFrame, layer: str) -> DataFrame:

@@ -9,11 +9,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from learntrace.functions.pointwise import softmax
 from learntrace.functions.vectors import distance, doubles
 from learntrace.operators.forgetting import first_unforgettable
+from learntrace.operators.layers import append_layer
+from learntrace.operators.pointwise import pointwise_metrics
 
-BLOCK_ROWS = 2_000  # expected vectors of a block
-CHUNK_PAIRS = 1 << 20  # distances held at once
+BLOCK_ROWS = 50_000  # expected vectors of a block
+CHUNK_PAIRS = 1 << 21  # distances held at once
 
 
 def _blocks(rows: DataFrame, block_rows: int) -> int:
@@ -21,12 +24,35 @@ def _blocks(rows: DataFrame, block_rows: int) -> int:
     return max(1, -(-most // block_rows))
 
 
+def _closest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``a``, rows of ``b`` and distances of each row's k nearest, ties by id.
+
+    |a|^2 + |b|^2 - 2ab is a matrix product and tells the k nearest up to rounding; all rows within the rounding of
+    the k-th are then measured directly, so that the choice is that of exact distances."""
+    k = min(k, len(b))
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    out, step = [], max(1, CHUNK_PAIRS // max(1, len(b)))
+    for first in range(0, len(a), step):
+        own = a[first : first + step]
+        squares = aa[first : first + step, None] + bb[None, :] - 2.0 * (own @ b.T)
+        last = np.partition(squares, k - 1, axis=1)[:, k - 1]
+        slack = 1e-12 * (aa[first : first + step] + bb.max()) * a.shape[1] + 1e-300
+        row, col = np.nonzero(squares <= (last + slack)[:, None])
+        d = np.sqrt(((own[row] - b[col]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[col], d, row))
+        row, col, d = row[order], col[order], d[order]
+        place = np.arange(len(row)) - np.flatnonzero(np.r_[True, row[1:] != row[:-1]])[np.cumsum(np.r_[False, row[1:] != row[:-1]])]
+        near = place < k
+        out.append((row[near] + first, col[near], d[near]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def nearest(train: DataFrame, queries: DataFrame, k: int = 30, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest training rows of each query in its layer: layer_idx, query_id, d, label, train_id.
 
     Both sides (layer_idx, example_id, label, act) are cut into blocks of a bounded expected size by a
     hash of the id; each pair of blocks is one numpy task that keeps k rows a query, and a window over
-    k rows a block picks the best. Ties go to the smaller id. Neither side is broadcast."""
+    k rows a block, cut to k before the shuffle too, picks the best. Ties go to the smaller id. Neither side is broadcast."""
     nt, nq = _blocks(train, block_rows), _blocks(queries, block_rows)
     block = lambda n: F.pmod(F.xxhash64("example_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -36,16 +62,9 @@ def nearest(train: DataFrame, queries: DataFrame, k: int = 30, block_rows: int =
     def pair(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
             return pd.DataFrame({"layer_idx": [], "query_id": [], "d": [], "label": [], "train_id": []})
-        t = t.sort_values("t_id", kind="stable")
-        a, b = np.stack(q["act"]), np.stack(t["t_act"])
-        ids, labels, out = t["t_id"].to_numpy(), t["t_label"].to_numpy(), []
-        step = max(1, CHUNK_PAIRS // max(1, b.size))
-        for at in range(0, len(a), step):
-            d = np.sqrt(((a[at : at + step, None, :] - b[None]) ** 2).sum(axis=2))
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            n, m = order.shape
-            out.append(pd.DataFrame({"layer_idx": q["layer_idx"].iloc[0], "query_id": np.repeat(q["example_id"].to_numpy()[at : at + n], m), "d": np.take_along_axis(d, order, 1).ravel(), "label": labels[order].ravel(), "train_id": ids[order].ravel()}))
-        return pd.concat(out)
+        ids, labels = t["t_id"].to_numpy(), t["t_label"].to_numpy()
+        row, col, d = _closest(np.stack(q["act"]), np.stack(t["t_act"]), ids, k)
+        return pd.DataFrame({"layer_idx": q["layer_idx"].iloc[0], "query_id": q["example_id"].to_numpy()[row], "d": d, "label": labels[col], "train_id": ids[col]})
 
     found = left.groupBy("layer_idx", "qb", "tb").cogroup(right.groupBy("t_layer", "t_qb", "t_block")).applyInPandas(pair, "layer_idx int, query_id long, d double, label int, train_id long")
     best = Window.partitionBy("layer_idx", "query_id").orderBy("d", "train_id")
@@ -88,20 +107,63 @@ def supervised_prototypes(rows: DataFrame, label: str = "label", act: str = "act
     return joined.select("example_id", label, distance(doubles(F.col(act)), F.col("center")).alias(out))
 
 
+def cluster_centers(rows: DataFrame, k: int = 30, max_iter: int = 300, seed: int = 42, act: str = "act") -> np.ndarray:
+    """Centres of k clusters, by distributed k-means."""
+    held = rows.select(array_to_vector(doubles(F.col(act))).alias("features"))
+    return np.array(KMeans(k=k, maxIter=max_iter, seed=seed, tol=0.0).fit(held).clusterCenters())
+
+
+def center_distances(rows: DataFrame, centers: np.ndarray, act: str = "act", out: str = "selfproto") -> DataFrame:
+    """Distance (not squared) of each row to the nearest of the centres, which go to the tasks as one array."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.asarray(centers, dtype=float))
+
+    def near(vectors: pd.Series) -> pd.Series:
+        c, found = shared.value, np.empty(len(vectors))
+        step = max(1, CHUNK_PAIRS // max(1, c.size))
+        for at in range(0, len(vectors), step):
+            x = np.stack(vectors.iloc[at : at + step])
+            found[at : at + len(x)] = np.sqrt(((x[:, None, :] - c[None]) ** 2).sum(axis=2)).min(axis=1)
+        return pd.Series(found)
+
+    near.__annotations__ = {"vectors": pd.Series, "return": pd.Series}
+    return rows.select("example_id", F.pandas_udf(near, "double")(doubles(F.col(act))).alias(out))
+
+
 def self_supervised_prototypes(rows: DataFrame, k: int = 30, max_iter: int = 300, seed: int = 42, act: str = "act", out: str = "selfproto") -> DataFrame:
-    """Distance (not squared) of each row to the nearest of k cluster centres."""
-    held = rows.withColumn("features", array_to_vector(doubles(F.col(act))))
-    model = KMeans(k=k, maxIter=max_iter, seed=seed, tol=0.0).fit(held)
-    centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    near = F.array_min(F.transform(centers, lambda c: distance(doubles(F.col(act)), c)))
-    return rows.select("example_id", near.alias(out))
-
-
-def representation_metrics(activations: DataFrame, k: int = 30, clusters: int | None = None) -> DataFrame:
-    """proto of the last layer, pd and the matches of every layer; selfproto too if ``clusters`` is given."""
-    layers = sorted(r[0] for r in activations.select("layer_idx").distinct().collect())  # a model's layers: tens
-    last = activations.where(F.col("layer_idx") == layers[-1])
-    matches = knn_predict(activations, None, k)
+    """Distance of each row to the nearest of k cluster centres."""
+    return center_distances(rows, cluster_centers(rows, k, max_iter, seed, act), act, out)
+
+
+def representation_metrics(
+    activations: DataFrame, k: int = 30, clusters: int | None = None, layers: list[int] | None = None, proto_layer: int | None = None, outputs: DataFrame | None = None,
+    softmax_layer: bool = False, test: DataFrame | None = None, test_outputs: DataFrame | None = None, train_labels: DataFrame | None = None, pointwise: bool = False,
+    max_iter: int = 300, seed: int = 42,
+) -> DataFrame:
+    """proto (distance to the label's mean), selfproto (to the nearest of ``clusters`` centres, if given), pd and the
+    matches of every layer, a row an example.
+
+    ``layers`` and ``proto_layer`` choose layers (None: all, the last). ``outputs`` (example_id, label, z) adds the
+    softmax as a last layer (``softmax_layer``) and the pointwise scores (``pointwise``). ``train_labels`` (example_id, label)
+    replaces the labels that neighbours vote with. With ``test`` depth and matches are of the test rows and the other
+    scores of the training rows; rows of both are joined by example_id."""
+    rows = activations if layers is None else activations.where(F.col("layer_idx").isin(layers))
+    asked = test if test is None or layers is None else test.where(F.col("layer_idx").isin(layers))
+    at = proto_layer if proto_layer is not None else activations.agg(F.max("layer_idx")).first()[0]
+    last = activations.where(F.col("layer_idx") == at)
+    if softmax_layer:
+        rows = append_softmax(rows, outputs)
+        asked = asked if asked is None else append_softmax(asked, test_outputs)
+    voters = rows if train_labels is None else rows.drop("label").join(train_labels.select("example_id", "label"), "example_id").select(*rows.columns)
+    matches = knn_predict(voters, asked, k)
     depth = matches.groupBy("example_id").agg(first_unforgettable("match", "layer_idx").alias("pd"))
-    out = supervised_prototypes(last).join(depth, "example_id").join(layer_matches(matches, layers), "example_id")
-    return out if clusters is None else out.join(self_supervised_prototypes(last, clusters), "example_id")
+    numbers = sorted(r[0] for r in rows.select("layer_idx").distinct().collect())  # a model's layers: tens
+    out = supervised_prototypes(last).join(depth.join(layer_matches(matches, numbers), "example_id"), "example_id", "full")
+    if clusters is not None:
+        out = out.join(self_supervised_prototypes(last, clusters, max_iter, seed), "example_id", "left")
+    return out if not pointwise else out.join(pointwise_metrics(outputs).drop("label"), "example_id", "left")
+
+
+def append_softmax(activations: DataFrame, outputs: DataFrame) -> DataFrame:
+    """The softmax of (example_id, label, z) as the layer after the last."""
+    p = F.transform(softmax(F.col("z")), lambda x: F.round(x, 9))
+    return append_layer(activations.withColumn("act", doubles(F.col("act"))), outputs.select("example_id", "label", p.alias("act")), "softmax")
