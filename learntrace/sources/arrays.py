@@ -1,78 +1,130 @@
 """Array files (.npy, .npz) as tables, decoded on the executors.
 
-Scores that others have published come as one array file a metric, data set and split: an order (an
-argsort permutation) or values by example. Names and allowed choices are checked before a path is read.
+Scores that others have published come as one array file a score, data set and split. ``PUBLISHED`` lists the files
+and what may be chosen for each; :func:`published` checks the choices, finds the file under a root folder and reads
+its arrays as columns.
 """
 
 from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Metrics and data sets of published example orders, with the data sets' short names.
-ORDER_METRICS = ("adv", "agr", "conf", "priv", "ret")
-ORDER_DATASETS = {"cifar10": "cifar", "fashionmnist": "fashion", "mnist": "mnist", "imagenet": "imagenet"}
-PAIRS = {"cifar100": "influence-memorization-cifar100.npz"}
 CHUNK = 1 << 16
 
 
-def checked(**choices: tuple[str, set[str]]) -> dict[str, str]:
-    """The chosen values; a ValueError names a value that is not allowed."""
-    for name, (value, allowed) in choices.items():
-        if value not in allowed:
-            raise ValueError(f"{name} is {value!r}, not one of {sorted(allowed)}")
-    return {name: value for name, (value, _) in choices.items()}
+@dataclass(frozen=True)
+class Published:
+    """A family of files: the name with its choices, the values of each choice with their short forms in the name, and
+    the members (None: a bare array) with column name and type."""
 
+    name: str
+    choices: dict[str, dict[str, str]]
+    members: dict[str | None, tuple[str, str]]
+    defaults: dict[str, str] = field(default_factory=dict)
+
+
+def _plain(*values: str) -> dict[str, str]:
+    return {v: v for v in values}
+
+
+#: Names of published files, their data sets, metrics, models and members.
+PUBLISHED = {
+    "order": Published(
+        "order_{dataset}_{metric}_{split}.npy",
+        {"dataset": {"cifar10": "cifar", "fashionmnist": "fashion", "mnist": "mnist", "imagenet": "imagenet"}, "metric": _plain("adv", "agr", "conf", "priv", "ret"), "split": _plain("train", "test")},
+        {None: ("example_id", "long")}, {"split": "train"},
+    ),
+    "memorization": Published("memorization-{dataset}-0.7.npz", {"dataset": _plain("cifar100")}, {"arr_0": ("value", "double")}),
+    "prototypes": Published("selfproto-{dataset}-{model}.npz", {"dataset": _plain("cifar10", "cifar100"), "model": _plain("swav")}, {"arr_0": ("value", "double")}, {"model": "swav"}),
+    "influence": Published(
+        "influence-memorization-{dataset}.npz", {"dataset": _plain("cifar100")},
+        {"tr_idx": ("tr_idx", "long"), "tt_idx": ("tt_idx", "long"), "infl": ("infl", "double"), "mem": ("mem", "double")}, {"dataset": "cifar100"},
+    ),
+}
+
+
+def path_of(root: str, family: str, **chosen: str) -> str:
+    """The file of a family under ``root``; a choice that is not published is a ValueError."""
+    files, chosen = PUBLISHED[family], PUBLISHED[family].defaults | chosen
+    short = {}
+    for name, values in files.choices.items():
+        if chosen.get(name) not in values:
+            raise ValueError(f"{family}: no {name} {chosen.get(name)!r}; published are {', '.join(values)}")
+        short[name] = values[chosen[name]]
+    return f"{root.rstrip('/')}/{files.name.format(**short)}"
+
+
+def decoded(files: DataFrame, member: str | None = None, value: str = "double", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, pos, value) of array files in a binary column ``content``, or of one member of theirs; rows follow in chunks."""
+    schema = T.StructType([*[files.schema[k] for k in keys], T.StructField("pos", T.LongType()), T.StructField("value", T.DataType.fromDDL(value))])
 
-def read_array(spark: SparkSession, path: str, member: str | None = None, value: str = "double") -> DataFrame:
-    """(pos, value) of a .npy file or of one member of a .npz file; rows follow in chunks."""
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for content in frame["content"]:
-                got = np.load(io.BytesIO(content), allow_pickle=False)
+            for row in frame.itertuples(index=False):
+                got = np.load(io.BytesIO(row.content), allow_pickle=False)
                 flat = np.ravel(got if member is None else got[member])
                 for at in range(0, len(flat), CHUNK):
                     part = flat[at : at + CHUNK]
-                    yield pd.DataFrame({"pos": np.arange(at, at + len(part)), "value": part})
+                    yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, "pos": np.arange(at, at + len(part)), "value": part})
+
+    return files.select(*keys, "content").mapInPandas(decode, schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, f"pos long, value {value}")
+
+def encoded(rows: DataFrame, keys: list[str], values: str) -> DataFrame:
+    """``keys`` and ``content``, each row's array column as the bytes of an array file."""
+    def encode(arrays: pd.Series) -> pd.Series:
+        def content(a: np.ndarray) -> bytes:
+            buffer = io.BytesIO()
+            np.save(buffer, np.asarray(a))
+            return buffer.getvalue()
+
+        return arrays.map(content)
+
+    encode.__annotations__ = {"arrays": pd.Series, "return": pd.Series}
+    return rows.select(*keys, F.pandas_udf(encode, "binary")(values).alias("content"))
+
+
+def read_array(spark: SparkSession, path: str, member: str | None = None, value: str = "double") -> DataFrame:
+    """(pos, value) of an array file or of one of its members."""
+    return decoded(spark.read.format("binaryFile").load(path), member, value)
+
+
+def published(spark: SparkSession, root: str, family: str, members: list[str] | None = None, **chosen: str) -> DataFrame:
+    """``pos`` and a column for each member (or the named ones, of one length) of a published file."""
+    path = path_of(root, family, **chosen)
+    parts = [read_array(spark, path, m, kind).withColumnRenamed("value", name) for m, (name, kind) in PUBLISHED[family].members.items() if members is None or m in members]
+    return reduce(lambda a, b: a.join(b, "pos"), parts)
 
 
 def read_order(spark: SparkSession, root: str, metric: str, dataset: str, train: bool = True) -> DataFrame:
     """(rank, example_id) of a published order: the array's place is the rank of the example it names."""
-    if metric not in ORDER_METRICS:
-        raise ValueError(f"metric is {metric!r}, not one of {ORDER_METRICS}")
-    checked(dataset=(dataset, set(ORDER_DATASETS)))
-    name = f"order_{ORDER_DATASETS[dataset]}_{metric}_{'train' if train else 'test'}.npy"
-    return read_array(spark, f"{root}/{name}", value="long").select(F.col("pos").alias("rank"), F.col("value").alias("example_id"))
+    return published(spark, root, "order", metric=metric, dataset=dataset, split="train" if train else "test").withColumnRenamed("pos", "rank")
 
 
 def read_orders(spark: SparkSession, root: str, dataset: str, train: bool = True) -> DataFrame:
     """All published orders of a data set in long form: metric, rank, example_id."""
-    return reduce(DataFrame.unionByName, [read_order(spark, root, m, dataset, train).withColumn("metric", F.lit(m)) for m in ORDER_METRICS])
-
-
-def read_values(spark: SparkSession, root: str, template: str, **choices: tuple[str, set[str]]) -> DataFrame:
-    """(example_id, value) of a file whose name is a template of checked choices."""
-    return read_array(spark, f"{root}/{template.format(**checked(**choices))}", "arr_0").select(F.col("pos").alias("example_id"), "value")
+    metrics = PUBLISHED["order"].choices["metric"]
+    return reduce(DataFrame.unionByName, [read_order(spark, root, m, dataset, train).withColumn("metric", F.lit(m)) for m in metrics])
 
 
 def read_memorization(spark: SparkSession, root: str, dataset: str) -> DataFrame:
-    return read_values(spark, root, "memorization-{dataset}-0.7.npz", dataset=(dataset, {"cifar100"}))
+    return published(spark, root, "memorization", dataset=dataset).withColumnRenamed("pos", "example_id")
 
 
 def read_prototype_distances(spark: SparkSession, root: str, dataset: str, model: str = "swav") -> DataFrame:
-    return read_values(spark, root, "selfproto-{dataset}-{model}.npz", dataset=(dataset, {"cifar10", "cifar100"}), model=(model, {"swav"}))
+    return published(spark, root, "prototypes", dataset=dataset, model=model).withColumnRenamed("pos", "example_id")
 
 
-def read_influence(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_influence(spark: SparkSession, root: str, dataset: str = "cifar100") -> tuple[DataFrame, DataFrame]:
     """The pairs (tr_idx, tt_idx, infl) and the table (example_id, mem) of an influence file."""
-    part = lambda m, v: read_array(spark, path, m, v).withColumnRenamed("value", m)
-    pairs = part("tr_idx", "long").join(part("tt_idx", "long"), "pos").join(part("infl", "double"), "pos").drop("pos")
-    return pairs, part("mem", "double").withColumnRenamed("pos", "example_id")
+    pairs = published(spark, root, "influence", ["tr_idx", "tt_idx", "infl"], dataset=dataset).drop("pos")
+    return pairs, published(spark, root, "influence", ["mem"], dataset=dataset).withColumnRenamed("pos", "example_id")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 HPARAMS = "path STRING, model_name STRING, custom_train_test_split BOOLEAN"
 PARTITIONS = ("model", "replicate", "metric")
+FILE_ROWS = 1_000_000  # expected rows of a file
 
 
 def read_hparams(spark: SparkSession, path: str, schema: str = HPARAMS) -> DataFrame:
@@ -25,9 +26,20 @@ def list_metric_files(spark: SparkSession, folder: str, include: list[str] | Non
     return named.withColumn("parts", F.array_append(F.slice(parts, 1, F.size(parts) - 1), F.col("path")))
 
 
-def write_metrics(metrics: DataFrame, folder: str) -> None:
-    """The long metric table, in folders by model, replicate and metric, so that reads prune to what they name."""
-    metrics.repartition(*PARTITIONS).write.partitionBy(*PARTITIONS).mode("overwrite").parquet(folder)
+def list_checkpoints(spark: SparkSession, folder: str, pattern: str = r"step=([0-9]+)") -> DataFrame:
+    """The checkpoints of a folder: ``step``, the number that the pattern finds in a path, and its files, in order of steps."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    found = files.withColumn("step", F.regexp_extract("path", pattern, 1)).where("step <> ''").withColumn("step", F.col("step").cast("long"))
+    return found.groupBy("step").agg(F.sort_array(F.collect_list("path")).alias("files")).orderBy("step")  # a checkpoint's files: few
+
+
+def write_metrics(metrics: DataFrame, folder: str, item: str = "example_id") -> None:
+    """The long metric table, in folders by model, replicate and metric, so that reads prune to what they name.
+
+    A run's rows are dealt over as many tasks as its size asks for, by a hash of the item."""
+    largest = metrics.groupBy(*PARTITIONS).count().agg(F.max("count")).first()[0] or 0
+    salt = F.pmod(F.xxhash64(item), F.lit(max(1, -(-largest // FILE_ROWS))))
+    metrics.repartition(*PARTITIONS, salt).write.partitionBy(*PARTITIONS).mode("overwrite").parquet(folder)
 
 
 def read_metrics(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -37,8 +49,8 @@ def read_metrics(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 
 def write_csv(wide: DataFrame, folder: str) -> None:
-    """An export table as one CSV file with a header; its rows are written by one task."""
-    wide.coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
+    """An export table as CSV files with a header each, as many as it has partitions."""
+    wide.write.mode("overwrite").option("header", True).csv(folder)
 
 
 def save_state(state: DataFrame, folder: str, kind: str, metadata: dict[str, str | int | float] | None = None, lists: dict[str, list] | None = None) -> None:

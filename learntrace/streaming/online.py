@@ -78,7 +78,18 @@ def drain(result: DataFrame, mode: str = "update", folder: str | None = None) ->
     return rows.groupBy("example_id").agg(latest.alias("_l")).select(*[F.col(f"_l.{c}").alias(c) for c in cols])
 
 
-def read_steps(spark: SparkSession, folder: str, glob: str, schema: str, files_per_trigger: int = 1, shape: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """A file stream of Parquet files with an explicit schema."""
-    source = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger)
+def drain_parts(spark: SparkSession, folder: str, parts: list[DataFrame], schema: str, scores: Callable[[DataFrame], DataFrame], mode: str = "update") -> DataFrame:
+    """The scores of steps that arrive in parts: each is written to the folder and drained by the same query, which
+    resumes from its checkpoint, so a part may have any number of files and its rows any order."""
+    out, found = f"{folder}-scores", None
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        found = drain(scores(read_steps(spark, folder, "*.parquet", schema, files_per_trigger=None)), mode, out)
+    return found
+
+
+def read_steps(spark: SparkSession, folder: str, glob: str, schema: str, files_per_trigger: int | None = 1, shape: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """A file stream of Parquet files with an explicit schema; without ``files_per_trigger``, all there are at once."""
+    source = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    source = source if files_per_trigger is None else source.option("maxFilesPerTrigger", files_per_trigger)
     return shape(source.parquet(folder))
