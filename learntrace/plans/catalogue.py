@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from learntrace.operators import aggregates, analysis, combine, ensemble, forget
 from learntrace.operators.pointwise import METRICS, evaluate, pointwise_metrics
 from learntrace.plans import fixtures as fx
 from learntrace.plans.oracles import ORACLES
+from learntrace.session import ensure_checkpoint_dir
+from learntrace.sources import arrays, metrics
 from learntrace.streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,11 +230,18 @@ def rank_event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_average(rows, ["event_type"], "v").drop("event_type", "v")
 
 
+@query
+def argsort_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of every run's examples by every metric."""
+    return ranking.argsort(_steady_metrics(spark, sf_dir), RUN, "value", "example_id")
+
+
 @query
 def order_to_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of one run's examples, one a metric, and their inverse."""
-    run = _steady_metrics(spark, sf_dir).where((F.col("model") == "m0") & (F.col("replicate") == 0))
-    return ranking.argsort(run, ["metric"], "value", "example_id")
+    """Orders of the classes by logit, an array a row, and the inverse permutations."""
+    by_logit = F.array_sort(F.transform("z", lambda v, i: F.struct(F.round(v, 9).alias("v"), i.alias("i"))))
+    orders = fx.logits(spark, sf_dir).select(F.col("example_id").alias("row_id"), "step", F.transform(by_logit, lambda s: s["i"]).alias("order"))
+    return ranking.order_to_rank(orders, "order", ["row_id", "step"]).withColumnRenamed("example_id", "class_idx")
 
 
 def _bins(metrics: DataFrame) -> DataFrame:
@@ -246,7 +257,8 @@ def rank_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def binned_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.metrics(spark, sf_dir)
-    return rounded(ranking.binned_quantiles(rows, _bins(rows), ["model", "metric"], "example_id", "value"), "mean", "median", "low", "high")
+    found = ranking.binned_quantiles(rows, _bins(rows), ["model", "metric"], "example_id", "value", tie="replicate", flags=F.col("metric") == "acc")
+    return rounded(found, "mean", "median", "low", "high")
 
 
 @query
@@ -278,10 +290,30 @@ def prediction_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def prediction_depth_softmax_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.transform(fn.softmax(F.col("z")), lambda x: F.round(x, 9))
-    outputs = fx.logits(spark, sf_dir).where(F.col("step") == fx.STEPS - 1).select("example_id", "label", p.alias("act"))
-    rows = fx.activations(spark, sf_dir).withColumn("act", doubles(F.col("act")))
-    return representation.prediction_depth(layers.append_layer(rows, outputs, "softmax"))
+    return representation.prediction_depth(representation.append_softmax(fx.activations(spark, sf_dir), _outputs(spark, sf_dir)))
+
+
+def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.logits(spark, sf_dir).where(F.col("step") == fx.STEPS - 1).select("example_id", "label", "z")
+
+
+@query
+def representation_metrics_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen layers and the softmax for the depth of a test set, another layer for prototypes, pointwise scores."""
+    rows, outputs = fx.activations(spark, sf_dir), _outputs(spark, sf_dir)
+    train, test = (lambda df: df.where("example_id % 5 <> 0")), (lambda df: df.where("example_id % 5 = 0"))
+    found = representation.representation_metrics(
+        train(rows), k=15, layers=[0, 2, 3], proto_layer=1, outputs=train(outputs), softmax_layer=True, test=test(rows), test_outputs=test(outputs), pointwise=True
+    )
+    return rounded(found, "proto", *DOUBLES)
+
+
+@query
+def nearest_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance to the nearest of given centres: the classes' means."""
+    last = fx.activations(spark, sf_dir).where(F.col("layer_idx") == fx.LAYERS - 1)
+    centers = [r["center"] for r in representation.centroids(last).collect()]  # classes: tens
+    return rounded(representation.center_distances(last, np.array(centers), out="nearest"), "nearest")
 
 
 @query
@@ -316,6 +348,12 @@ def input_gradient_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gradients(spark, sf_dir, True)
 
 
+@query
+def input_gradient_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = gradient.input_gradients(fx.images(spark, sf_dir), fx.weights(spark), gradient.loss_gradient)
+    return rounded(df.select("example_id", "step", F.posexplode("grad").alias("pos", "grad")), "grad")
+
+
 @query
 def variance_of_gradients_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gradient.variance_of_gradients(fx.images(spark, sf_dir), fx.weights(spark), fx.CHANNELS, gradient.class_gradient), "vog", digits=9)
@@ -355,7 +393,7 @@ def is_train_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def average_over_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(combine.average_over_replicates(fx.metrics(spark, sf_dir), "m1", list(METRICS)), *METRICS)
+    return rounded(combine.average_over_replicates(fx.metrics(spark, sf_dir), list(METRICS)), *METRICS)
 
 
 @query
@@ -381,6 +419,11 @@ def correlation_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analysis.correlation_shrink(fx.metrics(spark, sf_dir), list(METRICS)), "corr_of_avg", "corr", "shrink")
 
 
+@query
+def correlation_of_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analysis.correlation_of_averages(fx.metrics(spark, sf_dir), list(METRICS), median=True), "corr_of_avg")
+
+
 @query
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analysis.permutation_test(fx.metrics(spark, sf_dir)), "stat", "p")
@@ -391,6 +434,37 @@ def permutation_test_per_example(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analysis.permutation_test_per_example(fx.metrics(spark, sf_dir)), "stat", "p", "nlogp")
 
 
+@query
+def permutation_test_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians instead of means, and the greatest magnitude as the norm."""
+    return rounded(analysis.permutation_test(fx.metrics(spark, sf_dir), median=True, order=float("inf")), "stat", "p")
+
+
+def _three_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.metrics(spark, sf_dir, replicates=2).withColumn("value", F.round("value", 9))
+
+
+@query
+def permutation_test_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of three models, values replaced by ranks."""
+    return rounded(analysis.permutation_test(analysis.ranked(_three_models(spark, sf_dir))), "stat", "p")
+
+
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.standardize(_three_models(spark, sf_dir), RUN, "value").withColumn("value", F.col("scaled")).drop("scaled")
+
+
+@query
+def permutation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of three models, standardised values, over all metrics at once."""
+    return rounded(analysis.permutation_summary(_scaled(spark, sf_dir)), "stat", "p")
+
+
+@query
+def permutation_per_example_all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analysis.permutation_test_per_example(_scaled(spark, sf_dir), over_metrics=True), "stat", "p", "nlogp")
+
+
 @query
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregates.standardize(fx.metrics(spark, sf_dir), RUN, "value").select(*RUN, "example_id", "scaled"), "scaled")
@@ -398,7 +472,7 @@ def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pca_explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.pca_explained_variance(fx.metrics(spark, sf_dir), "m0", list(DOUBLES))
+    return analysis.pca_explained_variance(fx.metrics(spark, sf_dir), list(DOUBLES))
 
 
 @query
@@ -438,16 +512,127 @@ def one_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("example_id", "value"), "value")
 
 
-def _event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of (example_id, step, acc): steps are numbered before they arrive."""
-    return fx.stream_of(spark, fx.ragged(spark, sf_dir))
+def _drained(spark: SparkSession, sf_dir: str, scores: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Scores of the events as a stream in three parts: steps are numbered before they arrive."""
+    folder, parts = fx.stream_of(spark, fx.ragged(spark, sf_dir))
+    return online.drain_parts(spark, folder, parts, "example_id LONG, step LONG, acc BOOLEAN", scores, mode)
 
 
 @query
 def stream_event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return online.drain(online.event_times(_event_steps(spark, sf_dir)), "complete")
+    return _drained(spark, sf_dir, online.event_times, "complete")
 
 
 @query
 def stream_forget_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return online.drain(online.forget_scores(_event_steps(spark, sf_dir)))
+    return _drained(spark, sf_dir, online.forget_scores, "update")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def metric_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics written to folders and two of them read back."""
+    folder = _folder(spark, "metrics")
+    metrics.write_metrics(fx.metrics(spark, sf_dir), folder)
+    rows, _ = metrics.read_metrics(spark, folder)
+    return rounded(rows.where("model = 'm1' and metric in ('ent', 'margin')").select(*RUN, "example_id", "value", "is_train"), "value")
+
+
+@query
+def metric_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and runs as a listing of their files tells them."""
+    folder = _folder(spark, "metrics")
+    metrics.write_metrics(fx.metrics(spark, sf_dir), folder)
+    files = metrics.list_metric_files(spark, folder, include=["part"], suffix=".parquet")
+    return files.select(*[F.regexp_extract("path", f"{c}=([^/]*)", 1).alias(c) for c in RUN]).distinct()
+
+
+@query
+def checkpoints_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "checkpoints")
+    fx.trajectory(spark, sf_dir).write.partitionBy("step").parquet(folder)
+    return metrics.list_checkpoints(spark, folder).where(F.size("files") > 0).select("step")
+
+
+@query
+def exported_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export table as CSV, read back."""
+    folder, shown = _folder(spark, "csv"), ["all_mean", "train_median"]
+    wide = combine.export_wide(combine.combine_metrics(fx.metrics(spark, sf_dir), ["metric", "example_id"]), list(METRICS), shown)
+    metrics.write_csv(wide, folder)
+    back = spark.read.option("header", True).schema(wide.schema).csv(folder)
+    return back.select("example_id", *[steady(F.col(f"`{c}.{m}`")).alias(f"{c}_{m}") for m in METRICS for c in shown])
+
+
+@query
+def runs_of_a_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the runs that a table of parameters selects."""
+    folder, rows = _folder(spark, "hparams"), fx.metrics(spark, sf_dir).withColumn("run", F.concat_ws("_", "model", "replicate"))
+    table = rows.select("run", "model", "replicate").distinct().select(F.format_string("/runs/%s.pt", "run").alias("path"), F.col("model").alias("model_name"), (F.col("replicate") != 2).alias("custom_train_test_split"))
+    metrics.write_csv(table, folder)
+    chosen = combine.runs_of(metrics.read_hparams(spark, folder), "m1")
+    return combine.restrict_to_runs(rows, chosen, ["run"]).groupBy("run").agg(F.count("*").alias("n"))
+
+
+@query
+def saved_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An accumulator's state of half the steps saved, loaded and merged with the other half's."""
+    folder, rows = _folder(spark, "state"), fx.pointwise(spark, sf_dir)
+    metrics.save_state(aggregates.moment_state(rows.where("step < 3"), ["example_id"], "margin"), folder, "variance", {"steps": 3}, {"seen": [0, 1, 2]})
+    state, meta, lists = metrics.load_state(spark, folder, "variance")
+    rest = rows.where((F.col("step") >= meta["steps"]) & ~F.col("step").isin(lists["seen"]))
+    merged = aggregates.merge_moments(state.unionByName(aggregates.moment_state(rest, ["example_id"], "margin")), ["example_id"])
+    return rounded(aggregates.finish_moments(merged).drop("m2"), "mean", "variance")
+
+
+@query
+def array_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as the bytes of array files, decoded."""
+    files = arrays.encoded(fx.table(spark, sf_dir, "embeddings").select("vec_id", doubles(F.col("embedding")).alias("embedding")), ["vec_id"], "embedding")
+    return rounded(arrays.decoded(files, keys=("vec_id",)), "value")
+
+
+@query
+def stacked_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.trajectory(spark, sf_dir)
+    return aggregates.stack_metrics({t: rows.where(F.col("step") == t).drop("step") for t in range(fx.STEPS)})
+
+
+@query
+def appended_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.trajectory(spark, sf_dir)
+    return frames.append_rows([rows.where(F.col("step") == t) for t in (0, 2, 4)])
+
+
+@query
+def replicates_of_a_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(combine.select_replicates(fx.metrics(spark, sf_dir), model="m0", metric="conf").select("replicate", "example_id", "value"), "value")
+
+
+@query
+def metric_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.order_metrics(fx.metrics(spark, sf_dir))
+
+
+@query
+def key_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two checkpoints have the same examples, and whether training and other rows share any."""
+    rows = fx.metrics(spark, sf_dir)
+    one, two = (rows.where((F.col("replicate") == r) & (F.col("metric") == "ent")) for r in (0, 1))
+    found = (frames.same_keys(one, two, ["model", "example_id"]), frames.disjoint_keys(one.where("is_train"), two.where("is_train"), ["example_id"]))
+    return spark.createDataFrame([found], "same boolean, disjoint boolean")
+
+
+@query
+def renamed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.rename_all(fx.trajectory(spark, sf_dir), ["acc"], "np", "int")
+
+
+@query
+def layers_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named layers, whatever the patterns, and the modules they belong to."""
+    kept = layers.select_layers(fx.activations(spark, sf_dir), include=["block0"], layers=["block1.out", "block2.in"])
+    return kept.groupBy(layers.module_name(F.col("layer")).alias("module")).agg(F.count("*").alias("n"))

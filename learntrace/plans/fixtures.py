@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from learntrace.functions.vectors import argmax
 from learntrace.operators.pointwise import METRICS, pointwise_metrics
 from learntrace.session import cut, ensure_checkpoint_dir
-from learntrace.streaming import online
 
 STEPS, CLASSES, SCALE = 6, 10, 10.0
 LAYERS, LAYER_DIM = 4, 16
@@ -75,21 +74,21 @@ def weights(spark: SparkSession, steps: int = STEPS) -> DataFrame:
     return grid.withColumn("w", w).withColumn("b", F.lit(1.0))
 
 
-def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """model, replicate, metric, example_id, value, is_train: the scores of two models of three replicates."""
+def metrics(spark: SparkSession, sf_dir: str, replicates: int = 3) -> DataFrame:
+    """model, replicate, metric, example_id, value, is_train: the scores of two models of three replicates, or as
+    many as six steps make of other ``replicates``."""
     df = pointwise(spark, sf_dir)
-    run = df.withColumn("model", F.when(F.col("step") < 3, "m0").otherwise("m1")).withColumn("replicate", F.col("step") % 3)
+    run = df.withColumn("model", F.concat(F.lit("m"), F.floor(F.col("step") / replicates).cast("string"))).withColumn("replicate", F.col("step") % replicates)
     each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS])
     long = run.select("model", "replicate", "example_id", F.explode(each).alias("s"))
     return long.select("model", "replicate", "s.metric", "example_id", "s.value", ((F.col("example_id") + F.col("replicate")) % 2 == 0).alias("is_train"))
 
 
-def stream_of(spark: SparkSession, steps: DataFrame, batches: int = 3) -> DataFrame:
-    """(example_id, step, acc) as a file stream of a few triggers, in order of steps within each example."""
+def stream_of(spark: SparkSession, steps: DataFrame, batches: int = 3) -> tuple[str, list[DataFrame]]:
+    """A folder, and its (example_id, step, acc) in the order of steps within each example, a frame a trigger: each
+    is written to the folder, in as many files as it has partitions, when its turn comes."""
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
     size = steps.groupBy("example_id").agg(F.count("*").alias("n"))
     part = F.floor(F.col("step") * batches / F.col("n")).cast("int")
     held = cut(steps.join(size, "example_id").select("example_id", F.col("step").cast("long").alias("step"), "acc", part.alias("part")))
-    for i in range(batches):
-        held.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(folder)
-    return online.read_steps(spark, folder, "*.parquet", "example_id LONG, step LONG, acc BOOLEAN")
+    return folder, [held.where(F.col("part") == i).drop("part") for i in range(batches)]

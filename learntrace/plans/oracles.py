@@ -14,11 +14,13 @@ CTE = {
     "acts": "SELECT l.i AS layer_idx, e.vec_id AS example_id, e.label, list_transform(e.embedding[(16*l.i+1):(16*l.i+16)], lambda x: x::DOUBLE) AS act FROM embeddings e, (SELECT unnest(range(4)) AS i) l",
     "metrics": """SELECT CASE WHEN step < 3 THEN 'm0' ELSE 'm1' END AS model, step % 3 AS replicate, metric, example_id, value, (example_id + step % 3) % 2 = 0 AS is_train FROM
         (SELECT example_id, step, unnest(['acc', 'ent', 'conf', 'maxconf', 'margin', 'el2n']) AS metric, unnest([acc::INT::DOUBLE, ent, conf, maxconf, margin, el2n]) AS value FROM point)""",
+    "three": """SELECT 'm' || (step // 2) AS model, step % 2 AS replicate, metric, example_id, round(value, 9) AS value FROM
+        (SELECT example_id, step, unnest(['acc', 'ent', 'conf', 'maxconf', 'margin', 'el2n']) AS metric, unnest([acc::INT::DOUBLE, ent, conf, maxconf, margin, el2n]) AS value FROM point)""",
     "lin": """SELECT vec_id AS example_id, label, t AS step, list_transform(embedding, lambda x: x::DOUBLE) AS x, list_transform(range(10), lambda c: 1.0::DOUBLE +
         list_sum(list_transform(embedding, lambda v, j: v::DOUBLE * ((31*c + 17*(j-1) + 7*t) % 13 - 6)::DOUBLE / 13.0::DOUBLE))) AS z FROM embeddings, (SELECT unnest(range(6)) AS t)""",
     "linp": "SELECT example_id, label, step, x, z, list_transform(ez, lambda e: e / list_sum(ez)) AS p FROM (SELECT *, list_transform(z, lambda v: exp(v - list_max(z))) AS ez FROM lin)",
 }
-NEEDS = {"soft": ["logits"], "point": ["logits", "soft"], "dense": ["logits", "soft", "point"], "metrics": ["logits", "soft", "point"], "linp": ["lin"]}
+NEEDS = {"soft": ["logits"], "point": ["logits", "soft"], "dense": ["logits", "soft", "point"], "metrics": ["logits", "soft", "point"], "three": ["logits", "soft", "point"], "linp": ["lin"]}
 
 
 def sql(names: str, body: str, **more: str) -> str:
@@ -77,10 +79,26 @@ VOG = "SELECT example_id, {v} AS vog FROM (SELECT example_id, px, var_samp(m) AS
 CORR = "CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END"
 PAIRS = """SELECT model, replicate, metric_a, metric_b, {corr} AS corr FROM (SELECT a.model, a.replicate, a.metric AS metric_a, b.metric AS metric_b, a.{v} AS av, b.{v} AS bv FROM {t} a JOIN {t} b
     ON a.model = b.model AND a.example_id = b.example_id AND ((a.metric <> b.metric AND a.replicate = b.replicate) OR (a.metric = b.metric AND a.replicate < 1 AND b.replicate = a.replicate + 1))) GROUP BY ALL"""
-PERMS = """SELECT -1 AS perm, model, replicate, (dense_rank() OVER (ORDER BY model) - 1)::INT AS side FROM (SELECT DISTINCT model, replicate FROM metrics) UNION ALL
-    SELECT perm, model, replicate, CASE WHEN row_number() OVER (PARTITION BY perm ORDER BY key, c) <= 3 THEN 0 ELSE 1 END AS side FROM
-    (SELECT *, ((perm * 7919 + c * 104729 + 1) * 48271) % 2147483647 * 16807 % 2147483647 AS key FROM (SELECT *, dense_rank() OVER (ORDER BY model, replicate) AS c FROM (SELECT DISTINCT model, replicate FROM metrics)), (SELECT unnest(range(100)) AS perm))"""
-DIFFS = "SELECT perm, metric, example_id, avg(value) FILTER (WHERE side = 0) - avg(value) FILTER (WHERE side = 1) AS diff FROM metrics JOIN perms USING (model, replicate) GROUP BY ALL"
+#: Assignments of the run columns of each pair of models to two sides; -1 is the true one.
+PERMS = """SELECT -1 AS perm, model_a, model_b, model, replicate, (model = model_b)::INT AS side FROM paired UNION ALL
+    SELECT perm, model_a, model_b, model, replicate, CASE WHEN row_number() OVER (PARTITION BY model_a, model_b, perm ORDER BY key, c) <= of_a THEN 0 ELSE 1 END AS side FROM
+    (SELECT *, ((perm * 7919 + c * 104729 + 1) * 48271) % 2147483647 * 16807 % 2147483647 AS key FROM paired, (SELECT unnest(range(100)) AS perm))"""
+PAIRED = """SELECT *, count(*) FILTER (WHERE model = model_a) OVER (PARTITION BY model_a, model_b) AS of_a FROM
+    (SELECT a.model AS model_a, b.model AS model_b FROM (SELECT DISTINCT model FROM {t}) a JOIN (SELECT DISTINCT model FROM {t}) b ON a.model < b.model)
+    JOIN (SELECT *, dense_rank() OVER (ORDER BY model, replicate) AS c FROM (SELECT DISTINCT model, replicate FROM {t})) ON model = model_a OR model = model_b"""
+DIFFS = "SELECT model_a, model_b, perm, metric, example_id, {f}({v}) FILTER (WHERE side = 0) - {f}({v}) FILTER (WHERE side = 1) AS diff FROM {t} JOIN perms USING (model, replicate) GROUP BY ALL"
+
+
+def permuted(source: str, table: str, keys: str, norm: str, value: str = "value", f: str = "avg", nlogp: bool = False, **more: str) -> str:
+    """Statistics of the true assignment by ``keys`` and the share of the others that are as large."""
+    keyed = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    shown = ", ".join(f"a.{k}" for k in keys.split(", "))
+    tests = f"SELECT {shown}, any_value(a.norm) AS stat, avg((b.norm >= a.norm)::INT) AS p FROM norms a JOIN norms b ON {keyed} WHERE a.perm = -1 AND b.perm <> -1 GROUP BY {shown}"
+    body = f"SELECT {keys}, {r('stat')} AS stat, {r('p')} AS p{', ' + r('-ln(p + 1e-8)') + ' AS nlogp' if nlogp else ''} FROM tests"
+    return sql(source, body, **more, paired=PAIRED.format(t=table), perms=PERMS, diffs=DIFFS.format(f=f, v=value, t=table), norms=f"SELECT perm, {keys}, round({norm}, 9) AS norm FROM diffs GROUP BY ALL", tests=tests)
+
+
+SCALED = "SELECT model, replicate, metric, example_id, CASE WHEN sd > 0 THEN (value - mean) / sd ELSE value - mean END AS value FROM (SELECT *, avg(value) OVER w AS mean, stddev_pop(value) OVER w AS sd FROM three WINDOW w AS (PARTITION BY model, replicate, metric))"
 REDUCTIONS = ", ".join(f"{r(f'{f}(value) FILTER (WHERE {c})')} AS {n}_{k}" for n, c in (("all", "true"), ("train", "is_train"), ("test", "NOT is_train")) for k, f in (("mean", "avg"), ("median", "median")))
 STEPPED = lambda f, p: ", ".join(f"{r(f'{f}({_NUM[m]})')} AS {p}_{m}" for m in METRIC_NAMES)
 
@@ -116,9 +134,10 @@ ORACLES: dict[str, str] = {
     "ensemble_metrics": sql("point", f"SELECT p.example_id, CASE WHEN bool_and(acc) THEN 1 WHEN NOT bool_or(acc) THEN -1 ELSE 0 END AS ddd, {r('avg(acc::INT)')} AS allacc, any_value(c.pred) AS consensuslabel FROM point p JOIN (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY n DESC, pred) AS rn FROM (SELECT example_id, pred, count(*) AS n FROM point GROUP BY ALL)) c ON p.example_id = c.example_id AND rn = 1 GROUP BY p.example_id"),
     "rank_avg_ties": sql("metrics", f"SELECT model, replicate, metric, example_id, {r('rnk')} AS rank FROM ranked", ranked=RANKED.replace("ORDER BY value", "ORDER BY round(value, 9)").replace("metric, value)", "metric, round(value, 9))")),
     "rank_event_values": "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY v) + (count(*) OVER (PARTITION BY event_type, v) - 1) / 2.0::DOUBLE - 1 AS rank FROM (SELECT event_id, event_type, floor(value) AS v FROM events)",
-    "order_to_rank": sql("metrics", "SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY round(value, 9), example_id) - 1 AS rank, example_id FROM metrics WHERE model = 'm0' AND replicate = 0"),
+    "argsort_runs": sql("metrics", "SELECT model, replicate, metric, row_number() OVER (PARTITION BY model, replicate, metric ORDER BY round(value, 9), example_id) - 1 AS rank, example_id FROM metrics"),
+    "order_to_rank": sql("logits", "SELECT row_id, step, class_idx, row_number() OVER (PARTITION BY row_id, step ORDER BY v, class_idx) - 1 AS rank FROM (SELECT example_id AS row_id, step, unnest(range(10)) AS class_idx, round(unnest(z), 9) AS v FROM logits)"),
     "rank_bins": sql("metrics", "SELECT model, metric, example_id, bin FROM bins", bins=BINS),
-    "binned_quantiles": sql("metrics", f"SELECT model, metric, bin, n, {r('mean')} AS mean, {r('median')} AS median, {r('low')} AS low, {r('high')} AS high, (sum(n) OVER (PARTITION BY model, metric ORDER BY bin))::BIGINT AS x FROM (SELECT m.model, m.metric, bin, count(*) AS n, avg(m.value) AS mean, median(m.value) AS median, quantile_cont(m.value, 0.05) AS low, quantile_cont(m.value, 0.95) AS high FROM metrics m JOIN bins USING (model, metric, example_id) GROUP BY ALL)", bins=BINS),
+    "binned_quantiles": sql("metrics", f"SELECT model, metric, bin, n, {r('mean')} AS mean, {r('median')} AS median, CASE WHEN metric <> 'acc' THEN {r('low')} END AS low, CASE WHEN metric <> 'acc' THEN {r('high')} END AS high, (sum(n) OVER (PARTITION BY model, metric ORDER BY bin))::BIGINT AS x FROM (SELECT m.model, m.metric, bin, count(*) AS n, avg(m.value) AS mean, median(m.value) AS median, quantile_cont(m.value, 0.05) AS low, quantile_cont(m.value, 0.95) AS high FROM metrics m JOIN bins USING (model, metric, example_id) GROUP BY ALL)", bins=BINS),
     "layer_filter": "SELECT l.i AS layer_idx, count(*) AS n FROM embeddings, (SELECT unnest([1, 2]) AS i) l GROUP BY ALL",
     "distinct_layers": "SELECT i AS layer_idx, CASE WHEN i % 2 = 1 THEN 'block' || i || '.out' ELSE 'block' || i || '.in' END AS layer, count(*) AS n FROM embeddings, (SELECT unnest(range(4)) AS i) GROUP BY ALL",
     "knn_predict": sql("acts", "SELECT * FROM voted", near=KNN.format(q="acts", t="acts", k=30), voted=VOTED.format(q="acts")),
@@ -134,13 +153,17 @@ ORACLES: dict[str, str] = {
     "grand_score": sql("linp", f"SELECT example_id, {r('avg(sqrt(list_sum(list_transform(p, lambda v, c: (v - (c = label + 1)::INT) * (v - (c = label + 1)::INT))) * (list_sum(list_transform(x, lambda v: v * v)) + 1)))')} AS grand FROM linp GROUP BY example_id"),
     "combine_metrics": sql("metrics", f"SELECT model, metric, example_id, {REDUCTIONS} FROM metrics GROUP BY ALL"),
     "is_train_sanity": sql("metrics", "SELECT model, metric, min(n)::BIGINT AS least, " + r("avg(n)") + " AS mean, max(n)::BIGINT AS most, 0::BIGINT AS violations FROM (SELECT model, metric, example_id, count(*) FILTER (WHERE is_train) AS n FROM metrics GROUP BY ALL) GROUP BY ALL"),
-    "average_over_replicates": sql("metrics", f"SELECT example_id, {', '.join(f'''{r(f'avg(value) FILTER (WHERE metric = {chr(39)}{m}{chr(39)})')} AS {m}''' for m in METRIC_NAMES)} FROM metrics WHERE model = 'm1' GROUP BY example_id"),
+    "average_over_replicates": sql("metrics", f"SELECT model, example_id, {', '.join(f'''{r(f'avg(value) FILTER (WHERE metric = {chr(39)}{m}{chr(39)})')} AS {m}''' for m in METRIC_NAMES)} FROM metrics GROUP BY model, example_id"),
     "outer_union_models": sql("metrics", f"SELECT metric, example_id, {r('coalesce(a.value, b.value)')} AS value FROM (SELECT metric, example_id, value FROM metrics WHERE model = 'm0' AND replicate = 0 AND is_train) a FULL JOIN (SELECT metric, example_id, value FROM metrics WHERE model = 'm1' AND replicate = 1) b USING (metric, example_id)"),
     "metric_correlation_pearson": sql("metrics", f"SELECT model, metric_a, metric_b, {r('avg(corr)')} AS corr FROM pairs GROUP BY ALL", pairs=PAIRS.format(corr=CORR.format(a="av", b="bv"), v="value", t="metrics")),
     "metric_correlation_spearman": sql("metrics", f"SELECT model, metric_a, metric_b, {r('avg(corr)')} AS corr FROM pairs GROUP BY ALL", rounded="SELECT * REPLACE (round(value, 9) AS value) FROM metrics", ranked=RANKED.replace("FROM metrics", "FROM rounded"), pairs=PAIRS.format(corr=CORR.format(a="av", b="bv"), v="rnk", t="ranked")),
     "correlation_shrink": sql("metrics", f"SELECT model, metric_a, metric_b, {r('corr_of_avg')} AS corr_of_avg, {r('corr')} AS corr, {r('corr_of_avg - corr')} AS shrink FROM (SELECT model, metric_a, metric_b, avg(corr) AS corr FROM pairs GROUP BY ALL) JOIN (SELECT a.model, a.metric AS metric_a, b.metric AS metric_b, {CORR.format(a='a.value', b='b.value')} AS corr_of_avg FROM means a JOIN means b ON a.model = b.model AND a.example_id = b.example_id GROUP BY ALL) USING (model, metric_a, metric_b)", means="SELECT model, metric, example_id, avg(value) AS value FROM metrics GROUP BY ALL", pairs=PAIRS.format(corr=CORR.format(a="av", b="bv"), v="value", t="metrics")),
-    "permutation_test": sql("metrics", f"SELECT a.metric, {r('any_value(a.norm)')} AS stat, {r('avg((b.norm >= a.norm)::INT)')} AS p FROM norms a JOIN norms b ON a.metric = b.metric WHERE a.perm = -1 AND b.perm <> -1 GROUP BY a.metric", perms=PERMS, diffs=DIFFS, norms="SELECT perm, metric, round(sqrt(sum(diff * diff)), 9) AS norm FROM diffs GROUP BY ALL"),
-    "permutation_test_per_example": sql("metrics", f"SELECT metric, example_id, {r('stat')} AS stat, {r('p')} AS p, {r('-ln(p + 1e-8)')} AS nlogp FROM (SELECT a.metric, a.example_id, any_value(round(abs(a.diff), 9)) AS stat, avg((round(abs(b.diff), 9) >= round(abs(a.diff), 9))::INT) AS p FROM diffs a JOIN diffs b ON a.metric = b.metric AND a.example_id = b.example_id WHERE a.perm = -1 AND b.perm <> -1 GROUP BY ALL)", perms=PERMS, diffs=DIFFS),
+    "permutation_test": permuted("metrics", "metrics", "model_a, model_b, metric", "sqrt(sum(diff * diff))"),
+    "permutation_test_per_example": permuted("metrics", "metrics", "model_a, model_b, metric, example_id", "any_value(abs(diff))", nlogp=True),
+    "permutation_test_median": permuted("metrics", "metrics", "model_a, model_b, metric", "max(abs(diff))", f="median"),
+    "permutation_test_ranks": permuted("three", "ranked", "model_a, model_b, metric", "sqrt(sum(diff * diff))", value="rnk", ranked=RANKED.replace("FROM metrics", "FROM three")),
+    "permutation_summary": permuted("three", "scaled", "model_a, model_b", "sqrt(sum(diff * diff))", scaled=SCALED),
+    "permutation_per_example_all_metrics": permuted("three", "scaled", "model_a, model_b, example_id", "sqrt(sum(diff * diff))", nlogp=True, scaled=SCALED),
     "standardize": sql("metrics", f"SELECT model, replicate, metric, example_id, {r('CASE WHEN sd > 0 THEN (value - mean) / sd ELSE value - mean END')} AS scaled FROM (SELECT *, avg(value) OVER w AS mean, stddev_pop(value) OVER w AS sd FROM metrics WINDOW w AS (PARTITION BY model, replicate, metric))"),
     "split_batches": "SELECT label, vec_id AS example_id, ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 15)::BIGINT AS batch FROM embeddings",
     "batch_accumulator": f"SELECT user_id, count(*) AS n, {r('avg(value)')} AS mean FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 7 ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 GROUP BY user_id",
@@ -148,6 +171,26 @@ ORACLES: dict[str, str] = {
     "apply_to_metrics": sql("point", f"SELECT example_id, step, {', '.join(f'{r(f'{m} * 100', 3)} AS pct_{m}' for m in METRIC_NAMES[1:])} FROM point"),
     "known_models": sql("metrics", "SELECT model, metric, count(*) AS n, 'second' AS name, 0 AS place FROM metrics WHERE model = 'm1' GROUP BY ALL"),
     "one_checkpoint": sql("metrics", f"SELECT example_id, {r('value')} AS value FROM metrics WHERE model = 'm1' AND replicate = 2 AND metric = 'ent'"),
+    "correlation_of_medians": sql("metrics", f"SELECT a.model, a.metric AS metric_a, b.metric AS metric_b, {r(CORR.format(a='a.value', b='b.value'))} AS corr_of_avg FROM means a JOIN means b ON a.model = b.model AND a.example_id = b.example_id GROUP BY a.model, a.metric, b.metric", means="SELECT model, metric, example_id, median(value) AS value FROM metrics GROUP BY ALL"),
+    "representation_metrics_options": sql("soft point acts", f"SELECT coalesce(p.example_id, d.example_id) AS example_id, p.label, {r('p.proto')} AS proto, d.pd, d.m0 AS pdlayer0, d.m2 AS pdlayer2, d.m3 AS pdlayer3, d.m4 AS pdlayer4, s.acc, {', '.join(f'{r(f's.{m}')} AS {m}' for m in METRIC_NAMES[1:])} FROM (SELECT * FROM protos WHERE layer_idx = 1) p FULL JOIN (SELECT example_id, coalesce(max(layer_idx) FILTER (WHERE NOT match) + 1, 0)::BIGINT AS pd, {', '.join(f'bool_or(match) FILTER (WHERE layer_idx = {i}) AS m{i}' for i in (0, 2, 3, 4))} FROM voted GROUP BY example_id) d ON p.example_id = d.example_id LEFT JOIN (SELECT * FROM point WHERE step = 5 AND example_id % 5 <> 0) s ON s.example_id = coalesce(p.example_id, d.example_id)",
+        every="SELECT * FROM acts WHERE layer_idx <> 1 UNION ALL SELECT 4 AS layer_idx, example_id, label, list_transform(p, lambda v: round(v, 9)) AS act FROM soft WHERE step = 5", tr="SELECT * FROM every WHERE example_id % 5 <> 0", te="SELECT * FROM every WHERE example_id % 5 = 0",
+        near=KNN.format(q="te", t="tr", k=15), voted=VOTED.format(q="te"), protos=PROTO.replace("FROM acts", "FROM (SELECT * FROM acts WHERE example_id % 5 <> 0)")),
+    "nearest_center": sql("acts", f"SELECT a.example_id, {r('min(list_distance(a.act, c.center))')} AS nearest FROM acts a, (SELECT label, list(m ORDER BY pos) AS center FROM (SELECT label, pos, avg(v) AS m FROM (SELECT label, unnest(range(16)) AS pos, unnest(act) AS v FROM acts WHERE layer_idx = 3) GROUP BY ALL) GROUP BY ALL) c WHERE a.layer_idx = 3 GROUP BY a.example_id"),
+    "input_gradient_by_step": sql("linp", f"SELECT example_id, step, j AS pos, {r('g')} AS grad FROM grads", grads=LOSS_GRAD),
+    "metric_folders": sql("metrics", f"SELECT model, replicate, metric, example_id, {r('value')} AS value, is_train FROM metrics WHERE model = 'm1' AND metric IN ('ent', 'margin')"),
+    "metric_files": sql("metrics", "SELECT DISTINCT model, replicate::VARCHAR AS replicate, metric FROM metrics"),
+    "checkpoints_listed": sql("dense", "SELECT DISTINCT step::BIGINT AS step FROM dense"),
+    "exported_csv": sql("metrics", f"SELECT example_id, {', '.join(f'{r(f'avg(value) FILTER (WHERE metric = {chr(39)}{m}{chr(39)})')} AS all_mean_{m}, {r(f'median(value) FILTER (WHERE is_train AND metric = {chr(39)}{m}{chr(39)})')} AS train_median_{m}' for m in METRIC_NAMES)} FROM metrics GROUP BY example_id"),
+    "runs_of_a_model": sql("metrics", "SELECT model || '_' || replicate AS run, count(*) AS n FROM metrics WHERE model = 'm1' AND replicate <> 2 GROUP BY ALL"),
+    "saved_state": sql("point", f"SELECT example_id, count(*)::BIGINT AS n, {r('avg(margin)')} AS mean, {r('var_samp(margin)')} AS variance FROM point GROUP BY example_id"),
+    "array_files": f"SELECT vec_id, pos::BIGINT AS pos, {r('v::DOUBLE')} AS value FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings)",
+    "stacked_steps": sql("dense", "SELECT example_id, acc, step FROM dense"), "appended_steps": sql("dense", "SELECT example_id, step, acc FROM dense WHERE step IN (0, 2, 4)"),
+    "replicates_of_a_metric": sql("metrics", f"SELECT replicate, example_id, {r('value')} AS value FROM metrics WHERE model = 'm0' AND metric = 'conf'"),
+    "metric_names": sql("metrics", "SELECT DISTINCT metric FROM metrics"),
+    "key_checks": sql("metrics", "SELECT (SELECT count(*) FROM (SELECT model, example_id FROM one EXCEPT SELECT model, example_id FROM two)) + (SELECT count(*) FROM (SELECT model, example_id FROM two EXCEPT SELECT model, example_id FROM one)) = 0 AS same, (SELECT count(*) FROM (SELECT example_id FROM one WHERE is_train INTERSECT SELECT example_id FROM two WHERE is_train)) = 0 AS disjoint",
+        one="SELECT * FROM metrics WHERE replicate = 0 AND metric = 'ent'", two="SELECT * FROM metrics WHERE replicate = 1 AND metric = 'ent'"),
+    "renamed_columns": sql("dense", "SELECT example_id, step, acc::INT AS np_acc FROM dense"),
+    "layers_named": "SELECT 'block' || i AS module, count(*) AS n FROM embeddings, (SELECT unnest([1, 2]) AS i) GROUP BY ALL",
     "stream_event_times": sql("ragged", f"SELECT example_id, count(*) AS n, {FIRSTLEARN} AS firstlearn, {FIRSTUNFORGETTABLE} AS firstunforgettable, {FIRSTFORGET} AS firstforget, {FIRSTUNLEARNABLE} AS firstunlearnable FROM ragged GROUP BY example_id"),
     "stream_forget_metrics": edges("ragged", False, n="count(*)", countforget=COUNT, unforgettable=UNFORGETTABLE, firstlearn=FIRSTLEARN, firstunforgettable=FIRSTUNFORGETTABLE),
 }

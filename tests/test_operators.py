@@ -136,11 +136,64 @@ def test_constant_columns_have_no_correlation(spark):
 
 def test_pca_ratios_are_the_eigenvalues(spark):
     names = list(fx.METRICS[1:])
-    got = analysis.pca_explained_variance(fx.metrics(spark, SF), "m0", names).orderBy("component").toPandas()
-    wide = combine.average_over_replicates(fx.metrics(spark, SF), "m0", names).toPandas()[names].to_numpy()
-    e = np.sort(np.linalg.eigvalsh(np.corrcoef(wide.T)))[::-1]
-    assert np.allclose(got["ratio"], e / e.sum(), atol=1e-9)
-    assert got["kept"].sum() == np.searchsorted(np.cumsum(e / e.sum()), 0.99, side="right") + 1 or got["kept"].all()
+    found = analysis.pca_explained_variance(fx.metrics(spark, SF), names).orderBy("component").toPandas()
+    assert set(found["model"]) == {"m0", "m1"}
+    for model, got in found.groupby("model"):
+        wide = combine.average_over_replicates(fx.metrics(spark, SF), names, model).toPandas()[names].to_numpy()
+        e = np.sort(np.linalg.eigvalsh(np.corrcoef(wide.T)))[::-1]
+        assert np.allclose(got["ratio"], e / e.sum(), atol=1e-9)
+        assert got["kept"].sum() == np.searchsorted(np.cumsum(e / e.sum()), 0.99, side="right") + 1 or got["kept"].all()
+
+
+def test_each_pair_of_models_is_tested_alone(spark):
+    """Models a and b are alike and c is shifted; d has one run only."""
+    rng = np.random.default_rng(2)
+    rows = [(m, r, "x", i, float(rng.normal(0, 0.1) + (5 if m == "c" else 0))) for m, runs in (("a", 4), ("b", 4), ("c", 4), ("d", 1)) for r in range(runs) for i in range(20)]
+    df = spark.createDataFrame(rows, "model string, replicate int, metric string, example_id long, value double")
+    got = {(r["model_a"], r["model_b"]): r for r in analysis.permutation_test(df).collect()}
+    assert set(got) == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")}
+    assert got["a", "c"]["stat"] > 20 and got["a", "c"]["p"] < 0.1 and got["a", "b"]["stat"] < 1 and got["a", "b"]["p"] > 0.05
+    sizes = {(p.model_a, p.model_b): (set(p.side_a.sum(axis=1)), set(p.side_b.sum(axis=1))) for p in analysis.pairings(sorted({(m, r) for m, r, *_ in rows}))}
+    assert sizes["a", "d"] == ({4}, {1}) and sizes["a", "b"] == ({4}, {4})
+    gone = analysis.permutation_test(df.where("not (model = 'b' and example_id < 5)")).collect()  # missing values count for neither side
+    assert len(gone) == 6 and all(r["stat"] is not None for r in gone)
+    assert analysis.permutation_test(df.limit(0)).count() == 0
+
+
+def test_places_of_a_value_that_most_rows_share(spark):
+    """A metric of two values: no window holds its rows, and every task has a range of them."""
+    df = spark.range(0, 50_000, 1, 8).select(F.lit("acc").alias("metric"), F.col("id"), (F.col("id") % 10 == 0).cast("double").alias("v"))
+    placed = ranking.order_position(df, ["metric"], "v", "id")
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Window" in line and "row_number" in line for line in plan.splitlines())
+    got = placed.toPandas().sort_values("position")
+    assert got["position"].tolist() == list(range(50_000)) and got["id"].tolist() == [i for i in range(50_000) if i % 10] + list(range(0, 50_000, 10))
+    sizes = df.repartitionByRange(8, "metric", "v", "id").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert sizes.max() < 3 * sizes.median()
+
+
+def test_quantiles_are_interpolated(spark):
+    rng = np.random.default_rng(3)
+    x = [(k, i, float(v)) for k, n in (("a", 1), ("b", 2), ("c", 37)) for i, v in enumerate(rng.integers(0, 9, n))] + [("c", 99, None)]
+    got = {r["k"]: r for r in ranking.quantiles(spark.createDataFrame(x, "k string, i long, v double"), ["k"], "v", ["i"], {"q": 0.05, "m": 0.5}).collect()}
+    for k in "abc":
+        own = [v for key, _, v in x if key == k and v is not None]
+        assert math.isclose(got[k]["q"], np.quantile(own, 0.05)) and math.isclose(got[k]["m"], np.median(own))
+
+
+def test_neighbours_by_products_are_the_exact_ones():
+    rng = np.random.default_rng(4)
+    for scale in (1.0, 1e6):
+        a, b = np.round(rng.normal(0, scale, (60, 3)), 1), np.round(rng.normal(0, scale, (200, 3)), 1)
+        b[50:90] = b[:40]  # ties
+        b += 1e5
+        a += 1e5
+        ids = rng.permutation(200)
+        row, col, d = representation._closest(a, b, ids, 7)
+        exact = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+        want = [sorted(range(200), key=lambda j, i=i: (exact[i, j], ids[j]))[:7] for i in range(60)]
+        assert row.tolist() == np.repeat(np.arange(60), 7).tolist() and col.tolist() == [j for w in want for j in w]
+    assert representation._closest(a, b[:3], ids[:3], 7)[1].shape == (180,)
 
 
 def test_combine_and_export(spark):

@@ -8,7 +8,7 @@ from tests.conftest import SF
 
 
 def test_orders(spark, tmp_path):
-    for m in arrays.ORDER_METRICS:
+    for m in arrays.PUBLISHED["order"].choices["metric"]:
         np.save(tmp_path / f"order_cifar_{m}_train.npy", np.array([2, 0, 1]))
     got = {r["example_id"]: r["rank"] for r in arrays.read_order(spark, str(tmp_path), "adv", "cifar10").collect()}
     assert got == {2: 0, 0: 1, 1: 2}
@@ -25,9 +25,11 @@ def test_values_and_influence(spark, tmp_path):
         arrays.read_memorization(spark, str(tmp_path), "cifar10")
     np.savez(tmp_path / "selfproto-cifar10-swav.npz", np.arange(3.0))
     assert arrays.read_prototype_distances(spark, str(tmp_path), "cifar10").count() == 3
-    np.savez(tmp_path / "i.npz", tr_idx=np.array([1, 2]), tt_idx=np.array([3, 4]), infl=np.array([0.1, 0.2]), mem=np.array([0.5, 0.6, 0.7]))
-    pairs, mem = arrays.read_influence(spark, str(tmp_path / "i.npz"))
+    np.savez(tmp_path / "influence-memorization-cifar100.npz", tr_idx=np.array([1, 2]), tt_idx=np.array([3, 4]), infl=np.array([0.1, 0.2]), mem=np.array([0.5, 0.6, 0.7]))
+    pairs, mem = arrays.read_influence(spark, str(tmp_path))
     assert sorted(map(tuple, pairs.collect())) == [(1, 3, 0.1), (2, 4, 0.2)] and mem.count() == 3
+    with pytest.raises(ValueError):
+        arrays.read_influence(spark, str(tmp_path), "cifar10")
 
 
 def test_metric_folders(spark, tmp_path):
