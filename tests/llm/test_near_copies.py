@@ -2,10 +2,11 @@
 
 import itertools
 
+import numpy as np
 import pandas as pd
 
 import corpus_pipeline
-from learntrace.llm import decontam, simhash
+from learntrace.llm import decontam, minhash, simhash
 from tests.llm.data import CLEAN
 
 BIG = "/root/testdata/sf0.01"
@@ -46,3 +47,41 @@ def test_rows_with_null_or_repeated_ids_are_judged_alone(spark):
     bench = spark.createDataFrame([(1, CLEAN)], "item_id long, text string")
     left = sorted((str(d), t) for d, t in decontam.decontaminated(docs, bench).collect())
     assert left == sorted((str(d), t) for d, t in texts if t != CLEAN)
+
+
+def variants(rng, n, words=150):
+    """Copies of one text with a few to many of its words changed, and some of their own."""
+    base = [f"w{rng.integers(0, 10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        text = list(base[: words - int(rng.integers(0, 30))])
+        for at in rng.choice(len(text), int(rng.choice([0, 1, 2, 3, 4, 5, 6, 8, 12])), replace=False):
+            text[at] = f"x{rng.integers(0, 10**6)}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_variants_of_one_text_link_as_all_pairs_do(spark):
+    """A crowded group whose pairs lie on both sides of the similarity."""
+    rng = np.random.default_rng(5)
+    texts = variants(rng, 150) + variants(rng, 60, 40) + ["", None, "one two"]
+    sets = [five_words(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if (not sets[a] and not sets[b]) or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and sets[a]]
+    for a, b in near:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    want = {i: find(i) for i in range(len(texts))}
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: r["root"] for r in minhash.groups(rows, "id", "text", 5, 0.8).collect()}
+    same = lambda m: {frozenset(i for i in m if m[i] == r) for r in m.values()}
+    assert same(got) == same(want)
+    # Across components nothing is left out, and little else is met.
+    alone = spark.createDataFrame([(i, i) for i in range(210)], "node long, root long")
+    met = {tuple(sorted(r)) for r in minhash._across(alone, rows.withColumnRenamed("id", "node"), 5, 0.8).collect()}
+    assert {p for p in near if p[1] < 210} <= met and len(met) < 210 * 209 / 4
