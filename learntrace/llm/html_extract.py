@@ -10,7 +10,8 @@ which on a line is a seed of content.
 
 A region is what stands in the block around a seed's block. A line that is no seed stays if it stands in such a
 region: in an article always, and outside of one if no article has a seed and it is neither a list of links nor
-of a doubtful name. So short lines of a chosen region stay, and a long text beside a short article does, too.
+of a doubtful name. So short lines of a chosen region stay, and a long text beside a short article does, too. Where
+all text stands in forms and a line of it is prose, a form wraps the page and is not furniture.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as the parser
 gets, and what it cannot read counts as text; regions that tie are all chosen; each row is judged alone; an
@@ -35,6 +36,7 @@ CHUNK = 1 << 16
 SIGMA = 1.0
 ARTICLE, DOUBT = 2.0, 1.5
 LINKS = 0.5  # share of a line's text in links from which on it is a list of links
+PROSE = 100  # characters for each tag of a line that a form of fields does not hold
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title iframe object svg math canvas audio video map select textarea button datalist".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog".split())
@@ -67,6 +69,7 @@ class Line:
     furniture: bool
     doubtful: bool
     article: int  # number of the article or main element around it, 0 if none
+    wrapped: bool = False  # whether forms are the only furniture around it
     parts: list[str] = field(default_factory=list)
     tags: int = 0
     linked: int = 0  # characters in links
@@ -101,7 +104,7 @@ class Lines(HTMLParser):
         self.stack: list[_Open] = []
         self.open: Counter[str] = Counter()  # open elements of each tag
         self.furnished: list[int] = []  # places in the stack of open furniture
-        self.doubts = self.aparts = self.asides = self.silent = self.links = 0
+        self.doubts = self.aparts = self.asides = self.forms = self.silent = self.links = 0
         self.blocks: list[tuple[int, int]] = []  # place in the stack and number of the open blocks
         self.parent, self.last = [0], [0]  # of each block: the block around it, the last block inside it
         self.inside: list[int] = []  # numbers of the open article or main elements
@@ -120,7 +123,7 @@ class Lines(HTMLParser):
     def _at(self) -> Line:
         if self.line is None:
             block = self.blocks[-1][1] if self.blocks else 0
-            self.line = Line(block, bool(self.furnished), self.doubts > 0, self.inside[-1] if self.inside else 0)
+            self.line = Line(block, bool(self.furnished), self.doubts > 0, self.inside[-1] if self.inside else 0, len(self.furnished) == self.forms)
         return self.line
 
     def _pop(self) -> None:
@@ -129,6 +132,7 @@ class Lines(HTMLParser):
         if self.furnished and self.furnished[-1] == len(self.stack):
             self.furnished.pop()
             self.asides -= old.tag == "aside"
+            self.forms -= old.tag == "form"
         if self.blocks and self.blocks[-1][0] == len(self.stack):
             self.last[self.blocks.pop()[1]] = len(self.parent) - 1
         self.doubts -= old.doubtful
@@ -143,7 +147,7 @@ class Lines(HTMLParser):
         if not self.asides and not (self.aparts and self.articles):
             for i in self.furnished:
                 self.stack[i].furniture = False
-            self.furnished = []
+            self.furnished, self.forms = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -174,6 +178,7 @@ class Lines(HTMLParser):
         if furniture:
             self.furnished.append(len(self.stack) - 1)
             self.asides += tag == "aside"
+            self.forms += tag == "form"
         self.doubts += new.doubtful
         self.aparts += new.apart
         self.silent += tag in SILENT
@@ -261,6 +266,9 @@ def chosen(page: Lines, limit: float | None = None, sigma: float = SIGMA) -> lis
     lines = page.lines
     if not any(x.text for x in lines):
         return []
+    if all(x.furniture for x in lines if x.text) and any(x.wrapped and len(x.text) >= PROSE * x.tags for x in lines if x.text):
+        for x in lines:  # a form around the whole page
+            x.furniture = x.furniture and not x.wrapped
     smooth = smoothed([x.ratio() for x in lines], sigma)
     limit = threshold(smooth) if limit is None else limit
     seed = [bool(x.text) and not x.furniture and s >= limit for x, s in zip(lines, smooth, strict=True)]

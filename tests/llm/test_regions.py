@@ -28,6 +28,8 @@ def test_short_regions_stay(page, want):
         ('<div class="legal"><p>A law text that goes on.</p></div>', ["A law text that goes on."]),
         (f"<main><p>{LONG}</p></main><main><p>Short.</p></main>", [LONG.strip(), "Short."]),
         (f'<article><p>{LONG}</p><div class="search">How to search a list.</div><p>End.</p></article><div class=ad>{LONG}</div><div id="comments"><p>{LONG}</p></div>', [LONG.strip(), "How to search a list.", "End."]),
+        (f'<form id="page"><nav>menu</nav><div><p>{LONG}</p><p>End.</p></div></form>', [LONG.strip(), "End."]),
+        ("<form><p>Name</p><input><p>Send your address to us</p></form>", [""]),
         (f'<div class="content with-sidebar"><p>{LONG}</p></div><div class="sidebar">s</div>', [LONG.strip()]),
         (f"<article><p>{LONG}</p></article><div><ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li><li><a>Four</a></li></ul></div>", [LONG.strip()]),
     ],
