@@ -85,4 +85,13 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_
     CASE WHEN labels IS NULL THEN NULL ELSE [{', '.join(f"'{c}'" for c in CLASSES)}][coalesce(k, 3) + 1] END AS license_class FROM w LEFT JOIN base USING (rid) LEFT JOIN named USING (rid)
 """
 
-ORACLES: dict[str, str] = {"op8_licenses": LICENSES, "op1_pii": PII, "op2_quality_rules": QUALITY, "op6_decontamination": LEAKS, "quality_rule_ablation": ABLATION}
+#: All pairs of vectors, and what is reachable over their links.
+NEAR = r"""
+WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT id, b FROM reach JOIN l ON other = a),
+roots AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id), partners AS (SELECT a, count(*)::BIGINT AS n FROM l GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM roots LEFT JOIN partners ON id = a
+"""
+
+ORACLES: dict[str, str] = {"op11_embedding_near": NEAR, "op8_licenses": LICENSES, "op1_pii": PII, "op2_quality_rules": QUALITY, "op6_decontamination": LEAKS, "quality_rule_ablation": ABLATION}

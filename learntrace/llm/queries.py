@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from learntrace.llm import decontam, html_extract, license_scan, packing, pii, quality_fm, quality_rules, sharding, simhash, toxicity_cnn
+from learntrace.llm import conversations, decontam, embedding_near, html_extract, license_scan, packing, periodic, pii, quality_fm, quality_rules, sharding, simhash, toxicity_cnn
 from learntrace.llm.oracles import ORACLES
 
 
@@ -55,6 +55,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near.embedding_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversation_digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_digest(table(spark, sf_dir, "documents"))
+
+
 def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
@@ -72,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
+    "op11_embedding_near": op11_embedding_near,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
     "quality_rule_ablation": quality_rule_ablation,
 }
