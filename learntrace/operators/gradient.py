@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from learntrace.functions.matrices import lists, matrix
 from learntrace.functions.vectors import doubles
 
-MAX_PARAMETERS = 100_000_000
+MAX_PARAMETERS = 20_000_000
 CHUNK = 512
 
 #: A scorer takes parameters (steps x classes x dims, steps x classes), a batch of inputs and labels.
@@ -27,9 +28,10 @@ def parameters(weights: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     size = weights.agg(F.sum(F.size("w"))).first()[0] or 0
     if size > MAX_PARAMETERS:
         raise ValueError(f"{size} parameters; a linear model of at most {MAX_PARAMETERS} is gathered")
-    rows = weights.orderBy("step", "class_idx").collect()
-    steps = len({r["step"] for r in rows})
-    return np.array([r["w"] for r in rows]).reshape(steps, len(rows) // steps, -1), np.array([r["b"] for r in rows]).reshape(steps, -1)
+    rows = weights.select("step", "class_idx", doubles(F.col("w")).alias("w"), F.col("b").cast("double").alias("b")).toArrow().sort_by([("step", "ascending"), ("class_idx", "ascending")]).combine_chunks()
+    steps = len(rows.column("step").unique())
+    w = np.concatenate([matrix(c) for c in rows.column("w").chunks])
+    return w.reshape(steps, rows.num_rows // steps, -1), rows.column("b").to_numpy().reshape(steps, -1)
 
 
 def probabilities(w: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -75,10 +77,10 @@ def score_batches(examples: DataFrame, weights: DataFrame, fn: Callable[..., dic
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
-                x = np.array(part.column(2).to_pylist(), dtype=float)
+                x = matrix(part.column(2))
                 y = part.column(1).to_numpy(zero_copy_only=False)
                 columns = fn(w, b, x, y)
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(list(c) if c.ndim > 1 else c) for c in columns.values()]], names=["example_id", *columns])
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(lists, columns.values())], names=["example_id", *columns])
 
     rows = examples.select(F.col("example_id").cast("long"), F.col("label").cast("int"), doubles(F.col(inputs)).alias("x"))
     return rows.mapInArrow(run, f"example_id long, {schema}")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from learntrace.functions import pointwise as fn
 from learntrace.functions.vectors import argmax, doubles, one_hot, p_norm, steady, total
-from learntrace.operators import aggregates, analysis, combine, ensemble, forgetting, frames, gradient, layers, ranking, representation
+from learntrace.operators import aggregates, analysis, combine, ensemble, forgetting, frames, gradient, layered, layers, ranking, representation
 from learntrace.operators.pointwise import METRICS, evaluate, pointwise_metrics
 from learntrace.plans import fixtures as fx
 from learntrace.plans.oracles import ORACLES
@@ -378,6 +378,43 @@ def grand_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gradient.grand_score(fx.images(spark, sf_dir), fx.weights(spark)), "grand")
 
 
+@query
+def layered_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and loss of models with hidden layers."""
+    df = evaluate(fx.images(spark, sf_dir), lambda e: layered.logits(e, fx.layered(spark)), loss=fn.cross_entropy)
+    return df.select("example_id", "step", "acc", steady(F.col("loss")).alias("loss"))
+
+
+@query
+def layered_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two named layers of every checkpoint."""
+    df = layered.activations(fx.images(spark, sf_dir), fx.layered(spark), ["fc0_relu.out", "fc1.out"])
+    return rounded(df.select("example_id", "step", "layer_idx", "layer", F.posexplode("act").alias("pos", "act")), "act")
+
+
+@query
+def discovered_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers of a model that no earlier layer equals, told by the given examples."""
+    return layered.discover_layers(spark, fx.layered(spark), exclude=["fc2.in"], inputs=fx.images(spark, sf_dir).select("example_id", "x"))
+
+
+@query
+def layered_input_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = layered.input_gradient(fx.images(spark, sf_dir), fx.layered(spark))
+    return rounded(df.select("example_id", "step", F.posexplode("grad").alias("pos", "grad")), "grad", digits=9)
+
+
+@query
+def layered_grand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(layered.grand_score(fx.images(spark, sf_dir), fx.layered(spark)).drop("label"), "grand")
+
+
+@query
+def layered_variance_of_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = layered.variance_of_gradients(fx.images(spark, sf_dir), fx.layered(spark), fx.CHANNELS, layered.loss_error, predicted=True)
+    return rounded(df.drop("label"), "vog", digits=9)
+
+
 @query
 def combine_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = combine.combine_metrics(fx.metrics(spark, sf_dir))

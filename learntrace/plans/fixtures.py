@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from learntrace.functions.vectors import argmax
@@ -74,6 +74,23 @@ def weights(spark: SparkSession, steps: int = STEPS) -> DataFrame:
     return grid.withColumn("w", w).withColumn("b", F.lit(1.0))
 
 
+#: Outputs of each layer of the layered models, and whether it has a relu; the first takes an embedding.
+LAYERED = ((16, True), (12, True), (CLASSES, False))
+
+
+def layered(spark: SparkSession, steps: int = 3) -> DataFrame:
+    """step, layer_idx, name, w, b, activation of dense models with two hidden layers, by an integer rule."""
+    def layer(i: int, name: str, inputs: int, outputs: int, relu: bool) -> Column:
+        numbers = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+        w = F.transform(numbers(inputs * outputs), lambda k: ((31 * F.floor(k / inputs) + 17 * (k % inputs) + 7 * F.col("id") + 5 * i) % 13 - 6) / F.lit(13.0))
+        b = F.transform(numbers(outputs), lambda o: ((7 * o + 3 * i + F.col("id")) % 5 - 2) / F.lit(10.0))
+        return F.struct(F.lit(i).alias("layer_idx"), F.lit(name).alias("name"), w.alias("w"), b.alias("b"), F.lit("relu" if relu else "none").alias("activation"))
+
+    inputs = (DIM, *[n for n, _ in LAYERED])
+    out = [layer(i, f"fc{i}", inputs[i], n, relu) for i, (n, relu) in enumerate(LAYERED)]
+    return spark.range(steps).select(F.col("id").cast("int").alias("step"), F.explode(F.array(*out)).alias("l")).select("step", "l.*")
+
+
 def metrics(spark: SparkSession, sf_dir: str, replicates: int = 3) -> DataFrame:
     """model, replicate, metric, example_id, value, is_train: the scores of two models of three replicates, or as
     many as six steps make of other ``replicates``."""

@@ -19,8 +19,13 @@ CTE = {
     "lin": """SELECT vec_id AS example_id, label, t AS step, list_transform(embedding, lambda x: x::DOUBLE) AS x, list_transform(range(10), lambda c: 1.0::DOUBLE +
         list_sum(list_transform(embedding, lambda v, j: v::DOUBLE * ((31*c + 17*(j-1) + 7*t) % 13 - 6)::DOUBLE / 13.0::DOUBLE))) AS z FROM embeddings, (SELECT unnest(range(6)) AS t)""",
     "linp": "SELECT example_id, label, step, x, z, list_transform(ez, lambda e: e / list_sum(ez)) AS p FROM (SELECT *, list_transform(z, lambda v: exp(v - list_max(z))) AS ez FROM lin)",
+    "net0": f"SELECT vec_id AS example_id, label, t AS step, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(3)) AS t)",
+    "net1": "SELECT *, list_transform(range(16), lambda o: ((7*o + step) % 5 - 2) / 10.0::DOUBLE + list_sum(list_transform(x, lambda v, i: v * ((31*o + 17*(i-1) + 7*step) % 13 - 6) / 13.0::DOUBLE))) AS a0 FROM net0",
+    "net2": "SELECT *, list_transform(range(12), lambda o: ((7*o + 3 + step) % 5 - 2) / 10.0::DOUBLE + list_sum(list_transform(h0, lambda v, i: v * ((31*o + 17*(i-1) + 7*step + 5) % 13 - 6) / 13.0::DOUBLE))) AS a1 FROM (SELECT *, list_transform(a0, lambda v: greatest(v, 0)) AS h0 FROM net1)",
+    "net3": "SELECT *, list_transform(range(10), lambda o: ((7*o + 6 + step) % 5 - 2) / 10.0::DOUBLE + list_sum(list_transform(h1, lambda v, i: v * ((31*o + 17*(i-1) + 7*step + 10) % 13 - 6) / 13.0::DOUBLE))) AS z FROM (SELECT *, list_transform(a1, lambda v: greatest(v, 0)) AS h1 FROM net2)",
+    "netp": "SELECT *, list_transform(ez, lambda e: e / list_sum(ez)) AS p FROM (SELECT *, list_transform(z, lambda v: exp(v - list_max(z))) AS ez FROM net3)",
 }
-NEEDS = {"soft": ["logits"], "point": ["logits", "soft"], "dense": ["logits", "soft", "point"], "metrics": ["logits", "soft", "point"], "three": ["logits", "soft", "point"], "linp": ["lin"]}
+NEEDS = {"net1": ["net0"], "net2": ["net0", "net1"], "net3": ["net0", "net1", "net2"], "netp": ["net0", "net1", "net2", "net3"], "soft": ["logits"], "point": ["logits", "soft"], "dense": ["logits", "soft", "point"], "metrics": ["logits", "soft", "point"], "three": ["logits", "soft", "point"], "linp": ["lin"]}
 
 
 def sql(names: str, body: str, **more: str) -> str:
@@ -76,6 +81,15 @@ CLASS_GRAD = f"""SELECT example_id, step, j, p[y + 1] * ({W.format(c='y', j='j')
     (SELECT *, unnest(range(64)) AS j FROM (SELECT *, {{y}} AS y FROM linp))"""
 LOSS_GRAD = f"""SELECT example_id, step, j, list_sum(list_transform(p, lambda q, c: q * {W.format(c='c - 1', j='j')})) - {W.format(c='label', j='j')} AS g FROM (SELECT *, unnest(range(64)) AS j FROM linp)"""
 VOG = "SELECT example_id, {v} AS vog FROM (SELECT example_id, px, var_samp(m) AS v FROM (SELECT example_id, step, j % 16 AS px, avg(g) AS m FROM grads GROUP BY ALL) GROUP BY ALL) GROUP BY example_id".replace("{v}", r("avg(v)", 9))
+#: Errors of a layered model's modules, from that of the logits back to the inputs.
+BACK = """SELECT *, list_transform(range(64), lambda i: list_sum(list_transform(d0, lambda d, o: d * ((31*(o-1) + 17*i + 7*step) % 13 - 6) / 13.0::DOUBLE))) AS dx FROM
+    (SELECT *, list_transform(range(16), lambda i: CASE WHEN a0[i + 1] > 0 THEN list_sum(list_transform(d1, lambda d, o: d * ((31*(o-1) + 17*i + 7*step + 5) % 13 - 6) / 13.0::DOUBLE)) ELSE 0 END) AS d0 FROM
+    (SELECT *, list_transform(range(12), lambda i: CASE WHEN a1[i + 1] > 0 THEN list_sum(list_transform(d2, lambda d, o: d * ((31*(o-1) + 17*i + 7*step + 10) % 13 - 6) / 13.0::DOUBLE)) ELSE 0 END) AS d1 FROM
+    (SELECT *, {error} AS d2 FROM netp)))"""
+LOSS_ERROR = "list_transform(p, lambda v, c: v - (c = {y} + 1)::INT)"
+CONFIDENCE_ERROR = "list_transform(p, lambda v, c: p[{y} + 1] * ((c = {y} + 1)::INT - v))"
+_SQ = "list_sum(list_transform({v}, lambda u: u * u))"
+_PART = lambda d, x: f"{_SQ.format(v=d)} * ({_SQ.format(v=x)} + 1)"
 CORR = "CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END"
 PAIRS = """SELECT model, replicate, metric_a, metric_b, {corr} AS corr FROM (SELECT a.model, a.replicate, a.metric AS metric_a, b.metric AS metric_b, a.{v} AS av, b.{v} AS bv FROM {t} a JOIN {t} b
     ON a.model = b.model AND a.example_id = b.example_id AND ((a.metric <> b.metric AND a.replicate = b.replicate) OR (a.metric = b.metric AND a.replicate < 1 AND b.replicate = a.replicate + 1))) GROUP BY ALL"""
@@ -151,6 +165,13 @@ ORACLES: dict[str, str] = {
     "input_gradient_argmax": sql("linp", f"SELECT example_id, j AS pos, {r('avg(g)')} AS grad FROM grads GROUP BY ALL", grads=CLASS_GRAD.format(y="list_position(z, list_max(z)) - 1")),
     "variance_of_gradients_class": sql("linp", VOG, grads=CLASS_GRAD.format(y="label")), "variance_of_gradients_loss": sql("linp", VOG, grads=LOSS_GRAD), "online_variance_of_gradients": sql("linp", VOG, grads=CLASS_GRAD.format(y="label")),
     "grand_score": sql("linp", f"SELECT example_id, {r('avg(sqrt(list_sum(list_transform(p, lambda v, c: (v - (c = label + 1)::INT) * (v - (c = label + 1)::INT))) * (list_sum(list_transform(x, lambda v: v * v)) + 1)))')} AS grand FROM linp GROUP BY example_id"),
+    "layered_logits": sql("netp", f"SELECT example_id, step, list_position(z, list_max(z)) - 1 = label AS acc, {r('ln(list_sum(ez)) + list_max(z) - z[label + 1]')} AS loss FROM netp"),
+    "layered_activations": sql("net2", f"SELECT example_id, step, 3 AS layer_idx, 'fc0_relu.out' AS layer, i - 1 AS pos, {r('h0[i]')} AS act FROM (SELECT *, unnest(range(1, 17)) AS i FROM net2) UNION ALL SELECT example_id, step, 5 AS layer_idx, 'fc1.out' AS layer, i - 1 AS pos, {r('a1[i]')} AS act FROM (SELECT *, unnest(range(1, 13)) AS i FROM net2)"),
+    "discovered_layers": sql("net3", "SELECT a.i AS layer_idx, a.layer, count(*) AS n FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.i < a.i AND b.i IN (SELECT c.i FROM m c JOIN m d ON c.example_id = d.example_id AND d.i = a.i GROUP BY c.i HAVING bool_and(c.act = d.act))) GROUP BY ALL",
+        m="SELECT example_id, unnest([0, 1, 2, 3, 4, 5, 6, 7, 9]) AS i, unnest(['fc0.in', 'fc0.out', 'fc0_relu.in', 'fc0_relu.out', 'fc1.in', 'fc1.out', 'fc1_relu.in', 'fc1_relu.out', 'fc2.out']) AS layer, unnest([x, a0, a0, h0, h0, a1, a1, h1, z]) AS act FROM net3 WHERE step = 0"),
+    "layered_input_gradient": sql("netp", f"SELECT example_id, step, i - 1 AS pos, {r('dx[i]', 9)} AS grad FROM (SELECT *, unnest(range(1, 65)) AS i FROM back)", back=BACK.format(error=CONFIDENCE_ERROR.format(y="label"))),
+    "layered_grand": sql("netp", f"SELECT example_id, {r('avg(sqrt(' + ' + '.join((_PART('d0', 'x'), _PART('d1', 'h0'), _PART('d2', 'h1'))) + '))')} AS grand FROM back GROUP BY example_id", back=BACK.format(error=LOSS_ERROR.format(y="label"))),
+    "layered_variance_of_gradients": sql("netp", VOG, back=BACK.format(error=LOSS_ERROR.format(y="(list_position(z, list_max(z)) - 1)")), grads="SELECT example_id, step, i - 1 AS j, dx[i] AS g FROM (SELECT *, unnest(range(1, 65)) AS i FROM back)"),
     "combine_metrics": sql("metrics", f"SELECT model, metric, example_id, {REDUCTIONS} FROM metrics GROUP BY ALL"),
     "is_train_sanity": sql("metrics", "SELECT model, metric, min(n)::BIGINT AS least, " + r("avg(n)") + " AS mean, max(n)::BIGINT AS most, 0::BIGINT AS violations FROM (SELECT model, metric, example_id, count(*) FILTER (WHERE is_train) AS n FROM metrics GROUP BY ALL) GROUP BY ALL"),
     "average_over_replicates": sql("metrics", f"SELECT model, example_id, {', '.join(f'''{r(f'avg(value) FILTER (WHERE metric = {chr(39)}{m}{chr(39)})')} AS {m}''' for m in METRIC_NAMES)} FROM metrics GROUP BY model, example_id"),
