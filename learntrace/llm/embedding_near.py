@@ -11,7 +11,8 @@ Equal vectors are one before they are posted. A long list is cut into blocks tha
 Lists are about as long as there are pivots, so comparisons grow with the power 1.5 of the vectors; a crowd of
 near copies costs the square of its different vectors, for each has to know how many partners it has.
 
-The search is not exhaustive: of pairs at cosine 0.95 to 0.955 it finds 0.998, of closer ones more (tests measure both).
+The search is not exhaustive: of pairs at cosine 0.9501 of random vectors without any structure it finds 0.97, of
+closer pairs and in crowds nearly all (tests measure both).
 
 Defined results: vectors that are null, empty or zero or hold null, NaN or infinite components link with nothing, nor do vectors of
 different lengths; equal vectors are linked; repeated rows and ids are rows like any other; a null vec_id counts as a
