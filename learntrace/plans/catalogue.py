@@ -15,7 +15,7 @@ from learntrace.operators import aggregates, analysis, combine, ensemble, forget
 from learntrace.operators.pointwise import METRICS, evaluate, pointwise_metrics
 from learntrace.plans import fixtures as fx
 from learntrace.plans.oracles import ORACLES
-from learntrace.session import ensure_checkpoint_dir
+from learntrace.session import cut, ensure_checkpoint_dir
 from learntrace.sources import arrays, metrics
 from learntrace.streaming import online
 
@@ -632,6 +632,37 @@ def array_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(arrays.decoded(files, keys=("vec_id",)), "value")
 
 
+@query
+def published_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of the examples by five scores, published as array files and read under their choices, as ranks."""
+    root, scores = _folder(spark, "published"), dict(zip(("adv", "agr", "conf", "priv", "ret"), DOUBLES, strict=True))
+    rows = _steady_metrics(spark, sf_dir).where("model = 'm0' and replicate = 0")
+    placed = cut(ranking.argsort(rows, RUN, "value", "example_id"))
+    for key, score in scores.items():
+        arrays.publish(placed.where(F.col("metric") == score).select(F.col("rank").alias("pos"), "example_id"), root, "order", metric=key, dataset="cifar10")
+    return arrays.read_orders(spark, root, "cifar10")
+
+
+@query
+def published_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four aligned arrays of one file, written by many tasks and read by ranges of rows."""
+    root, x = _folder(spark, "published"), lambda i: F.get("x", F.lit(i)).cast("double")
+    rows = fx.images(spark, sf_dir).select(F.col("example_id").alias("pos"), F.col("example_id").alias("tr_idx"), (F.col("example_id") * 7 % 10).alias("tt_idx"), x(0).alias("infl"), x(1).alias("mem"))
+    arrays.publish(rows, root, "influence")
+    return rounded(arrays.published(spark, root, "influence", partition_rows=64, dataset="cifar100").where("pos >= 10"), "infl", "mem")
+
+
+@query
+def published_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memorization and prototype distances as published files, joined by example."""
+    root, x = _folder(spark, "published"), lambda i: F.get("x", F.lit(i)).cast("double").alias("value")
+    rows = fx.images(spark, sf_dir).withColumnRenamed("example_id", "pos")
+    arrays.publish(rows.select("pos", x(2)), root, "memorization", dataset="cifar100")
+    arrays.publish(rows.select("pos", x(3)), root, "prototypes", dataset="cifar100")
+    one, two = arrays.read_memorization(spark, root, "cifar100"), arrays.read_prototype_distances(spark, root, "cifar100")
+    return rounded(one.withColumnRenamed("value", "memorization").join(two.withColumnRenamed("value", "distance"), "example_id"), "memorization", "distance")
+
+
 @query
 def stacked_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.trajectory(spark, sf_dir)

@@ -205,6 +205,9 @@ ORACLES: dict[str, str] = {
     "runs_of_a_model": sql("metrics", "SELECT model || '_' || replicate AS run, count(*) AS n FROM metrics WHERE model = 'm1' AND replicate <> 2 GROUP BY ALL"),
     "saved_state": sql("point", f"SELECT example_id, count(*)::BIGINT AS n, {r('avg(margin)')} AS mean, {r('var_samp(margin)')} AS variance FROM point GROUP BY example_id"),
     "array_files": f"SELECT vec_id, pos::BIGINT AS pos, {r('v::DOUBLE')} AS value FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings)",
+    "published_orders": sql("metrics", f"SELECT k.metric, row_number() OVER (PARTITION BY k.metric ORDER BY round(value, 9), example_id) - 1 AS rank, example_id FROM metrics m JOIN (VALUES ('adv', 'ent'), ('agr', 'conf'), ('conf', 'maxconf'), ('priv', 'margin'), ('ret', 'el2n')) k(metric, score) ON m.metric = k.score WHERE model = 'm0' AND replicate = 0"),
+    "published_influence": f"SELECT vec_id AS pos, vec_id AS tr_idx, vec_id * 7 % 10 AS tt_idx, {r('embedding[1]::DOUBLE')} AS infl, {r('embedding[2]::DOUBLE')} AS mem FROM embeddings WHERE vec_id >= 10",
+    "published_scores": f"SELECT vec_id AS example_id, {r('embedding[3]::DOUBLE')} AS memorization, {r('embedding[4]::DOUBLE')} AS distance FROM embeddings",
     "stacked_steps": sql("dense", "SELECT example_id, acc, step FROM dense"), "appended_steps": sql("dense", "SELECT example_id, step, acc FROM dense WHERE step IN (0, 2, 4)"),
     "replicates_of_a_metric": sql("metrics", f"SELECT replicate, example_id, {r('value')} AS value FROM metrics WHERE model = 'm0' AND metric = 'conf'"),
     "metric_names": sql("metrics", "SELECT DISTINCT metric FROM metrics"),

@@ -1,8 +1,8 @@
-"""Array files (.npy, .npz) as tables, decoded on the executors.
+"""Published scores, and array files in binary columns.
 
 Scores that others have published come as one array file a score, data set and split. ``PUBLISHED`` lists the files
 and what may be chosen for each; :func:`published` checks the choices, finds the file under a root folder and reads
-its arrays as columns.
+its arrays as columns through the data source of :mod:`learntrace.sources.array_source`.
 """
 
 from __future__ import annotations
@@ -18,17 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from learntrace.sources.array_source import read_arrays, write_arrays
+
 CHUNK = 1 << 16
 
 
 @dataclass(frozen=True)
 class Published:
-    """A family of files: the name with its choices, the values of each choice with their short forms in the name, and
-    the members (None: a bare array) with column name and type."""
+    """A family of files: its folder, the name with its choices, the values of each choice with their short forms in the
+    name, and the members with their column names."""
 
+    folder: str
     name: str
     choices: dict[str, dict[str, str]]
-    members: dict[str | None, tuple[str, str]]
+    members: dict[str, str]
     defaults: dict[str, str] = field(default_factory=dict)
 
 
@@ -36,19 +39,19 @@ def _plain(*values: str) -> dict[str, str]:
     return {v: v for v in values}
 
 
-#: Names of published files, their data sets, metrics, models and members.
+#: Folders and names of published files, their data sets, metrics, models and members.
 PUBLISHED = {
     "order": Published(
-        "order_{dataset}_{metric}_{split}.npy",
+        "carlini-et-al-metrics-order", "order_{dataset}_{metric}_{split}.npy",
         {"dataset": {"cifar10": "cifar", "fashionmnist": "fashion", "mnist": "mnist", "imagenet": "imagenet"}, "metric": _plain("adv", "agr", "conf", "priv", "ret"), "split": _plain("train", "test")},
-        {None: ("example_id", "long")}, {"split": "train"},
+        {"value": "example_id"}, {"split": "train"},
     ),
-    "memorization": Published("memorization-{dataset}-0.7.npz", {"dataset": _plain("cifar100")}, {"arr_0": ("value", "double")}),
-    "prototypes": Published("selfproto-{dataset}-{model}.npz", {"dataset": _plain("cifar10", "cifar100"), "model": _plain("swav")}, {"arr_0": ("value", "double")}, {"model": "swav"}),
+    "memorization": Published("feldman-zhang-influence-memorization", "memorization-{dataset}-0.7.npz", {"dataset": _plain("cifar100")}, {"arr_0": "value"}),
     "influence": Published(
-        "influence-memorization-{dataset}.npz", {"dataset": _plain("cifar100")},
-        {"tr_idx": ("tr_idx", "long"), "tt_idx": ("tt_idx", "long"), "infl": ("infl", "double"), "mem": ("mem", "double")}, {"dataset": "cifar100"},
+        "feldman-zhang-influence-memorization", "{dataset}_high_infl_pairs_infl0.15_mem0.25.npz", {"dataset": _plain("cifar100")},
+        {"tr_idx": "tr_idx", "tt_idx": "tt_idx", "infl": "infl", "mem": "mem"}, {"dataset": "cifar100"},
     ),
+    "prototypes": Published("sorscher-selfproto", "selfproto-{dataset}-{model}.npz", {"dataset": _plain("cifar10", "cifar100"), "model": _plain("swav")}, {"arr_0": "value"}, {"model": "swav"}),
 }
 
 
@@ -60,7 +63,7 @@ def path_of(root: str, family: str, **chosen: str) -> str:
         if chosen.get(name) not in values:
             raise ValueError(f"{family}: no {name} {chosen.get(name)!r}; published are {', '.join(values)}")
         short[name] = values[chosen[name]]
-    return f"{root.rstrip('/')}/{files.name.format(**short)}"
+    return f"{root.rstrip('/')}/{files.folder}/{files.name.format(**short)}"
 
 
 def decoded(files: DataFrame, member: str | None = None, value: str = "double", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -93,16 +96,17 @@ def encoded(rows: DataFrame, keys: list[str], values: str) -> DataFrame:
     return rows.select(*keys, F.pandas_udf(encode, "binary")(values).alias("content"))
 
 
-def read_array(spark: SparkSession, path: str, member: str | None = None, value: str = "double") -> DataFrame:
-    """(pos, value) of an array file or of one of its members."""
-    return decoded(spark.read.format("binaryFile").load(path), member, value)
+def published(spark: SparkSession, root: str, family: str, members: list[str] | None = None, partition_rows: int | None = None, **chosen: str) -> DataFrame:
+    """``pos`` and a column for each member (or the named ones) of a published file, all from one pass over it."""
+    named = PUBLISHED[family].members
+    wanted = [m for m in named if members is None or m in members]
+    return read_arrays(spark, path_of(root, family, **chosen), wanted, partition_rows).withColumnsRenamed({m: named[m] for m in wanted})
 
 
-def published(spark: SparkSession, root: str, family: str, members: list[str] | None = None, **chosen: str) -> DataFrame:
-    """``pos`` and a column for each member (or the named ones, of one length) of a published file."""
-    path = path_of(root, family, **chosen)
-    parts = [read_array(spark, path, m, kind).withColumnRenamed("value", name) for m, (name, kind) in PUBLISHED[family].members.items() if members is None or m in members]
-    return reduce(lambda a, b: a.join(b, "pos"), parts)
+def publish(rows: DataFrame, root: str, family: str, **chosen: str) -> None:
+    """``pos`` and the family's columns as the file of the given choices."""
+    named = PUBLISHED[family].members
+    write_arrays(rows.select("pos", *[F.col(c).alias(m) for m, c in named.items()]), path_of(root, family, **chosen))
 
 
 def read_order(spark: SparkSession, root: str, metric: str, dataset: str, train: bool = True) -> DataFrame:
@@ -124,7 +128,6 @@ def read_prototype_distances(spark: SparkSession, root: str, dataset: str, model
     return published(spark, root, "prototypes", dataset=dataset, model=model).withColumnRenamed("pos", "example_id")
 
 
-def read_influence(spark: SparkSession, root: str, dataset: str = "cifar100") -> tuple[DataFrame, DataFrame]:
-    """The pairs (tr_idx, tt_idx, infl) and the table (example_id, mem) of an influence file."""
-    pairs = published(spark, root, "influence", ["tr_idx", "tt_idx", "infl"], dataset=dataset).drop("pos")
-    return pairs, published(spark, root, "influence", ["mem"], dataset=dataset).withColumnRenamed("pos", "example_id")
+def read_influence(spark: SparkSession, root: str, dataset: str = "cifar100") -> DataFrame:
+    """pos, tr_idx, tt_idx, infl and mem side by side; a shorter array is null beyond its end."""
+    return published(spark, root, "influence", dataset=dataset)

@@ -1,15 +1,25 @@
+import os
+import zlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from learntrace.plans import fixtures as fx
-from learntrace.sources import arrays, metrics
+from learntrace.sources import array_source, arrays, metrics
 from learntrace.streaming import online
 from tests.conftest import SF
 
 
+def folder_of(root, family):
+    folder = root / arrays.PUBLISHED[family].folder
+    folder.mkdir(exist_ok=True)
+    return folder
+
+
 def test_orders(spark, tmp_path):
     for m in arrays.PUBLISHED["order"].choices["metric"]:
-        np.save(tmp_path / f"order_cifar_{m}_train.npy", np.array([2, 0, 1]))
+        np.save(folder_of(tmp_path, "order") / f"order_cifar_{m}_train.npy", np.array([2, 0, 1]))
     got = {r["example_id"]: r["rank"] for r in arrays.read_order(spark, str(tmp_path), "adv", "cifar10").collect()}
     assert got == {2: 0, 0: 1, 1: 2}
     assert arrays.read_orders(spark, str(tmp_path), "cifar10").count() == 15
@@ -19,19 +29,74 @@ def test_orders(spark, tmp_path):
 
 
 def test_values_and_influence(spark, tmp_path):
-    np.savez(tmp_path / "memorization-cifar100-0.7.npz", np.array([0.5, 0.25]))
+    np.savez(folder_of(tmp_path, "memorization") / "memorization-cifar100-0.7.npz", np.array([0.5, 0.25]))
     assert [r["value"] for r in arrays.read_memorization(spark, str(tmp_path), "cifar100").orderBy("example_id").collect()] == [0.5, 0.25]
     with pytest.raises(ValueError):
         arrays.read_memorization(spark, str(tmp_path), "cifar10")
-    np.savez(tmp_path / "selfproto-cifar10-swav.npz", np.arange(3.0))
+    np.savez(folder_of(tmp_path, "prototypes") / "selfproto-cifar10-swav.npz", np.arange(3.0))
     assert arrays.read_prototype_distances(spark, str(tmp_path), "cifar10").count() == 3
-    np.savez(tmp_path / "influence-memorization-cifar100.npz", tr_idx=np.array([1, 2]), tt_idx=np.array([3, 4]), infl=np.array([0.1, 0.2]), mem=np.array([0.5, 0.6, 0.7]))
-    pairs, mem = arrays.read_influence(spark, str(tmp_path))
-    assert sorted(map(tuple, pairs.collect())) == [(1, 3, 0.1), (2, 4, 0.2)] and mem.count() == 3
+    np.savez_compressed(folder_of(tmp_path, "influence") / "cifar100_high_infl_pairs_infl0.15_mem0.25.npz", tr_idx=np.array([1, 2]), tt_idx=np.array([3, 4], dtype=np.int32), infl=np.array([0.1, 0.2]), mem=np.array([0.5, 0.6, 0.7]))
+    assert sorted(map(tuple, arrays.read_influence(spark, str(tmp_path)).collect())) == [(0, 1, 3, 0.1, 0.5), (1, 2, 4, 0.2, 0.6), (2, None, None, None, 0.7)]
     with pytest.raises(ValueError):
         arrays.read_influence(spark, str(tmp_path), "cifar10")
 
 
+@pytest.mark.parametrize("save", [np.savez, np.savez_compressed])
+def test_ranges_members_and_filters(spark, tmp_path, save):
+    x, y = np.arange(1000), np.random.default_rng(0).normal(size=(700, 3)).astype(">f4")
+    path = str(tmp_path / "two.npz")
+    save(path, x=x, y=y, flags=x % 3 == 0)
+    df = array_source.read_arrays(spark, path, partition_rows=100)
+    assert df.dtypes == [("pos", "bigint"), ("x", "bigint"), ("y", "array<double>"), ("flags", "boolean")]
+    rows = df.orderBy("pos").collect()
+    assert [r["x"] for r in rows] == x.tolist() and [r["y"] for r in rows[:700]] == y.astype(float).tolist() and {r["y"] for r in rows[700:]} == {None} and rows[3]["flags"]
+    assert df.rdd.getNumPartitions() == (10 if save is np.savez else 1)
+    part = array_source.read_arrays(spark, path, ["x"], 100).where("pos >= 250 and pos < 460 and x % 2 = 0")
+    assert part.columns == ["pos", "x"] and sorted(r["x"] for r in part.collect()) == list(range(250, 460, 2))
+    if save is np.savez:
+        assert part.rdd.getNumPartitions() == 3
+    assert array_source.read_arrays(spark, path, ["x"]).where("pos = 5").collect() == [(5, 5)]
+    assert array_source.read_arrays(spark, path, ["x"]).where("pos > 5 and pos < 4").count() == 0
+    with pytest.raises(ValueError):
+        array_source.read_arrays(spark, path, ["z"])
+
+
+@pytest.mark.parametrize("n", [0, 1, 12_345])
+def test_files_are_written_by_many_tasks(spark, tmp_path, n):
+    rows = spark.range(0, n, 1, 7).select(F.col("id").alias("pos"), (F.col("id") * 3).alias("x"), F.when(F.col("id") != 4, F.sqrt("id")).alias("y"), (F.col("id") % 2 == 0).alias("even")).repartition(5)
+    array_source.write_arrays(rows, str(tmp_path / "a.npz"))
+    with np.load(tmp_path / "a.npz") as got:  # checks the checksums
+        assert sorted(got.files) == ["even", "x", "y"]
+        want = np.sqrt(np.arange(n, dtype=float))
+        want[4:5] = np.nan
+        assert np.array_equal(got["x"], np.arange(n) * 3) and np.array_equal(got["y"], want, equal_nan=True) and np.array_equal(got["even"], np.arange(n) % 2 == 0)
+    assert array_source.read_arrays(spark, str(tmp_path / "a.npz"), ["x"]).count() == n
+    array_source.write_arrays(rows.select("pos", "x"), f"file:{tmp_path}/b.npy")
+    assert np.array_equal(np.load(tmp_path / "b.npy"), np.arange(n) * 3)
+    assert [f for f in os.listdir(tmp_path) if "writing" in f] == []
+
+
+def test_a_failed_write_leaves_the_old_file(spark, tmp_path):
+    path = str(tmp_path / "a.npy")
+    rows = spark.range(100).select(F.col("id").alias("pos"), F.col("id").alias("x"))
+    array_source.write_arrays(rows, path)
+    bad = rows.withColumn("x", F.when(F.col("pos") == 77, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("x") + 1))
+    for broken in (bad, rows.where("pos <> 50"), rows.union(rows.limit(1)), rows.withColumn("x", F.nullif("x", F.lit(3)))):
+        with pytest.raises(Exception, match="lost|written|outside|null"):
+            array_source.write_arrays(broken, path)
+        assert np.array_equal(np.load(path), np.arange(100)) and os.listdir(tmp_path) == ["a.npy"]
+    with pytest.raises(Exception, match="already"):
+        array_source.write_arrays(rows, path, overwrite=False)
+    with pytest.raises(Exception, match="npy"):
+        array_source.write_arrays(rows.withColumn("y", F.lit(1.0)), path)
+
+
+def test_checksums_join():
+    a, b = b"some bytes", bytes(range(256)) * 37
+    assert array_source.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    assert array_source.joined_crc(zlib.crc32(a), 0, 0) == zlib.crc32(a)
+
+
 def test_metric_folders(spark, tmp_path):
     rows = fx.metrics(spark, SF)
     metrics.write_metrics(rows, str(tmp_path / "m"))
