@@ -103,6 +103,14 @@ def input_gradients(examples: DataFrame, weights: DataFrame, gradient: Scorer =
     return wide.select("example_id", F.explode(rows).alias("s")).select("example_id", "s.step", "s.grad")
 
 
+def channel_means(gradients: DataFrame, channels: int) -> DataFrame:
+    """``gradients`` with ``grad`` averaged over its channels, pixel by pixel."""
+    pixels = F.size("grad") / channels
+    of = lambda c, p: F.get("grad", (c * pixels + p).cast("int"))
+    mean = F.transform(F.sequence(F.lit(0), (pixels - 1).cast("int")), lambda p: sum((of(c, p) for c in range(1, channels)), of(0, p)) / channels)
+    return gradients.withColumn("grad", mean)
+
+
 def variance_of_gradients(examples: DataFrame, weights: DataFrame, channels: int, gradient: Scorer = class_gradient, predicted: bool = False) -> DataFrame:
     """Mean over pixels of the unbiased variance over checkpoints of the channel-mean input gradient."""
     def vog(w: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:

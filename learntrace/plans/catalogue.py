@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from learntrace.functions import pointwise as fn
 from learntrace.functions.vectors import argmax, doubles, one_hot, p_norm, steady, total
-from learntrace.operators import aggregates, analysis, combine, ensemble, forgetting, frames, gradient, layered, layers, ranking, representation
+from learntrace.operators import aggregates, analysis, combine, ensemble, forgetting, frames, gradient, layered, layers, ranking, representation, segments
 from learntrace.operators.pointwise import METRICS, evaluate, pointwise_metrics
 from learntrace.plans import fixtures as fx
 from learntrace.plans.oracles import ORACLES
 from learntrace.session import cut, ensure_checkpoint_dir
 from learntrace.sources import arrays, metrics
-from learntrace.streaming import online
+from learntrace.streaming import accumulators, online
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -552,7 +552,7 @@ def one_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _drained(spark: SparkSession, sf_dir: str, scores: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Scores of the events as a stream in three parts: steps are numbered before they arrive."""
     folder, parts = fx.stream_of(spark, fx.ragged(spark, sf_dir))
-    return online.drain_parts(spark, folder, parts, "example_id LONG, step LONG, acc BOOLEAN", scores, mode)
+    return online.drain_parts(spark, folder, parts, STEP_ROWS, scores, mode)
 
 
 @query
@@ -565,6 +565,72 @@ def stream_forget_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, sf_dir, online.forget_scores, "update")
 
 
+STEP_ROWS = "example_id LONG, step LONG, acc BOOLEAN"
+
+
+def _late(spark: SparkSession, sf_dir: str) -> tuple[str, list[DataFrame]]:
+    """Steps in three parts that each have every third of them, whatever their order."""
+    folder, parts = fx.stream_of(spark, fx.ragged(spark, sf_dir), deal=(F.col("step") * 7 + F.col("example_id")) % 3)
+    return folder, parts
+
+
+@query
+def stream_forget_metrics_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps that arrive in no order, a part of them twice."""
+    folder, parts = _late(spark, sf_dir)
+    return online.drain_parts(spark, folder, [parts[2], parts[0], parts[1].unionByName(parts[2])], STEP_ROWS, online.forget_scores)
+
+
+@query
+def stream_segments_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the state holds when two of three parts have come, read back as a table."""
+    folder, parts = _late(spark, sf_dir)
+    online.drain_parts(spark, folder, [parts[1], parts[0]], STEP_ROWS, online.forget_scores)
+    return online.read_state(spark, online.results_folder(folder))
+
+
+@query
+def stream_from_saved_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of the later steps that starts from the saved summary of the earlier ones."""
+    saved, (folder, parts) = _folder(spark, "segments"), fx.stream_of(spark, fx.ragged(spark, sf_dir))
+    metrics.save_state(segments.segments_of(parts[0]), saved, "segments", {"parts": 1})
+    state, _, _ = metrics.load_state(spark, saved, "segments")
+    return online.drain_parts(spark, folder, [parts[2], parts[1]], STEP_ROWS, lambda s: online.forget_scores(s, saved=state))
+
+
+@query
+def trajectory_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of steps without those whose number three divides."""
+    return segments.segments_of(fx.ragged(spark, sf_dir).where("step % 3 <> 0"))
+
+
+def _checkpoints(spark: SparkSession, rows: DataFrame, drawn: Callable[[DataFrame], DataFrame], mode: str = "update") -> DataFrame:
+    """Scores of a table with a step, whose checkpoints arrive two at a time, the last ones first."""
+    held = cut(rows)
+    parts = [held.where(F.col("step").isin(*steps)) for steps in ((5, 0), (3, 4), (1, 2))]
+    return online.drain_parts(spark, _folder(spark, "checkpoints"), parts, ", ".join(f"{c} {kind}" for c, kind in held.dtypes), drawn, mode)
+
+
+@query
+def stream_online_pointwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and variances of every score over checkpoints that arrive as a stream."""
+    found = _checkpoints(spark, _numbers(fx.pointwise(spark, sf_dir)), lambda s: accumulators.pointwise_moments(s, list(METRICS)), "complete")
+    return rounded(found, *[f"{p}_{m}" for p in ("avg", "var") for m in METRICS])
+
+
+@query
+def stream_ensemble_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of the runs of an ensemble that arrive as a stream."""
+    return rounded(_checkpoints(spark, fx.votes(spark, sf_dir).withColumnRenamed("replicate", "step"), accumulators.vote_scores), "allacc")
+
+
+@query
+def stream_variance_of_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradients of checkpoints that arrive as a stream, channel by channel averaged before."""
+    grads = gradient.channel_means(gradient.input_gradients(fx.images(spark, sf_dir), fx.weights(spark)), fx.CHANNELS)
+    return rounded(accumulators.variance_of_gradients(_checkpoints(spark, grads, lambda s: accumulators.array_moments(s, "grad"))), "vog", digits=9)
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

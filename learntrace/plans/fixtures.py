@@ -101,11 +101,11 @@ def metrics(spark: SparkSession, sf_dir: str, replicates: int = 3) -> DataFrame:
     return long.select("model", "replicate", "s.metric", "example_id", "s.value", ((F.col("example_id") + F.col("replicate")) % 2 == 0).alias("is_train"))
 
 
-def stream_of(spark: SparkSession, steps: DataFrame, batches: int = 3) -> tuple[str, list[DataFrame]]:
-    """A folder, and its (example_id, step, acc) in the order of steps within each example, a frame a trigger: each
-    is written to the folder, in as many files as it has partitions, when its turn comes."""
+def stream_of(spark: SparkSession, steps: DataFrame, batches: int = 3, deal: Column | None = None) -> tuple[str, list[DataFrame]]:
+    """A folder, and its (example_id, step, acc) in parts, a frame a trigger, by the order of steps within each example or by ``deal``:
+    each is written to the folder, in as many files as it has partitions, when its turn comes."""
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
     size = steps.groupBy("example_id").agg(F.count("*").alias("n"))
-    part = F.floor(F.col("step") * batches / F.col("n")).cast("int")
-    held = cut(steps.join(size, "example_id").select("example_id", F.col("step").cast("long").alias("step"), "acc", part.alias("part")))
+    part = F.floor(F.col("step") * batches / F.col("n")) if deal is None else deal
+    held = cut(steps.join(size, "example_id").select("example_id", F.col("step").cast("long").alias("step"), "acc", part.cast("int").alias("part")))
     return folder, [held.where(F.col("part") == i).drop("part") for i in range(batches)]

@@ -62,6 +62,15 @@ def edges(source: str, start: bool, **columns: str) -> str:
     return sql(source, f"SELECT example_id, {', '.join(f'{c} AS {k}' for k, c in columns.items())} FROM marked GROUP BY example_id", marked=MARKED.format(start=str(start).lower(), source=source))
 
 
+def segments(kept: str) -> str:
+    """Stretches of steps without a gap, of the kept ones."""
+    islands = f"SELECT *, step - row_number() OVER (PARTITION BY example_id ORDER BY step) AS island FROM ragged WHERE {kept}"
+    before = "SELECT *, lag(acc) OVER (PARTITION BY example_id, island ORDER BY step) AS before FROM islands"
+    body = """SELECT example_id, min(step) AS first, max(step) AS last, arg_min(acc, step) AS first_acc, arg_max(acc, step) AS last_acc, (count(*) FILTER (WHERE before AND NOT acc))::BIGINT AS forgets,
+        min(step) FILTER (WHERE acc) AS first_right, max(step) FILTER (WHERE NOT acc) AS last_wrong FROM marked GROUP BY example_id, island"""
+    return sql("ragged", body, islands=islands, marked=before)
+
+
 METRIC_NAMES = ("acc", "ent", "conf", "maxconf", "margin", "el2n")
 _NUM = {"acc": "acc::INT::DOUBLE"} | {m: m for m in METRIC_NAMES[1:]}
 RANKED = "SELECT *, rank() OVER (PARTITION BY model, replicate, metric ORDER BY value) + (count(*) OVER (PARTITION BY model, replicate, metric, value) - 1) / 2.0::DOUBLE - 1 AS rnk FROM metrics"
@@ -216,5 +225,11 @@ ORACLES: dict[str, str] = {
     "renamed_columns": sql("dense", "SELECT example_id, step, acc::INT AS np_acc FROM dense"),
     "layers_named": "SELECT 'block' || i AS module, count(*) AS n FROM embeddings, (SELECT unnest([1, 2]) AS i) GROUP BY ALL",
     "stream_event_times": sql("ragged", f"SELECT example_id, count(*) AS n, {FIRSTLEARN} AS firstlearn, {FIRSTUNFORGETTABLE} AS firstunforgettable, {FIRSTFORGET} AS firstforget, {FIRSTUNLEARNABLE} AS firstunlearnable FROM ragged GROUP BY example_id"),
+    "stream_forget_metrics_late": edges("ragged", False, n="count(*)", countforget=COUNT, unforgettable=UNFORGETTABLE, firstlearn=FIRSTLEARN, firstunforgettable=FIRSTUNFORGETTABLE),
+    "stream_from_saved_state": edges("ragged", False, n="count(*)", countforget=COUNT, unforgettable=UNFORGETTABLE, firstlearn=FIRSTLEARN, firstunforgettable=FIRSTUNFORGETTABLE),
+    "trajectory_segments": segments("step % 3 <> 0"), "stream_segments_state": segments("(step * 7 + example_id) % 3 < 2"),
+    "stream_online_pointwise": sql("point", f"SELECT example_id, count(*) AS n, {STEPPED('avg', 'avg')}, {STEPPED('var_samp', 'var')} FROM point GROUP BY example_id"),
+    "stream_ensemble_metrics": sql("point", f"SELECT p.example_id, count(*) AS n, CASE WHEN bool_and(acc) THEN 1 WHEN NOT bool_or(acc) THEN -1 ELSE 0 END AS ddd, {r('avg(acc::INT)')} AS allacc, any_value(c.pred)::INT AS consensuslabel FROM point p JOIN (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY n DESC, pred) AS rn FROM (SELECT example_id, pred, count(*) AS n FROM point GROUP BY ALL)) c ON p.example_id = c.example_id AND rn = 1 GROUP BY p.example_id"),
+    "stream_variance_of_gradients": sql("linp", VOG, grads=CLASS_GRAD.format(y="label")),
     "stream_forget_metrics": edges("ragged", False, n="count(*)", countforget=COUNT, unforgettable=UNFORGETTABLE, firstlearn=FIRSTLEARN, firstunforgettable=FIRSTUNFORGETTABLE),
 }

@@ -1,9 +1,9 @@
 """Online trajectory scores.
 
-First and last events are mergeable, so plain streaming aggregation keeps them. Counts of edges depend
-on order: one keyed state (n, prev, n_forget, unforgotten, consecutive, learn_time, learned) is updated
-step by step. Within a trigger a key's rows are sorted by step; a step at or before the last one seen
-counts as already taken and is dropped, so replays and repeated rows change nothing.
+First and last events are mergeable, so plain streaming aggregation keeps them. Counts of edges look at the step before,
+which may not have come yet: each example keeps the segments of :mod:`learntrace.operators.segments` as a map in the state store, so
+steps may arrive in any order and any parts, steps that come again change nothing, and the state is as large as there are gaps. A
+stream may start from the segments of a saved batch, and its state can be read as a table.
 
 Results go through foreachBatch to Parquet in the shared folder, one folder a batch, and are read back
 as each key's latest row; the checkpoint folder resumes a stopped query where it ended.
@@ -13,46 +13,69 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from learntrace.operators.forgetting import first_forget, first_learn, first_unforgettable, first_unlearnable
+from learntrace.operators.segments import FIELDS, Segment, merged, of_step, scores
 from learntrace.session import ensure_checkpoint_dir
 
-STATE = "n long, last long, prev boolean, n_forget long, unforgotten boolean, consecutive long, learn_time long, learned boolean"
 SCORES = "example_id long, n long, countforget long, unforgettable boolean, firstlearn long, firstunforgettable long"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def advance(state: tuple, steps: pd.Series, accs: pd.Series) -> tuple:
-    """The state after rows sorted by step."""
-    n, last, prev, n_forget, unforgotten, consecutive, learn_time, learned = state
-    for step, a in zip(steps.tolist(), accs.tolist(), strict=True):
-        if step <= last:
-            continue
-        forgot = prev and not a
-        n, last, n_forget, unforgotten = n + 1, step, n_forget + forgot, unforgotten and not forgot
-        consecutive = consecutive + 1 if a else 0
-        learned = learned or a
-        learn_time += not learned
-        prev = a
-    return n, last, prev, n_forget, unforgotten, consecutive, learn_time, learned
+class ForgetProcessor(StatefulProcessor):
+    """One example's segments, by their first step."""
 
+    def __init__(self, start_at_zero: bool, stride: int) -> None:
+        self.start_at_zero, self.stride = start_at_zero, stride
 
-def forget_scores(stream: DataFrame, start_at_zero: bool = True) -> DataFrame:
-    """A row for each key with new steps (example_id, step, acc): the scores so far."""
-    first = (0, -1, not start_at_zero, 0, True, 0, 0, False)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.segments = handle.getMapState("segments", "first long", FIELDS)
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("step", kind="stable")
-        now = advance(state.get if state.exists else first, rows["step"], rows["acc"])
-        state.update(now)
-        n, _, prev, n_forget, unforgotten, consecutive, learn_time, learned = now
-        yield pd.DataFrame({"example_id": [key[0]], "n": [n], "countforget": [n_forget], "unforgettable": [bool(unforgotten and learned)], "firstlearn": [learn_time], "firstunforgettable": [n - consecutive]})
+    def _held(self) -> list[Segment]:
+        return [Segment(k[0], *v) for k, v in self.segments.iterator()]
 
-    return stream.groupBy("example_id").applyInPandasWithState(update, SCORES, STATE, "update", GroupStateTimeout.NoTimeout)
+    def _keep(self, before: list[Segment], now: list[Segment]) -> None:
+        """Writes what has changed."""
+        old, new = set(before), set(now)
+        for first in {s.first for s in old - new} - {s.first for s in new - old}:
+            self.segments.removeKey((first,))
+        for s in new - old:
+            self.segments.updateValue((s.first,), tuple(s[1:]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = self._held()
+        now = before
+        for frame in rows:
+            steps = dict(zip(frame["step"].tolist(), frame["acc"].tolist(), strict=True))
+            known = [s for s in steps if not any(h.first <= s <= h.last for h in now)] if len(now) < 8 else list(steps)
+            now = merged([*now, *(of_step(int(s), bool(steps[s])) for s in known)], self.stride)
+        self._keep(before, now)
+        n, forgets, unforgettable, first, last = scores(now, self.start_at_zero, self.stride)
+        yield pd.DataFrame({"example_id": [key[0]], "n": [n], "countforget": [forgets], "unforgettable": [unforgettable], "firstlearn": [first], "firstunforgettable": [last]})
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:  # noqa: N802, N803
+        names = Segment._fields
+        given = initialState.astype(object).where(initialState.notna(), None)
+        found = [Segment(*(v if v is None or isinstance(v, bool) else int(v) for v in row)) for row in given[list(names)].itertuples(index=False)]
+        self._keep([], merged([*self._held(), *found], self.stride))
+
+    def close(self) -> None:
+        pass
+
+
+def forget_scores(stream: DataFrame, start_at_zero: bool = True, saved: DataFrame | None = None, stride: int = 1) -> DataFrame:
+    """A row for each key with new steps (example_id, step, acc): the scores so far.
+
+    ``saved`` (segments of :func:`segments.segments_of`) is what the stream starts from; ``stride`` is the distance of steps."""
+    start = None if saved is None else saved.select("example_id", *Segment._fields).groupBy("example_id")
+    return stream.groupBy("example_id").transformWithStateInPandas(ForgetProcessor(start_at_zero, stride), SCORES, "Update", "None", start)
 
 
 def event_times(stream: DataFrame) -> DataFrame:
@@ -61,6 +84,17 @@ def event_times(stream: DataFrame) -> DataFrame:
     return stream.groupBy("example_id").agg(F.count("*").alias("n"), *[c.cast("long").alias(k) for k, c in ends.items()])
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The store that states of several variables need, while a query starts and runs."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
 def drain(result: DataFrame, mode: str = "update", folder: str | None = None) -> DataFrame:
     """Runs a streaming frame over what there is and returns each example's latest row.
 
@@ -71,23 +105,36 @@ def drain(result: DataFrame, mode: str = "update", folder: str | None = None) ->
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    with state_store(spark):
+        result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{folder}/out")
     cols = result.columns
     latest = F.max(F.struct("batch", *cols))
     return rows.groupBy("example_id").agg(latest.alias("_l")).select(*[F.col(f"_l.{c}").alias(c) for c in cols])
 
 
+def results_folder(folder: str) -> str:
+    """Where :func:`drain_parts` keeps the results and the checkpoint of the steps of a folder."""
+    return f"{folder.rstrip('/')}-scores"
+
+
 def drain_parts(spark: SparkSession, folder: str, parts: list[DataFrame], schema: str, scores: Callable[[DataFrame], DataFrame], mode: str = "update") -> DataFrame:
     """The scores of steps that arrive in parts: each is written to the folder and drained by the same query, which
     resumes from its checkpoint, so a part may have any number of files and its rows any order."""
-    out, found = f"{folder}-scores", None
+    found = None
     for part in parts:
         part.write.mode("append").parquet(folder)
-        found = drain(scores(read_steps(spark, folder, "*.parquet", schema, files_per_trigger=None)), mode, out)
+        found = drain(scores(read_steps(spark, folder, "*.parquet", schema, files_per_trigger=None)), mode, results_folder(folder))
     return found
 
 
+def read_state(spark: SparkSession, folder: str, variable: str = "segments") -> DataFrame:
+    """The state that the query of a results folder holds, as a table of its keys and values."""
+    with state_store(spark):
+        state = spark.read.format("statestore").option("path", f"{folder}/checkpoint").option("stateVarName", variable).load()
+    return state.select("key.*", "user_map_key.*", "user_map_value.*") if "user_map_key" in state.columns else state.select("key.*", "value.*")
+
+
 def read_steps(spark: SparkSession, folder: str, glob: str, schema: str, files_per_trigger: int | None = 1, shape: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """A file stream of Parquet files with an explicit schema; without ``files_per_trigger``, all there are at once."""
     source = spark.readStream.schema(schema).option("pathGlobFilter", glob)
