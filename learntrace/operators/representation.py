@@ -6,71 +6,19 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from learntrace.functions.pointwise import softmax
 from learntrace.functions.vectors import distance, doubles
 from learntrace.operators.forgetting import first_unforgettable
 from learntrace.operators.layers import append_layer
+from learntrace.operators.neighbours import nearest
 from learntrace.operators.pointwise import pointwise_metrics
 
-BLOCK_ROWS = 50_000  # expected vectors of a block
 CHUNK_PAIRS = 1 << 21  # distances held at once
 
 
-def _blocks(rows: DataFrame, block_rows: int) -> int:
-    most = rows.groupBy("layer_idx").count().agg(F.max("count")).first()[0] or 0
-    return max(1, -(-most // block_rows))
-
-
-def _closest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of ``a``, rows of ``b`` and distances of each row's k nearest, ties by id.
-
-    |a|^2 + |b|^2 - 2ab is a matrix product and tells the k nearest up to rounding; all rows within the rounding of
-    the k-th are then measured directly, so that the choice is that of exact distances."""
-    k = min(k, len(b))
-    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
-    out, step = [], max(1, CHUNK_PAIRS // max(1, len(b)))
-    for first in range(0, len(a), step):
-        own = a[first : first + step]
-        squares = aa[first : first + step, None] + bb[None, :] - 2.0 * (own @ b.T)
-        last = np.partition(squares, k - 1, axis=1)[:, k - 1]
-        slack = 1e-12 * (aa[first : first + step] + bb.max()) * a.shape[1] + 1e-300
-        row, col = np.nonzero(squares <= (last + slack)[:, None])
-        d = np.sqrt(((own[row] - b[col]) ** 2).sum(axis=1))
-        order = np.lexsort((ids[col], d, row))
-        row, col, d = row[order], col[order], d[order]
-        place = np.arange(len(row)) - np.flatnonzero(np.r_[True, row[1:] != row[:-1]])[np.cumsum(np.r_[False, row[1:] != row[:-1]])]
-        near = place < k
-        out.append((row[near] + first, col[near], d[near]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def nearest(train: DataFrame, queries: DataFrame, k: int = 30, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The k nearest training rows of each query in its layer: layer_idx, query_id, d, label, train_id.
-
-    Both sides (layer_idx, example_id, label, act) are cut into blocks of a bounded expected size by a
-    hash of the id; each pair of blocks is one numpy task that keeps k rows a query, and a window over
-    k rows a block, cut to k before the shuffle too, picks the best. Ties go to the smaller id. Neither side is broadcast."""
-    nt, nq = _blocks(train, block_rows), _blocks(queries, block_rows)
-    block = lambda n: F.pmod(F.xxhash64("example_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("layer_idx", "example_id", doubles(F.col("act")).alias("act"), block(nq).alias("qb")).withColumn("tb", every(nt))
-    right = train.select(F.col("layer_idx").alias("t_layer"), F.col("example_id").alias("t_id"), F.col("label").alias("t_label"), doubles(F.col("act")).alias("t_act"), block(nt).alias("t_block")).withColumn("t_qb", every(nq))
-
-    def pair(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(t):
-            return pd.DataFrame({"layer_idx": [], "query_id": [], "d": [], "label": [], "train_id": []})
-        ids, labels = t["t_id"].to_numpy(), t["t_label"].to_numpy()
-        row, col, d = _closest(np.stack(q["act"]), np.stack(t["t_act"]), ids, k)
-        return pd.DataFrame({"layer_idx": q["layer_idx"].iloc[0], "query_id": q["example_id"].to_numpy()[row], "d": d, "label": labels[col], "train_id": ids[col]})
-
-    found = left.groupBy("layer_idx", "qb", "tb").cogroup(right.groupBy("t_layer", "t_qb", "t_block")).applyInPandas(pair, "layer_idx int, query_id long, d double, label int, train_id long")
-    best = Window.partitionBy("layer_idx", "query_id").orderBy("d", "train_id")
-    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
-
-
 def knn_predict(train: DataFrame, test: DataFrame | None = None, k: int = 30) -> DataFrame:
     """Whether the majority of the k nearest training rows has the query's label: layer_idx, example_id,
     pred, match. Without ``test`` the training rows are the queries, each its own neighbour too.

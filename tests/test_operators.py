@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from learntrace.functions import pointwise as fn
 from learntrace.functions.vectors import argmax
-from learntrace.operators import aggregates, analysis, combine, ensemble, frames, gradient, layers, ranking, representation
+from learntrace.operators import aggregates, analysis, combine, ensemble, frames, gradient, layers, neighbours, ranking, representation
 from learntrace.operators.pointwise import pointwise_metrics
 from learntrace.plans import fixtures as fx
 from tests.conftest import SF
@@ -88,7 +88,59 @@ def test_depth_of_the_shifted_points(spark):
 def test_blocks_do_not_change_neighbours(spark):
     rows = fx.activations(spark, SF).where("example_id < 60")
     key = ["layer_idx", "query_id", "train_id"]
-    assert sorted(representation.nearest(rows, rows, 5).select(*key).collect()) == sorted(representation.nearest(rows, rows, 5, block_rows=7).select(*key).collect())
+    assert sorted(neighbours.nearest(rows, rows, 5).select(*key).collect()) == sorted(neighbours.nearest(rows, rows, 5, block_rows=7).select(*key).collect())
+
+
+def clustered(spark, n=300, groups=6, dim=5, seed=3):
+    """Tight groups far apart, a hot one, ties and a few rows between the groups."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(0, 100, (groups, dim))
+    of = np.where(rng.random(n) < 0.4, 0, rng.integers(0, groups, n))
+    x = centre[of] + rng.normal(0, 1, (n, dim))
+    x[10:20] = x[0:10]
+    x[20:24] = centre.mean(axis=0)
+    rows = [(layer, i, i % 3, (x[i] * (1 + layer)).tolist()) for layer in (0, 1) for i in range(n)]
+    return x, spark.createDataFrame(rows, "layer_idx int, example_id long, label int, act array<double>")
+
+
+@pytest.mark.parametrize("block_rows,k", [(1000, 5), (40, 5), (9, 30)])
+def test_neighbours_of_clusters(spark, block_rows, k):
+    x, rows = clustered(spark)
+    queries = rows.where("example_id % 2 = 0")
+    exact = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for asked in (rows, queries):
+        got = {}
+        for r in neighbours.nearest(rows, asked, k, block_rows).collect():
+            got.setdefault((r["layer_idx"], r["query_id"]), []).append((r["d"], r["train_id"]))
+        ids = range(300) if asked is rows else range(0, 300, 2)
+        assert set(got) == {(layer, i) for layer in (0, 1) for i in ids}
+        for (layer, i), found in got.items():
+            want = sorted((exact[i, j] * (1 + layer), j) for j in range(300))[:k]
+            assert np.allclose([d for d, _ in sorted(found)], [d for d, _ in want]) and {j for _, j in found} == {j for _, j in want}
+
+
+def test_blocks_far_away_are_not_met(spark):
+    _, rows = clustered(spark, groups=12, n=600)
+    index = neighbours.Index(rows, rows, 25)
+    blocks = sum(int(layer.blocks.sum()) for layer in index.layers.values())
+    met = index.meetings(index.first(5), 5).count()
+    pairs = sum(int(layer.blocks.sum() * layer.later_parts.sum()) for layer in index.layers.values())
+    assert blocks > 40 and met < 0.3 * pairs
+    queries = index._meet(index.first(5), 5, False).count()
+    assert queries < 0.25 * 600 * blocks  # of 600 queries a layer and half of the blocks each
+
+
+def test_vectors_without_a_distance_are_named(spark):
+    good = [(0, i, 0, [float(i), 1.0]) for i in range(5)]
+    schema = "layer_idx int, example_id long, label int, act array<double>"
+    fine = spark.createDataFrame(good, schema)
+    for bad in ([float("nan"), 1.0], [1.0, float("inf")], [1.0, None], None, [1.0]):
+        rows = spark.createDataFrame([*good, (0, 9, 0, bad)], schema)
+        for train, test in ((rows, None), (fine, rows)):
+            with pytest.raises(ValueError, match="example 9|numbers"):
+                representation.knn_predict(train, test, 3)
+    assert representation.knn_predict(fine.limit(0), None, 3).count() == 0
+    assert representation.knn_predict(fine, fine.limit(0), 3).count() == 0
 
 
 def test_clusters_of_far_groups_are_their_means(spark):
@@ -189,11 +241,11 @@ def test_neighbours_by_products_are_the_exact_ones():
         b += 1e5
         a += 1e5
         ids = rng.permutation(200)
-        row, col, d = representation._closest(a, b, ids, 7)
+        row, col, d = neighbours.closest(a, b, ids, 7)
         exact = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
         want = [sorted(range(200), key=lambda j, i=i: (exact[i, j], ids[j]))[:7] for i in range(60)]
         assert row.tolist() == np.repeat(np.arange(60), 7).tolist() and col.tolist() == [j for w in want for j in w]
-    assert representation._closest(a, b[:3], ids[:3], 7)[1].shape == (180,)
+    assert neighbours.closest(a, b[:3], ids[:3], 7)[1].shape == (180,)
 
 
 def test_combine_and_export(spark):
