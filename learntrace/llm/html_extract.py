@@ -4,13 +4,15 @@ The standard-library parser is fed in pieces and its events become lines, one fo
 A line's ratio is the logarithm of its characters of text for each tag; outside articles text in links does
 not count. What the page says about a line is part of its ratio: lines of an article or main element gain
 ``ARTICLE``, lines in a block of a doubtful name (search, legal, banner) lose ``DOUBT``, and menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments have ratio 0 and are never content. The ratios
+footers, sidebars, notices, adverts, forms and reader comments have ratio 0 and are never content. A name in an article that is only
+in part one of furniture (market-share, social-impact) is doubtful: lines in a block of that name stay if the smoothed ratio of one of them
+reaches the threshold, and lists of links there never; on a paragraph or heading itself it says nothing, nor do ids there, which come from their text. The ratios
 are smoothed with a Gaussian over the page; two-means clustering of the smoothed ratios gives the threshold from
 which on a line is a seed of content.
 
 A region is what stands in the block around a seed's block. A line that is no seed stays if it stands in such a
 region: in an article always, and outside of one if no article has a seed and it is neither a list of links nor
-of a doubtful name. So short lines of a chosen region stay, and a long text beside a short article does, too. Where
+of a doubtful name, unless it is a heading. A paragraph of one or two links is no list. So short lines of a chosen region stay, and a long text beside a short article does, too. Where
 all text stands in forms and a line of it is prose, a form wraps the page and is not furniture.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as the parser
@@ -51,10 +53,19 @@ def _named(words: str) -> re.Pattern[str]:
 
 
 #: Names of furniture in class and id.
-NAMED = _named(
+FURNISHED = (
     "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr notice notices popup modal overlay nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "sidebar side-bar aside widget footer masthead topbar comment comments respond replies disqus share sharing social related recommended newsletter subscribe subscription signup login pagination pager"
 )
+NAMED = _named(FURNISHED)
+#: Words beside which a name of furniture is wholly one.
+NEUTRAL = frozenset(
+    f"{FURNISHED} area article bar block body bottom box button buttons card cards center column container content entry fixed form frame global group header home icon icons image inner item items left link links list "
+    "main media middle module outer page panel post posts primary rail right row secondary section side site slot small sticky story tab tag tags text title tools top unit view wrap wrapper".split()
+)
+PART = re.compile(r"[_-]+")
+OF_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote figcaption dd".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names that furniture and content both bear: they weigh, and do not decide.
 DOUBTFUL = _named("legal disclaimer copyright search alert banner header toolbar tags reply promo promotion skip")
 #: Furniture that holds articles of its own, such as comments and teasers.
@@ -63,6 +74,11 @@ APART = _named("comment comments respond reply replies disqus related recommende
 LAYOUT = re.compile(r"(?i)(?:^|\s)(?:with|has|no|without)-\S+")
 
 
+def wholly_furniture(name: str) -> bool:
+    """Whether a class or id has a word of furniture, and nothing beside it that names content."""
+    return any(NAMED.search(token) and all(part in NEUTRAL or part.isdigit() for part in PART.split(token.lower())) for token in name.split())
+
+
 @dataclass
 class Line:
     block: int  # number of the block that holds its text
@@ -73,16 +89,19 @@ class Line:
     parts: list[str] = field(default_factory=list)
     tags: int = 0
     linked: int = 0  # characters in links
+    anchors: int = 0
+    suspect: int = 0  # number of the element around it, in an article, whose name is in part one of furniture
+    tag: str = ""  # of its block
     text: str = ""
 
     def ratio(self) -> float:
         if self.furniture or not self.text:
             return 0.0
         text = len(self.text) if self.article else max(0, len(self.text) - self.linked)
-        return max(0.0, math.log1p(text / max(1, self.tags)) + (ARTICLE if self.article else 0.0) - (DOUBT if self.doubtful else 0.0))
+        return max(0.0, math.log1p(text / max(1, self.tags)) + (ARTICLE if self.article else 0.0) - (DOUBT if self.doubtful or self.suspect else 0.0))
 
     def links(self) -> bool:
-        return self.linked > LINKS * len(self.text)
+        return self.linked > LINKS * len(self.text) and not (self.tag in OF_TEXT and self.anchors <= 2)
 
 
 @dataclass
@@ -93,6 +112,7 @@ class _Open:
     furniture: bool
     doubtful: bool
     apart: bool
+    suspect: int = 0
     region: bool = False
 
 
@@ -104,10 +124,11 @@ class Lines(HTMLParser):
         self.stack: list[_Open] = []
         self.open: Counter[str] = Counter()  # open elements of each tag
         self.furnished: list[int] = []  # places in the stack of open furniture
-        self.doubts = self.aparts = self.asides = self.forms = self.silent = self.links = 0
+        self.doubts = self.suspects = self.aparts = self.asides = self.forms = self.silent = self.links = 0
         self.blocks: list[tuple[int, int]] = []  # place in the stack and number of the open blocks
         self.parent, self.last = [0], [0]  # of each block: the block around it, the last block inside it
         self.inside: list[int] = []  # numbers of the open article or main elements
+        self.suspected: list[int] = []  # numbers of the open elements of suspect names
         self.articles = 0
         self.lines: list[Line] = []
         self.line: Line | None = None
@@ -124,6 +145,7 @@ class Lines(HTMLParser):
         if self.line is None:
             block = self.blocks[-1][1] if self.blocks else 0
             self.line = Line(block, bool(self.furnished), self.doubts > 0, self.inside[-1] if self.inside else 0, len(self.furnished) == self.forms)
+            self.line.suspect, self.line.tag = self.suspected[0] if self.suspected else 0, self.stack[self.blocks[-1][0]].tag if self.blocks else ""
         return self.line
 
     def _pop(self) -> None:
@@ -136,6 +158,8 @@ class Lines(HTMLParser):
         if self.blocks and self.blocks[-1][0] == len(self.stack):
             self.last[self.blocks.pop()[1]] = len(self.parent) - 1
         self.doubts -= old.doubtful
+        if old.suspect:
+            self.suspected.pop()
         self.aparts -= old.apart
         self.silent -= old.tag in SILENT
         self.links -= old.tag == "a"
@@ -161,14 +185,20 @@ class Lines(HTMLParser):
             self.handle_data(" ")
         if tag in VOID:
             return
+        if tag == "a" and self.line is not None:
+            self.line.anchors += 1
         named = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
-        names = [LAYOUT.sub("", named.get(k, "")) for k in ("class", "id")] if tag not in ("html", "body") else []
+        told = () if tag in ("html", "body") else ("class",) if tag in OF_TEXT else ("class", "id")
+        names = [LAYOUT.sub("", named.get(k, "")) for k in told]
         furniture = tag in FURNITURE and not (tag == "header" and self.inside)  # an article's own heading
         furniture = furniture or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
-        furniture = furniture or any(NAMED.search(n) for n in names)
+        in_part = any(NAMED.search(n) for n in names)
+        weighs = in_part and bool(self.inside) and not any(wholly_furniture(n) for n in names)
+        furniture = furniture or in_part and not weighs
+        self.suspects += weighs and tag not in OF_TEXT
         if tag in REGIONS and not furniture and self.furnished and not self.silent:
             self._lift()
-        new = _Open(tag, furniture, any(DOUBTFUL.search(n) for n in names), furniture and any(APART.search(n) for n in names))
+        new = _Open(tag, furniture, any(DOUBTFUL.search(n) for n in names), furniture and any(APART.search(n) for n in names), self.suspects if weighs and tag not in OF_TEXT else 0)
         self.stack.append(new)
         self.open[tag] += 1
         if tag in BLOCKS:
@@ -180,6 +210,8 @@ class Lines(HTMLParser):
             self.asides += tag == "aside"
             self.forms += tag == "form"
         self.doubts += new.doubtful
+        if new.suspect:
+            self.suspected.append(new.suspect)
         self.aparts += new.apart
         self.silent += tag in SILENT
         self.links += tag == "a"
@@ -271,7 +303,8 @@ def chosen(page: Lines, limit: float | None = None, sigma: float = SIGMA) -> lis
             x.furniture = x.furniture and not x.wrapped
     smooth = smoothed([x.ratio() for x in lines], sigma)
     limit = threshold(smooth) if limit is None else limit
-    seed = [bool(x.text) and not x.furniture and s >= limit for x, s in zip(lines, smooth, strict=True)]
+    seed = [bool(x.text) and not x.furniture and s >= limit and not (x.suspect and x.links()) for x, s in zip(lines, smooth, strict=True)]
+    trusted = {x.suspect for x, s in zip(lines, seed, strict=True) if s}
     blocks = sorted({x.block for x, s in zip(lines, seed, strict=True) if s})
     named = any(s and x.article for x, s in zip(lines, seed, strict=True))
 
@@ -281,7 +314,9 @@ def chosen(page: Lines, limit: float | None = None, sigma: float = SIGMA) -> lis
         return at < len(blocks) and blocks[at] <= page.last[region]
 
     def stays(x: Line) -> bool:
-        return continues(x) and (x.article > 0 or not (named or x.links() or x.doubtful))
+        if x.suspect:
+            return x.suspect in trusted and not x.links()
+        return continues(x) and (x.article > 0 or not (named or x.links() or x.doubtful and x.tag not in HEADINGS))
 
     return [x for x, s in zip(lines, seed, strict=True) if x.text and not x.furniture and (s or stays(x))]
 

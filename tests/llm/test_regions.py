@@ -54,3 +54,40 @@ def test_ties_of_regions_are_all_chosen():
 def test_unclosed_tags_cost_the_same_each():
     assert html_extract.main_text("<div><b>" * 20_000 + "x" + "</i></div>" * 20_000) == "x"
     assert html_extract.main_text("<nav><article>" * 20_000 + "x") == "x"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f'<article><h1>T</h1><p>{LONG}</p><h2 id="related-work">Related work</h2><p>{LONG}</p><h2 id="social-impact">Social impact</h2><p class="market-share">Market share rose.</p><p>{LONG}</p></article>', ["T", LONG.strip(), "Related work", LONG.strip(), "Social impact", "Market share rose.", LONG.strip()]),
+        (f'<article><p>{LONG}</p><div class="social-impact"><p>A short paragraph.</p><p>{LONG}</p></div><p>{LONG}</p></article>', [LONG.strip(), "A short paragraph.", LONG.strip(), LONG.strip()]),
+        (f'<article><p>{LONG}</p><div class="share-buttons"><a>Share</a> <a>Tweet</a></div><div class="ad-slot-3">Buy this now</div><div class="widget-newsletter">Sign up</div><p>{LONG}</p></article>', [LONG.strip(), LONG.strip()]),
+        (f'<article><p>{LONG}</p><div class="also-related"><ul><li><a>Other page</a></li><li><a>One more</a></li></ul></div></article>', [LONG.strip()]),
+        (f'<body><div class="entry-header"><h1>Title</h1></div><p>{LONG}</p><p><a href="x">See the source</a></p><p>End.</p></body>', ["Title", LONG.strip(), "See the source", "End."]),
+    ],
+)
+def test_names_weigh_in_articles(page, want):
+    assert html_extract.main_text(page).split("\n") == want
+
+
+def article_of(page):
+    return html_extract.main_text(page[page.index("<article") : page.index("</article>") + 10])
+
+
+def test_given_pages_unwrapped_and_renamed(spark):
+    """Articles as plain blocks, with names of furniture on content; and what smoothing and the threshold do there."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    exact = unwrapped = renamed = smoothing = limits = 0
+    for i, page in enumerate(pages):
+        want = article_of(page)
+        plain = page.replace("<article", "<div").replace("</article>", "</div>")
+        exact += html_extract.main_text(page) == want
+        unwrapped += html_extract.main_text(plain) == want
+        renamed += html_extract.main_text(page.replace("<p>", '<p class="market-share">').replace("<h1>", '<h1 id="related-work">')) == want
+        listed = plain.replace("</body>", "<div><ul>" + f"<li><a>Page {i}</a></li>" * 8 + "</ul></div><div><div><p>Short end of the page.</p></div></div></body>")
+        full, smooth, low = (html_extract.chosen(html_extract.lines_of(listed), *a) for a in ((), (None, 1e-6), (-1.0,)))
+        smoothing += [x.text for x in smooth] != [x.text for x in full]
+        limits += [x.text for x in low] != [x.text for x in full]
+    assert exact == len(pages) == renamed and unwrapped >= 0.98 * len(pages)
+    assert limits > 0.9 * len(pages)
+    assert smoothing > 0
