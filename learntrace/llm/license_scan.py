@@ -6,7 +6,8 @@ matched on whole words.
 Defined results: a null text counts as empty: no words, no places, empty labels, score 0; texts are
 scanned whole; each row is judged alone; an empty table gives an empty table; other columns stay. An
 expression ends where its grammar does; one that is not whole counts as its identifiers joined by AND, and is
-marked ``malformed``; a tag without any identifier says nothing.
+marked ``malformed``; a tag without any identifier says nothing, nor does one before NONE or before a sentence: a single
+word that is no known identifier has a digit or a hyphen, or ends its line.
 """
 
 from __future__ import annotations
@@ -45,14 +46,21 @@ _PRECEDENCE = {"OR": 1, "AND": 2, "WITH": 3}
 _TOKEN = re.compile(r"[ \t]*([()]|(?:DocumentRef-[A-Za-z0-9.-]*[A-Za-z0-9]:)?[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\+?)")
 
 
-def read_expression(text: str, at: int = 0) -> tuple[list[str], bool]:
-    """The tokens of the longest expression that starts at a place of a text, and whether there is one.
+#: What stands for no licence.
+_NOTHING = frozenset(("NONE", "NOASSERTION"))
+#: The end of a line, after marks such as those that close a comment.
+_LINE_END = re.compile(r"[^\w\n]*(?:\n|\Z)")
+
+
+def read_expression(text: str, at: int = 0) -> tuple[list[str], bool, int]:
+    """The tokens of the longest expression that starts at a place of a text, whether there is one, and where it ends.
 
     Reading ends where the grammar does, at the latest at the end of the line. Operators are read in any
     case, but in lower case only before a parenthesis or an identifier of a known family, for a sentence
     may go on there. If no expression is whole, the tokens are the ones that could be read."""
     tokens: list[str] = []
     whole = depth = 0
+    end = at
     state = "start"  # start: an operand must follow; simple: after an identifier; whole: after ) or an exception; with: an exception must follow
     while m := _TOKEN.match(text, at):
         t = m[1]
@@ -76,8 +84,8 @@ def read_expression(text: str, at: int = 0) -> tuple[list[str], bool]:
         tokens.append(t)
         at = m.end()
         if not depth and state in ("simple", "whole"):
-            whole = len(tokens)
-    return (tokens[:whole], True) if whole else (tokens, False)
+            whole, end = len(tokens), at
+    return (tokens[:whole], True, end) if whole else (tokens, False, at)
 
 
 def postfix(tokens: list[str]) -> list[str]:
@@ -109,10 +117,20 @@ def known(identifier: str) -> bool:
     return license_class(identifier) < len(CLASSES) - 1 or identifier.startswith(("LicenseRef-", "DocumentRef-"))
 
 
+def formed(identifier: str) -> bool:
+    """Whether an identifier is known or looks like one, and not like a word of a sentence."""
+    return known(identifier) or "-" in identifier or any(c.isdigit() for c in identifier)
+
+
 def evaluate(text: str, at: int = 0) -> tuple[str, list[str], int, bool]:
     """The expression at a place of a text, its identifiers, its class and whether it is whole."""
-    tokens, ok = read_expression(text, at)
+    tokens, ok, end = read_expression(text, at)
     ids = [t for t in tokens if t not in "()" and t.upper() not in _PRECEDENCE]
+    prose = not (ok and (len(ids) > 1 or _LINE_END.match(text, end)))
+    if any(t.upper() in _NOTHING for t in ids) or prose and not any(formed(t) for t in ids):
+        return "", [], len(CLASSES) - 1, True
+    if not ok:
+        ids = [t for t in ids if formed(t)]
     shown = " ".join(tokens).replace("( ", "(").replace(" )", ")")
     if not ok:
         return shown, sorted({x.lower() for x in ids}), max((license_class(x) for x in ids), default=len(CLASSES) - 1), False
@@ -155,13 +173,13 @@ def _tags() -> ahocorasick.Automaton:
 
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def scan(text: str | None) -> dict:
     """What one text says about licences."""
     raw = text or ""
-    words = raw.encode("utf-8", "replace").translate(_FOLD).split()
+    data = raw.encode("utf-8", "replace")
+    words = data.translate(_FOLD).split()
     joined = f" {b' '.join(words).decode('utf-8', 'replace')} "
     places: list[tuple[int, str]] = []
     at = word = 0
@@ -181,7 +199,7 @@ def scan(text: str | None) -> dict:
             label, weight = PHRASES[phrase]
             labels.add(label)
             score = max(score, weight)
-    for end, _ in _tags().iter(raw.translate(_LOWER)):
+    for end, _ in _tags().iter(data.lower().decode("utf-8")):
         expression, ids, k, ok = evaluate(raw, end + 1)
         if ids:
             labels.update(ids)
