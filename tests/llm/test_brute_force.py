@@ -288,7 +288,7 @@ def test_licenses(spark, texts):
     [("MIT", ["MIT"]), ("a OR b AND c", ["a", "b", "c", "AND", "OR"]), ("(a OR b) AND c WITH e", ["a", "b", "OR", "c", "e", "WITH", "AND"]), ("a OR", ["a"]), ("(a", None), ("a b", ["a"]), (")", None), ("", None), ("a WITH (b OR c)", ["a"]), ("(a OR b) WITH c", ["a", "b", "OR"])],
 )
 def test_shunting_yard(text, order):
-    tokens, ok = license_scan.read_expression(text)
+    tokens, ok, _ = license_scan.read_expression(text)
     assert (license_scan.postfix(tokens) if ok else None) == order
 
 
@@ -303,6 +303,9 @@ def test_expressions():
         ("SPDX-License-Identifier: (MIT OR Apache-2.0)\n", "apache-2.0,mit", "permissive", 0), ("<!-- SPDX-License-Identifier: MIT -->", "mit", "permissive", 0), ("SPDX-License-Identifier: MIT and nothing more.", "mit", "permissive", 0),
         ("spdx-license-identifier: MIT.", "mit", "permissive", 0), ("SPDX-License-Identifier: GPL-2.0-only WITH (MIT OR X)", "gpl-2.0-only", "strong copyleft", 0), ("x /* SPDX-License-Identifier:MIT and (isc or LGPL-2.1+) */", "isc,lgpl-2.1+,mit", "permissive", 0),
         ("SPDX-License-Identifier: (MIT OR", "mit", "permissive", 1), ("SPDX-License-Identifier:\nMIT", "", None, 0), ("SPDX-License-Identifier: DocumentRef-a:LicenseRef-b AND MIT\nLicense-Expression: EPL-2.0", "documentref-a:licenseref-b,epl-2.0,mit", "unknown", 0),
+        ("SPDX-License-Identifier: see LICENSE file", "", None, 0), ("SPDX-License-Identifier: the licence of the whole", "", None, 0), ("SPDX-License-Identifier: NONE\n", "", None, 0), ("SPDX-License-Identifier: (see the file)", "", None, 0),
+        ("/* SPDX-License-Identifier: curl */\nmore", "curl", "unknown", 0), ("License-Expression: WTFPL\n", "wtfpl", "unknown", 0), ("SPDX-License-Identifier: Foo-1.0 is ours", "foo-1.0", "unknown", 0), ("SPDX-License-Identifier: MIT see LICENSE", "mit", "permissive", 0),
+        ("ÄSPDX-LICENSE-Identifier: Apache-2.0", "apache-2.0", "permissive", 0),
     ],
 )
 def test_tags(text, labels, kind, malformed):
@@ -414,6 +417,11 @@ def test_orders_are_uniform(spark):
 def test_samples_of_labels_follow_their_bound(spark, monkeypatch):
     docs = spark.range(4000).selectExpr("id as doc_id", "'t' as text")
     labels = docs.selectExpr("doc_id", "1 as toxic")
+    hot = docs.limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).select("doc_id", F.concat_ws(" ", "text", F.when(F.col("n") > 9, F.col("n").cast("string"))).alias("text"))
+    one = learning.labelled_sample(hot, hot.select("doc_id", F.lit(1).alias("toxic")).distinct(), "toxic", 5, 9, 100)
+    assert one.count() == 1 and one.columns == ["doc_id", "text", "label"]
+    tight = learning.labelled_sample(docs.select("doc_id", "text"), labels, "toxic", 5, 0, 10_000, most_bytes=1000)
+    assert 0 < tight.agg(F.sum(F.octet_length("text"))).first()[0] <= 1000
     few = learning.labelled_sample(docs, labels, "toxic", 5, 0, 300).count()
     assert 200 < few < 400 and learning.labelled_sample(docs, labels, "toxic", 5, 0, 10_000).count() == docs.where(learning.fold(F.col("doc_id"), 5) != 0).count()
 

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pytest
 
 import corpus_pipeline
 from learntrace.llm import decontam, minhash, simhash
@@ -85,3 +86,20 @@ def test_variants_of_one_text_link_as_all_pairs_do(spark):
     alone = spark.createDataFrame([(i, i) for i in range(210)], "node long, root long")
     met = {tuple(sorted(r)) for r in minhash._across(alone, rows.withColumnRenamed("id", "node"), 5, 0.8).collect()}
     assert {p for p in near if p[1] < 210} <= met and len(met) < 210 * 209 / 4
+
+
+def test_bands_follow_the_similarity(spark):
+    assert [minhash.band_rows(s) for s in (0.8, 0.5, 0.1, 1.0)] == [5, 2, 1, 160]
+    for s in (0.01, 0.0, 1.5):
+        with pytest.raises(ValueError):
+            minhash.band_rows(s)
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(4000)]
+    base = [[words[j] for j in rng.integers(0, 4000, 120)] for _ in range(40)]
+    near = [b[:80] + [words[j] for j in rng.integers(0, 4000, 40)] for b in base]  # two thirds of the text: similarity about 0.5
+    texts = [" ".join(t) for t in base + near]
+    sets = [minhash.shingles(t, 5) for t in texts]
+    alike = [minhash.jaccard(sets[i], sets[40 + i]) >= 0.45 for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"] for r in simhash.drop_near_duplicates(docs, shingle=5, similarity=0.45).collect()}
+    assert sum(alike) > 20 and left == set(range(40)) | {40 + i for i in range(40) if not alike[i]}
