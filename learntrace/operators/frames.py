@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from learntrace.operators.layers import distinct_layers, match_key
-from learntrace.operators.ranking import order_position
+from learntrace.operators.ranking import order_position, positioned
 
 
 def apply_all(df: DataFrame, columns: list[str], f: Callable[[Column], Column], prefix: str | None = None) -> DataFrame:
@@ -55,6 +55,19 @@ def disjoint_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> bool:
     return a.select(*keys).intersect(b.select(*keys)).isEmpty()
 
 
+def key_overlaps(rows: DataFrame, by: list[str], run: str, keys: list[str]) -> DataFrame:
+    """For each two runs (of one group ``by``): ``n_both``, the keys in both, ``same`` and ``disjoint``, whether they have the
+    same keys or none in common. Each key's set of runs is counted once, so the pairs come from as many rows as there are
+    sets of runs."""
+    sets = rows.groupBy(*by, *keys).agg(F.sort_array(F.collect_set(run)).alias("_runs")).groupBy(*by, "_runs").agg(F.count("*").alias("_n"))
+    every = sets.groupBy(*by).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("_runs")))).alias("_all"))  # runs: tens
+    paired = sets.join(every, by).withColumn("a", F.explode("_all")).withColumn("b", F.explode("_all")).where("a < b")
+    has = lambda c: F.array_contains("_runs", F.col(c))
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0)).cast("long")
+    both, either = n(has("a") & has("b")), n(has("a") | has("b"))
+    return paired.groupBy(*by, F.col("a").alias("run_a"), F.col("b").alias("run_b")).agg(both.alias("n_both"), (both == either).alias("same"), (both == 0).alias("disjoint"))
+
+
 def append_rows(parts: list[DataFrame], most: int | None = None, order: str | None = None) -> DataFrame:
     """All parts one after another; with ``most``, the rows of smallest ``order``, and a warning if there are fewer."""
     out = parts[0]
@@ -65,7 +78,7 @@ def append_rows(parts: list[DataFrame], most: int | None = None, order: str | No
     n = out.count()
     if n < most:
         warnings.warn(f"{n} rows where {most} were expected", stacklevel=2)
-    return out if n <= most else out.orderBy(order).limit(most)
+    return out if n <= most else positioned(out, [], [order], "_lt_at").where(F.col("_lt_at") < most).drop("_lt_at")
 
 
 def random_inputs(spark: SparkSession, n: int, dims: int, seed: int = 0) -> DataFrame:

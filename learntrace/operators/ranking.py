@@ -48,9 +48,11 @@ def value_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def rank_average(rows: DataFrame, keys: list[str], value: str, out: str = "rank") -> DataFrame:
-    """``rows`` with 0-based ranks, the mean rank where values tie; null values have no rank."""
-    ranks = value_ranks(rows, keys, value).withColumn(out, F.col("below") + (F.col("n") - 1) / F.lit(2.0)).drop("n", "below")
-    return rows.join(ranks, [*keys, value], "left").select(*rows.columns, out)
+    """``rows`` with 0-based ranks, the mean rank where values tie; null values have no rank, null keys are keys."""
+    ranks = value_ranks(rows, keys, value).withColumn(out, F.col("below") + (F.col("n") - 1) / F.lit(2.0))
+    ranks = ranks.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate([*keys, value])], out)
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate([*keys, value])))
+    return rows.join(ranks, same, "left").select(*rows.columns, out)
 
 
 def order_position(rows: DataFrame, keys: list[str], value: str, tie: str, out: str = "position") -> DataFrame:
@@ -77,28 +79,30 @@ def rank_bins(rows: DataFrame, keys: list[str], value: str, tie: str, bins: int
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, tie: list[str], shares: dict[str, float]) -> DataFrame:
-    """A row a key and a column a share: the exact quantile, interpolated between the two rows that it lies between.
+    """A row a key, ``n``, ``mean`` and a column a share: the exact quantile, interpolated between the two rows that it lies
+    between. Nulls count in ``n`` alone.
 
-    Rows are placed, not gathered: a group of any size aggregates partially."""
-    known = rows.where(F.col(value).isNotNull()).select(*keys, value, *tie)
-    placed = positioned(known, keys, [value, *tie], "_at")
-    placed = placed.join(known.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    Rows are placed once, not gathered: a group of any size aggregates partially."""
+    placed = positioned(rows.select(*keys, value, *tie), keys, [value, *tie], "_at")  # nulls come first
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.count(value).alias("_n"))
+    named = sizes.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate(keys)], "n", "mean", "_n")
+    placed = placed.join(named, reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(keys))))
 
     def at(share: float) -> Column:
         h = (F.col("_n") - 1) * F.lit(share)
-        pick = lambda place: F.max(F.when(F.col("_at") == place, F.col(value)))
+        before = F.col("n") - F.col("_n")
+        pick = lambda place: F.max(F.when(F.col("_at") == before + place, F.col(value)))
         low, high = pick(F.floor(h)), pick(F.ceil(h))
         return low + (high - low) * F.max(h - F.floor(h))
 
-    return placed.groupBy(*keys).agg(*[at(s).alias(n) for n, s in shares.items()])
+    return placed.groupBy(*keys).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), *[at(s).alias(n) for n, s in shares.items()])
 
 
 def binned_quantiles(rows: DataFrame, bins: DataFrame, keys: list[str], item: str, value: str, shares: tuple[float, float] = (0.05, 0.95), tie: str | None = None, flags: Column | None = None) -> DataFrame:
     """For each bin of items: the mean, median and quantiles of all their values, and ``x``, the number
     of values up to and with the bin. Values of a column of flags (a condition on the keys) have no low and high."""
     joined = rows.join(bins.select(*keys, item, "bin"), [*keys, item])
-    told = quantiles(joined, [*keys, "bin"], value, [item, *([tie] if tie else [])], {"median": 0.5, "low": shares[0], "high": shares[1]})
-    per = joined.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(told, [*keys, "bin"], "left")
+    per = quantiles(joined, [*keys, "bin"], value, [item, *([tie] if tie else [])], {"median": 0.5, "low": shares[0], "high": shares[1]})
     if flags is not None:
         per = per.withColumns({c: F.when(~flags, F.col(c)) for c in ("low", "high")})
     return per.withColumn("x", F.sum("n").over(Window.partitionBy(*keys).orderBy("bin")))  # bins of a key: a hundred

@@ -172,10 +172,10 @@ def online_pointwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def resume_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States of two halves of the steps, merged: as an accumulator that was saved and resumed."""
-    rows = fx.pointwise(spark, sf_dir)
-    halves = [aggregates.moment_state(rows.where(c), ["example_id"], "margin") for c in (F.col("step") < 3, F.col("step") >= 3)]
-    merged = aggregates.finish_moments(aggregates.merge_moments(halves[0].unionByName(halves[1]), ["example_id"]))
+    """States of two models' runs, merged: as an accumulator that was saved and resumed."""
+    rows, keys = fx.metrics(spark, sf_dir), ["metric", "example_id"]
+    halves = [aggregates.moment_state(rows.where(c), keys, "value") for c in (F.col("model") == "m0", F.col("model") == "m1")]
+    merged = aggregates.finish_moments(aggregates.merge_moments(halves[0].unionByName(halves[1]), keys))
     return rounded(merged.drop("m2"), "mean", "variance")
 
 
@@ -328,6 +328,15 @@ def self_supervised_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return representation.self_supervised_prototypes(last, k=10)
 
 
+@query
+def representation_metrics_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth and both prototype distances, the last layer's rows being moved apart into two groups that clustering finds."""
+    far = F.when(F.col("layer_idx") == fx.LAYERS - 1, F.col("label") % 2 * 100.0).otherwise(0.0)
+    rows = fx.activations(spark, sf_dir)
+    found = representation.representation_metrics(rows.withColumn("act", F.transform(doubles(F.col("act")), lambda x: x + far)), clusters=2)
+    return rounded(found.select("example_id", "label", "proto", "selfproto", "pd"), "proto", "selfproto")
+
+
 @query
 def representation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(representation.representation_metrics(fx.activations(spark, sf_dir)), "proto")
@@ -435,10 +444,11 @@ def average_over_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def outer_union_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training values of one model where there are any, else those of the other, run by run."""
     rows = fx.metrics(spark, sf_dir)
-    part = lambda c: rows.where(c).select("metric", "example_id", "value")
-    a, b = part("model = 'm0' and replicate = 0 and is_train"), part("model = 'm1' and replicate = 1")
-    return rounded(combine.outer_union(a, b, ["metric", "example_id"], ["value"]), "value")
+    part = lambda c: rows.where(c).select("replicate", "metric", "example_id", "value")
+    a, b = part("model = 'm0' and is_train"), part("model = 'm1'")
+    return rounded(combine.outer_union(a, b, ["replicate", "metric", "example_id"], ["value"]), "value")
 
 
 @query
@@ -509,7 +519,7 @@ def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pca_explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.pca_explained_variance(fx.metrics(spark, sf_dir), list(DOUBLES))
+    return rounded(analysis.pca_explained_variance(fx.metrics(spark, sf_dir), list(DOUBLES)), "ratio", "cumulative")
 
 
 @query
@@ -682,12 +692,12 @@ def runs_of_a_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def saved_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An accumulator's state of half the steps saved, loaded and merged with the other half's."""
-    folder, rows = _folder(spark, "state"), fx.pointwise(spark, sf_dir)
-    metrics.save_state(aggregates.moment_state(rows.where("step < 3"), ["example_id"], "margin"), folder, "variance", {"steps": 3}, {"seen": [0, 1, 2]})
+    """An accumulator's state of half the runs saved, loaded and merged with the other half's."""
+    folder, rows, keys = _folder(spark, "state"), fx.metrics(spark, sf_dir), ["metric", "example_id"]
+    metrics.save_state(aggregates.moment_state(rows.where("model = 'm0'"), keys, "value"), folder, "variance", {"models": 1}, {"seen": ["m0"]})
     state, meta, lists = metrics.load_state(spark, folder, "variance")
-    rest = rows.where((F.col("step") >= meta["steps"]) & ~F.col("step").isin(lists["seen"]))
-    merged = aggregates.merge_moments(state.unionByName(aggregates.moment_state(rest, ["example_id"], "margin")), ["example_id"])
+    rest = rows.where(~F.col("model").isin(*lists["seen"][: meta["models"]]))
+    merged = aggregates.merge_moments(state.unionByName(aggregates.moment_state(rest, keys, "value")), keys)
     return rounded(aggregates.finish_moments(merged).drop("m2"), "mean", "variance")
 
 
@@ -738,7 +748,15 @@ def stacked_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def appended_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.trajectory(spark, sf_dir)
-    return frames.append_rows([rows.where(F.col("step") == t) for t in (0, 2, 4)])
+    return frames.append_rows([rows.where(F.col("step") == t) for t in range(fx.STEPS)])
+
+
+@query
+def first_rows_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts appended, and of them the three quarters that come first by their order."""
+    rows = fx.table(spark, sf_dir, "events").select("event_id", "value")
+    parts = [rows.where(F.col("event_id") % 3 == i) for i in range(3)]
+    return rounded(frames.append_rows(parts, rows.count() * 3 // 4, "event_id"), "value")
 
 
 @query
@@ -753,11 +771,8 @@ def metric_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def key_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether two checkpoints have the same examples, and whether training and other rows share any."""
-    rows = fx.metrics(spark, sf_dir)
-    one, two = (rows.where((F.col("replicate") == r) & (F.col("metric") == "ent")) for r in (0, 1))
-    found = (frames.same_keys(one, two, ["model", "example_id"]), frames.disjoint_keys(one.where("is_train"), two.where("is_train"), ["example_id"]))
-    return spark.createDataFrame([found], "same boolean, disjoint boolean")
+    """Which runs of a model share training examples, and whether any two have the same or none in common."""
+    return frames.key_overlaps(fx.metrics(spark, sf_dir).where("is_train"), ["model", "metric"], "replicate", ["example_id"])
 
 
 @query

@@ -125,7 +125,23 @@ SCALED = "SELECT model, replicate, metric, example_id, CASE WHEN sd > 0 THEN (va
 REDUCTIONS = ", ".join(f"{r(f'{f}(value) FILTER (WHERE {c})')} AS {n}_{k}" for n, c in (("all", "true"), ("train", "is_train"), ("test", "NOT is_train")) for k, f in (("mean", "avg"), ("median", "median")))
 STEPPED = lambda f, p: ", ".join(f"{r(f'{f}({_NUM[m]})')} AS {p}_{m}" for m in METRIC_NAMES)
 
+#: Eigenvalues of each model's 5 x 5 correlation matrix, by cyclic Jacobi rotations of a list of 25 numbers.
+_AT = lambda i, j: f"m[5 * ({i}) + ({j}) + 1]"
+_TURN = f"""CASE WHEN abs({_AT('p', 'q')}) < 1e-300 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE * atan2(2 * {_AT('p', 'q')}, {_AT('q', 'q')} - {_AT('p', 'p')}) END"""
+_COLUMNS = "list_transform(range(25), lambda k: CASE WHEN k % 5 = p THEN cos(t) * m[k // 5 * 5 + p + 1] - sin(t) * m[k // 5 * 5 + q + 1] WHEN k % 5 = q THEN sin(t) * m[k // 5 * 5 + p + 1] + cos(t) * m[k // 5 * 5 + q + 1] ELSE m[k + 1] END)"
+_ROWS = "list_transform(range(25), lambda k: CASE WHEN k // 5 = p THEN cos(t) * c[p * 5 + k % 5 + 1] - sin(t) * c[q * 5 + k % 5 + 1] WHEN k // 5 = q THEN sin(t) * c[p * 5 + k % 5 + 1] + cos(t) * c[q * 5 + k % 5 + 1] ELSE c[k + 1] END)"
+PCA = sql(
+    "metrics", f"""SELECT model, component, {r('ratio')} AS ratio, {r('cumulative')} AS cumulative, cumulative - ratio <= 0.99 AS kept FROM
+        (SELECT *, sum(ratio) OVER (PARTITION BY model ORDER BY component) AS cumulative FROM (SELECT model, (row_number() OVER (PARTITION BY model ORDER BY v DESC) - 1)::INT AS component, v / 5 AS ratio FROM
+            (SELECT model, unnest([m[1], m[7], m[13], m[19], m[25]]) AS v FROM turned WHERE step = 100)))""",
+    means="SELECT model, metric, example_id, avg(value) AS value FROM metrics WHERE metric <> 'acc' GROUP BY ALL",
+    matrices=f"SELECT model, list(v ORDER BY ma, mb) AS m FROM (SELECT a.model, a.metric AS ma, b.metric AS mb, {CORR.format(a='a.value', b='b.value')} AS v FROM means a JOIN means b ON a.model = b.model AND a.example_id = b.example_id GROUP BY ALL) GROUP BY model",
+    **{"turned(model, step, m)": f"""SELECT model, 0, m FROM matrices UNION ALL SELECT model, step + 1, {_ROWS} FROM (SELECT *, {_COLUMNS} AS c FROM (SELECT *, {_TURN} AS t FROM
+        (SELECT *, [0, 0, 0, 0, 1, 1, 1, 2, 2, 3][step % 10 + 1] AS p, [1, 2, 3, 4, 2, 3, 4, 3, 4, 4][step % 10 + 1] AS q FROM turned WHERE step < 100)))"""},
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
 ORACLES: dict[str, str] = {
+    "pca_explained_variance": PCA,
     "softmax": sql("soft", f"SELECT example_id, step, c - 1 AS class_idx, {r('p[c]')} AS p FROM (SELECT *, unnest(range(1, 11)) AS c FROM soft)"),
     "zero_one_accuracy": from_point("acc", "acc", False), "entropy": from_point("ent", "ent"), "class_confidence": from_point("conf", "conf"), "max_confidence": from_point("maxconf", "maxconf"),
     "margin": from_point("margin", "margin"), "el2n": from_point("el2n", "el2n"), "cross_entropy": from_point("loss", "cross_entropy"),
@@ -148,7 +164,7 @@ ORACLES: dict[str, str] = {
     "mean_over_steps": sql("point", f"SELECT example_id, {STEPPED('avg', 'avg')} FROM point GROUP BY example_id"),
     "variance_over_steps": sql("point", f"SELECT example_id, {STEPPED('var_samp', 'var')} FROM point GROUP BY example_id"),
     "online_pointwise": sql("point", f"SELECT label, count(*) AS n, {STEPPED('avg', 'avg')}, {STEPPED('var_samp', 'var')} FROM point GROUP BY label"),
-    "resume_variance": sql("point", f"SELECT example_id, count(*)::BIGINT AS n, {r('avg(margin)')} AS mean, {r('var_samp(margin)')} AS variance FROM point GROUP BY example_id"),
+    "resume_variance": sql("metrics", f"SELECT metric, example_id, count(*)::BIGINT AS n, {r('avg(value)')} AS mean, {r('var_samp(value)')} AS variance FROM metrics GROUP BY metric, example_id"),
     "last_metrics": sql("point", f"SELECT example_id, {', '.join(f'{r(m)} AS last_{m}' for m in METRIC_NAMES[1:])} FROM point WHERE step = 5"),
     "ensemble_accuracy": sql("point", f"SELECT example_id, {r('avg(acc::INT)')} AS allacc FROM point GROUP BY example_id"),
     "always_never_learned": sql("point", "SELECT example_id, bool_and(acc) AS always, NOT bool_or(acc) AS never FROM point GROUP BY example_id"),
@@ -184,7 +200,7 @@ ORACLES: dict[str, str] = {
     "combine_metrics": sql("metrics", f"SELECT model, metric, example_id, {REDUCTIONS} FROM metrics GROUP BY ALL"),
     "is_train_sanity": sql("metrics", "SELECT model, metric, min(n)::BIGINT AS least, " + r("avg(n)") + " AS mean, max(n)::BIGINT AS most, 0::BIGINT AS violations FROM (SELECT model, metric, example_id, count(*) FILTER (WHERE is_train) AS n FROM metrics GROUP BY ALL) GROUP BY ALL"),
     "average_over_replicates": sql("metrics", f"SELECT model, example_id, {', '.join(f'''{r(f'avg(value) FILTER (WHERE metric = {chr(39)}{m}{chr(39)})')} AS {m}''' for m in METRIC_NAMES)} FROM metrics GROUP BY model, example_id"),
-    "outer_union_models": sql("metrics", f"SELECT metric, example_id, {r('coalesce(a.value, b.value)')} AS value FROM (SELECT metric, example_id, value FROM metrics WHERE model = 'm0' AND replicate = 0 AND is_train) a FULL JOIN (SELECT metric, example_id, value FROM metrics WHERE model = 'm1' AND replicate = 1) b USING (metric, example_id)"),
+    "outer_union_models": sql("metrics", f"SELECT replicate, metric, example_id, {r('coalesce(a.value, b.value)')} AS value FROM (SELECT replicate, metric, example_id, value FROM metrics WHERE model = 'm0' AND is_train) a FULL JOIN (SELECT replicate, metric, example_id, value FROM metrics WHERE model = 'm1') b USING (replicate, metric, example_id)"),
     "metric_correlation_pearson": sql("metrics", f"SELECT model, metric_a, metric_b, {r('avg(corr)')} AS corr FROM pairs GROUP BY ALL", pairs=PAIRS.format(corr=CORR.format(a="av", b="bv"), v="value", t="metrics")),
     "metric_correlation_spearman": sql("metrics", f"SELECT model, metric_a, metric_b, {r('avg(corr)')} AS corr FROM pairs GROUP BY ALL", rounded="SELECT * REPLACE (round(value, 9) AS value) FROM metrics", ranked=RANKED.replace("FROM metrics", "FROM rounded"), pairs=PAIRS.format(corr=CORR.format(a="av", b="bv"), v="rnk", t="ranked")),
     "correlation_shrink": sql("metrics", f"SELECT model, metric_a, metric_b, {r('corr_of_avg')} AS corr_of_avg, {r('corr')} AS corr, {r('corr_of_avg - corr')} AS shrink FROM (SELECT model, metric_a, metric_b, avg(corr) AS corr FROM pairs GROUP BY ALL) JOIN (SELECT a.model, a.metric AS metric_a, b.metric AS metric_b, {CORR.format(a='a.value', b='b.value')} AS corr_of_avg FROM means a JOIN means b ON a.model = b.model AND a.example_id = b.example_id GROUP BY ALL) USING (model, metric_a, metric_b)", means="SELECT model, metric, example_id, avg(value) AS value FROM metrics GROUP BY ALL", pairs=PAIRS.format(corr=CORR.format(a="av", b="bv"), v="value", t="metrics")),
@@ -212,16 +228,18 @@ ORACLES: dict[str, str] = {
     "checkpoints_listed": sql("dense", "SELECT DISTINCT step::BIGINT AS step FROM dense"),
     "exported_csv": sql("metrics", f"SELECT example_id, {', '.join(f'{r(f'avg(value) FILTER (WHERE metric = {chr(39)}{m}{chr(39)})')} AS all_mean_{m}, {r(f'median(value) FILTER (WHERE is_train AND metric = {chr(39)}{m}{chr(39)})')} AS train_median_{m}' for m in METRIC_NAMES)} FROM metrics GROUP BY example_id"),
     "runs_of_a_model": sql("metrics", "SELECT model || '_' || replicate AS run, count(*) AS n FROM metrics WHERE model = 'm1' AND replicate <> 2 GROUP BY ALL"),
-    "saved_state": sql("point", f"SELECT example_id, count(*)::BIGINT AS n, {r('avg(margin)')} AS mean, {r('var_samp(margin)')} AS variance FROM point GROUP BY example_id"),
+    "saved_state": sql("metrics", f"SELECT metric, example_id, count(*)::BIGINT AS n, {r('avg(value)')} AS mean, {r('var_samp(value)')} AS variance FROM metrics GROUP BY metric, example_id"),
     "array_files": f"SELECT vec_id, pos::BIGINT AS pos, {r('v::DOUBLE')} AS value FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings)",
     "published_orders": sql("metrics", f"SELECT k.metric, row_number() OVER (PARTITION BY k.metric ORDER BY round(value, 9), example_id) - 1 AS rank, example_id FROM metrics m JOIN (VALUES ('adv', 'ent'), ('agr', 'conf'), ('conf', 'maxconf'), ('priv', 'margin'), ('ret', 'el2n')) k(metric, score) ON m.metric = k.score WHERE model = 'm0' AND replicate = 0"),
     "published_influence": f"SELECT vec_id AS pos, vec_id AS tr_idx, vec_id * 7 % 10 AS tt_idx, {r('embedding[1]::DOUBLE')} AS infl, {r('embedding[2]::DOUBLE')} AS mem FROM embeddings WHERE vec_id >= 10",
     "published_scores": f"SELECT vec_id AS example_id, {r('embedding[3]::DOUBLE')} AS memorization, {r('embedding[4]::DOUBLE')} AS distance FROM embeddings",
-    "stacked_steps": sql("dense", "SELECT example_id, acc, step FROM dense"), "appended_steps": sql("dense", "SELECT example_id, step, acc FROM dense WHERE step IN (0, 2, 4)"),
+    "stacked_steps": sql("dense", "SELECT example_id, acc, step FROM dense"), "appended_steps": sql("dense", "SELECT example_id, step, acc FROM dense"),
+    "first_rows_appended": f"SELECT event_id, {r('value')} AS value FROM events QUALIFY row_number() OVER (ORDER BY event_id) <= (SELECT count(*) * 3 // 4 FROM events)",
+    "representation_metrics_clusters": sql("acts", f"SELECT p.example_id, p.label, {r('p.proto')} AS proto, {r('list_distance(a.act, m.center)')} AS selfproto, d.pd FROM protos p JOIN (SELECT example_id, coalesce(max(layer_idx) FILTER (WHERE NOT match) + 1, 0)::BIGINT AS pd FROM voted GROUP BY example_id) d USING (example_id) JOIN acts a ON a.example_id = p.example_id AND a.layer_idx = 3, (SELECT list(m ORDER BY pos) AS center FROM (SELECT pos, avg(v) AS m FROM (SELECT unnest(range(16)) AS pos, unnest(act) AS v FROM acts WHERE layer_idx = 3) GROUP BY pos)) m WHERE p.layer_idx = 3", protos=PROTO, near=KNN.format(q="acts", t="acts", k=30), voted=VOTED.format(q="acts")),
     "replicates_of_a_metric": sql("metrics", f"SELECT replicate, example_id, {r('value')} AS value FROM metrics WHERE model = 'm0' AND metric = 'conf'"),
     "metric_names": sql("metrics", "SELECT DISTINCT metric FROM metrics"),
-    "key_checks": sql("metrics", "SELECT (SELECT count(*) FROM (SELECT model, example_id FROM one EXCEPT SELECT model, example_id FROM two)) + (SELECT count(*) FROM (SELECT model, example_id FROM two EXCEPT SELECT model, example_id FROM one)) = 0 AS same, (SELECT count(*) FROM (SELECT example_id FROM one WHERE is_train INTERSECT SELECT example_id FROM two WHERE is_train)) = 0 AS disjoint",
-        one="SELECT * FROM metrics WHERE replicate = 0 AND metric = 'ent'", two="SELECT * FROM metrics WHERE replicate = 1 AND metric = 'ent'"),
+    "key_checks": sql("metrics", "SELECT a.model, a.metric, a.replicate AS run_a, b.replicate AS run_b, any_value(n) AS n_both, any_value(n) = any_value(a.size) AND any_value(n) = any_value(b.size) AS same, any_value(n) = 0 AS disjoint FROM sizes a JOIN sizes b ON a.model = b.model AND a.metric = b.metric AND a.replicate < b.replicate, LATERAL (SELECT count(*) AS n FROM train x JOIN train y ON x.example_id = y.example_id AND x.model = y.model AND x.metric = y.metric WHERE x.model = a.model AND x.metric = a.metric AND x.replicate = a.replicate AND y.replicate = b.replicate) GROUP BY ALL",
+        train="SELECT * FROM metrics WHERE is_train", sizes="SELECT model, metric, replicate, count(*) AS size FROM train GROUP BY ALL"),
     "renamed_columns": sql("dense", "SELECT example_id, step, acc::INT AS np_acc FROM dense"),
     "layers_named": "SELECT 'block' || i AS module, count(*) AS n FROM embeddings, (SELECT unnest([1, 2]) AS i) GROUP BY ALL",
     "stream_event_times": sql("ragged", f"SELECT example_id, count(*) AS n, {FIRSTLEARN} AS firstlearn, {FIRSTUNFORGETTABLE} AS firstunforgettable, {FIRSTFORGET} AS firstforget, {FIRSTUNLEARNABLE} AS firstunlearnable FROM ragged GROUP BY example_id"),

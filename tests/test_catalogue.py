@@ -18,5 +18,5 @@ def test_equals_sql(spark, con, name):
 
 
 def test_queries_without_sql_are_known():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"self_supervised_prototypes", "pca_explained_variance"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"self_supervised_prototypes"}
     assert not set(catalogue.ORACLES) - set(catalogue.QUERIES)

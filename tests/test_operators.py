@@ -282,3 +282,25 @@ def test_layers_of_a_scorer(spark):
 
     assert frames.find_layers(scorer, spark, 3) == ["a.in", "a.out"]
     assert frames.find_layers(scorer, spark, 3, exclude=["a.out"]) == ["a.in", "b.in"]
+
+
+def test_rows_of_null_keys_have_ranks(spark):
+    df = spark.createDataFrame([(None, 3.0), (None, 1.0), ("a", 2.0), ("a", None), (None, 1.0)], "k string, v double")
+    got = sorted(((r["k"] or "", r["v"] or 0.0, r["rank"]) for r in ranking.rank_average(df, ["k"], "v").collect()), key=str)
+    assert got == [("", 1.0, 0.5), ("", 1.0, 0.5), ("", 3.0, 2.0), ("a", 0.0, None), ("a", 2.0, 0.0)]
+
+
+def test_quantiles_of_groups_with_nulls(spark):
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, None), (None, 3, 3.0), ("a", 4, None), ("b", 5, 5.0)], "k string, i int, v double")
+    got = {r["k"]: (r["n"], r["mean"], r["m"]) for r in ranking.quantiles(df, ["k"], "v", ["i"], {"m": 0.5}).collect()}
+    assert got == {None: (3, 2.0, 2.0), "a": (1, None, None), "b": (1, 5.0, 5.0)}
+
+
+def test_first_rows_of_appended_parts(spark):
+    parts = [spark.range(0, 50, 1, 3), spark.range(50, 100, 1, 3)]
+    assert sorted(r["id"] for r in frames.append_rows(parts, 60, "id").collect()) == list(range(60))
+    with pytest.warns(UserWarning, match="100 rows"):
+        assert frames.append_rows(parts, 200, "id").count() == 100
+    runs = spark.createDataFrame([(1, i) for i in range(4)] + [(2, i) for i in range(4)] + [(3, 9)], "run int, k int").withColumn("g", F.lit("x"))
+    got = {(r["run_a"], r["run_b"]): (r["n_both"], r["same"], r["disjoint"]) for r in frames.key_overlaps(runs, ["g"], "run", ["k"]).collect()}
+    assert got == {(1, 2): (4, True, False), (1, 3): (0, False, True), (2, 3): (0, False, True)}
