@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from learntrace.functions import pointwise as fn
 from learntrace.functions.vectors import argmax, doubles, one_hot, p_norm, steady, total
-from learntrace.operators import aggregates, analysis, combine, ensemble, forgetting, frames, gradient, layered, layers, ranking, representation, segments
+from learntrace.operators import aggregates, analysis, combine, ensemble, forgetting, frames, gradient, layered, layers, observed, ranking, representation, segments
 from learntrace.operators.pointwise import METRICS, evaluate, pointwise_metrics
 from learntrace.plans import fixtures as fx
 from learntrace.plans.oracles import ORACLES
 from learntrace.session import cut, ensure_checkpoint_dir
-from learntrace.sources import arrays, metrics
+from learntrace.sources import arrays, bucketed, metrics
+from learntrace.sql.functions import register_functions
+from learntrace.sql.tables import register_tables
 from learntrace.streaming import accumulators, online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -759,6 +761,59 @@ def first_rows_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(frames.append_rows(parts, rows.count() * 3 // 4, "event_id"), "value")
 
 
+def _view(rows: DataFrame) -> str:
+    name = f"rows_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(name)
+    return name
+
+
+@query
+def sql_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every score by SQL text over registered functions."""
+    register_functions(spark)
+    shown = ", ".join(f"round({f}, 6) + 0D AS {m}" for m, f in (("ent", "entropy(p)"), ("conf", "class_confidence(p, label)"), ("maxconf", "max_confidence(p)"), ("margin", "margin(p, label)"), ("el2n", "error_l2_norm(p, label)"), ("loss", "cross_entropy(z, label)")))
+    return spark.sql(f"SELECT example_id, label, step, zero_one_accuracy(z, label) AS acc, {shown} FROM (SELECT *, softmax(z) AS p FROM {_view(fx.logits(spark, sf_dir))})")
+
+
+@query
+def sql_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learning and forgetting by SQL text over registered aggregates."""
+    register_functions(spark)
+    return spark.sql(f"SELECT example_id, count_forgetting(step, acc) AS countforget, unforgettable(step, acc) AS unforgettable, first_learned(step, acc) AS firstlearn FROM {_view(fx.ragged(spark, sf_dir))} GROUP BY example_id")
+
+
+@query
+def table_function_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of the examples of every label, by a table function."""
+    register_tables(spark)
+    rows = fx.table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("example_id"))
+    return spark.sql(f"SELECT * FROM batches(TABLE({_view(rows)}) PARTITION BY label ORDER BY (example_id), 15)")
+
+
+@query
+def table_function_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of every trajectory, by a table function."""
+    register_tables(spark)
+    return spark.sql(f"SELECT * FROM trajectory_events(TABLE({_view(fx.ragged(spark, sf_dir))}) PARTITION BY example_id ORDER BY step)")
+
+
+@query
+def bucketed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logits joined to labels that are kept apart, both in buckets by example, and scored."""
+    rows = fx.logits(spark, sf_dir)
+    logits = bucketed.write_bucketed(rows.drop("label"), ["example_id"], buckets=8)
+    labels = bucketed.write_bucketed(fx.images(spark, sf_dir).select("example_id", "label"), ["example_id"], buckets=8)
+    return rounded(pointwise_metrics(bucketed.joined_in_buckets(spark, logits, labels, ["example_id"])), *DOUBLES)
+
+
+@query
+def observed_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values brought to 0..1 by the range that the pass that wrote them saw."""
+    table, seen = observed.write_checked_metrics(fx.metrics(spark, sf_dir), _folder(spark, "observed"))
+    share = (F.col("value") - seen["least"]) / (seen["most"] - seen["least"])
+    return rounded(table.select(*RUN, "example_id", share.alias("share"), (F.lit(seen["n_train"]) / seen["n"]).alias("train_share")), "share", "train_share")
+
+
 @query
 def replicates_of_a_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(combine.select_replicates(fx.metrics(spark, sf_dir), model="m0", metric="conf").select("replicate", "example_id", "value"), "value")

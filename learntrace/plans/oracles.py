@@ -237,6 +237,12 @@ ORACLES: dict[str, str] = {
     "first_rows_appended": f"SELECT event_id, {r('value')} AS value FROM events QUALIFY row_number() OVER (ORDER BY event_id) <= (SELECT count(*) * 3 // 4 FROM events)",
     "representation_metrics_clusters": sql("acts", f"SELECT p.example_id, p.label, {r('p.proto')} AS proto, {r('list_distance(a.act, c.center)')} AS selfproto, d.pd FROM protos p JOIN (SELECT example_id, coalesce(max(layer_idx) FILTER (WHERE NOT match) + 1, 0)::BIGINT AS pd FROM voted GROUP BY example_id) d USING (example_id) JOIN moved a ON a.example_id = p.example_id AND a.layer_idx = 3 JOIN (SELECT side, list(m ORDER BY pos) AS center FROM (SELECT label % 2 AS side, pos, avg(v) AS m FROM (SELECT label, unnest(range(16)) AS pos, unnest(act) AS v FROM moved WHERE layer_idx = 3) GROUP BY ALL) GROUP BY side) c ON c.side = a.label % 2 WHERE p.layer_idx = 3",
         moved="SELECT layer_idx, example_id, label, list_transform(act, lambda v: v + CASE WHEN layer_idx = 3 THEN label % 2 * 100.0::DOUBLE ELSE 0 END) AS act FROM acts", protos=PROTO.replace("FROM acts", "FROM moved"), near=KNN.format(q="moved", t="moved", k=30), voted=VOTED.format(q="moved")),
+    "sql_scores": sql("point", f"SELECT example_id, label, step, acc, {', '.join(f'{r(m)} AS {m}' for m in (*METRIC_NAMES[1:], 'loss'))} FROM point"),
+    "sql_events": edges("ragged", False, countforget=COUNT, unforgettable=UNFORGETTABLE, firstlearn=FIRSTLEARN),
+    "table_function_batches": "SELECT label, vec_id AS example_id, ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 15)::BIGINT AS batch FROM embeddings",
+    "table_function_events": sql("ragged", "SELECT example_id, step, acc, NOT before AND acc AS learned, before AND NOT acc AS forgot FROM marked", marked=MARKED.format(start="false", source="ragged")),
+    "bucketed_labels": sql("point", f"SELECT example_id, label, step, acc, {', '.join(f'{r(m)} AS {m}' for m in METRIC_NAMES[1:])} FROM point"),
+    "observed_range": sql("metrics", f"SELECT model, replicate, metric, example_id, {r('(value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ())')} AS share, {r('avg(is_train::INT) OVER ()')} AS train_share FROM metrics"),
     "replicates_of_a_metric": sql("metrics", f"SELECT replicate, example_id, {r('value')} AS value FROM metrics WHERE model = 'm0' AND metric = 'conf'"),
     "metric_names": sql("metrics", "SELECT DISTINCT metric FROM metrics"),
     "key_checks": sql("metrics", "SELECT a.model, a.metric, a.replicate AS run_a, b.replicate AS run_b, any_value(n) AS n_both, any_value(n) = any_value(a.size) AND any_value(n) = any_value(b.size) AS same, any_value(n) = 0 AS disjoint FROM sizes a JOIN sizes b ON a.model = b.model AND a.metric = b.metric AND a.replicate < b.replicate, LATERAL (SELECT count(*) AS n FROM train x JOIN train y ON x.example_id = y.example_id AND x.model = y.model AND x.metric = y.metric WHERE x.model = a.model AND x.metric = a.metric AND x.replicate = a.replicate AND y.replicate = b.replicate) GROUP BY ALL",
