@@ -94,4 +94,30 @@ roots AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id), partner
 SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM roots LEFT JOIN partners ON id = a
 """
 
-ORACLES: dict[str, str] = {"op11_embedding_near": NEAR, "op8_licenses": LICENSES, "op1_pii": PII, "op2_quality_rules": QUALITY, "op6_decontamination": LEAKS, "quality_rule_ablation": ABLATION}
+#: CRC-32 of a text of ASCII characters, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({k}, ''), lambda x: ord(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda d, z: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)), 4294967295)"
+_NEXT = "[2, 2, 3, 2]"  # the state after the role that can follow: none, system, user, assistant
+_KEPT = "CASE WHEN ini = ['u', 'u', 'a', 'u'][s + 1] THEN c[[2, 2, 3, 2][s + 1] + 1] WHEN ini = 's' AND s = 0 THEN c[2] ELSE 1000000000 END"
+#: Damage, faults, least costs from the last row to the first, and edits from the first to the last.
+REPAIR = rf"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format(k="(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS d FROM conversations),
+hurt AS (SELECT coalesce(conv_id, -1) AS conv, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS again FROM src WHERE d <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST) AS nth, substr(role, 1, 1) AS ini, regexp_replace(text, '{WS}+$', '') AS bare FROM hurt),
+f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(bare, '[.!?]$') THEN 'truncated' ELSE '' END AS fault, lag(ini) OVER (PARTITION BY conv ORDER BY i) AS before FROM num),
+told AS (SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, (count(*) FILTER (WHERE fault = 'blank'))::BIGINT AS blank, (count(*) FILTER (WHERE fault = 'duplicate'))::BIGINT AS duplicate,
+    (count(*) FILTER (WHERE fault = 'truncated'))::BIGINT AS truncated, (count(*) FILTER (WHERE before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')))::BIGINT AS illegal FROM f GROUP BY conv),
+back(conv, i, c) AS (SELECT conv, n + 1, [0, 10, 5, 0] FROM told UNION ALL
+    SELECT conv, i, [least(b[1], 5 + least(b[3], 5 + b[4])), least(b[2], 5 + least(b[3], 5 + b[4])), least(b[3], 5 + b[4]), least(b[4], 5 + b[3])] FROM (SELECT f.conv, f.i, list_transform([0, 1, 2, 3], lambda s: CASE WHEN fault IN ('blank', 'duplicate') THEN 2 + c[s + 1]
+        ELSE least(2 + c[s + 1], CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END + {_KEPT}, CASE WHEN fault = 'truncated' THEN 6 ELSE 1 END + c[{_NEXT}[s + 1] + 1]) END) AS b FROM back JOIN f ON f.conv = back.conv AND f.i = back.i - 1)),
+fwd(conv, i, s, audit, done) AS (SELECT conv, 1, 0, '', ''::VARCHAR FROM told UNION ALL
+    SELECT conv, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE WHEN e = 'D' THEN s WHEN e = 'K' AND ini = 's' THEN 1 ELSE {_NEXT}[s + 1] END, audit || e,
+        CASE WHEN e = 'D' THEN done ELSE done || CASE WHEN done = '' THEN '' ELSE chr(10) END || CASE WHEN e = 'K' THEN role ELSE ['user', 'user', 'assistant', 'user'][s + 1] END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END END
+    FROM (SELECT w.*, f.role, f.text, f.ini, CASE WHEN f.i IS NULL THEN CASE WHEN s IN (1, 2) THEN 'I' END WHEN 2 + after.c[s + 1] = here.c[s + 1] THEN 'D' WHEN 5 + here.c[{_NEXT}[s + 1] + 1] = here.c[s + 1] THEN 'I'
+        WHEN CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END + {_KEPT.replace("c[", "after.c[")} = here.c[s + 1] THEN 'K' ELSE 'R' END AS e
+        FROM fwd w LEFT JOIN f ON f.conv = w.conv AND f.i = w.i LEFT JOIN back here ON here.conv = w.conv AND here.i = w.i LEFT JOIN back after ON after.conv = w.conv AND after.i = w.i + 1) WHERE e IS NOT NULL),
+ended AS (SELECT w.conv, audit, done FROM fwd w JOIN told ON told.conv = w.conv WHERE w.i = n + 1 AND s IN (0, 3))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(c[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(done, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN told ON told.conv = coalesce(o.conv_id, -1) LEFT JOIN ended ON ended.conv = told.conv LEFT JOIN back ON back.conv = told.conv AND back.i = 1
+"""
+
+ORACLES: dict[str, str] = {"op12_conversation_repair": REPAIR, "op11_embedding_near": NEAR, "op8_licenses": LICENSES, "op1_pii": PII, "op2_quality_rules": QUALITY, "op6_decontamination": LEAKS, "quality_rule_ablation": ABLATION}
