@@ -102,7 +102,7 @@ _KEPT = "CASE WHEN ini = ['u', 'u', 'a', 'u'][s + 1] THEN c[[2, 2, 3, 2][s + 1]
 REPAIR = rf"""
 WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format(k="(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS d FROM conversations),
 hurt AS (SELECT coalesce(conv_id, -1) AS conv, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS again FROM src WHERE d <> 0),
-num AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST) AS nth, substr(role, 1, 1) AS ini, regexp_replace(text, '{WS}+$', '') AS bare FROM hurt),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS ini, regexp_replace(text, '{WS}+$', '') AS bare FROM hurt)),
 f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(bare, '[.!?]$') THEN 'truncated' ELSE '' END AS fault, lag(ini) OVER (PARTITION BY conv ORDER BY i) AS before FROM num),
 told AS (SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, (count(*) FILTER (WHERE fault = 'blank'))::BIGINT AS blank, (count(*) FILTER (WHERE fault = 'duplicate'))::BIGINT AS duplicate,
     (count(*) FILTER (WHERE fault = 'truncated'))::BIGINT AS truncated, (count(*) FILTER (WHERE before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')))::BIGINT AS illegal FROM f GROUP BY conv),
