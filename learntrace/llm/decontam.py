@@ -14,7 +14,8 @@ joined by shuffle, where windows without slots, which are nearly all, carry a ha
 
 Defined results: a null text has no windows and leaks nothing; a null item text, or one of fewer than
 five tokens or without a window of three literal tokens, cannot be leaked; in `leaks`, rows that
-repeat a doc_id are judged as one document, in `decontaminated` each row alone; an empty table on either side gives an empty table.
+repeat a doc_id are judged as one document, in `decontaminated` each row alone; an empty table on either side gives an empty table;
+texts are read whole; a coverage that ties with the threshold is a leak; other columns, whatever their names, are not looked at or stay.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ plan says, for each length, which ranks go to which repeats of which pattern; pi
 their length in salted cells, so a length that a third of all documents share is no single group.
 
 Defined results: a null or empty text is one piece holding only the end id; repeated rows are packed
-each on their own; an empty table gives an empty table.
+each on their own; texts are tokenized whole, however long, and cut into as many pieces as they need; rows of one key, null or not, are
+documents of their own; other columns are dropped; an empty table gives an empty table.
 """
 
 from __future__ import annotations

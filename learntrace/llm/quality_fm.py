@@ -9,7 +9,8 @@ features, not texts, are gathered); every document is then scored where it lies.
 
 Defined results: a null text counts as empty and gets a score like any other; without labels of both
 classes every score is the share of the known labels (0.5 without any); repeated rows get repeated
-scores; an empty table gives an empty table.
+scores; texts are read whole, however long, in bounded groups of rows; a score that ties with the cut counts as 1; an empty table
+gives an empty table; other columns stay as they are, but for one of the result's name, which is replaced.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ bounded whatever the input, and the 2^58 anchors keep groups small at any number
 
 Defined results: a null or empty text has no words and fingerprint 0, linked like any other;
 repeated rows share fingerprint and component; a null doc_id is never a component's name unless all
-its members are null; an empty table gives an empty table.
+its members are null; texts are read whole, their shingles in bounded memory; a bit that exactly half of the shingles have is 0;
+of a component whose smallest keys tie one row stays; an empty table gives an empty table; other columns, whatever their names, are not looked at or stay.
 """
 
 from __future__ import annotations
