@@ -16,6 +16,12 @@ def fold(key: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")
 
 
+def known_labels(labels: DataFrame, label: str, folds: int, held_out: int, key: str = "doc_id") -> DataFrame:
+    """``_key`` and ``label`` of all labels that training may see: none of the held-out fold, a key once."""
+    known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label")).where(F.col(key).isNotNull() & F.col("label").isNotNull() & (fold(F.col(key), folds) != held_out))
+    return known.groupBy("_key").agg(F.max("label").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, key: str = "doc_id", text: str = "text", most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """``key``, ``text`` and ``label`` of documents that training may see: none of the held-out fold, about ``rows`` of
     them, of ``most_bytes`` at most.
@@ -23,8 +29,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     The sample is drawn by a hash of the key over all labels, so its size has the bound ``rows`` in expectation whatever
     the table. Of rows that share a label's key the text of the smallest hash counts, so a key is one row however many have
     it. In the order of hashes, texts are taken as long as their bytes fit; sizes alone (a number a label drawn) decide that."""
-    known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label")).where(F.col(key).isNotNull() & F.col("label").isNotNull() & (fold(F.col(key), folds) != held_out))
-    known = known.groupBy("_key").agg(F.max("label").alias("label"))
+    known = known_labels(labels, label, folds, held_out, key)
     bound = min(2**64, rows * 2**64 // max(1, known.count())) - 2**63  # of the whole range of the hash
     drawn = stored(known.where(F.xxhash64("_key") <= F.lit(bound - 1)))
     rows_of = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text"))

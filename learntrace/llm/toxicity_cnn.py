@@ -11,8 +11,10 @@ on the word alone, scoring keeps those products by word.
 Thresholds are calibrated by language: the language is told from the text's own function words, and a language's
 logits are shifted so that its best threshold on rows that the calibrating network did not see lies at 0.5.
 
-The model is fitted on the driver from a bounded sample of labelled rows (``SAMPLE``); word numbers, not texts,
-are gathered. Every document is then scored where it lies, whole.
+The model is fitted on all labelled rows outside the held-out fold, each in every pass: they are dealt into shards by a hash
+of the key, a task takes the steps of its shard from the common network, and after each pass the shards' networks are averaged, a
+word's vector over the shards that moved it. Counts of words and thresholds come from all of these rows too; the driver holds
+only the network (``BUCKETS`` vectors at most). Every document is then scored where it lies, whole.
 
 Defined results: a null text counts as empty and gets the score of the bias; without labels of both classes every
 score is their share (0.5 without any); repeated rows get repeated scores; texts that tie in a maximum take its
@@ -25,25 +27,31 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from learntrace.llm.learning import fold, labelled_sample
+from learntrace.llm.common import small_side
+from learntrace.llm.learning import fold, known_labels
+from learntrace.session import cut, stored
 
 FOLDS, HELD_OUT = 5, 0
-SAMPLE = 10_000  # labelled rows that the model is fitted on, in expectation
+SHARD_ROWS = 10_000  # the shards are as many as the root of the rows over this, so a shard has at least as many rows
+BUFFER_ROWS, BUFFER_BYTES = 4096, 64 << 20  # encoded rows that a task holds at once, whichever is less
 BUCKETS = 1 << 22
 PREFIXES = (3, 4, 5, 7)
 LEAST_DOCS = 3
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8  # of each width
-EPOCHS, RATE, KEEP = 12, 0.05, 0.5
+EPOCHS, LEAST_EPOCHS, RATE, KEEP = 12, 4, 0.05, 0.5
+EPOCH_ROWS = 120_000  # rows of all passes from which on fewer than EPOCHS passes are made, never below LEAST_EPOCHS
 BATCH = 32
 CUT = 0.5
 KNOWN_WORDS = 300_000  # of a scoring worker's cache, which is emptied when full
@@ -169,45 +177,44 @@ class _Optimizer:
         values[rows] -= 4 * self.rate * gradient / np.sqrt(seen[rows])[:, None]
 
 
-def fit(texts: list[Text], languages: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 42) -> Cnn:
-    """The network of all rows, with thresholds calibrated on a quarter of the rows by a network that did
-    not see them: logits of rows that a network was fitted on are too sure."""
-    net = _fit(texts, labels, epochs, seed)
-    apart = np.random.default_rng([seed, 1]).permutation(len(texts)) % 4 == 0
-    held, seen = np.flatnonzero(apart), np.flatnonzero(~apart)
-    if all(0 < labels[own].sum() < len(own) for own in (held, seen)):
-        other = _fit([texts[i] for i in seen], labels[seen], epochs, seed)
-        net.thresholds = calibrated(np.array([other.logit(other.products(texts[i].parts), texts[i].ids) for i in held]), languages[held], labels[held])
-    return net
-
-
-def _fit(texts: list[Text], labels: np.ndarray, epochs: int, seed: int) -> Cnn:
+def _started(known: np.ndarray, share: float, seed: int) -> Cnn:
+    """A network at its random start, or one that gives everything the share of the label where that is all there is to learn."""
     rng = np.random.default_rng(seed)
-    share = float(labels.mean()) if len(labels) else 0.5
-    seen = np.zeros(BUCKETS, dtype=np.int32)
-    for t in texts:
-        numbers = np.unique(t.parts)
-        seen[numbers[numbers >= 0]] += 1
-    known = np.flatnonzero(seen >= LEAST_DOCS).astype(np.int32)
     normal = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
     net = Cnn(known, normal(0.1, len(known) + 1, DIM), [normal(0.3, w, DIM, FILTERS) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), dtype=np.float32), normal(0.3, FILTERS * len(WIDTHS)), math.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     net.embedding[0] = 0
-    if not len(labels) or not 0 < share < 1:
+    if not 0 < share < 1:
         net.out[:] = 0
-        return net
-    optimizer = _Optimizer(RATE)
-    numbered = [net.rows(t.parts) for t in texts]
-    some = np.flatnonzero([len(t.ids) for t in texts])
-    for _ in range(epochs):
-        order = rng.permutation(some)
-        for b in range(0, len(order), BATCH):
-            own = order[b : b + BATCH]
-            kept = [texts[i].ids[rng.random(len(texts[i].ids)) < KEEP] for i in own]
-            kept = [k if len(k) else texts[i].ids for k, i in zip(kept, own, strict=True)]
-            _step(net, optimizer, [numbered[i] for i in own], kept, labels[own])
     return net
 
 
+def _numbers(parts: np.ndarray) -> np.ndarray:
+    """The distinct numbers of a text's words."""
+    found = np.unique(parts)
+    return found[found >= 0]
+
+
+def _fit(texts: list[Text], labels: np.ndarray, epochs: int, seed: int) -> Cnn:
+    """The network of a list of texts, in one place."""
+    share, seen = float(labels.mean()) if len(labels) else 0.5, np.zeros(BUCKETS, dtype=np.int32)
+    for t in texts:
+        seen[_numbers(t.parts)] += 1
+    net, optimizer, rng = _started(np.flatnonzero(seen >= LEAST_DOCS).astype(np.int32), share, seed), _Optimizer(RATE), np.random.default_rng([seed, 2])
+    for _ in range(epochs if 0 < share < 1 else 0):
+        _pass(net, optimizer, texts, labels, rng)
+    return net
+
+
+def _pass(net: Cnn, optimizer: _Optimizer, texts: list[Text], labels: np.ndarray, rng: np.random.Generator) -> None:
+    """Steps over all of some texts, in a random order."""
+    order = rng.permutation(np.flatnonzero([len(t.ids) for t in texts]))
+    for b in range(0, len(order), BATCH):
+        own = order[b : b + BATCH]
+        kept = [texts[i].ids[rng.random(len(texts[i].ids)) < KEEP] for i in own]
+        kept = [k if len(k) else texts[i].ids for k, i in zip(kept, own, strict=True)]
+        _step(net, optimizer, [net.rows(texts[i].parts) for i in own], kept, labels[own])
+
+
 def _step(net: Cnn, optimizer: _Optimizer, rows: list[np.ndarray], texts: list[np.ndarray], labels: np.ndarray) -> None:
     """One step on the logistic loss. Only the words under a filter's maximum have a gradient."""
     sizes = np.array([len(t) for t in texts])
@@ -242,36 +249,199 @@ def _step(net: Cnn, optimizer: _Optimizer, rows: list[np.ndarray], texts: list[n
     optimizer.step_rows("embedding", net.embedding, rows_, total)
 
 
-def calibrated(z: np.ndarray, languages: np.ndarray, labels: np.ndarray, least: int = 15, beta: float = 1.0) -> np.ndarray:
+def calibrated(z: np.ndarray, languages: np.ndarray, rows: np.ndarray, hits: np.ndarray, least: int = 15, beta: float = 1.0) -> np.ndarray:
     """A threshold of the logit for each language: that of the best F-beta among the language's rows, or all
-    rows' where a language has few of a class."""
+    rows' where a language has few of a class. ``rows`` and ``hits`` count a logit's rows, and those of label 1."""
     def best(own: np.ndarray) -> float:
-        order = np.argsort(-z[own], kind="stable")
-        hits = np.cumsum(labels[own][order])
-        score = (1 + beta * beta) * hits / (np.arange(1, len(order) + 1) + beta * beta * labels[own].sum())
+        zs, back = np.unique(-z[own], return_inverse=True)
+        zs, found = -zs, np.cumsum(np.bincount(back, hits[own]))
+        score = (1 + beta * beta) * found / (np.cumsum(np.bincount(back, rows[own])) + beta * beta * hits[own].sum())
         k = int(np.flatnonzero(score >= score.max())[-1])
-        zs = z[own][order]
         return float(zs[k] + zs[min(k + 1, len(zs) - 1)]) / 2
 
     out = np.full(OTHER + 1, best(np.arange(len(z))))
     for code in range(OTHER + 1):
         own = np.flatnonzero(languages == code)
-        if min(labels[own].sum(), len(own) - labels[own].sum()) >= least:
+        if min(hits[own].sum(), rows[own].sum() - hits[own].sum()) >= least:
             out[code] = best(own)
     return out
 
 
 def _encoded(texts: pd.Series) -> pd.DataFrame:
     found = [encode(t) for t in texts]
-    return pd.DataFrame({"ids": [t.ids.astype("<i4").tobytes() for t, _ in found], "parts": [t.parts.astype("<i4").tobytes() for t, _ in found], "language": np.array([c for _, c in found], dtype=np.int32)})
-
-
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = SAMPLE) -> Cnn:
-    kind = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("parts", T.BinaryType()), T.StructField("language", T.IntegerType())])
-    sample = labelled_sample(docs.select(key, text), labels.select(key, label), label, FOLDS, HELD_OUT, rows, key)
-    got = sample.select(key, "label", F.pandas_udf(_encoded, kind)(F.col(text)).alias("e")).select(key, "label", "e.*").toPandas().sort_values([key, "ids"])
-    texts = [Text(np.frombuffer(i, "<i4"), np.frombuffer(p, "<i4").reshape(-1, 1 + len(PREFIXES))) for i, p in zip(got["ids"], got["parts"], strict=True)]
-    return fit(texts, got["language"].to_numpy(), got["label"].to_numpy(float))
+    packed = [zlib.compress(t.ids.astype("<i4").tobytes() + t.parts.astype("<i4").tobytes(), 1) for t, _ in found]
+    return pd.DataFrame({"packed": packed, "words": np.array([len(t.ids) for t, _ in found], dtype=np.int32), "language": np.array([c for _, c in found], dtype=np.int32)})
+
+
+ENCODED = "shard int, apart boolean, label int, language int, words int, packed binary"
+
+
+def _unpacked(packed: bytes, words: int) -> Text:
+    whole = np.frombuffer(zlib.decompress(packed), "<i4")
+    return Text(whole[:words], whole[words:].reshape(-1, 1 + len(PREFIXES)))
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[Text, bool, int, int]]:
+    """Text, whether it is kept for the thresholds, label and language."""
+    columns = [batch.column(c).to_pylist() for c in ("packed", "words", "apart", "label", "language")]
+    for packed, words, apart, label, language in zip(*columns, strict=True):
+        yield _unpacked(packed, words), apart, label, language
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> tuple[DataFrame, int]:
+    """All labelled rows that training may see, encoded, a shard a partition, and how many labels there are.
+
+    A label counts once, with the text of the smallest hash among the rows that share its id: equal keys lie side by side in
+    a shard, and the first stays. A quarter of the keys is kept apart for the thresholds."""
+    known = stored(known_labels(labels, label, FOLDS, HELD_OUT, key))
+    n = known.count()
+    shards = max(1, math.ceil(math.sqrt(n / SHARD_ROWS)))
+    kind = T.StructType([T.StructField("packed", T.BinaryType()), T.StructField("words", T.IntegerType()), T.StructField("language", T.IntegerType())])
+    rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(small_side(known), F.col("_k") == F.col("_key"))
+    drawn = F.xxhash64("_key")
+    placed = rows.select(F.pmod(drawn, F.lit(shards)).cast("int").alias("shard"), (F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(4)) == 0).alias("apart"), drawn.alias("at"), F.col("_key").cast("string").alias("key"), F.xxhash64("_text").alias("h"), "label", F.pandas_udf(_encoded, kind)(F.col("_text")).alias("e"))
+    dealt = placed.select("shard", "apart", "at", "key", "h", "label", "e.*").repartitionById(shards, F.col("shard")).sortWithinPartitions("at", "key", "h")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            kept = [k != b for k, b in zip(keys, [before, *keys[:-1]], strict=True)]
+            before = keys[-1] if keys else before
+            yield batch.filter(pa.array(kept, pa.bool_())).select([c.split()[0] for c in ENCODED.split(", ")])
+
+    return cut(dealt.mapInArrow(first, ENCODED)), n
+
+
+def _vocabularies(rows: DataFrame) -> list[np.ndarray]:
+    """The numbers that enough texts hold: of all rows, and of those that are not kept apart."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, BUCKETS), dtype=np.int32)
+        for batch in batches:
+            for t, apart, _, _ in _rows(batch):
+                n[: 1 if apart else 2, _numbers(t.parts)] += 1
+        own = np.flatnonzero(n[0])
+        for at in range(0, len(own), 1 << 16):
+            some = own[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[0][some].astype(np.int64)), pa.array(n[1][some].astype(np.int64))], names=["number", "n0", "n1"])
+
+    found = rows.mapInArrow(counted, "number int, n0 long, n1 long").groupBy("number").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") >= LEAST_DOCS)
+    table = found.toArrow()  # BUCKETS rows at most
+    number = table.column("number").to_numpy()
+    return [np.sort(number[table.column(c).to_numpy() >= LEAST_DOCS]).astype(np.int32) for c in ("n0", "n1")]
+
+
+DENSE = [f"filters{i}" for i in range(len(WIDTHS))] + ["shifts", "out"]
+MOVED = [f"v{i}" for i in range(DIM)]
+MOVES = f"net int, row int, {', '.join(f'{c} float' for c in MOVED)}, square float"
+
+
+def _dense(net: Cnn, optimizer: _Optimizer) -> np.ndarray:
+    """All values but the embedding and their squares, DIM a row."""
+    values = [*net.filters, net.shifts, net.out]
+    flat = np.concatenate([*[v.ravel() for v in values], [net.bias], *[optimizer.squares.get(n, np.full(v.shape, 0.01)).ravel() for n, v in zip(DENSE, values, strict=True)]])
+    return np.pad(flat, (0, -len(flat) % DIM)).astype(np.float32).reshape(-1, DIM)
+
+
+def _set_dense(net: Cnn, optimizer: _Optimizer, rows: np.ndarray) -> None:
+    flat, at = rows.ravel().astype(np.float32), 0
+    values = [*net.filters, net.shifts, net.out]
+    for v in values:
+        v[...] = flat[at : at + v.size].reshape(v.shape)
+        at += v.size
+    net.bias, at = float(flat[at]), at + 1
+    for n, v in zip(DENSE, values, strict=True):
+        optimizer.squares[n] = flat[at : at + v.size].reshape(v.shape).copy()
+        at += v.size
+
+
+def _copied(net: Cnn, optimizer: _Optimizer) -> tuple[Cnn, _Optimizer]:
+    """A network of one's own: broadcast values are shared by the tasks of a worker."""
+    own, mine = Cnn(net.known, net.embedding.copy(), [f.copy() for f in net.filters], net.shifts.copy(), net.out.copy(), net.bias), _Optimizer(optimizer.rate)
+    mine.squares = {n: s.copy() for n, s in optimizer.squares.items()}
+    return own, mine
+
+
+def _moves(rows: DataFrame, shared: object, number: int, epoch: int, seed: int) -> DataFrame:
+    """What a pass of each shard makes of network ``number``: the dense values as negative rows, and the vectors that it moved."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, optimizer = _copied(*shared.value[number])
+        before = optimizer.squares["embedding"].copy()
+        held: list[tuple[Text, int]] = []
+        size, steps, rng = 0, 0, None
+        for batch in batches:
+            rng = np.random.default_rng([seed, number, epoch, batch.column("shard")[0].as_py()]) if rng is None and batch.num_rows else rng
+            for t, apart, label, _ in _rows(batch):
+                if number and apart:
+                    continue
+                held.append((t, label))
+                size += t.ids.nbytes + t.parts.nbytes
+                if len(held) == BUFFER_ROWS or size >= BUFFER_BYTES:
+                    _pass(net, optimizer, [h[0] for h in held], np.array([h[1] for h in held], dtype=float), rng)
+                    held, size, steps = [], 0, steps + 1
+        if held:
+            _pass(net, optimizer, [h[0] for h in held], np.array([h[1] for h in held], dtype=float), rng)
+        if not held and not steps:
+            return
+        dense, own = _dense(net, optimizer), np.flatnonzero(optimizer.squares["embedding"] != before)
+        at = np.r_[-1 - np.arange(len(dense)), own].astype(np.int32)
+        values = np.concatenate([dense, net.embedding[own]])
+        squares = np.r_[np.zeros(len(dense), dtype=np.float32), optimizer.squares["embedding"][own]]
+        for a in range(0, len(at), 1 << 16):
+            some = slice(a, a + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at[some]), number, dtype=np.int32)), pa.array(at[some]), *[pa.array(np.ascontiguousarray(values[some, i])) for i in range(DIM)], pa.array(squares[some])], names=["net", "row", *MOVED, "square"])
+
+    return rows.mapInArrow(run, MOVES)
+
+
+def fitted(rows: DataFrame, n: int, seed: int = 42) -> Cnn:
+    """The network of all encoded rows, with thresholds from the rows kept apart by a network that did not see them:
+    logits of rows that a network was fitted on are too sure."""
+    told = {r["apart"]: (r["n"], r["hits"]) for r in rows.groupBy("apart").agg(F.count("*").alias("n"), F.sum("label").alias("hits")).collect()}
+    counts = [tuple(map(sum, zip((0, 0), *told.values(), strict=True))), told.get(False, (0, 0))]
+    both = lambda c: 0 < c[1] < c[0]
+    nets = [_started(known, c[1] / c[0] if c[0] else 0.5, seed) for known, c in zip(_vocabularies(rows), counts, strict=True)]
+    if not both(counts[0]):
+        return nets[0]
+    used = [0, 1] if both(counts[1]) and both(told.get(True, (0, 0))) else [0]
+    states = [(net, _Optimizer(RATE)) for net in nets]
+    for net, optimizer in states:
+        optimizer.squares["embedding"] = np.full(len(net.embedding), 0.01, dtype=np.float32)
+    context = rows.sparkSession.sparkContext
+    for epoch in range(max(LEAST_EPOCHS, min(EPOCHS, -(-EPOCH_ROWS // max(1, n))))):
+        shared = context.broadcast(states)
+        moves = _moves(rows, shared, 0, epoch, seed)
+        moves = moves.union(_moves(rows, shared, 1, epoch, seed)) if len(used) > 1 else moves
+        table = moves.groupBy("net", "row").agg(*[F.avg(c).alias(c) for c in [*MOVED, "square"]]).toArrow()  # the networks
+        of, at = table.column("net").to_numpy(), table.column("row").to_numpy()
+        values, squares = np.column_stack([table.column(c).to_numpy() for c in MOVED]), table.column("square").to_numpy()
+        for i in used:
+            net, optimizer = states[i]
+            own, dense = np.flatnonzero((of == i) & (at >= 0)), np.flatnonzero((of == i) & (at < 0))
+            _set_dense(net, optimizer, values[dense[np.argsort(-at[dense])]])
+            net.embedding[at[own]], optimizer.squares["embedding"][at[own]] = values[own], squares[own]
+        shared.destroy()
+    if len(used) > 1:
+        nets[0].thresholds = _thresholds(rows, nets[1])
+    return nets[0]
+
+
+def _thresholds(rows: DataFrame, net: Cnn) -> np.ndarray:
+    """Of the rows kept apart; logits are counted to three digits, so that the driver gets a bounded table of all of them."""
+    shared = rows.sparkSession.sparkContext.broadcast((net.known, net.embedding, net.filters, net.shifts, net.out, net.bias))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Cnn(*shared.value)
+        for batch in batches:
+            found = [(language, label, round(1000 * max(-30.0, min(30.0, own.logit(own.products(t.parts), t.ids))))) for t, apart, label, language in _rows(batch) if apart]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int32()) for i in range(3)], names=["language", "label", "z"])
+
+    table = rows.mapInArrow(told, "language int, label int, z int").groupBy("language", "z").agg(F.count("*").alias("n"), F.sum("label").alias("hits")).toArrow()
+    return calibrated(table.column("z").to_numpy() / 1000, *[table.column(c).to_numpy() for c in ("language", "n", "hits")])
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Cnn:
+    return fitted(*training_rows(docs, labels, text, label, key))
 
 
 class _Scorer:

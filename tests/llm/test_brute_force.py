@@ -202,6 +202,26 @@ def test_quality_on_held_out_rows(spark):
     assert auc(rows["score"].to_numpy(), rows["quality"].to_numpy()) > 0.97 and (rows["predicted"] == rows["quality"]).mean() > 0.95
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """More labelled rows than a shard has: words that only three texts hold are known wherever they lie, all rows' labels make the
+    thresholds, a key that comes twice counts once."""
+    monkeypatch.setattr(toxicity_cnn, "LEAST_EPOCHS", 1)
+    monkeypatch.setattr(toxicity_cnn, "EPOCH_ROWS", 1)
+    word = lambda g: "".join("abcdefghij"[int(c)] for c in f"{g:05d}")
+    docs = spark.createDataFrame([(i, f"z{word(i // 3)}z {'scoundrel' if i % 2 else 'gardener'}") for i in range(18_000)], "doc_id long, text string")
+    docs = docs.unionByName(docs.where("doc_id < 300").selectExpr("doc_id", "'zzonlytwice zzz' as text"))
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) as toxic").distinct()
+    rows, n = toxicity_cnn.training_rows(docs, labels)
+    seen = {r[0] for r in docs.where(learning.fold(F.col("doc_id"), 5) != 0).select("doc_id").distinct().collect()}
+    assert n == len(seen) == rows.count() > 14_000 and rows.select("shard").distinct().count() == rows.rdd.getNumPartitions() == 2
+    texts = {r["doc_id"]: r["text"] for r in docs.where("text not like '%zzonly%'").collect()}
+    whole = [g for g in range(100, 6_000) if all(i in seen for i in (3 * g, 3 * g + 1, 3 * g + 2))]
+    net = toxicity_cnn.fitted(rows, n)
+    assert len(whole) > 2_000 and (net.rows(np.array([toxicity_cnn.parts_of(texts[3 * g].split()[0])[0] for g in whole])) > 0).all()
+    got = toxicity_cnn.scored(docs.where("doc_id >= 300").sample(0.05, 1), net).select("doc_id", "score").collect()
+    assert all((r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in got)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rows = held(spark, "op7_toxicity", "toxic", "/root/testdata/sf0.1")  # smaller tables hold six toxic held-out rows
     clean = rows[rows["toxic"] == 0]
