@@ -29,6 +29,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,7 +51,7 @@ LEAST_DOCS = 3
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8  # of each width
-EPOCHS, LEAST_EPOCHS, RATE, KEEP = 12, 4, 0.05, 0.5
+EPOCHS, LEAST_EPOCHS, RATE, KEEP = 12, 2, 0.05, 0.5
 EPOCH_ROWS = 120_000  # rows of all passes from which on fewer than EPOCHS passes are made, never below LEAST_EPOCHS
 BATCH = 32
 CUT = 0.5
@@ -85,6 +86,11 @@ def parts_of(word: str) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=300_000)
+def _part_bytes(word: str) -> bytes:
+    return np.array(parts_of(word), dtype=np.int32).tobytes()
+
+
 @dataclass
 class Text:
     """A training text: its words as places in its own list of distinct words, and their parts."""
@@ -97,7 +103,7 @@ def encode(text: str | None) -> tuple[Text, int]:
     words, counts, language = words_of(text)
     own = {w: i for i, w in enumerate(counts)}
     ids = np.fromiter(map(own.__getitem__, words), dtype=np.int32, count=len(words))
-    return Text(ids, np.array([parts_of(w) for w in own], dtype=np.int32).reshape(-1, 1 + len(PREFIXES))), language
+    return Text(ids, np.frombuffer(b"".join(map(_part_bytes, own)), dtype=np.int32).reshape(-1, 1 + len(PREFIXES))), language
 
 
 @dataclass
@@ -109,12 +115,14 @@ class Cnn:
     out: np.ndarray  # one weight a filter
     bias: float
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(OTHER + 1))
+    places: np.ndarray | None = None  # of each number, made where it is needed
 
     def rows(self, parts: np.ndarray) -> np.ndarray:
         """The embedding rows of hashed numbers."""
-        at = np.searchsorted(self.known, parts)
-        same = self.known[np.minimum(at, max(0, len(self.known) - 1))] == parts if len(self.known) else np.zeros(parts.shape, dtype=bool)
-        return np.where(same, at + 1, 0)
+        if self.places is None:
+            self.places = np.zeros(BUCKETS + 1, dtype=np.int32)  # the last stands for -1
+            self.places[self.known] = np.arange(1, len(self.known) + 1)
+        return self.places[parts]
 
     def products(self, parts: np.ndarray) -> np.ndarray:
         """Words' vectors times the columns of all filters: a row a word, FILTERS for each place of each width."""
