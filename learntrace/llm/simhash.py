@@ -173,16 +173,27 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id
     """``docs`` with one row of each component, that of the smallest key. Rows are linked and dropped one
     by one: those with a null or repeated key go only if their own text is linked.
 
-    With ``similarity``, rows are linked if the Jaccard similarity of their shingle sets reaches it, over
-    MinHash bands, for the anchors reach 2 bits only; else if their fingerprints lie within ``threshold``."""
+    Rows are linked if their fingerprints lie within ``threshold``. With ``similarity``, those of three-word shingles are linked
+    that way, and further rows if the Jaccard similarity of their sets of ``shingle`` words reaches it (over MinHash
+    bands): the anchors reach 2 bits only. Links of both kinds make one component."""
     rows = numbered(docs)
-    if similarity is None:
-        groups = near_duplicates(rows, text, ROW, shingle, threshold).withColumnRenamed("component_id", "root")
-    else:
-        groups = minhash.groups(rows, ROW, text, shingle, similarity)
+    groups = near_duplicates(rows, text, ROW, shingle if similarity is None else SHINGLE, threshold).withColumnRenamed("component_id", "root")
+    if similarity is not None:
+        groups = joined_groups(groups, minhash.groups(rows, ROW, text, shingle, similarity))
     return _one_of_each(rows, groups, key)
 
 
+def joined_groups(groups: DataFrame, more: DataFrame) -> DataFrame:
+    """ROW and ``root`` of the groups that two groupings of numbered rows make together; a row may be in one only.
+
+    Only groups of several rows are linked, each row to the root that names its group, so links are as many as such rows."""
+    both = stored(groups.select(ROW, "root").unionByName(more.select(ROW, "root")).where(F.col("root").isNotNull()))
+    links = both.where(F.col(ROW) != F.col("root")).select(F.col(ROW).alias("a"), F.col("root").alias("b"))
+    roots = components(links)
+    named = both.select(ROW).distinct().join(roots.hint("merge"), F.col(ROW) == F.col("node"), "left")
+    return named.select(ROW, F.coalesce("root", F.col(ROW)).alias("root"))
+
+
 def _one_of_each(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """Numbered rows without those that share a ``root`` with one of a smaller key (null is the greatest)
     or, of the same key, of a smaller number."""

@@ -3,7 +3,8 @@
 import re
 
 import corpus_pipeline
-from learntrace.llm import pii
+from learntrace.llm import pii, simhash
+from learntrace.llm.common import ROW
 from tests.conftest import SF
 from tests.llm.test_brute_force import measured, private
 from tests.llm.test_near_copies import five_words
@@ -45,3 +46,19 @@ def test_run_keeps_what_plain_code_keeps(spark):
     assert set(stages["packing"]["doc_id"]) == set(third)
     assert corpus_pipeline.run(spark, SF).count() == len(stages["packing"])
     assert pii.KINDS[0].base
+
+
+def test_near_copies_by_fingerprint_are_dropped(spark):
+    """Texts within 2 bits whose five-word similarity is 0.57: the named method links them."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (589, 6676, 3)")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    a, b = five_words(texts[589]), five_words(texts[6676])
+    assert len(a & b) < 0.8 * len(a | b) and (simhash.fingerprint_of(texts[589]) ^ simhash.fingerprint_of(texts[6676])).bit_count() <= 2
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()} == {3, 589}
+
+
+def test_links_of_both_kinds_make_one_group(spark):
+    frame = lambda rows: spark.createDataFrame(rows, f"{ROW} long, root long")
+    found = simhash.joined_groups(frame([(0, 0), (1, 0), (2, 2), (3, 3), (4, 3)]), frame([(0, 0), (1, 2), (2, 2), (5, 5)])).collect()
+    root = {r[ROW]: r["root"] for r in found}
+    assert len(found) == 6 and root[0] == root[1] == root[2] and root[3] == root[4] != root[0] and root[5] == 5
