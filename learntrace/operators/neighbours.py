@@ -24,7 +24,8 @@ from learntrace.session import stored
 
 BLOCK_ROWS, BLOCK_BYTES = 50_000, 32 << 20  # of a block, whichever is less
 PIVOTS_PER_BLOCK, MAX_PIVOTS = 2, 1_024
-CHUNK_PAIRS = 1 << 21  # distances held at once
+CHUNK_PAIRS = 1 << 19  # distances held at once
+PART = 16  # one row of as many tells a first bound
 BROADCAST_GROUPS = 200_000
 
 KEY = ["layer_idx", "cell", "sub", "part"]
@@ -47,26 +48,32 @@ class Layer:
     later_parts: np.ndarray
 
 
-def closest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of ``a``, rows of ``b`` and distances of each row's k nearest, ties by id.
+def closest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``a``, rows of ``b`` and distances of each row's k nearest, ties by id; with a ``bound`` a row, those within it.
 
-    |a|^2 + |b|^2 - 2ab is a matrix product and tells the k nearest up to rounding; all rows within the rounding of
-    the k-th are then measured directly, so that the choice is that of exact distances."""
+    A part of ``b`` tells a distance that the k-th does not exceed. |a|^2 + |b|^2 - 2ab, a matrix product in single precision, tells
+    which rows may lie within it up to rounding; those are measured directly, so that the choice is that of exact distances."""
     k = min(k, len(b))
     aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    kind, unit = (np.float32, 2.0**-23) if max(aa.max(initial=0), bb.max(initial=0)) < 1e30 else (np.float64, 2.0**-52)
+    slack = 4 * (a.shape[1] + 8) * unit * (aa + bb.max(initial=0)) + 1e-30
+    some, half = b[:: max(1, min(PART, len(b) // (4 * k)))], (bb / 2).astype(kind)
+    own_b, own_a, some_bb = b.astype(kind).T, a.astype(kind), (some * some).sum(axis=1)
     out, step = [], max(1, CHUNK_PAIRS // max(1, len(b)))
     for first in range(0, len(a), step):
-        own = a[first : first + step]
-        squares = aa[first : first + step, None] + bb[None, :] - 2.0 * (own @ b.T)
-        last = np.partition(squares, k - 1, axis=1)[:, k - 1]
-        slack = 1e-12 * (aa[first : first + step] + bb.max()) * a.shape[1] + 1e-300
-        row, col = np.nonzero(squares <= (last + slack)[:, None])
-        d = np.sqrt(((own[row] - b[col]) ** 2).sum(axis=1))
+        own = slice(first, first + step)
+        within = np.full(len(a[own]), np.inf) if bound is None else bound[own] ** 2
+        if not np.isfinite(within).all():
+            within = np.minimum(within, np.partition(aa[own, None] + some_bb - 2.0 * (a[own] @ some.T), k - 1, axis=1)[:, k - 1])
+        near = own_a[own] @ own_b
+        near -= half
+        row, col = np.divmod(np.flatnonzero(near >= ((aa[own] - within - slack[own]) / 2).astype(kind)[:, None]), len(b))
+        d = np.sqrt(((a[own][row] - b[col]) ** 2).sum(axis=1))
         order = np.lexsort((ids[col], d, row))
         row, col, d = row[order], col[order], d[order]
-        place = np.arange(len(row)) - np.flatnonzero(np.r_[True, row[1:] != row[:-1]])[np.cumsum(np.r_[False, row[1:] != row[:-1]])]
-        near = place < k
-        out.append((row[near] + first, col[near], d[near]))
+        counts = np.bincount(row, minlength=len(a[own]))
+        kept = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) < k
+        out.append((row[kept] + first, col[kept], d[kept]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -254,8 +261,9 @@ class Index:
             if not q.num_rows or not t.num_rows:
                 return pa.table({n: [] for n in ("layer_idx", "query_id", "d", "label", "train_id")}, schema=_arrow(FOUND))
             ids, labels = t.column("example_id").to_numpy(), t.column("label").to_numpy()
-            row, col, d = closest(matrix(q.column("act").combine_chunks()), matrix(t.column("act").combine_chunks()), ids, k)
-            near = d <= q.column("bound").to_numpy()[row] * (1 + 1e-9) + 1e-9
+            bound = q.column("bound").to_numpy() * (1 + 1e-9) + 1e-9
+            row, col, d = closest(matrix(q.column("act").combine_chunks()), matrix(t.column("act").combine_chunks()), ids, k, bound)
+            near = d <= bound[row]
             row, col, d = row[near], col[near], d[near]
             return pa.table([q.column("layer_idx").take(row), q.column("example_id").take(row), pa.array(d), pa.array(labels[col].astype(np.int32)), pa.array(ids[col])], schema=_arrow(FOUND))
 

@@ -304,3 +304,21 @@ def test_first_rows_of_appended_parts(spark):
     runs = spark.createDataFrame([(1, i) for i in range(4)] + [(2, i) for i in range(4)] + [(3, 9)], "run int, k int").withColumn("g", F.lit("x"))
     got = {(r["run_a"], r["run_b"]): (r["n_both"], r["same"], r["disjoint"]) for r in frames.key_overlaps(runs, ["g"], "run", ["k"]).collect()}
     assert got == {(1, 2): (4, True, False), (1, 3): (0, False, True), (2, 3): (0, False, True)}
+
+
+def test_closest_within_a_bound_measures_few_rows(monkeypatch):
+    """A bound leaves the rows within it, ties at the bound too, and no row of the rest is sorted."""
+    rng = np.random.default_rng(3)
+    a, b, ids = rng.normal(size=(40, 5)), rng.normal(size=(3000, 5)), rng.permutation(3000)
+    b[100:110] = b[7]  # ties
+    row, col, d = neighbours.closest(a, b, ids, 9)
+    for i in range(40):
+        whole = np.sqrt(((b - a[i]) ** 2).sum(axis=1))
+        assert ids[col[row == i]].tolist() == ids[np.lexsort((ids, whole))[:9]].tolist()
+    bound = np.array([d[row == i][4] for i in range(40)])
+    row, col, near = neighbours.closest(a, b, ids, 9, bound)
+    assert (np.bincount(row, minlength=40) == 5).all() and (near <= bound[row]).all()
+    seen, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: seen.append(len(keys[0])) or lexsort(keys))
+    neighbours.closest(a, b, ids, 9, bound)
+    assert sum(seen) < 300
