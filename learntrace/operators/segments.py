@@ -8,60 +8,79 @@ segments as its steps have gaps, one when all have come.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from typing import NamedTuple
+from collections.abc import Iterable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-class Segment(NamedTuple):
-    first: int
-    last: int
-    first_acc: bool
-    last_acc: bool
-    forgets: int
-    first_right: int | None
-    last_wrong: int | None
-
-
-FIELDS = "last long, first_acc boolean, last_acc boolean, forgets long, first_right long, last_wrong long"
-
-
-def of_step(step: int, acc: bool) -> Segment:
-    return Segment(step, step, acc, acc, 0, step if acc else None, None if acc else step)
-
-
-def merged(segments: Iterable[Segment], stride: int = 1) -> list[Segment]:
-    """Segments in order, those that touch as one. A single step that a segment before it in the input holds is a step that
-    came again and changes nothing; longer segments that overlap are a ValueError."""
-    out: list[Segment] = []
-    for s in sorted(segments, key=lambda s: (s.first, -s.last)):
-        if out and s.first <= out[-1].last:
-            if s.first != s.last:
-                raise ValueError(f"steps {s.first} to {min(s.last, out[-1].last)} are in two summaries")
-            continue
-        if out and s.first == out[-1].last + stride:
-            a = out.pop()
-            right = a.first_right if a.first_right is not None else s.first_right
-            wrong = s.last_wrong if s.last_wrong is not None else a.last_wrong
-            s = Segment(a.first, s.last, a.first_acc, s.last_acc, a.forgets + s.forgets + (a.last_acc and not s.first_acc), right, wrong)
-        out.append(s)
-    return out
-
-
-def scores(segments: list[Segment], start_at_zero: bool = True, stride: int = 1) -> tuple[int, int, bool, int, int]:
-    """n, countforget, unforgettable, firstlearn and firstunforgettable of the steps that are there; steps on both sides of a
-    gap count as neighbours until the gap is filled."""
-    n = forgets = 0
-    before, right, wrong = not start_at_zero, None, None
-    for s in segments:
-        n += (s.last - s.first) // stride + 1
-        forgets += s.forgets + (before and not s.first_acc)
-        before = s.last_acc
-        right = s.first_right if right is None else right
-        wrong = s.last_wrong if s.last_wrong is not None else wrong
-    return n, forgets, forgets == 0 and right is not None, n if right is None else right, 0 if wrong is None else wrong + stride
+Table = dict[str, np.ndarray]  # segments of many examples, an array a field
+FIELDS = {"example_id": int, "first": int, "last": int, "first_acc": bool, "last_acc": bool, "forgets": int, "first_right": int, "last_wrong": int}
+NEVER = {"first_right": np.iinfo(np.int64).max, "last_wrong": np.iinfo(np.int64).min}  # stand for null in tables
+
+
+def table(columns: Iterable[Sequence]) -> Table:
+    """Segments from a sequence a field, in which null is None."""
+    filled = {c: [NEVER[c] if v is None else v for v in x] if c in NEVER else x for c, x in zip(FIELDS, columns, strict=True)}
+    return {c: np.array(x, dtype=FIELDS[c]) for c, x in filled.items()}
+
+
+def lists(segments: Table) -> tuple[list, ...]:
+    """A list a field, in which null is None."""
+    return tuple([None if v == NEVER[c] else v for v in x.tolist()] if c in NEVER else x.tolist() for c, x in segments.items())
+
+
+def of_steps(ids: np.ndarray, step: np.ndarray, acc: np.ndarray) -> Table:
+    """A segment a step."""
+    right, wrong = np.where(acc, step, NEVER["first_right"]), np.where(acc, NEVER["last_wrong"], step)
+    return dict(zip(FIELDS, (ids, step, step, acc, acc, np.zeros(len(step), dtype=int), right, wrong), strict=True))
+
+
+def joined(tables: Sequence[Table]) -> Table:
+    return {c: np.concatenate([t[c] for t in tables]) for c in FIELDS}
+
+
+def _follows(ids: np.ndarray) -> np.ndarray:
+    """Whether the row before is of the same example."""
+    return np.r_[False, ids[1:] == ids[:-1]][: len(ids)]
+
+
+def merged(held: Table, new: Table, stride: int = 1) -> Table:
+    """Segments of many examples in order, those that touch as one. A single step that another segment holds is a step that
+    came again and changes nothing (of equal steps that held, then a wrong one, stays); longer segments that overlap are a ValueError."""
+    rows = joined((held, new))
+    came = np.arange(len(rows["first"])) >= len(held["first"])
+    order = np.lexsort((rows["first_acc"], came, -rows["last"], rows["first"], rows["example_id"]))
+    ids, first, last, first_acc, last_acc, forgets, right, wrong = (x[order] for x in rows.values())
+    follows = _follows(ids)
+    values, rank = np.unique(last, return_inverse=True)
+    base = np.cumsum(~follows) * len(values)
+    reached = values[np.maximum.accumulate(base + rank) - base]  # the greatest step of an example's segments so far
+    again = follows & (first <= np.roll(reached, 1))
+    twice = np.flatnonzero(again & (first != last))
+    if len(twice):
+        raise ValueError(f"steps {first[twice[0]]} to {min(last[twice[0]], reached[twice[0] - 1])} are in two summaries")
+    ids, first, last, first_acc, last_acc, forgets, right, wrong = (x[~again] for x in (ids, first, last, first_acc, last_acc, forgets, right, wrong))
+    touches = _follows(ids) & (first == np.roll(last, 1) + stride)
+    starts = np.flatnonzero(~touches)
+    ends = np.r_[starts[1:], len(ids)][: len(starts)] - 1
+    inside = np.add.reduceat(forgets + (touches & np.roll(last_acc, 1) & ~first_acc), starts)
+    columns = ids[starts], first[starts], last[ends], first_acc[starts], last_acc[ends], inside, np.minimum.reduceat(right, starts), np.maximum.reduceat(wrong, starts)
+    return dict(zip(FIELDS, columns, strict=True))
+
+
+def scores(segments: Table, start_at_zero: bool = True, stride: int = 1) -> Table:
+    """n, countforget, unforgettable, firstlearn and firstunforgettable of each example's steps that are there, from segments in
+    order; steps on both sides of a gap count as neighbours until the gap is filled."""
+    ids, first, last, first_acc, last_acc, forgets, right, wrong = segments.values()
+    follows = _follows(ids)
+    starts = np.flatnonzero(~follows)
+    before = np.where(follows, np.roll(last_acc, 1), not start_at_zero)
+    n, forgot = np.add.reduceat((last - first) // stride + 1, starts), np.add.reduceat(forgets + (before & ~first_acc), starts)
+    right, wrong = np.minimum.reduceat(right, starts), np.maximum.reduceat(wrong, starts)
+    learnt, erred = right != NEVER["first_right"], wrong != NEVER["last_wrong"]
+    ends = {"firstlearn": np.where(learnt, right, n), "firstunforgettable": np.where(erred, wrong + stride, 0)}
+    return {"example_id": ids[starts], "n": n, "countforget": forgot, "unforgettable": (forgot == 0) & learnt, **ends}
 
 
 def segments_of(trajectory: DataFrame, key: str = "example_id", stride: int = 1) -> DataFrame:

@@ -1,9 +1,11 @@
 """Online trajectory scores.
 
 First and last events are mergeable, so plain streaming aggregation keeps them. Counts of edges look at the step before,
-which may not have come yet: each example keeps the segments of :mod:`learntrace.operators.segments` as a map in the state store, so
+which may not have come yet: the state store keeps the segments of :mod:`learntrace.operators.segments`, so
 steps may arrive in any order and any parts, steps that come again change nothing, and the state is as large as there are gaps. A
-stream may start from the segments of a saved batch, and its state can be read as a table.
+stream may start from the segments of a saved batch, and its state can be read as a table. A call of Python and of the state store costs
+milliseconds, so a state holds a bucket of examples as arrays and what a trigger brings them is merged at once; a trigger
+rewrites the buckets that it touches.
 
 Results go through foreachBatch to Parquet in the shared folder, one folder a batch, and are read back
 as each key's latest row; the checkpoint folder resumes a stopped query where it ended.
@@ -15,67 +17,73 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from learntrace.operators import segments
 from learntrace.operators.forgetting import first_forget, first_learn, first_unforgettable, first_unlearnable
-from learntrace.operators.segments import FIELDS, Segment, merged, of_step, scores
 from learntrace.session import ensure_checkpoint_dir
 
 SCORES = "example_id long, n long, countforget long, unforgettable boolean, firstlearn long, firstunforgettable long"
+STATE = ", ".join(f"{c} array<{'boolean' if kind is bool else 'long'}>" for c, kind in segments.FIELDS.items())
+BUCKETS = 1_024  # of examples; a checkpoint keeps the number that it began with
+UNNAMED = -1  # bucket of the rows without an example_id
+MERGE_ROWS = 100_000  # new steps of a bucket that are merged at once, or as many as it holds if these are more
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class ForgetProcessor(StatefulProcessor):
-    """One example's segments, by their first step."""
+    """The segments of a bucket's examples, a list a field."""
 
     def __init__(self, start_at_zero: bool, stride: int) -> None:
         self.start_at_zero, self.stride = start_at_zero, stride
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.segments = handle.getMapState("segments", "first long", FIELDS)
+        self.segments = handle.getValueState("segments", STATE)
 
-    def _held(self) -> list[Segment]:
-        return [Segment(k[0], *v) for k, v in self.segments.iterator()]
-
-    def _keep(self, before: list[Segment], now: list[Segment]) -> None:
-        """Writes what has changed."""
-        old, new = set(before), set(now)
-        for first in {s.first for s in old - new} - {s.first for s in new - old}:
-            self.segments.removeKey((first,))
-        for s in new - old:
-            self.segments.updateValue((s.first,), tuple(s[1:]))
+    def _held(self) -> segments.Table:
+        return segments.table(self.segments.get() or [[] for _ in segments.FIELDS])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = self._held()
-        now = before
+        now, waiting, came = self._held(), [], []
         for frame in rows:
-            steps = dict(zip(frame["step"].tolist(), frame["acc"].tolist(), strict=True))
-            known = [s for s in steps if not any(h.first <= s <= h.last for h in now)] if len(now) < 8 else list(steps)
-            now = merged([*now, *(of_step(int(s), bool(steps[s])) for s in known)], self.stride)
-        self._keep(before, now)
-        n, forgets, unforgettable, first, last = scores(now, self.start_at_zero, self.stride)
-        yield pd.DataFrame({"example_id": [key[0]], "n": [n], "countforget": [forgets], "unforgettable": [unforgettable], "firstlearn": [first], "firstunforgettable": [last]})
+            ids, step = frame["example_id"].to_numpy(), frame["step"].astype("int64").to_numpy()
+            waiting.append(segments.of_steps(ids, step, (frame["acc"].to_numpy() == True).astype(bool)))  # noqa: E712 null is wrong
+            came.append(np.unique(ids))
+            if sum(len(w["first"]) for w in waiting) >= max(MERGE_ROWS, len(now["first"])):
+                now, waiting = segments.merged(now, segments.joined(waiting), self.stride), []
+        now = segments.merged(now, segments.joined(waiting), self.stride) if waiting else now
+        self.segments.update(segments.lists(now))
+        asked = np.isin(now["example_id"], np.concatenate(came))
+        found = segments.scores({c: x[asked] for c, x in now.items()}, self.start_at_zero, self.stride)
+        yield pd.DataFrame(found if key[0] != UNNAMED else found | {"example_id": [None]})
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:  # noqa: N802, N803
-        names = Segment._fields
-        given = initialState.astype(object).where(initialState.notna(), None)
-        found = [Segment(*(v if v is None or isinstance(v, bool) else int(v) for v in row)) for row in given[list(names)].itertuples(index=False)]
-        self._keep([], merged([*self._held(), *found], self.stride))
+        saved = segments.table([None if pd.isna(v) else int(v) for v in initialState[c].tolist()] for c in segments.FIELDS)
+        self.segments.update(segments.lists(segments.merged(self._held(), saved, self.stride)))
 
     def close(self) -> None:
         pass
 
 
+def _in_buckets(rows: DataFrame) -> GroupedData:
+    """``rows`` by the bucket of their example."""
+    own = F.col("example_id")
+    bucket = F.when(own.isNull(), UNNAMED).otherwise(F.pmod(F.xxhash64(own), F.lit(BUCKETS))).cast("int")
+    return rows.withColumns({"bucket": bucket, "example_id": F.coalesce(own.cast("long"), F.lit(0))}).groupBy("bucket")
+
+
 def forget_scores(stream: DataFrame, start_at_zero: bool = True, saved: DataFrame | None = None, stride: int = 1) -> DataFrame:
     """A row for each key with new steps (example_id, step, acc): the scores so far.
 
     ``saved`` (segments of :func:`segments.segments_of`) is what the stream starts from; ``stride`` is the distance of steps."""
-    start = None if saved is None else saved.select("example_id", *Segment._fields).groupBy("example_id")
-    return stream.groupBy("example_id").transformWithStateInPandas(ForgetProcessor(start_at_zero, stride), SCORES, "Update", "None", start)
+    start = None if saved is None else _in_buckets(saved.select(*segments.FIELDS))
+    steps = _in_buckets(stream.select("example_id", "step", "acc"))
+    return steps.transformWithStateInPandas(ForgetProcessor(start_at_zero, stride), SCORES, "Update", "None", start)
 
 
 def event_times(stream: DataFrame) -> DataFrame:
@@ -129,9 +137,12 @@ def drain_parts(spark: SparkSession, folder: str, parts: list[DataFrame], schema
 
 
 def read_state(spark: SparkSession, folder: str, variable: str = "segments") -> DataFrame:
-    """The state that the query of a results folder holds, as a table of its keys and values."""
+    """The state that the query of a results folder holds, as a table of its keys and values; of segments, a row each."""
     with state_store(spark):
         state = spark.read.format("statestore").option("path", f"{folder}/checkpoint").option("stateVarName", variable).load()
+    if variable == "segments":
+        each = state.select("key.bucket", F.explode(F.arrays_zip(*[F.col(f"value.{c}").alias(c) for c in segments.FIELDS])).alias("s")).select("bucket", "s.*")
+        return each.withColumn("example_id", F.when(F.col("bucket") != UNNAMED, F.col("example_id"))).drop("bucket")
     return state.select("key.*", "user_map_key.*", "user_map_value.*") if "user_map_key" in state.columns else state.select("key.*", "value.*")
 
 
