@@ -25,7 +25,8 @@ from learntrace.session import stored
 BLOCK_ROWS, BLOCK_BYTES = 50_000, 32 << 20  # of a block, whichever is less
 PIVOTS_PER_BLOCK, MAX_PIVOTS = 2, 1_024
 CHUNK_PAIRS = 1 << 19  # distances held at once
-PART = 16  # one row of as many tells a first bound
+PART = 16  # one row of as many, drawn, tells a first bound
+COARSE = 0.05  # of the squared k-th distance: the rounding that single precision may have
 BROADCAST_GROUPS = 200_000
 
 KEY = ["layer_idx", "cell", "sub", "part"]
@@ -51,23 +52,32 @@ class Layer:
 def closest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of ``a``, rows of ``b`` and distances of each row's k nearest, ties by id; with a ``bound`` a row, those within it.
 
-    A part of ``b`` tells a distance that the k-th does not exceed. |a|^2 + |b|^2 - 2ab, a matrix product in single precision, tells
-    which rows may lie within it up to rounding; those are measured directly, so that the choice is that of exact distances."""
+    A part of ``b`` tells a distance that the k-th does not exceed. |a|^2 + |b|^2 - 2ab, a matrix product, tells which rows may lie
+    within it up to rounding; those are measured directly, so that the choice is that of exact distances. What is rounded grows with the
+    squares, so both sides are first moved by the mean of ``b``, and the product is in single precision only where its rounding is a
+    small part (``COARSE``) of that distance: else most rows would be measured directly."""
     k = min(k, len(b))
-    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
-    kind, unit = (np.float32, 2.0**-23) if max(aa.max(initial=0), bb.max(initial=0)) < 1e30 else (np.float64, 2.0**-52)
-    slack = 4 * (a.shape[1] + 8) * unit * (aa + bb.max(initial=0)) + 1e-30
-    some, half = b[:: max(1, min(PART, len(b) // (4 * k)))], (bb / 2).astype(kind)
-    own_b, own_a, some_bb = b.astype(kind).T, a.astype(kind), (some * some).sum(axis=1)
+    middle = b.mean(axis=0)
+    x, y = a - middle, b - middle
+    aa, bb = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    slack = 4 * (a.shape[1] + 8) * (aa + bb.max(initial=0))  # in units of the last place
+    some = np.random.default_rng(0).permutation(len(b))[: -(-len(b) // max(1, min(PART, len(b) // (4 * k))))]  # no order of the rows is taken for granted
+    sides = {np.float64: (x, y.T, bb / 2)}
+    if max(aa.max(initial=0), bb.max(initial=0)) < 1e30:
+        sides[np.float32] = tuple(v.astype(np.float32) for v in sides[np.float64])
     out, step = [], max(1, CHUNK_PAIRS // max(1, len(b)))
     for first in range(0, len(a), step):
         own = slice(first, first + step)
         within = np.full(len(a[own]), np.inf) if bound is None else bound[own] ** 2
         if not np.isfinite(within).all():
-            within = np.minimum(within, np.partition(aa[own, None] + some_bb - 2.0 * (a[own] @ some.T), k - 1, axis=1)[:, k - 1])
+            within = np.minimum(within, np.partition(aa[own, None] + bb[some] - 2.0 * (x[own] @ y[some].T), k - 1, axis=1)[:, k - 1])
+        single = np.float32 in sides and np.median(slack[own]) * 2.0**-23 <= COARSE * np.median(within)
+        kind, unit = (np.float32, 2.0**-23) if single else (np.float64, 2.0**-52)
+        own_a, own_b, half = sides[kind]
         near = own_a[own] @ own_b
         near -= half
-        row, col = np.divmod(np.flatnonzero(near >= ((aa[own] - within - slack[own]) / 2).astype(kind)[:, None]), len(b))
+        least = (aa[own] - within - slack[own] * unit - 1e-30) / 2
+        row, col = np.divmod(np.flatnonzero(near >= least.astype(kind)[:, None]), len(b))
         d = np.sqrt(((a[own][row] - b[col]) ** 2).sum(axis=1))
         order = np.lexsort((ids[col], d, row))
         row, col, d = row[order], col[order], d[order]

@@ -322,3 +322,18 @@ def test_closest_within_a_bound_measures_few_rows(monkeypatch):
     monkeypatch.setattr(np, "lexsort", lambda keys: seen.append(len(keys[0])) or lexsort(keys))
     neighbours.closest(a, b, ids, 9, bound)
     assert sum(seen) < 300
+
+
+@pytest.mark.parametrize("apart", [100.0, 1e6])
+def test_groups_far_from_zero_measure_few_rows(monkeypatch, apart):
+    """Two groups far apart: the k nearest are those of exact distances, and few rows are measured one by one."""
+    rng = np.random.default_rng(3)
+    b = rng.normal(size=(6000, 16)) * 0.25 + (np.arange(6000) % 2 * apart)[:, None]
+    a, ids, measured, divmod_ = b[:200], np.arange(6000)[::-1].copy(), [], np.divmod
+    monkeypatch.setattr(np, "divmod", lambda x, n: (measured.append(len(x)), divmod_(x, n))[1])
+    row, col, d = neighbours.closest(a, b, ids, 30)
+    assert sum(measured) < 0.15 * len(a) * len(b)
+    want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    for i in range(len(a)):
+        order = np.lexsort((ids, want[i]))[:30]
+        assert col[row == i].tolist() == order.tolist() and d[row == i].tolist() == want[i][order].tolist()
