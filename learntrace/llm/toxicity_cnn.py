@@ -27,13 +27,15 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +57,9 @@ EPOCHS, LEAST_EPOCHS, RATE, KEEP = 12, 2, 0.05, 0.5
 EPOCH_ROWS = 120_000  # rows of all passes from which on fewer than EPOCHS passes are made, never below LEAST_EPOCHS
 BATCH = 32
 CUT = 0.5
-KNOWN_WORDS = 300_000  # of a scoring worker's cache, which is emptied when full
+KNOWN_WORDS = 200_000  # of a scoring task's cache, which is emptied when full
+TEXTS, WORDS = 128, 1 << 17  # texts whose words are hashed together, and words from which on no text is added to them
+LONG = 64  # bytes of a word from which on it is hashed alone
 PIECE = 1 << 15  # words that are held at once in scoring
 #: Function words that tell a language, each in one list only.
 LANGUAGES = {
@@ -63,16 +67,27 @@ LANGUAGES = {
     "fr": "le les et des est une dans qui que pour sur pas du au".split(), "es": "el los y las por con para del se su al lo como".split(),
 }
 OTHER = len(LANGUAGES)
+_CODES = {w: code for code, ws in enumerate(LANGUAGES.values()) for w in ws}
 _WORD = re.compile(r"[^\W_]+")
 _PREFIX = zlib.crc32(b"^")  # sets prefixes apart from words
+_CRC = np.array([zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)], dtype=np.uint32)  # what a byte adds to a sum
 
 
 def words_of(text: str | None) -> tuple[list[str], Counter[str], int]:
     """The words of a whole text, how often each occurs and the code of its language (``OTHER``: none told)."""
-    words = _WORD.findall((text or "").lower())
-    counts = Counter(words)
-    hits = [sum(counts[w] for w in ws if w in counts) for ws in LANGUAGES.values()]
-    return words, counts, hits.index(max(hits)) if any(hits) else OTHER
+    words = _split(text)
+    return words, Counter(words), language_of(words)
+
+
+def _split(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
+
+
+def language_of(words: list[str]) -> int:
+    """The code of the language with the most function words among some words, of equals the first."""
+    found = Counter(map(_CODES.get, filter(_CODES.__contains__, words)))
+    hits = [found[code] for code in range(OTHER)]
+    return hits.index(max(hits)) if any(hits) else OTHER
 
 
 def parts_of(word: str) -> list[int]:
@@ -86,9 +101,39 @@ def parts_of(word: str) -> list[int]:
     return out
 
 
-@lru_cache(maxsize=300_000)
-def _part_bytes(word: str) -> bytes:
-    return np.array(parts_of(word), dtype=np.int32).tobytes()
+def parts_of_all(words: list[str]) -> np.ndarray:
+    """``parts_of`` each of many words, a row a word: the same sums, of all words at once and byte after byte."""
+    if not words:
+        return np.empty((0, 1 + len(PREFIXES)), dtype=np.int32)
+    raw = [w.encode("utf-8", "replace") for w in words]
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    sizes, letters = (np.fromiter(map(len, of), dtype=np.int64, count=len(words)) for of in (raw, words))
+    starts, first = np.cumsum(sizes) - sizes, np.cumsum(letters) - letters
+    leads = np.flatnonzero((data & 0xC0) != 0x80)  # where a letter begins
+
+    def summed(sums: np.ndarray, rows: np.ndarray, at: np.ndarray, ends: np.ndarray) -> None:
+        """The sums of some rows, taken on over the bytes from ``at`` to ``ends``."""
+        while len(rows):
+            old = sums[rows]
+            sums[rows] = _CRC[(old ^ data[at]) & 0xFF] ^ (old >> 8)
+            more = np.flatnonzero(at + 1 < ends)
+            rows, at, ends = rows[more], at[more] + 1, ends[more]
+
+    out = np.full((len(words), 1 + len(PREFIXES)), -1, dtype=np.int32)
+    sums, rows = np.full(len(words), 0xFFFFFFFF, dtype=np.uint32), np.flatnonzero(sizes < LONG)
+    summed(sums, rows, starts[rows], (starts + sizes)[rows])
+    out[:, 0] = (sums ^ 0xFFFFFFFF) & (BUCKETS - 1)
+    for i in np.flatnonzero(sizes >= LONG):
+        out[i, 0] = zlib.crc32(raw[i]) & (BUCKETS - 1)
+    sums[:], at = _PREFIX ^ 0xFFFFFFFF, starts
+    for column, k in enumerate(PREFIXES, 1):
+        rows = np.flatnonzero(letters > k)
+        ends = leads[first[rows] + k]
+        summed(sums, rows, at[rows], ends)
+        out[rows, column] = (sums[rows] ^ 0xFFFFFFFF) & (BUCKETS - 1)
+        at = at.copy()
+        at[rows] = ends
+    return out
 
 
 @dataclass
@@ -100,10 +145,19 @@ class Text:
 
 
 def encode(text: str | None) -> tuple[Text, int]:
-    words, counts, language = words_of(text)
-    own = {w: i for i, w in enumerate(counts)}
-    ids = np.fromiter(map(own.__getitem__, words), dtype=np.int32, count=len(words))
-    return Text(ids, np.frombuffer(b"".join(map(_part_bytes, own)), dtype=np.int32).reshape(-1, 1 + len(PREFIXES))), language
+    return next(encoded([text]))
+
+
+def encoded(texts: list[str | None]) -> Iterator[tuple[Text, int]]:
+    """The texts and their languages; a word that several of them share is hashed once."""
+    split = [_split(t) for t in texts]
+    found = [list(dict.fromkeys(words)) for words in split]
+    place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
+    parts = parts_of_all(list(place))
+    for words, own in zip(split, found, strict=True):
+        at = dict(zip(own, range(len(own)), strict=True))
+        ids = np.fromiter(map(at.__getitem__, words), dtype=np.int32, count=len(words))
+        yield Text(ids, parts[np.fromiter(map(place.__getitem__, own), dtype=np.int64, count=len(own))]), language_of(words)
 
 
 @dataclass
@@ -155,13 +209,26 @@ class Cnn:
             values.append(top)
         return np.concatenate(values, axis=1) + self.shifts, np.concatenate(places, axis=1)
 
+    def lines(self, words: np.ndarray) -> Iterator[np.ndarray]:
+        """``maps`` of one text, a row a filter, of its words' products in columns."""
+        column = 0
+        for f in self.filters:
+            z = words[column : column + FILTERS].copy() if len(f) > 1 else words[column : column + FILTERS]
+            for k in range(1, len(f)):
+                column += FILTERS
+                z[:, :-k] += words[column : column + FILTERS, k:]
+            column += FILTERS
+            yield z
+
     def logit(self, own: np.ndarray, ids: np.ndarray) -> float:
         """Of one text; a long one is read in pieces, each with the words that its last places reach."""
         if not len(ids):
             return float(self.bias)
-        pieces = [ids[at : at + PIECE + max(WIDTHS) - 1] for at in range(0, len(ids), PIECE)]
-        one = [np.float32(1)] * max(WIDTHS)
-        top = np.max([np.concatenate([z[:PIECE].max(axis=0) for z in self.maps(own, p, one)]) for p in pieces], axis=0)
+        tops = []
+        for at in range(0, len(ids), PIECE):
+            words = np.ascontiguousarray(np.take(own, ids[at : at + PIECE + max(WIDTHS) - 1], axis=0).T)  # maxima run along rows
+            tops.append(np.concatenate([z[:, :PIECE].max(axis=1) for z in self.lines(words)]))
+        top = np.max(tops, axis=0)
         return float(np.maximum(top + self.shifts, 0) @ self.out + self.bias)
 
     def score(self, logit: float, language: int) -> float:
@@ -275,25 +342,53 @@ def calibrated(z: np.ndarray, languages: np.ndarray, rows: np.ndarray, hits: np.
     return out
 
 
-def _encoded(texts: pd.Series) -> pd.DataFrame:
-    found = [encode(t) for t in texts]
-    packed = [zlib.compress(t.ids.astype("<i4").tobytes() + t.parts.astype("<i4").tobytes(), 1) for t, _ in found]
-    return pd.DataFrame({"packed": packed, "words": np.array([len(t.ids) for t, _ in found], dtype=np.int32), "language": np.array([c for _, c in found], dtype=np.int32)})
+def _kind(words: int) -> str:
+    """Of the places of a text's words."""
+    return "<u2" if words <= 1 << 16 else "<i4"
 
 
-ENCODED = "shard int, apart boolean, label int, language int, words int, packed binary"
+ENCODED = "shard int, apart boolean, label int, language int, words int, bytes int, packed binary"
 
 
-def _unpacked(packed: bytes, words: int) -> Text:
-    whole = np.frombuffer(zlib.decompress(packed), "<i4")
-    return Text(whole[:words], whole[words:].reshape(-1, 1 + len(PREFIXES)))
+def _unpacked(packed: pa.Buffer, size: int, words: int) -> Text:
+    raw, kind = pa.decompress(packed, size, "zstd"), np.dtype(_kind(words))
+    parts = np.frombuffer(raw, "<i4", offset=words * kind.itemsize) if words else np.empty(0, dtype=np.int32)
+    return Text(np.frombuffer(raw, kind, words).astype(np.int32), parts.reshape(-1, 1 + len(PREFIXES)))
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[Text, bool, int, int]]:
-    """Text, whether it is kept for the thresholds, label and language."""
-    columns = [batch.column(c).to_pylist() for c in ("packed", "words", "apart", "label", "language")]
-    for packed, words, apart, label, language in zip(*columns, strict=True):
-        yield _unpacked(packed, words), apart, label, language
+def _rows(batch: pa.RecordBatch, keep: Callable[[bool], bool] = lambda apart: True) -> Iterator[tuple[Text, bool, int, int]]:
+    """Text, whether it is kept for the thresholds, label and language of the rows that ``keep`` wants, unpacked one by one."""
+    columns = [batch.column(c).to_pylist() for c in ("bytes", "words", "apart", "label", "language")]
+    for packed, size, words, apart, label, language in zip(batch.column("packed"), *columns, strict=True):
+        if keep(apart):
+            yield _unpacked(packed.as_buffer(), size, words), apart, label, language
+
+
+def _together(texts: Iterator[str | None]) -> Iterator[list[str | None]]:
+    """Texts whose words are hashed together."""
+    held: list[str | None] = []
+    size = 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if len(held) == TEXTS or size >= 8 * WORDS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _packed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows with their texts encoded, packed a few at a time."""
+    at = 0
+    for some in _together(t.as_py() for t in batch.column("_text")):
+        own, rows = [], batch.slice(at, len(some))
+        at += len(some)
+        for t, language in encoded(some):
+            raw = t.ids.astype(_kind(len(t.ids))).tobytes() + t.parts.astype("<i4").tobytes()
+            own.append((language, len(t.ids), len(raw), pa.compress(raw, "zstd", asbytes=True)))
+        made = [pa.array([o[i] for o in own], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("shard", "apart", "label")], *made], names=[c.split()[0] for c in ENCODED.split(", ")])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> tuple[DataFrame, int]:
@@ -304,11 +399,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", label:
     known = stored(known_labels(labels, label, FOLDS, HELD_OUT, key))
     n = known.count()
     shards = max(1, math.ceil(math.sqrt(n / SHARD_ROWS)))
-    kind = T.StructType([T.StructField("packed", T.BinaryType()), T.StructField("words", T.IntegerType()), T.StructField("language", T.IntegerType())])
     rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(small_side(known), F.col("_k") == F.col("_key"))
     drawn = F.xxhash64("_key")
-    placed = rows.select(F.pmod(drawn, F.lit(shards)).cast("int").alias("shard"), (F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(4)) == 0).alias("apart"), drawn.alias("at"), F.col("_key").cast("string").alias("key"), F.xxhash64("_text").alias("h"), "label", F.pandas_udf(_encoded, kind)(F.col("_text")).alias("e"))
-    dealt = placed.select("shard", "apart", "at", "key", "h", "label", "e.*").repartitionById(shards, F.col("shard")).sortWithinPartitions("at", "key", "h")
+    placed = rows.select(F.pmod(drawn, F.lit(shards)).cast("int").alias("shard"), (F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(4)) == 0).alias("apart"), drawn.alias("at"), F.col("_key").cast("string").alias("key"), F.xxhash64("_text").alias("h"), "label", "_text")
+    dealt = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("at", "key", "h")  # texts, for they are shorter than what is made of them
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -316,7 +410,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", label:
             keys = batch.column("key").to_pylist()
             kept = [k != b for k, b in zip(keys, [before, *keys[:-1]], strict=True)]
             before = keys[-1] if keys else before
-            yield batch.filter(pa.array(kept, pa.bool_())).select([c.split()[0] for c in ENCODED.split(", ")])
+            yield from _packed(batch.filter(pa.array(kept, pa.bool_())))
 
     return cut(dealt.mapInArrow(first, ENCODED)), n
 
@@ -327,7 +421,9 @@ def _vocabularies(rows: DataFrame) -> list[np.ndarray]:
         n = np.zeros((2, BUCKETS), dtype=np.int32)
         for batch in batches:
             for t, apart, _, _ in _rows(batch):
-                n[: 1 if apart else 2, _numbers(t.parts)] += 1
+                own = _numbers(t.parts)
+                for seen in n[: 1 if apart else 2]:
+                    seen[own] += 1
         own = np.flatnonzero(n[0])
         for at in range(0, len(own), 1 << 16):
             some = own[at : at + (1 << 16)]
@@ -370,18 +466,16 @@ def _copied(net: Cnn, optimizer: _Optimizer) -> tuple[Cnn, _Optimizer]:
     return own, mine
 
 
-def _moves(rows: DataFrame, shared: object, number: int, epoch: int, seed: int) -> DataFrame:
+def _moves(rows: DataFrame, shared: Broadcast, number: int, epoch: int, seed: int) -> DataFrame:
     """What a pass of each shard makes of network ``number``: the dense values as negative rows, and the vectors that it moved."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, optimizer = _copied(*shared.value[number])
+        net, optimizer = _copied(*shared.value)
         before = optimizer.squares["embedding"].copy()
         held: list[tuple[Text, int]] = []
         size, steps, rng = 0, 0, None
         for batch in batches:
             rng = np.random.default_rng([seed, number, epoch, batch.column("shard")[0].as_py()]) if rng is None and batch.num_rows else rng
-            for t, apart, label, _ in _rows(batch):
-                if number and apart:
-                    continue
+            for t, _, label, _ in _rows(batch, lambda apart: not (number and apart)):
                 held.append((t, label))
                 size += t.ids.nbytes + t.parts.nbytes
                 if len(held) == BUFFER_ROWS or size >= BUFFER_BYTES:
@@ -417,18 +511,20 @@ def fitted(rows: DataFrame, n: int, seed: int = 42) -> Cnn:
         optimizer.squares["embedding"] = np.full(len(net.embedding), 0.01, dtype=np.float32)
     context = rows.sparkSession.sparkContext
     for epoch in range(max(LEAST_EPOCHS, min(EPOCHS, -(-EPOCH_ROWS // max(1, n))))):
-        shared = context.broadcast(states)
-        moves = _moves(rows, shared, 0, epoch, seed)
-        moves = moves.union(_moves(rows, shared, 1, epoch, seed)) if len(used) > 1 else moves
-        table = moves.groupBy("net", "row").agg(*[F.avg(c).alias(c) for c in [*MOVED, "square"]]).toArrow()  # the networks
+        shared = [context.broadcast(states[i]) for i in used]  # one each, for a task needs one
+        moves = reduce(DataFrame.union, [_moves(rows, b, i, epoch, seed) for i, b in zip(used, shared, strict=True)])
+        table = moves.groupBy("net", "row").agg(*[F.avg(c).cast("float").alias(c) for c in [*MOVED, "square"]]).toArrow()  # the networks
         of, at = table.column("net").to_numpy(), table.column("row").to_numpy()
-        values, squares = np.column_stack([table.column(c).to_numpy() for c in MOVED]), table.column("square").to_numpy()
         for i in used:
             net, optimizer = states[i]
             own, dense = np.flatnonzero((of == i) & (at >= 0)), np.flatnonzero((of == i) & (at < 0))
-            _set_dense(net, optimizer, values[dense[np.argsort(-at[dense])]])
-            net.embedding[at[own]], optimizer.squares["embedding"][at[own]] = values[own], squares[own]
-        shared.destroy()
+            dense = dense[np.argsort(-at[dense])]
+            _set_dense(net, optimizer, np.column_stack([table.column(c).to_numpy()[dense] for c in MOVED]))
+            for k, c in enumerate(MOVED):
+                net.embedding[at[own], k] = table.column(c).to_numpy()[own]
+            optimizer.squares["embedding"][at[own]] = table.column("square").to_numpy()[own]
+        for b in shared:
+            b.destroy()
     if len(used) > 1:
         nets[0].thresholds = _thresholds(rows, nets[1])
     return nets[0]
@@ -441,7 +537,7 @@ def _thresholds(rows: DataFrame, net: Cnn) -> np.ndarray:
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Cnn(*shared.value)
         for batch in batches:
-            found = [(language, label, round(1000 * max(-30.0, min(30.0, own.logit(own.products(t.parts), t.ids))))) for t, apart, label, language in _rows(batch) if apart]
+            found = [(language, label, round(1000 * max(-30.0, min(30.0, own.logit(own.products(t.parts), t.ids))))) for t, _, label, language in _rows(batch, bool)]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int32()) for i in range(3)], names=["language", "label", "z"])
 
     table = rows.mapInArrow(told, "language int, label int, z int").groupBy("language", "z").agg(F.count("*").alias("n"), F.sum("label").alias("hits")).toArrow()
@@ -452,29 +548,37 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     return fitted(*training_rows(docs, labels, text, label, key))
 
 
-class _Scorer:
-    """Scores texts with a cache of the words' products."""
+class _Scorer(dict):
+    """Scores texts with a cache of the words' products; the words are numbered here as they come."""
 
     def __init__(self, net: Cnn) -> None:
-        self.net, self.places = net, {}
-        self.table = np.empty((1024, FILTERS * sum(WIDTHS)), dtype=np.float32)
-
-    def score(self, text: str | None) -> float:
-        words, counts, language = words_of(text)
-        known = self.places
-        new = [w for w in counts if w not in known]
-        if new:
-            if len(known) + len(new) > KNOWN_WORDS:
-                known.clear()
-                new = list(counts)
-            need = len(known) + len(new)
-            if need > len(self.table):
-                self.table = np.concatenate([self.table, np.empty((max(need, len(self.table)), self.table.shape[1]), dtype=np.float32)])
-            self.table[len(known) : need] = self.net.products(np.array([parts_of(w) for w in new], dtype=np.int32))
-            for w in new:
-                known[w] = len(known)
-        ids = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-        return self.net.score(self.net.logit(self.table, ids), language)
+        super().__init__()
+        self.net, self.new, self.table = net, [], np.empty((KNOWN_WORDS, FILTERS * sum(WIDTHS)), dtype=np.float32)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+    def scores(self, texts: Iterator[str | None]) -> Iterator[float]:
+        for some in _together(texts):
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            held = []
+            for t in some:
+                words = _split(t)
+                held.append((np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words)), language_of(words)))
+            self._fill()
+            for ids, language in held:
+                yield self.net.score(self.net.logit(self.table, ids), language)
+
+    def _fill(self) -> None:
+        at, need = len(self) - len(self.new), len(self)
+        if need > len(self.table):
+            self.table = np.concatenate([self.table[:at], np.empty((need - at + KNOWN_WORDS // 8, self.table.shape[1]), dtype=np.float32)])
+        for a in range(at, need, PIECE):
+            self.table[a : min(need, a + PIECE)] = self.net.products(parts_of_all(self.new[a - at : a - at + PIECE]))
+        self.new.clear()
 
 
 def scored(docs: DataFrame, net: Cnn, text: str = "text", out: str = "score") -> DataFrame:
@@ -484,7 +588,7 @@ def scored(docs: DataFrame, net: Cnn, text: str = "text", out: str = "score") ->
     def score(texts: pd.Series) -> pd.Series:
         if not made:
             made.append(_Scorer(Cnn(*shared.value)))
-        return pd.Series([made[0].score(t) for t in texts], dtype=float)
+        return pd.Series(list(made[0].scores(iter(texts))), dtype=float)
 
     return docs.withColumn(out, F.pandas_udf(score, T.DoubleType())(F.col(text)))
 

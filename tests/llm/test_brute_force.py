@@ -5,10 +5,12 @@ import hashlib
 import html
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -222,6 +224,49 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert all((r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in got)
 
 
+def test_toxicity_hashes_words_together_as_one_by_one():
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefgzéßñ字𐐀x0"), n)) for n in rng.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 30, 63, 64, 65, 200], 2_000)]
+    assert (toxicity_cnn.parts_of_all(words) == np.array([toxicity_cnn.parts_of(w) for w in words])).all()
+    assert toxicity_cnn.parts_of_all([]).shape == (0, 5)
+
+
+def test_toxicity_workers_hold_few_texts_at_once():
+    """A worker that lives on keeps no words of texts that it has encoded, and a batch of them is never held encoded as a whole."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(1_000))
+    toxicity_cnn.encode(text(0))
+    tracemalloc.start()
+    try:
+        for i in range(30):
+            toxicity_cnn.encode(text(i))
+        assert tracemalloc.get_traced_memory()[0] < 1 << 20
+        n = 2_000  # their parts take 40 MB
+        batch = pa.RecordBatch.from_pydict({"shard": pa.array([0] * n, pa.int32()), "apart": [i % 4 == 0 for i in range(n)], "label": pa.array([i % 2 for i in range(n)], pa.int32()), "_text": [text(i % 50) for i in range(n)]})
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        seen = 0
+        for made in toxicity_cnn._packed(batch):
+            for t, apart, label, language in toxicity_cnn._rows(made):
+                if seen % 97 == 0:
+                    want, told = toxicity_cnn.encode(text(seen % 50))
+                    assert (t.ids == want.ids).all() and (t.parts == want.parts).all() and (apart, label, language) == (seen % 4 == 0, seen % 2, told)
+                seen += 1
+        assert seen == n and tracemalloc.get_traced_memory()[1] - before < 30 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_toxicity_scores_while_its_cache_is_emptied(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [None, "", *[" ".join(f"word{k}" for k in rng.integers(0, 400, n)) for n in (1, 3, 300, 40, 90_000, 7, 7)]]
+    net = toxicity_cnn._started(np.unique(toxicity_cnn.parts_of_all([f"word{k}" for k in range(0, 400, 2)])).astype(np.int32)[1:], 0.3, 1)
+    want = [net.score(net.logit(net.products(t.parts), t.ids), code) for t, code in map(toxicity_cnn.encode, texts)]
+    for known, together in ((1 << 17, 128), (20, 2), (1, 1)):
+        monkeypatch.setattr(toxicity_cnn, "KNOWN_WORDS", known)
+        monkeypatch.setattr(toxicity_cnn, "TEXTS", together)
+        assert np.allclose(list(toxicity_cnn._Scorer(net).scores(iter(texts))), want, atol=1e-6)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rows = held(spark, "op7_toxicity", "toxic", "/root/testdata/sf0.1")  # smaller tables hold six toxic held-out rows
     clean = rows[rows["toxic"] == 0]
