@@ -468,9 +468,13 @@ def _copied(net: Cnn, optimizer: _Optimizer) -> tuple[Cnn, _Optimizer]:
 
 def _moves(rows: DataFrame, shared: Broadcast, number: int, epoch: int, seed: int) -> DataFrame:
     """What a pass of each shard makes of network ``number``: the dense values as negative rows, and the vectors that it moved."""
+    def sent(at: np.ndarray, values: np.ndarray, squares: np.ndarray) -> pa.RecordBatch:
+        columns = [np.full(len(at), number, dtype=np.int32), at.astype(np.int32), *np.ascontiguousarray(values.T), squares]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["net", "row", *MOVED, "square"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, optimizer = _copied(*shared.value)
-        before = optimizer.squares["embedding"].copy()
+        before = shared.value[1].squares["embedding"]
         held: list[tuple[Text, int]] = []
         size, steps, rng = 0, 0, None
         for batch in batches:
@@ -485,13 +489,13 @@ def _moves(rows: DataFrame, shared: Broadcast, number: int, epoch: int, seed: in
             _pass(net, optimizer, [h[0] for h in held], np.array([h[1] for h in held], dtype=float), rng)
         if not held and not steps:
             return
-        dense, own = _dense(net, optimizer), np.flatnonzero(optimizer.squares["embedding"] != before)
-        at = np.r_[-1 - np.arange(len(dense)), own].astype(np.int32)
-        values = np.concatenate([dense, net.embedding[own]])
-        squares = np.r_[np.zeros(len(dense), dtype=np.float32), optimizer.squares["embedding"][own]]
-        for a in range(0, len(at), 1 << 16):
-            some = slice(a, a + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at[some]), number, dtype=np.int32)), pa.array(at[some]), *[pa.array(np.ascontiguousarray(values[some, i])) for i in range(DIM)], pa.array(squares[some])], names=["net", "row", *MOVED, "square"])
+        held = []
+        dense, squares = _dense(net, optimizer), optimizer.squares["embedding"]
+        yield sent(-1 - np.arange(len(dense)), dense, np.zeros(len(dense), dtype=np.float32))
+        own = np.flatnonzero(squares != before)
+        for a in range(0, len(own), 1 << 16):
+            some = own[a : a + (1 << 16)]
+            yield sent(some, net.embedding[some], squares[some])
 
     return rows.mapInArrow(run, MOVES)
 
